@@ -26,7 +26,7 @@ from vitrine.operators.options import cascade_options
 from vitrine.operators.quantiles import box_summary
 from vitrine.operators.scoring import LinearQuantileModel, score
 from vitrine.operators.validate import apply_defaults, validate
-from vitrine.plans.dashboard import dashboard, dashboard_long, facet_lists
+from vitrine.plans.dashboard import dashboard_table, facet_lists
 from vitrine.sources import adapters
 from vitrine.sources.artifacts import artifact_catalog, missing_artifacts
 from vitrine.sources.registry import latest_version, registry_newest_first
@@ -150,7 +150,7 @@ def q_radar_series_gated(spark, sf):
 
 
 def _dashboard(spark, sf, filters, fused):
-    long = dashboard_long(dashboard(_listings(spark, sf), filters, CFG, fused=fused))
+    long = dashboard_table(_listings(spark, sf), filters, CFG, fused=fused)
     return long.select("chart", "key", "label", "x", np_round("y", 4).alias("y"))
 
 

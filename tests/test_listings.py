@@ -8,7 +8,7 @@ from vitrine.operators import aggregates as A
 from vitrine.operators.filters import ListingFilters, listing_filter
 from vitrine.operators.options import cascade_options, option_tree
 from vitrine.operators.quantiles import box_summary
-from vitrine.plans.dashboard import dashboard, dashboard_long, facet_lists
+from vitrine.plans.dashboard import dashboard, dashboard_long, dashboard_table, facet_lists
 from vitrine.sources import adapters
 from tests.conftest import SF_SMALL
 
@@ -117,6 +117,11 @@ def test_fused_equals_unfused(spark):
         key = lambda r: tuple("" if v is None else str(v) for v in r)
         a = sorted(dashboard_long(dashboard(df, f, fused=False)).collect(), key=key)
         b = sorted(dashboard_long(dashboard(df, f, fused=True)).collect(), key=key)
+        c = sorted(dashboard_table(df, f, fused=True).collect(), key=key)
+        assert len(b) == len(c)
+        for x, y in zip(b, c):
+            assert x[:4] == y[:4]
+            assert (x.y is None and y.y is None) or x.y == pytest.approx(y.y, rel=1e-12)
         assert len(a) == len(b)
         for x, y in zip(a, b):
             assert x[:4] == y[:4]

@@ -51,11 +51,15 @@ def _long(df: DataFrame, features: list[str], c_ref: int, c_curr: int) -> DataFr
                     F.lit(c_curr).cast("long").alias("c_curr")))
 
 
+def paired_long(ref: DataFrame, curr: DataFrame, features: list[str]) -> DataFrame:
+    """Both samples as (feature, value, c_ref, c_curr) raw rows, finite values only."""
+    return _long(ref, features, 1, 0).unionByName(_long(curr, features, 0, 1))
+
+
 def paired_counts(ref: DataFrame, curr: DataFrame, features: list[str]) -> DataFrame:
     """(feature, value, c_ref, c_curr), one row per distinct finite value."""
-    both = _long(ref, features, 1, 0).unionByName(_long(curr, features, 0, 1))
-    return both.groupBy("feature", "value").agg(F.sum("c_ref").alias("c_ref"),
-                                               F.sum("c_curr").alias("c_curr"))
+    return paired_long(ref, curr, features).groupBy("feature", "value").agg(
+        F.sum("c_ref").alias("c_ref"), F.sum("c_curr").alias("c_curr"))
 
 
 def feature_order(spark: SparkSession, features: list[str]) -> DataFrame:
@@ -84,7 +88,8 @@ def drift_stats(ref: DataFrame, curr: DataFrame, columns: list[str] | None = Non
     if method == "bucketed":
         rows, per_bucket = running_totals(
             counts, "feature", "value", ["c_ref", "c_curr"], buckets=buckets, freeze="collect",
-            extra_bucket_aggs=[F.sum(F.col("c_ref") * F.col("value")).alias("sum_ref_v")])
+            extra_bucket_aggs=[F.sum(F.col("c_ref") * F.col("value")).alias("sum_ref_v")],
+            split_source=paired_long(ref, curr, features))
         totals = per_bucket.groupBy("feature").agg(
             F.sum("tot_c_ref").alias("n_ref"), F.sum("tot_c_curr").alias("n_curr"),
             F.sum("sum_ref_v").alias("sum_ref_v"),

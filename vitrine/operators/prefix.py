@@ -57,16 +57,23 @@ def split_points(df: DataFrame, part: str, order: str, buckets: int,
 
 def running_totals(df: DataFrame, part: str, order: str, weights: list[str],
                    buckets: int | None = None, freeze: str = "collect",
-                   extra_bucket_aggs: list | None = None) -> tuple[DataFrame, DataFrame]:
+                   extra_bucket_aggs: list | None = None,
+                   split_source: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Inclusive running sums of ``weights`` per ``part`` in ``order``.
 
+    ``split_source`` (same ``part``/``order`` columns) is where split points are
+    sketched; pass the raw rows ``df`` was aggregated from, so the sketch is one
+    scan with map-side partial sketches instead of a second evaluation of the
+    aggregation. Raw-row quantiles bound every bucket to about N/B raw rows,
+    hence at most N/B distinct values.
+
     Returns ``(rows, buckets_table)``: rows carry ``cum_<w>`` (inclusive) and
     ``next_value`` (the next larger value of the part, NULL for the last);
     the bucket table has per (part, bucket) totals ``tot_<w>``, ``bmin``,
     ``bmax`` and any ``extra_bucket_aggs``.
     """
     buckets = buckets or default_buckets(df)
-    bounds = split_points(df, part, order, buckets, freeze)
+    bounds = split_points(split_source if split_source is not None else df, part, order, buckets, freeze)
     hint = F.broadcast if freeze == "collect" else (lambda x: x)
     v = F.col(order)
     b = bounds.withColumnRenamed(part, "_bpart")

@@ -80,7 +80,8 @@ def _bound_checks(name: str, v: Column, lo, hi) -> list[tuple[str, Column]]:
 
 
 def validate(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """V1–V4/V6: typed, defaulted request columns plus ``errors`` (array<string>).
+    """V1–V4/V6: typed, defaulted request columns plus ``valid`` and ``errors``
+    (array<string>, rule order).
 
     ``keep`` names pass-through columns (ids). NULL in an optional field takes
     the default; NULL in a required field is ``missing:<field>``; a value that
@@ -112,15 +113,22 @@ def validate(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
         fields.append(v.alias(name))
     cols.append(F.struct(*fields).alias("damage_details"))
 
+    # ``valid`` is one codegen'd boolean; the ``errors`` array (a higher-order
+    # function, evaluated outside generated code) is only computed where a
+    # consumer selects it — after ``split_valid``, on rejected rows only.
+    broken = F.lit(False)
+    for _, cond in rules:
+        broken = broken | F.coalesce(cond, F.lit(False))
     errors = F.filter(F.array(*[F.when(cond, F.lit(label)) for label, cond in rules]),
                       lambda e: e.isNotNull())
-    return df.select(*keep, *cols, errors.alias("errors"))
+    return df.select(*keep, *cols, (~broken).alias("valid"), errors.alias("errors"))
 
 
 def split_valid(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """V5: (accepted, rejected) by the size of ``errors``."""
-    return (validated.where(F.size("errors") == 0).drop("errors"),
-            validated.where(F.size("errors") > 0))
+    """V5: (accepted, rejected). The split tests the boolean ``valid`` column, so
+    accepted rows never build their (empty) error list."""
+    return (validated.where(F.col("valid")).drop("valid", "errors"),
+            validated.where(~F.col("valid")).drop("valid"))
 
 
 def apply_defaults(damage: Column) -> Column:

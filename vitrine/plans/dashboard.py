@@ -11,7 +11,16 @@ same rows:
   ignore the series filter) a third.
 
 ``dashboard_long`` unions a bundle into long rows (chart, key, label, x, y) for a
-single output table.
+single output table; ``dashboard_table(fused=True)`` builds that table in four
+passes over the data, each emitting the rows of several charts with
+``inline`` (no per-chart filter, so no per-chart re-aggregation):
+
+1. a global aggregate (always one row): KPI, damage sums, radar maxima;
+2. ``GROUPING SETS ((brand), (year), (fuel))``: radar means, trend, fuel counts;
+3. the raw selected rows: box and scatter points;
+4. the option lists under the base filter;
+
+plus one scalar subquery (distinct brands) for the radar gate.
 """
 
 from __future__ import annotations
@@ -139,3 +148,74 @@ def dashboard_long(charts: dict[str, DataFrame]) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def _row(chart, key, label, x, y):
+    s_, d = "string", "double"
+    return F.struct(F.lit(chart).alias("chart"), key.cast(s_).alias("key"), label.cast(s_).alias("label"),
+                    x.cast(d).alias("x"), y.cast(d).alias("y"))
+
+
+_ROWS_TYPE = "array<struct<chart:string,key:string,label:string,x:double,y:double>>"
+
+
+def _when_rows(cond, rows):
+    """The rows if ``cond`` holds, else none (an empty array, so ``concat`` keeps the others)."""
+    return F.when(cond, F.array(*rows)).otherwise(F.array().cast(_ROWS_TYPE))
+
+
+def dashboard_table(df: DataFrame, filters: ListingFilters = ListingFilters(),
+                    cfg: ListingConfig = ListingConfig(), fused: bool = True) -> DataFrame:
+    """The whole bundle as one long table (chart, key, label, x, y)."""
+    if not fused:
+        return dashboard_long(dashboard(df, filters, cfg, fused=False))
+    none = F.lit(None)
+    sel = df.where(listing_filter(filters, cfg))
+    parts = cfg.damage_columns()
+    measures = cfg.radar_measures()
+    n_groups = sel.select(F.count_distinct(F.col(cfg.brand))).scalar()
+    gate = n_groups <= F.lit(cfg.radar_max_groups)
+
+    # 1. global aggregate: one row even for an empty selection
+    tot = sel.agg(F.count(F.lit(1)).alias("n"), F.avg(cfg.price).alias("avg_price"),
+                  *[F.max(c).cast("double").alias(f"max{i}") for i, (_, c) in enumerate(measures)],
+                  *[A.paired_sum(cols).cast("bigint").alias(f"dmg{i}") for i, (_, cols) in enumerate(parts)])
+    has = F.col("n") > 0
+    tot_rows = F.concat(
+        F.array(_row("kpi", F.lit("total"), none, none, F.col("n")),
+                _row("kpi", F.lit("avg_price"), none, none, F.coalesce(F.col("avg_price"), F.lit(0.0)))),
+        _when_rows(has, [_row("damage", F.lit(label), none, F.lit(i + 1), F.col(f"dmg{i}"))
+                         for i, (label, _) in enumerate(parts)]),
+        _when_rows(has & gate, [_row("radar_indicators", F.lit(name), none, F.lit(i + 1),
+                                     F.coalesce(F.col(f"max{i}"), F.lit(0.0)) * F.lit(RADAR_HEADROOM))
+                                for i, (name, _) in enumerate(measures)]))
+    from_totals = tot.select(F.inline(tot_rows))
+
+    # 2. grouped charts in one aggregation
+    g = sel.groupingSets([[cfg.brand], [cfg.year], [cfg.fuel]], cfg.brand, cfg.year, cfg.fuel).agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.avg(c).alias(f"avg{i}") for i, (_, c) in enumerate(measures)],
+        F.grouping_id().alias("gid"))
+    gid = F.col("gid")
+    g_rows = F.concat(
+        _when_rows((gid == _G_BRAND) & gate,
+                   [_row("radar_series", F.col(cfg.brand), F.lit(name), F.lit(i + 1),
+                         F.coalesce(F.col(f"avg{i}"), F.lit(0.0)))
+                    for i, (name, _) in enumerate(measures)]),
+        _when_rows((gid == _G_YEAR) & F.col(cfg.year).isNotNull(),
+                   [_row("trend", F.col(cfg.year), none, F.col(cfg.year), F.col("avg0"))]),
+        _when_rows((gid == _G_FUEL) & F.col(cfg.fuel).isNotNull(),
+                   [_row("fuel", F.col(cfg.fuel), none, none, F.col("n"))]))
+    from_groups = g.select(F.inline(g_rows))
+
+    # 3. raw-value charts in one pass
+    p, km, b = F.col(cfg.price), F.col(cfg.mileage), F.col(cfg.brand)
+    raw_rows = F.concat(
+        _when_rows(p.isNotNull(), [_row("box", b, none, none, p)]),
+        _when_rows(p.isNotNull() & km.isNotNull(), [_row("scatter", b, none, km, p)]))
+    from_raw = sel.select(F.inline(raw_rows))
+
+    # 4. option lists under the base filter
+    lists = facet_lists(df, filters, cfg).select(
+        F.inline(F.array(_row(F.col("field"), F.col("value"), none, none, none))))
+    return from_totals.unionByName(from_groups).unionByName(from_raw).unionByName(lists)
