@@ -97,3 +97,16 @@ def test_np_round_is_half_even_on_the_scaled_double(spark):
     df = spark.createDataFrame([(0.025,), (2.5,), (-3.45,), (1.005,)], "x double")
     got = [r.r for r in df.select(np_round("x", 2).alias("r")).collect()]
     assert got == [float(np.round(v, 2)) for v in (0.025, 2.5, -3.45, 1.005)]
+
+
+def test_count_sorted_binary_search(spark):
+    from vitrine.functions.scalars import count_sorted
+    rng = np.random.default_rng(1)
+    rows = []
+    for n in (0, 1, 2, 3, 7, 8, 9, 33):
+        arr = sorted(set(np.round(rng.normal(0, 1, n), 1).tolist()))
+        rows += [(arr, float(v)) for v in arr + [-5.0, 5.0, 0.05]]
+    df = spark.createDataFrame(rows, "a array<double>, v double")
+    for r in df.select("a", "v", count_sorted("a", "v", True, 64).alias("lt"),
+                       count_sorted("a", "v", False, 64).alias("le")).collect():
+        assert r.lt == sum(x < r.v for x in r.a) and r.le == sum(x <= r.v for x in r.a)

@@ -89,3 +89,21 @@ def linspace_edges(lo, hi, bins: int) -> Column:
     inner = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)),
                         lambda i: i.cast("double") * step + _c(lo))
     return F.concat(inner, F.array(_c(hi).cast("double")))
+
+
+def count_sorted(sorted_arr, value, strict: bool = True, max_len: int = 1 << 20) -> Column:
+    """Number of elements of an ascending array that are < ``value`` (``strict``)
+    or ≤ ``value``: a binary search by lifting, log₂(max_len) steps per row
+    instead of one comparison per element."""
+    arr, v = _c(sorted_arr), _c(value)
+    steps = max(1, (max_len - 1).bit_length())
+    n = F.size(arr)
+
+    def step(acc, jump):
+        nxt = acc + jump
+        probe = F.element_at(arr, F.least(nxt, F.greatest(n, F.lit(1))))
+        hit = (probe < v) if strict else (probe <= v)
+        return F.when((nxt <= n) & hit, nxt).otherwise(acc)
+
+    jumps = F.array(*[F.lit(1 << j) for j in reversed(range(steps))])
+    return F.aggregate(jumps, F.lit(0), step)

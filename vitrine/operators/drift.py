@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from vitrine.config import (DRIFT_CONSTANT_SENTINEL, DRIFT_EMD_THRESHOLD, DRIFT_P_THRESHOLD,
                             HISTOGRAM_BINS)
 from vitrine.functions.ks import ks_pvalue
-from vitrine.functions.scalars import linspace_edges, np_round, safe_ratio
+from vitrine.functions.scalars import count_sorted, linspace_edges, np_round, safe_ratio
 from vitrine.operators.filters import finite, numeric_features, segment_pair
 from vitrine.operators.prefix import running_totals, running_totals_simple
 
@@ -165,7 +165,8 @@ def drift_histogram(ref: DataFrame, curr: DataFrame, columns: list[str] | None =
     v = F.col("value")
     binned = (counts.join(edges, "feature")
               .withColumn("bin_index",
-                          F.least(F.lit(bins), F.size(F.filter(F.slice("edges", 1, bins), lambda e: e <= v))))
+                          F.least(F.lit(bins), count_sorted(F.slice("edges", 1, bins), v, strict=False,
+                                                            max_len=bins)))
               .groupBy("feature", "bin_index")
               .agg(F.sum("c_ref").alias("k_ref"), F.sum("c_curr").alias("k_curr")))
     spine = per_feature.select("feature", "edges", "n_ref", "n_curr",

@@ -8,7 +8,7 @@ Instead (two passes):
 1. split points per part: ``percentile_approx`` at 1/B … (B−1)/B, frozen
    (collected when the part set is bounded, else written with ``checkpoint()``)
    so that a retried task assigns the same buckets;
-2. bucket = number of split points below the value;
+2. bucket = number of split points below the value (binary search);
 3. per (part, bucket): totals, min and max (a table of ≤ parts × B rows);
    exclusive prefix offsets and the next bucket's min by a window over that
    small table;
@@ -24,14 +24,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vitrine.functions.scalars import count_sorted
 from vitrine.session import ensure_checkpoint_dir
 
 
-def default_buckets(df: DataFrame) -> int:
-    try:
-        return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    except Exception:  # pragma: no cover
-        return 8
+TARGET_ROWS_PER_BUCKET = 2_000_000
+MAX_BUCKETS = 10_000
+
+
+def default_buckets(source: DataFrame, part: str) -> int:
+    """At least ``spark.sql.shuffle.partitions`` buckets, more when the largest
+    part would put over ``TARGET_ROWS_PER_BUCKET`` raw rows in one bucket (one
+    small aggregation; only its one-row maximum reaches the driver)."""
+    base = max(1, int(source.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    largest = source.groupBy(part).count().agg(F.max("count")).first()[0] or 0
+    need = -(-largest // TARGET_ROWS_PER_BUCKET)
+    return int(min(MAX_BUCKETS, max(base, need)))
 
 
 def split_points(df: DataFrame, part: str, order: str, buckets: int,
@@ -42,7 +50,7 @@ def split_points(df: DataFrame, part: str, order: str, buckets: int,
         parts = df.select(part).distinct()
         return parts.withColumn("bounds", F.array().cast("array<double>"))
     fractions = [k / buckets for k in range(1, buckets)]
-    accuracy = max(10000, 20 * buckets)
+    accuracy = min(200_000, max(10_000, 20 * buckets))
     bounds = (df.groupBy(part)
               .agg(F.array_distinct(F.percentile_approx(F.col(order).cast("double"), fractions, accuracy))
                    .alias("bounds")))
@@ -72,13 +80,14 @@ def running_totals(df: DataFrame, part: str, order: str, weights: list[str],
     the bucket table has per (part, bucket) totals ``tot_<w>``, ``bmin``,
     ``bmax`` and any ``extra_bucket_aggs``.
     """
-    buckets = buckets or default_buckets(df)
-    bounds = split_points(split_source if split_source is not None else df, part, order, buckets, freeze)
+    source = split_source if split_source is not None else df
+    buckets = buckets or default_buckets(source, part)
+    bounds = split_points(source, part, order, buckets, freeze)
     hint = F.broadcast if freeze == "collect" else (lambda x: x)
     v = F.col(order)
     b = bounds.withColumnRenamed(part, "_bpart")
     bucketed = (df.join(hint(b), df[part].eqNullSafe(b["_bpart"]))
-                .withColumn("_bucket", F.size(F.filter("bounds", lambda x: x < v.cast("double"))))
+                .withColumn("_bucket", count_sorted("bounds", v.cast("double"), max_len=buckets))
                 .drop("bounds", "_bpart"))
 
     aggs = [F.sum(w).alias(f"tot_{w}") for w in weights]
