@@ -5,7 +5,8 @@ A window ``partitionBy(part).orderBy(value)`` puts a whole part into one task;
 with one part holding a third of the data that task holds a third of the data.
 Instead (two passes):
 
-1. split points per part: ``percentile_approx`` at 1/B … (B−1)/B, frozen
+1. split points per part: ``percentile_approx`` quantiles (B per part, sized
+   from the part's row count), frozen
    (collected when the part set is bounded, else written with ``checkpoint()``)
    so that a retried task assigns the same buckets;
 2. bucket = number of split points below the value (binary search);
@@ -29,31 +30,38 @@ from vitrine.session import ensure_checkpoint_dir
 
 
 TARGET_ROWS_PER_BUCKET = 2_000_000
-MAX_BUCKETS = 10_000
+GRID = 1024
 
 
-def default_buckets(source: DataFrame, part: str) -> int:
-    """At least ``spark.sql.shuffle.partitions`` buckets, more when the largest
-    part would put over ``TARGET_ROWS_PER_BUCKET`` raw rows in one bucket (one
-    small aggregation; only its one-row maximum reaches the driver)."""
-    base = max(1, int(source.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    largest = source.groupBy(part).count().agg(F.max("count")).first()[0] or 0
-    need = -(-largest // TARGET_ROWS_PER_BUCKET)
-    return int(min(MAX_BUCKETS, max(base, need)))
+def split_points(df: DataFrame, part: str, order: str, buckets: int | None = None,
+                 freeze: str = "collect", target_rows: int = TARGET_ROWS_PER_BUCKET,
+                 grid: int = GRID) -> DataFrame:
+    """(part, bounds array<double>) with increasing split points per part.
 
-
-def split_points(df: DataFrame, part: str, order: str, buckets: int,
-                 freeze: str = "collect") -> DataFrame:
-    """(part, bounds array<double>) with B−1 increasing split points per part."""
+    ``buckets`` fixes the bucket count of every part. Otherwise one aggregation
+    gives each part its row count and a ``grid``-point quantile sketch, and the
+    part gets ceil(count / target_rows) buckets (at most ``grid``) taken from
+    that grid: small parts stay whole, a part with a third of the rows gets as
+    many buckets as its size needs.
+    """
     spark = df.sparkSession
-    if buckets <= 1:
-        parts = df.select(part).distinct()
-        return parts.withColumn("bounds", F.array().cast("array<double>"))
-    fractions = [k / buckets for k in range(1, buckets)]
-    accuracy = min(200_000, max(10_000, 20 * buckets))
-    bounds = (df.groupBy(part)
-              .agg(F.array_distinct(F.percentile_approx(F.col(order).cast("double"), fractions, accuracy))
-                   .alias("bounds")))
+    v = F.col(order).cast("double")
+    if buckets is not None:
+        if buckets <= 1:
+            return df.select(part).distinct().withColumn("bounds", F.array().cast("array<double>"))
+        fractions = [k / buckets for k in range(1, buckets)]
+        accuracy = min(200_000, max(10_000, 20 * buckets))
+        bounds = df.groupBy(part).agg(F.array_distinct(F.percentile_approx(v, fractions, accuracy)).alias("bounds"))
+    else:
+        fractions = [k / grid for k in range(1, grid)]
+        sketch = df.groupBy(part).agg(F.count(F.lit(1)).alias("_n"),
+                                      F.percentile_approx(v, fractions, 20 * grid).alias("_grid"))
+        b = F.least(F.lit(grid), F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(float(target_rows))))).cast("int")
+        # bucket i ends at grid point i·grid/b (1-based positions into the grid of grid−1 points)
+        picks = F.transform(F.sequence(F.lit(1), F.greatest(b - 1, F.lit(1))),
+                            lambda i: F.element_at("_grid", (i * F.lit(grid) / b).cast("int")))
+        bounds = sketch.select(part, F.when(b > 1, F.array_distinct(picks))
+                               .otherwise(F.array().cast("array<double>")).alias("bounds"))
     if freeze == "collect":
         rows = bounds.collect()  # one row per part: the part set is bounded (e.g. schema columns)
         return spark.createDataFrame(rows, bounds.schema)
@@ -66,7 +74,8 @@ def split_points(df: DataFrame, part: str, order: str, buckets: int,
 def running_totals(df: DataFrame, part: str, order: str, weights: list[str],
                    buckets: int | None = None, freeze: str = "collect",
                    extra_bucket_aggs: list | None = None,
-                   split_source: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+                   split_source: DataFrame | None = None,
+                   target_rows: int = TARGET_ROWS_PER_BUCKET) -> tuple[DataFrame, DataFrame]:
     """Inclusive running sums of ``weights`` per ``part`` in ``order``.
 
     ``split_source`` (same ``part``/``order`` columns) is where split points are
@@ -81,13 +90,13 @@ def running_totals(df: DataFrame, part: str, order: str, weights: list[str],
     ``bmax`` and any ``extra_bucket_aggs``.
     """
     source = split_source if split_source is not None else df
-    buckets = buckets or default_buckets(source, part)
-    bounds = split_points(source, part, order, buckets, freeze)
+    bounds = split_points(source, part, order, buckets, freeze, target_rows=target_rows)
+    max_len = buckets or GRID
     hint = F.broadcast if freeze == "collect" else (lambda x: x)
     v = F.col(order)
     b = bounds.withColumnRenamed(part, "_bpart")
     bucketed = (df.join(hint(b), df[part].eqNullSafe(b["_bpart"]))
-                .withColumn("_bucket", count_sorted("bounds", v.cast("double"), max_len=buckets))
+                .withColumn("_bucket", count_sorted("bounds", v.cast("double"), max_len=max_len))
                 .drop("bounds", "_bpart"))
 
     aggs = [F.sum(w).alias(f"tot_{w}") for w in weights]
