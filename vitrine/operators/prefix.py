@@ -33,35 +33,56 @@ TARGET_ROWS_PER_BUCKET = 2_000_000
 GRID = 1024
 
 
+SAMPLE_PER_BUCKET = 1000
+
+
 def split_points(df: DataFrame, part: str, order: str, buckets: int | None = None,
                  freeze: str = "collect", target_rows: int = TARGET_ROWS_PER_BUCKET,
                  grid: int = GRID) -> DataFrame:
     """(part, bounds array<double>) with increasing split points per part.
 
-    ``buckets`` fixes the bucket count of every part. Otherwise one aggregation
-    gives each part its row count and a ``grid``-point quantile sketch, and the
-    part gets ceil(count / target_rows) buckets (at most ``grid``) taken from
-    that grid: small parts stay whole, a part with a third of the rows gets as
-    many buckets as its size needs.
+    ``buckets`` fixes the bucket count of every part (one sketch over all rows).
+    Otherwise a count per part decides ceil(count / target_rows) buckets (at
+    most ``grid``); parts that fit one bucket get no split points and no sketch;
+    larger parts are sketched on a row sample of about ``SAMPLE_PER_BUCKET``
+    rows per bucket, and their split points taken from a ``grid``-point quantile
+    grid. A part holding a third of the data gets as many buckets as its size
+    needs; the sketch reads a sample, not the part.
     """
     spark = df.sparkSession
     v = F.col(order).cast("double")
+    empty = F.array().cast("array<double>")
     if buckets is not None:
         if buckets <= 1:
-            return df.select(part).distinct().withColumn("bounds", F.array().cast("array<double>"))
-        fractions = [k / buckets for k in range(1, buckets)]
-        accuracy = min(200_000, max(10_000, 20 * buckets))
-        bounds = df.groupBy(part).agg(F.array_distinct(F.percentile_approx(v, fractions, accuracy)).alias("bounds"))
-    else:
-        fractions = [k / grid for k in range(1, grid)]
-        sketch = df.groupBy(part).agg(F.count(F.lit(1)).alias("_n"),
-                                      F.percentile_approx(v, fractions, 20 * grid).alias("_grid"))
-        b = F.least(F.lit(grid), F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(float(target_rows))))).cast("int")
-        # bucket i ends at grid point i·grid/b (1-based positions into the grid of grid−1 points)
-        picks = F.transform(F.sequence(F.lit(1), F.greatest(b - 1, F.lit(1))),
-                            lambda i: F.element_at("_grid", (i * F.lit(grid) / b).cast("int")))
-        bounds = sketch.select(part, F.when(b > 1, F.array_distinct(picks))
-                               .otherwise(F.array().cast("array<double>")).alias("bounds"))
+            bounds = df.select(part).distinct().withColumn("bounds", empty)
+        else:
+            fractions = [k / buckets for k in range(1, buckets)]
+            accuracy = min(200_000, max(10_000, 20 * buckets))
+            bounds = df.groupBy(part).agg(
+                F.array_distinct(F.percentile_approx(v, fractions, accuracy)).alias("bounds"))
+        return _freeze(bounds, freeze)
+
+    nb = F.least(F.lit(grid), F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(float(target_rows))))).cast("int")
+    sizes = _freeze(df.groupBy(part).agg(F.count(F.lit(1)).alias("_n")).withColumn("_b", nb), freeze)
+    big = sizes.where(F.col("_b") > 1)
+    if freeze == "collect" and big.isEmpty():
+        return sizes.select(part, empty.alias("bounds"))
+    frac = F.least(F.lit(1.0), F.col("_b") * F.lit(float(SAMPLE_PER_BUCKET)) / F.col("_n"))
+    hint = F.broadcast if freeze == "collect" else (lambda x: x)
+    sample = (df.join(hint(big.select(part, frac.alias("_f"), "_b")), part)
+              .where(F.rand(seed=17) < F.col("_f")))
+    fractions = [k / grid for k in range(1, grid)]
+    sketch = sample.groupBy(part, "_b").agg(F.percentile_approx(v, fractions, 20 * grid).alias("_grid"))
+    b = F.col("_b")
+    picks = F.transform(F.sequence(F.lit(1), b - 1),
+                        lambda i: F.element_at("_grid", (i * F.lit(grid) / b).cast("int")))
+    split = sketch.select(part, F.array_distinct(picks).alias("bounds"))
+    small = sizes.where(F.col("_b") <= 1).select(part, empty.alias("bounds"))
+    return _freeze(split, freeze).unionByName(small)
+
+
+def _freeze(bounds: DataFrame, freeze: str) -> DataFrame:
+    spark = bounds.sparkSession
     if freeze == "collect":
         rows = bounds.collect()  # one row per part: the part set is bounded (e.g. schema columns)
         return spark.createDataFrame(rows, bounds.schema)
