@@ -20,13 +20,15 @@ from vitrine.config import DAMAGE_PARTS, RADAR_AXES, ListingConfig
 from vitrine.functions.ks import sql_asymptotic_pvalue
 from vitrine.functions.scalars import np_round, risk_score, sql_np_round
 from vitrine.operators import aggregates as A
-from vitrine.operators.drift import drift_histogram, drift_report, drift_stats
+from vitrine.operators.drift import (drift_histogram, drift_report, drift_result, drift_result_json,
+                                     drift_stats)
 from vitrine.operators.filters import ListingFilters, listing_filter
-from vitrine.operators.options import cascade_options
+from vitrine.operators.options import cascade_options, option_tree
 from vitrine.operators.quantiles import box_summary
 from vitrine.operators.scoring import LinearQuantileModel, score
 from vitrine.operators.validate import apply_defaults, validate
 from vitrine.plans.dashboard import dashboard_table, facet_lists
+from vitrine.plans.scoring_job import score_version
 from vitrine.sources import adapters
 from vitrine.sources.artifacts import artifact_catalog, missing_artifacts
 from vitrine.sources.registry import latest_version, registry_newest_first
@@ -250,6 +252,34 @@ def q_drift_segment(spark, sf):
     return segment_drift(ref, curr, SEGMENT[0], SEGMENT[1], DRIFT_LISTINGS)
 
 
+def q_group_cardinality(spark, sf):
+    df = _listings(spark, sf)
+    parts = []
+    for k, f in enumerate(FILTER_SETS, start=1):
+        parts.append(A.group_cardinality(df.where(listing_filter(f, CFG)), CFG.brand)
+                     .select(F.lit(k).alias("set_id"), "n_groups"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def q_option_tree(spark, sf):
+    return option_tree(_listings(spark, sf), CFG)
+
+
+def q_drift_result_json(spark, sf):
+    ref, curr = adapters.orders_pair(spark, sf)
+    rep = drift_report(ref, curr, DRIFT_ORDERS)
+    return drift_result_json(drift_result(rep, drift_histogram(ref, curr, DRIFT_ORDERS)))
+
+
+def q_score_latest_version(spark, sf):
+    res, _ = score_version(adapters.requests(spark, sf), adapters.registry_records(spark, sf),
+                           lambda v: MODEL, keep=["request_id", "line"], method="expr", nested=False)
+    return res
+
+
 def q_artifact_catalog(spark, sf):
     return artifact_catalog(spark, sf).select("key", "version_id", "name", "kind", "length")
 
@@ -293,6 +323,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "drift_stats_orders": q_drift_stats_orders,
     "drift_histogram": q_drift_histogram,
     "drift_segment": q_drift_segment,
+    "group_cardinality": q_group_cardinality,
+    "option_tree": q_option_tree,
+    "drift_result_json": q_drift_result_json,
+    "score_latest_version": q_score_latest_version,
     "artifact_catalog": q_artifact_catalog,
     "missing_artifacts": q_missing_artifacts,
 }
@@ -521,17 +555,19 @@ def _errors_sql() -> list[tuple[str, str]]:
     return rules
 
 
-def _score_sql() -> str:
+def _score_sql(version_sql: str | None = None) -> str:
     q05, q50, q95 = MODEL.sql()
+    version = version_sql or f"'{MODEL_VERSION}'"
+    reg = _registry_sql()[len("WITH "):].rstrip() + ", " if version_sql else ""
     feats = (f"SELECT request_id, line, power_hp_val, year, {_risk_sql()} AS expert_risk_score "
              f"FROM dflt WHERE {' AND NOT '.join(['TRUE'] + ['(' + c + ')' for _, c in _errors_sql()])}")
     ok = f"ok AS ({feats})"
     pred = f"pr AS (SELECT *, {q05} AS q05, {q50} AS q50, {q95} AS q95 FROM ok)"
     margin = "(((q95 * 1.02e0) - (q05 * 0.98e0)) / 2.0e0) / NULLIF(q50, 0.0e0) * 100.0e0"
-    return (f"WITH {_requests_cte()}, dflt AS ({_defaults_sql()}), {ok}, {pred} "
+    return (f"WITH {reg}{_requests_cte()}, dflt AS ({_defaults_sql()}), {ok}, {pred} "
             "SELECT request_id, line, CAST(trunc(q50) AS BIGINT) AS price, "
             "CAST(trunc(q05 * 0.98e0) AS BIGINT) AS price_min, CAST(trunc(q95 * 1.02e0) AS BIGINT) AS price_max, "
-            f"{_r(margin, 1)} AS margin_percent, '{MODEL_VERSION}' AS version, "
+            f"{_r(margin, 1)} AS margin_percent, {version} AS version, "
             "expert_risk_score AS calculated_risk_score, 'TL' AS currency FROM pr")
 
 
@@ -608,6 +644,13 @@ def _oracle() -> dict[str, str]:
         "registry_newest_first": reg + (
             f"SELECT row_number() OVER ({order}) AS rank, pos, version_id, date, n_orders, revenue FROM r"),
         "latest_version": reg + f"SELECT pos, version_id, date FROM r {order} LIMIT 1",
+        "group_cardinality": _with_listings() + " UNION ALL ".join(
+            f"SELECT {k} AS set_id, count(DISTINCT brand) AS n_groups FROM listings WHERE {filters_sql(f)}"
+            for k, f in enumerate(FILTER_SETS, start=1)),
+        "option_tree": _with_listings() + (
+            "SELECT DISTINCT brand, series, model FROM listings WHERE brand IS NOT NULL"),
+        "score_latest_version": _score_sql(version_sql="(SELECT version_id FROM r ORDER BY COALESCE(date, '') "
+                                                       "DESC, pos ASC LIMIT 1)"),
         "drift_report": drift_li["drifted"],
         "drift_report_scaled": drift_li["scaled"],
         "drift_report_identical": drift_li["identical"],

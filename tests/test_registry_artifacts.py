@@ -83,3 +83,30 @@ def test_streaming_scoring(spark, tmp_dir):
     rej = spark.read.parquet(os.path.join(tmp_dir, "rej"))
     assert out.count() == 10 and rej.count() == 1
     assert rej.first().errors == ["range:year"]
+
+
+def test_score_version_uses_newest_registry_entry(spark, tmp_dir):
+    from tests.test_scoring import MODEL, REQ, req
+    from vitrine.plans.scoring_job import score_version
+
+    records = spark.createDataFrame([(0, "v1", "2024-01-01"), (1, "v2", "2024-05-01"), (2, "v3", None)],
+                                    "pos long, version_id string, date string")
+    loaded = []
+    res, rej = score_version(spark.createDataFrame([req(1), req(2, year=1800)], REQ), records,
+                             lambda v: loaded.append(v) or MODEL, keep=["id"])
+    r = res.first()
+    assert r.version == "v2" and loaded == ["v2"] and rej.count() == 1
+    assert r.price_range.min <= r.price <= r.price_range.max
+    with pytest.raises(FileNotFoundError):
+        score_version(spark.createDataFrame([req(1)], REQ), records, lambda v: MODEL, version="v9")
+
+
+def test_drift_result_json(spark):
+    import pandas as pd
+    from vitrine.operators.drift import drift_histogram, drift_report, drift_result, drift_result_json
+
+    ref = spark.createDataFrame(pd.DataFrame({"price": [1.0, 2.0, 3.0, 4.0]}))
+    curr = spark.createDataFrame(pd.DataFrame({"price": [2.0, 3.0, 5.0]}))
+    doc = json.loads(drift_result_json(drift_result(drift_report(ref, curr), drift_histogram(ref, curr))).first().json)
+    assert doc["feature"] == "price" and len(doc["chart_data"]) == 20
+    assert set(doc["chart_data"][0]) == {"bin", "ref_density", "curr_density"}

@@ -206,3 +206,11 @@ def segment_drift(ref: DataFrame, curr: DataFrame, segment_col: str | None = Non
     if segment_col is not None:
         ref, curr = segment_pair(ref, curr, segment_col, segment_value)
     return drift_report(ref, curr, columns, **kw)
+
+
+def drift_result_json(result: DataFrame) -> DataFrame:
+    """Each feature's nested result (at most 20 bins) as one JSON document
+    → (ordinal, feature, json)."""
+    body = F.struct("feature", "drift_detected", "p_value", "ks_statistic", "emd_score", "chart_data",
+                    "normalized_emd")
+    return result.select("ordinal", "feature", F.to_json(body).alias("json"))
