@@ -253,15 +253,17 @@ def q_drift_segment(spark, sf):
 
 
 def q_group_cardinality(spark, sf):
-    df = _listings(spark, sf)
-    parts = []
-    for k, f in enumerate(FILTER_SETS, start=1):
-        parts.append(A.group_cardinality(df.where(listing_filter(f, CFG)), CFG.brand)
-                     .select(F.lit(k).alias("set_id"), "n_groups"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    # A10 under every filter set in one pass: group by brand once, keep per
+    # brand whether any row passes each set, then count brands per set
+    df = _listings(spark, sf).where(F.col(CFG.brand).isNotNull())
+    per_brand = df.groupBy(CFG.brand).agg(*[
+        F.max(F.coalesce(listing_filter(f, CFG), F.lit(False)).cast("int")).alias(f"h{k}")
+        for k, f in enumerate(FILTER_SETS, start=1)])
+    wide = per_brand.agg(*[F.count_if(F.col(f"h{k}") == 1).alias(f"g{k}")
+                           for k in range(1, len(FILTER_SETS) + 1)])
+    return wide.select(F.inline(F.array(*[
+        F.struct(F.lit(k).alias("set_id"), F.col(f"g{k}").alias("n_groups"))
+        for k in range(1, len(FILTER_SETS) + 1)])))
 
 
 def q_option_tree(spark, sf):
