@@ -158,3 +158,15 @@ def test_box_summary_matches_numpy(spark):
             r = got[g]
             assert r.n == len(vs)
             assert [r.q0, r.q1, r.q2, r.q3, r.q4] == pytest.approx(list(want), rel=1e-12)
+
+
+def test_box_summary_large_null_group_keeps_all_rows(spark):
+    from vitrine.operators.quantiles import group_quantiles
+    import numpy as np
+    vals = np.arange(3000, dtype=float)
+    data = [(None if i % 3 else "A", "s", "m", float(v), 2000, 1, "f", 1, 1.0) for i, v in enumerate(vals)]
+    df = rows(spark, data)
+    # a tiny target forces split points for both groups, the NULL one included
+    got = {r.group: r for r in group_quantiles(df, "brand", "price", target_rows=100).collect()}
+    assert got[None].n == 2000 and got["A"].n == 1000
+    assert got[None].q2 == float(np.percentile([v for i, v in enumerate(vals) if i % 3], 50))

@@ -31,8 +31,6 @@ from vitrine.session import ensure_checkpoint_dir
 
 TARGET_ROWS_PER_BUCKET = 2_000_000
 GRID = 1024
-
-
 SAMPLE_PER_BUCKET = 1000
 
 
@@ -69,8 +67,9 @@ def split_points(df: DataFrame, part: str, order: str, buckets: int | None = Non
         return sizes.select(part, empty.alias("bounds"))
     frac = F.least(F.lit(1.0), F.col("_b") * F.lit(float(SAMPLE_PER_BUCKET)) / F.col("_n"))
     hint = F.broadcast if freeze == "collect" else (lambda x: x)
-    sample = (df.join(hint(big.select(part, frac.alias("_f"), "_b")), part)
-              .where(F.rand(seed=17) < F.col("_f")))
+    sel = big.select(F.col(part).alias("_spart"), frac.alias("_f"), "_b")
+    sample = (df.join(hint(sel), df[part].eqNullSafe(sel["_spart"]))
+              .where(F.rand(seed=17) < F.col("_f")).drop("_spart"))
     fractions = [k / grid for k in range(1, grid)]
     sketch = sample.groupBy(part, "_b").agg(F.percentile_approx(v, fractions, 20 * grid).alias("_grid"))
     b = F.col("_b")
@@ -116,8 +115,10 @@ def running_totals(df: DataFrame, part: str, order: str, weights: list[str],
     hint = F.broadcast if freeze == "collect" else (lambda x: x)
     v = F.col(order)
     b = bounds.withColumnRenamed(part, "_bpart")
-    bucketed = (df.join(hint(b), df[part].eqNullSafe(b["_bpart"]))
-                .withColumn("_bucket", count_sorted("bounds", v.cast("double"), max_len=max_len))
+    # left join: a part without split points is one bucket, never dropped
+    bucketed = (df.join(hint(b), df[part].eqNullSafe(b["_bpart"]), "left")
+                .withColumn("_bucket", F.coalesce(count_sorted("bounds", v.cast("double"), max_len=max_len),
+                                                  F.lit(0)))
                 .drop("bounds", "_bpart"))
 
     aggs = [F.sum(w).alias(f"tot_{w}") for w in weights]

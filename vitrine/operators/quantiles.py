@@ -13,20 +13,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.operators.prefix import running_totals
+from vitrine.operators.prefix import TARGET_ROWS_PER_BUCKET, running_totals
 
 BOX_PROBS = (0.0, 0.25, 0.5, 0.75, 1.0)
 
 
 def group_quantiles(df: DataFrame, group: str, measure: str, probs=BOX_PROBS,
-                    buckets: int | None = None) -> DataFrame:
+                    buckets: int | None = None, target_rows: int = TARGET_ROWS_PER_BUCKET) -> DataFrame:
     """(group, n, q0 … q{k-1}) for the non-NULL values of ``measure``; NULL group kept."""
     raw = (df.where(F.col(measure).isNotNull())
            .select(F.col(group).alias("group"), F.col(measure).cast("double").alias("value")))
     counts = raw.groupBy("group", "value").agg(F.count(F.lit(1)).alias("c"))
     # the group set is not bounded: split points are checkpointed, not collected
     rows, per_bucket = running_totals(counts, "group", "value", ["c"], buckets=buckets, freeze="checkpoint",
-                                      split_source=raw)
+                                      split_source=raw, target_rows=target_rows)
     n = per_bucket.groupBy("group").agg(F.sum("tot_c").alias("n"))
     targets = []
     for k, p in enumerate(probs):
