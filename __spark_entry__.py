@@ -282,6 +282,15 @@ def q_score_latest_version(spark, sf):
     return res
 
 
+def q_drift_segment_stats(spark, sf):
+    from vitrine.operators.filters import segment_pair
+    ref, curr = segment_pair(*adapters.listings_pair(spark, sf), SEGMENT[0], SEGMENT[1])
+    s = drift_stats(ref, curr, DRIFT_LISTINGS).stats
+    return s.select("feature", "n_ref", "n_curr", np_round("ks", 6).alias("ks"),
+                    np_round("emd", 2).alias("emd"), np_round("std_ref", 2).alias("std_ref"),
+                    "vmin", "vmax")
+
+
 def q_artifact_catalog(spark, sf):
     return artifact_catalog(spark, sf).select("key", "version_id", "name", "kind", "length")
 
@@ -329,6 +338,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "option_tree": q_option_tree,
     "drift_result_json": q_drift_result_json,
     "score_latest_version": q_score_latest_version,
+    "drift_segment_stats": q_drift_segment_stats,
     "artifact_catalog": q_artifact_catalog,
     "missing_artifacts": q_missing_artifacts,
 }
@@ -659,6 +669,10 @@ def _oracle() -> dict[str, str]:
         "drift_report_simple": drift_li["drifted"],
         "drift_stats_orders": _drift_stats_sql(o_early, o_late, DRIFT_ORDERS),
         "drift_histogram": _histogram_sql(*_li_pair_sql("drifted"), DRIFT_LI),
+        "drift_segment_stats": f"WITH listings AS ({adapters.listings_sql()}), " + _drift_stats_sql(
+            f"SELECT * FROM listings WHERE kb_year < 1998 AND {SEGMENT[0]} = {_q(SEGMENT[1])}",
+            f"SELECT * FROM listings WHERE kb_year >= 1998 AND {SEGMENT[0]} = {_q(SEGMENT[1])}",
+            DRIFT_LISTINGS)[len("WITH "):],
     }
 
 

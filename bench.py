@@ -6,7 +6,7 @@ The listings table and the scoring requests are first written to a scratch
 folder as parquet (the jobs then read a listings file, as a deployment
 would); that preparation is reported separately and not counted. Each query is
 run to completion with the ``noop`` sink (every row produced, none collected),
-best of ``$BENCH_REPEAT`` runs (default 2).
+best of ``$BENCH_REPEAT`` runs (default 3).
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ sys.path.insert(0, ROOT)
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    repeat = int(os.environ.get("BENCH_REPEAT", "2"))
+    repeat = int(os.environ.get("BENCH_REPEAT", "3"))
     os.environ["BENCH_CPUS"] = cpus
 
     from pyspark.sql import functions as F

@@ -111,6 +111,15 @@ def running_totals(df: DataFrame, part: str, order: str, weights: list[str],
     """
     source = split_source if split_source is not None else df
     bounds = split_points(source, part, order, buckets, freeze, target_rows=target_rows)
+    aggs = [F.sum(w).alias(f"tot_{w}") for w in weights]
+    aggs += [F.min(order).alias("bmin"), F.max(order).alias("bmax")]
+    aggs += list(extra_bucket_aggs or [])
+    if freeze == "collect" and all(len(r.bounds) == 0 for r in bounds.collect()):
+        # every part fits one bucket (≤ target_rows rows): one window per part
+        # is already bounded, skip the offsets join (bounds is a local relation)
+        rows = running_totals_simple(df, part, order, weights)
+        per_part = df.groupBy(part).agg(*aggs).withColumn("_bucket", F.lit(0))
+        return rows, per_part
     max_len = buckets or GRID
     hint = F.broadcast if freeze == "collect" else (lambda x: x)
     v = F.col(order)
@@ -121,9 +130,6 @@ def running_totals(df: DataFrame, part: str, order: str, weights: list[str],
                                                   F.lit(0)))
                 .drop("bounds", "_bpart"))
 
-    aggs = [F.sum(w).alias(f"tot_{w}") for w in weights]
-    aggs += [F.min(order).alias("bmin"), F.max(order).alias("bmax")]
-    aggs += list(extra_bucket_aggs or [])
     per_bucket = bucketed.groupBy(part, "_bucket").agg(*aggs)
     wb = Window.partitionBy(part).orderBy("_bucket")
     before = wb.rowsBetween(Window.unboundedPreceding, -1)
@@ -148,8 +154,8 @@ def running_totals(df: DataFrame, part: str, order: str, weights: list[str],
 
 
 def running_totals_simple(df: DataFrame, part: str, order: str, weights: list[str]) -> DataFrame:
-    """Reference form: one window per part (one task per part). For comparison
-    and small inputs only."""
+    """One window per part (one task per part): for parts known to fit a task,
+    and as the reference form in tests."""
     w = Window.partitionBy(part).orderBy(order)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return df.select("*", *[F.sum(c).over(upto).alias(f"cum_{c}") for c in weights],
