@@ -29,6 +29,7 @@ from vitrine.functions.ks import ks_pvalue
 from vitrine.functions.scalars import count_sorted, linspace_edges, np_round, safe_ratio
 from vitrine.operators.filters import finite, numeric_features, segment_pair
 from vitrine.operators.prefix import running_totals, running_totals_simple
+from vitrine.session import ship_package
 
 
 def drift_features(ref: DataFrame, curr: DataFrame, columns: list[str] | None = None,
@@ -127,6 +128,7 @@ def drift_report(ref: DataFrame, curr: DataFrame, columns: list[str] | None = No
     """(ordinal, feature, drift_detected, p_value, ks_statistic, emd_score,
     normalized_emd), rounded to 5/4/2/3 places the NumPy way; the flag uses
     unrounded values."""
+    ship_package(ref.sparkSession)  # the exact p-value runs in a Pandas UDF
     ds = stats or drift_stats(ref, curr, columns, method, buckets)
     s = ds.stats
     n1, n2 = F.col("n_ref"), F.col("n_curr")

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from vitrine.config import CURRENCY, DamageRules
 from vitrine.functions.scalars import np_round, risk_score, truncate_to_long, widen_band
 from vitrine.operators.validate import split_valid, validate
+from vitrine.session import ship_package
 
 # Features in the order the scoring record lists them.
 FEATURES = (
@@ -106,6 +107,7 @@ def score_quantiles(df: DataFrame, model, version: str = "v", method: str = "aut
     if method == "expr":
         q05, q50, q95 = model.as_columns()
         return df.select("*", q05.alias("q05"), q50.alias("q50"), q95.alias("q95"))
+    ship_package(df.sparkSession)
     feature_names = list(model.feature_names)
     out_schema = T.StructType(df.schema.fields + [T.StructField(q, T.DoubleType(), True)
                                                   for q in ("q05", "q50", "q95")])

@@ -54,3 +54,33 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="vitrine-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``vitrine`` importable in Python workers (Pandas UDFs, ``mapInPandas``).
+
+    On a cluster the package is deployed with the job (``--py-files`` or an
+    installed wheel). In local mode the workers only see the launch directory,
+    so the package is zipped once per application and added with ``addPyFile``.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED or not sc.master.startswith("local"):
+        return
+    import zipfile
+
+    import vitrine
+
+    pkg_dir = os.path.dirname(os.path.abspath(vitrine.__file__))
+    base = os.path.dirname(pkg_dir)
+    zpath = os.path.join(tempfile.mkdtemp(prefix="vitrine-pyfiles-"), "vitrine.zip")
+    with zipfile.ZipFile(zpath, "w") as z:
+        for root, _dirs, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, base))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(sc.applicationId)
