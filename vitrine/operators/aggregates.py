@@ -23,7 +23,8 @@ def distinct_values(df: DataFrame, cols: list[str]) -> DataFrame:
                       for c in cols])
     return (df.select(F.inline(pairs))
             .where(F.col("value").isNotNull())
-            .distinct())
+            .distinct()
+            .orderBy("field", "value"))
 
 
 def kpi(df: DataFrame, measure: str = "price") -> DataFrame:

@@ -29,7 +29,8 @@ def cascade_options(df: DataFrame, brand: str | None = None, series: str | None
                                    F.when((b == F.lit(brand)) & (s == F.lit(series)), m).alias("value")))
     return (df.select(F.inline(F.array(*levels)))
             .where(F.col("value").isNotNull())
-            .distinct())
+            .distinct()
+            .orderBy("level", "value"))  # K3: binary (UTF-8) order, as in the source lists
 
 
 def option_tree(df: DataFrame, cfg: ListingConfig = ListingConfig()) -> DataFrame:

@@ -42,7 +42,8 @@ def facet_lists(df: DataFrame, filters: ListingFilters, cfg: ListingConfig = Lis
     base = df.where(listing_filter(filters, cfg, exclude={"series"}))
     pairs = F.array(F.struct(F.lit("brands").alias("field"), F.col(cfg.brand).alias("value")),
                     F.struct(F.lit("series_list").alias("field"), F.col(cfg.series).alias("value")))
-    return base.select(F.inline(pairs)).where(F.col("value").isNotNull()).distinct()
+    return (base.select(F.inline(pairs)).where(F.col("value").isNotNull()).distinct()
+            .orderBy("field", "value"))  # K3: binary (UTF-8) order
 
 
 def dashboard(df: DataFrame, filters: ListingFilters = ListingFilters(),
