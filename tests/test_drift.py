@@ -203,14 +203,14 @@ def test_sized_buckets_are_exact_and_follow_part_size(spark, samples):
     from vitrine.operators.prefix import running_totals, split_points
     a, b, s1, s2 = samples
     ref, curr = frames(spark, {"price": np.resize(a, 900), "x": s1}, {"price": np.resize(b, 700), "x": s2})
+    from vitrine.operators.drift import paired_long
     counts = paired_counts(ref, curr, ["price", "x"])
-    raw = ref.select(F.lit("price").alias("feature"), F.col("price").alias("value")).unionByName(
-        ref.select(F.lit("x").alias("feature"), F.col("x").alias("value")))
-    sp = {r.feature: r.bounds for r in split_points(raw, "feature", "value", None, target_rows=100).collect()}
-    assert 2 <= len(sp["price"]) <= 8 and len(sp["x"]) >= 1  # ~900 rows / 100 → ≤ 9 buckets
-    rows, _ = running_totals(counts, "feature", "value", ["c_ref", "c_curr"], target_rows=100)
-    got = rows.toPandas().sort_values(["feature", "value"])
-    for f, g in got.groupby("feature"):
+    raw = paired_long(ref, ref, ["price", "x"]).where("c_ref = 1")
+    sp = {r.fid: r.bounds for r in split_points(raw, "fid", "value", None, target_rows=100).collect()}
+    assert 2 <= len(sp[1]) <= 8 and len(sp[2]) >= 1  # ~900 rows / 100 → ≤ 9 buckets
+    rows, _ = running_totals(counts, "fid", "value", ["c_ref", "c_curr"], target_rows=100)
+    got = rows.toPandas().sort_values(["fid", "value"])
+    for f, g in got.groupby("fid"):
         assert list(g.cum_c_ref) == list(g.c_ref.cumsum())
         assert list(g.cum_c_curr) == list(g.c_curr.cumsum())
         assert list(g.next_value.iloc[:-1]) == list(g.value.iloc[1:]) and pd.isna(g.next_value.iloc[-1])

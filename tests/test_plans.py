@@ -42,7 +42,7 @@ def test_two_pass_windows_partition_by_bucket(spark):
     # per feature only orders the small bucket table
     big = [line for line in p.splitlines() if "Window [sum(c_ref" in line]
     small = [line for line in p.splitlines() if "Window [sum(tot_c_ref" in line]
-    assert big and all("windowspecdefinition(feature" in line and "_bucket" in line for line in big)
+    assert big and all("windowspecdefinition(fid" in line and "_bucket" in line for line in big)
     assert small
     # small per-feature tables are broadcast, the counts are not
     assert "BroadcastExchange" in p

@@ -44,29 +44,33 @@ def drift_features(ref: DataFrame, curr: DataFrame, columns: list[str] | None =
 
 
 def _long(df: DataFrame, features: list[str], c_ref: int, c_curr: int) -> DataFrame:
-    pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value"))
-                      for f in features])
+    # features travel as their 1-based report position (an int), not their name:
+    # the shuffles below carry every distinct value, so every byte per row counts
+    pairs = F.array(*[F.struct(F.lit(i + 1).alias("fid"), F.col(f).cast("double").alias("value"))
+                      for i, f in enumerate(features)])
     return (df.select(F.inline(pairs))
             .where(finite(F.col("value")))
-            .select("feature", "value", F.lit(c_ref).cast("long").alias("c_ref"),
+            .select("fid", "value", F.lit(c_ref).cast("long").alias("c_ref"),
                     F.lit(c_curr).cast("long").alias("c_curr")))
 
 
 def paired_long(ref: DataFrame, curr: DataFrame, features: list[str]) -> DataFrame:
-    """Both samples as (feature, value, c_ref, c_curr) raw rows, finite values only."""
+    """Both samples as (fid, value, c_ref, c_curr) raw rows, finite values only;
+    ``fid`` is the feature's 1-based position in ``features``."""
     return _long(ref, features, 1, 0).unionByName(_long(curr, features, 0, 1))
 
 
 def paired_counts(ref: DataFrame, curr: DataFrame, features: list[str]) -> DataFrame:
-    """(feature, value, c_ref, c_curr), one row per distinct finite value."""
-    return paired_long(ref, curr, features).groupBy("feature", "value").agg(
+    """(fid, value, c_ref, c_curr), one row per distinct finite value."""
+    return paired_long(ref, curr, features).groupBy("fid", "value").agg(
         F.sum("c_ref").alias("c_ref"), F.sum("c_curr").alias("c_curr"))
 
 
-def feature_order(spark: SparkSession, features: list[str]) -> DataFrame:
-    """(feature, ordinal): report order, price first then schema order."""
-    return spark.createDataFrame([(f, i + 1) for i, f in enumerate(features)],
-                                 "feature string, ordinal int")
+def feature_names(spark: SparkSession, features: list[str]) -> DataFrame:
+    """(fid, feature): report order (price first, then schema order); one row per
+    feature, broadcast wherever names are attached."""
+    return F.broadcast(spark.createDataFrame([(i + 1, f) for i, f in enumerate(features)],
+                                             "fid int, feature string"))
 
 
 @dataclass
@@ -88,16 +92,16 @@ def drift_stats(ref: DataFrame, curr: DataFrame, columns: list[str] | None = Non
     counts = counts if counts is not None else paired_counts(ref, curr, features)
     if method == "bucketed":
         rows, per_bucket = running_totals(
-            counts, "feature", "value", ["c_ref", "c_curr"], buckets=buckets, freeze="collect",
+            counts, "fid", "value", ["c_ref", "c_curr"], buckets=buckets, freeze="collect",
             extra_bucket_aggs=[F.sum(F.col("c_ref") * F.col("value")).alias("sum_ref_v")],
             split_source=paired_long(ref, curr, features))
-        totals = per_bucket.groupBy("feature").agg(
+        totals = per_bucket.groupBy("fid").agg(
             F.sum("tot_c_ref").alias("n_ref"), F.sum("tot_c_curr").alias("n_curr"),
             F.sum("sum_ref_v").alias("sum_ref_v"),
             F.min("bmin").alias("vmin"), F.max("bmax").alias("vmax"))
     elif method == "simple":
-        rows = running_totals_simple(counts, "feature", "value", ["c_ref", "c_curr"])
-        totals = counts.groupBy("feature").agg(
+        rows = running_totals_simple(counts, "fid", "value", ["c_ref", "c_curr"])
+        totals = counts.groupBy("fid").agg(
             F.sum("c_ref").alias("n_ref"), F.sum("c_curr").alias("n_curr"),
             F.sum(F.col("c_ref") * F.col("value")).alias("sum_ref_v"),
             F.min("value").alias("vmin"), F.max("value").alias("vmax"))
@@ -106,17 +110,17 @@ def drift_stats(ref: DataFrame, curr: DataFrame, columns: list[str] | None = Non
     totals = totals.where((F.col("n_ref") > 0) & (F.col("n_curr") > 0)).withColumn(
         "mean_ref", F.col("sum_ref_v") / F.col("n_ref"))
     # one row per feature: bounded by the schema
-    t = F.broadcast(totals.select("feature", "n_ref", "n_curr", "mean_ref"))
-    j = rows.join(t, "feature")
+    t = F.broadcast(totals.select("fid", "n_ref", "n_curr", "mean_ref"))
+    j = rows.join(t, "fid")
     gap = F.abs(F.col("cum_c_ref") / F.col("n_ref") - F.col("cum_c_curr") / F.col("n_curr"))
     step = F.coalesce(F.col("next_value") - F.col("value"), F.lit(0.0))
     dev = F.col("value") - F.col("mean_ref")
-    per_feature = j.groupBy("feature").agg(
+    per_feature = j.groupBy("fid").agg(
         F.max(gap).alias("ks"),
         F.sum(gap * step).alias("emd"),
         F.sum(F.col("c_ref") * dev * dev).alias("ss_ref"))
-    stats = (totals.join(per_feature, "feature")
-             .select("feature", "n_ref", "n_curr", "ks", "emd",
+    stats = (totals.join(per_feature, "fid").join(feature_names(spark, features), "fid")
+             .select("fid", "feature", "n_ref", "n_curr", "ks", "emd",
                      F.sqrt(F.col("ss_ref") / F.col("n_ref")).alias("std_ref"),
                      "vmin", "vmax"))
     return DriftStats(stats=stats, counts=counts, features=features)
@@ -139,10 +143,9 @@ def drift_report(ref: DataFrame, curr: DataFrame, columns: list[str] | None = No
     ks_exact = d_int.cast("double") / (n1.cast("double") * n2.cast("double"))
     ks = F.when(small, ks_exact).otherwise(F.col("ks"))
     nemd = safe_ratio(F.col("emd"), F.col("std_ref"), DRIFT_CONSTANT_SENTINEL)
-    rep = s.select("feature", p.alias("p"), ks.alias("ks"), F.col("emd"), nemd.alias("nemd"))
-    order = F.broadcast(feature_order(ref.sparkSession, ds.features))
-    return rep.join(order, "feature").select(
-        "ordinal", "feature",
+    rep = s.select("fid", "feature", p.alias("p"), ks.alias("ks"), F.col("emd"), nemd.alias("nemd"))
+    return rep.select(
+        F.col("fid").alias("ordinal"), "feature",
         ((F.col("p") < DRIFT_P_THRESHOLD) & (F.col("nemd") > DRIFT_EMD_THRESHOLD)).alias("drift_detected"),
         np_round("p", 5).alias("p_value"),
         np_round("ks", 4).alias("ks_statistic"),
@@ -157,28 +160,29 @@ def drift_histogram(ref: DataFrame, curr: DataFrame, columns: list[str] | None =
     feature whose pooled min equals its max or that has an empty side."""
     features = features or drift_features(ref, curr, columns)
     counts = counts if counts is not None else paired_counts(ref, curr, features)
-    per_feature = (counts.groupBy("feature")
+    per_feature = (counts.groupBy("fid")
                    .agg(F.min("value").alias("vmin"), F.max("value").alias("vmax"),
                         F.sum("c_ref").alias("n_ref"), F.sum("c_curr").alias("n_curr"))
                    .where((F.col("n_ref") > 0) & (F.col("n_curr") > 0) & (F.col("vmin") < F.col("vmax")))
                    .withColumn("edges", linspace_edges(F.col("vmin"), F.col("vmax"), bins)))
     # one row per feature (bounded by the schema): broadcast
-    edges = F.broadcast(per_feature.select("feature", "edges"))
+    edges = F.broadcast(per_feature.select("fid", "edges"))
     v = F.col("value")
-    binned = (counts.join(edges, "feature")
+    binned = (counts.join(edges, "fid")
               .withColumn("bin_index",
                           F.least(F.lit(bins), count_sorted(F.slice("edges", 1, bins), v, strict=False,
                                                             max_len=bins)))
-              .groupBy("feature", "bin_index")
+              .groupBy("fid", "bin_index")
               .agg(F.sum("c_ref").alias("k_ref"), F.sum("c_curr").alias("k_curr")))
-    spine = per_feature.select("feature", "edges", "n_ref", "n_curr",
+    spine = per_feature.select("fid", "edges", "n_ref", "n_curr",
                                F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin_index"))
     lo = F.element_at("edges", F.col("bin_index"))
     hi = F.element_at("edges", F.col("bin_index") + 1)
     width = hi - lo
     k_ref = F.coalesce(F.col("k_ref"), F.lit(0)).cast("double")
     k_curr = F.coalesce(F.col("k_curr"), F.lit(0)).cast("double")
-    return (spine.join(binned, ["feature", "bin_index"], "left")
+    return (spine.join(binned, ["fid", "bin_index"], "left")
+            .join(feature_names(ref.sparkSession, features), "fid")
             .select("feature", "bin_index",
                     np_round((lo + hi) / F.lit(2.0), 2).alias("bin"),
                     (k_ref / width / F.col("n_ref")).alias("ref_density"),
