@@ -214,3 +214,20 @@ def test_sized_buckets_are_exact_and_follow_part_size(spark, samples):
         assert list(g.cum_c_ref) == list(g.c_ref.cumsum())
         assert list(g.cum_c_curr) == list(g.c_curr.cumsum())
         assert list(g.next_value.iloc[:-1]) == list(g.value.iloc[1:]) and pd.isna(g.next_value.iloc[-1])
+
+
+def test_equal_width_bin_equals_counting_edges(spark):
+    from vitrine.functions.scalars import count_sorted, equal_width_bin, linspace_edges
+    rng = np.random.default_rng(5)
+    lo, hi = 0.0, 0.1
+    vals = list(np.round(rng.uniform(lo, hi, 2000), 2)) + [lo, hi] + list(np.linspace(lo, hi, 21))
+    df = spark.createDataFrame([(float(v),) for v in vals], "v double").select(
+        "v", F.lit(lo).alias("lo"), F.lit(hi).alias("hi")).withColumn("edges", linspace_edges(F.col("lo"), F.col("hi"), 20))
+    got = df.select(equal_width_bin(F.col("v"), "edges", "lo", "hi", 20).alias("a"),
+                    F.least(F.lit(20), count_sorted(F.slice("edges", 1, 20), F.col("v"), strict=False,
+                                                     max_len=20)).alias("b")).collect()
+    assert all(r.a == r.b for r in got)
+    edges = np.linspace(lo, hi, 21)
+    want = np.histogram(vals, bins=edges)[0]
+    counts = np.bincount([r.a - 1 for r in got], minlength=20)
+    assert list(counts) == list(want)

@@ -107,3 +107,20 @@ def count_sorted(sorted_arr, value, strict: bool = True, max_len: int = 1 << 20)
 
     jumps = F.array(*[F.lit(1 << j) for j in reversed(range(steps))])
     return F.aggregate(jumps, F.lit(0), step)
+
+
+def equal_width_bin(value, edges, lo, hi, bins: int) -> Column:
+    """1-based bin of ``value`` among equal-width ``edges`` (``linspace_edges``):
+    [e_i, e_{i+1}) and the last bin closed. The arithmetic guess
+    ⌊(v − lo)/step⌋ is at most one bin off near an edge; one comparison with
+    the actual edges corrects it, so the result equals counting edges ≤ v.
+    Plain arithmetic and ``element_at``: stays in generated code."""
+    v, e = _c(value), _c(edges)
+    step = (_c(hi) - _c(lo)) / F.lit(float(bins))
+    guess = F.least(F.greatest(F.floor((v - _c(lo)) / step).cast("int"), F.lit(0)), F.lit(bins - 1))
+    lower = F.element_at(e, guess + 1)
+    upper = F.element_at(e, F.least(guess + 2, F.lit(bins + 1)))
+    idx = (F.when(v < lower, guess - 1)
+           .when((guess < bins - 1) & (v >= upper), guess + 1)
+           .otherwise(guess))
+    return idx + 1

@@ -12,8 +12,9 @@ Plan (all features at once, no per-feature job):
 * A17: population std of the reference from the same pass (Σ c·(v−mean)²,
   mean from the small bucket table).
 * D3: p-value per feature (``functions.ks``), on a table of one row per feature.
-* D6: 20 equal-width bins on the pooled min/max; bucket = number of the first
-  20 edges ≤ value (last bin closed); densities per bin and side.
+* D6: 20 equal-width bins on the pooled min/max; bin = number of the first
+  20 edges ≤ value (last bin closed), found arithmetically and corrected
+  against the edges; densities per bin and side.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from vitrine.config import (DRIFT_CONSTANT_SENTINEL, DRIFT_EMD_THRESHOLD, DRIFT_P_THRESHOLD,
                             HISTOGRAM_BINS)
 from vitrine.functions.ks import ks_pvalue
-from vitrine.functions.scalars import count_sorted, linspace_edges, np_round, safe_ratio
+from vitrine.functions.scalars import equal_width_bin, linspace_edges, np_round, safe_ratio
 from vitrine.operators.filters import finite, numeric_features, segment_pair
 from vitrine.operators.prefix import running_totals, running_totals_simple
 from vitrine.session import ship_package
@@ -159,19 +160,20 @@ def drift_histogram(ref: DataFrame, curr: DataFrame, columns: list[str] | None =
     """(feature, bin_index, bin, ref_density, curr_density); no rows for a
     feature whose pooled min equals its max or that has an empty side."""
     features = features or drift_features(ref, curr, columns)
-    counts = counts if counts is not None else paired_counts(ref, curr, features)
+    # bins and extremes are partial aggregations: raw rows do (two tiny shuffles);
+    # the tie-compressed counts (a shuffle of every distinct value) are only
+    # used when a caller already holds them
+    counts = counts if counts is not None else paired_long(ref, curr, features)
     per_feature = (counts.groupBy("fid")
                    .agg(F.min("value").alias("vmin"), F.max("value").alias("vmax"),
                         F.sum("c_ref").alias("n_ref"), F.sum("c_curr").alias("n_curr"))
                    .where((F.col("n_ref") > 0) & (F.col("n_curr") > 0) & (F.col("vmin") < F.col("vmax")))
                    .withColumn("edges", linspace_edges(F.col("vmin"), F.col("vmax"), bins)))
     # one row per feature (bounded by the schema): broadcast
-    edges = F.broadcast(per_feature.select("fid", "edges"))
+    edges = F.broadcast(per_feature.select("fid", "edges", "vmin", "vmax"))
     v = F.col("value")
     binned = (counts.join(edges, "fid")
-              .withColumn("bin_index",
-                          F.least(F.lit(bins), count_sorted(F.slice("edges", 1, bins), v, strict=False,
-                                                            max_len=bins)))
+              .withColumn("bin_index", equal_width_bin(v, "edges", "vmin", "vmax", bins))
               .groupBy("fid", "bin_index")
               .agg(F.sum("c_ref").alias("k_ref"), F.sum("c_curr").alias("k_curr")))
     spine = per_feature.select("fid", "edges", "n_ref", "n_curr",
