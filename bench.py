@@ -28,7 +28,6 @@ def main() -> None:
     repeat = int(os.environ.get("BENCH_REPEAT", "3"))
     os.environ["BENCH_CPUS"] = cpus
 
-    from pyspark.sql import functions as F
 
     from vitrine.operators.drift import drift_histogram, drift_report
     from vitrine.operators.filters import ListingFilters

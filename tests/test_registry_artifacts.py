@@ -2,7 +2,6 @@
 
 import json
 import os
-import time
 
 import pytest
 from pyspark.sql import functions as F

@@ -1,7 +1,6 @@
 """Risk score, validation and batch scoring."""
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from vitrine.functions.scalars import np_round, risk_score
