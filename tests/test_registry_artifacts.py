@@ -109,3 +109,41 @@ def test_drift_result_json(spark):
     doc = json.loads(drift_result_json(drift_result(drift_report(ref, curr), drift_histogram(ref, curr))).first().json)
     assert doc["feature"] == "price" and len(doc["chart_data"]) == 20
     assert set(doc["chart_data"][0]) == {"bin", "ref_density", "curr_density"}
+
+
+def test_service_jobs_over_a_storage_folder(spark, tmp_dir):
+    import numpy as np
+    import pandas as pd
+    from tests.test_scoring import MODEL, REQ, req
+    from vitrine.config import ListingConfig
+    from vitrine.plans import service
+
+    root = tmp_dir
+    spark.createDataFrame([("A", "s1", "m1", 100.0, 2010, 1000, "Benzin", 90, 5.0),
+                           ("B", "s2", "m2", 200.0, 2011, 2000, "Dizel", 110, 6.0)],
+                          "brand string, series string, model string, price double, kb_year int, "
+                          "kb_mileage bigint, kb_fuel string, power_hp_val int, kb_fuel_cons_avg double"
+                          ).select("*", *[F.lit(1).alias(c) for _, cols in ListingConfig().damage_columns()
+                                          for c in cols]).write.parquet(f"{root}/car_listings.parquet")
+    with open(f"{root}/registry.json", "w") as fh:
+        json.dump([{"version_id": "v1", "date": "2024-01-01"}, {"version_id": "v2", "date": "2024-02-01"}], fh)
+    for v, shift in (("v1", 0.0), ("v2", 5.0)):
+        os.makedirs(f"{root}/{v}", exist_ok=True)
+        pd.DataFrame({"price": np.arange(50.0) + shift, "brand": ["A"] * 50}).to_parquet(f"{root}/{v}/train_data.parquet")
+    with open(f"{root}/v2/shap_summary.png", "wb") as fh:
+        fh.write(b"png")
+
+    assert [r.version_id for r in service.get_versions(spark, root).orderBy("rank").collect()] == ["v2", "v1"]
+    assert service.get_shap_plot(spark, root, "v2").first().content == b"png"
+    res, rej = service.predict_price(spark, root, spark.createDataFrame([req(1)], REQ), lambda v: MODEL)
+    assert res.first().version == "v2" and rej.count() == 0
+    job = service.get_drift_data(spark, root, "v1", "v2", brand="A")
+    try:
+        assert job.report().first().emd_score == 5.0
+    finally:
+        job.close()
+    lst = service.listings(spark, root)
+    charts = {r.chart for r in service.get_dashboard_data(lst, min_price=150).collect()}
+    assert {"kpi", "box", "brands"} <= charts
+    opts = {(r.level, r.value) for r in service.get_dropdown_options(lst, "A").collect()}
+    assert opts == {("brands", "A"), ("brands", "B"), ("series", "s1")}
