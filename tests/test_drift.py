@@ -119,10 +119,13 @@ def test_constant_feature_and_empty_side(spark):
 
 
 def test_nan_and_inf_dropped(spark):
+    from vitrine.operators.drift import non_finite_counts
     ref, curr = frames(spark, {"v": [1.0, 2.0, float("nan"), float("inf"), 3.0]},
                        {"v": [1.0, 2.0, 3.0, float("-inf"), None]})
     c = paired_counts(ref, curr, ["v"]).collect()
     assert sorted(r.value for r in c) == [1.0, 2.0, 3.0]
+    d = {r.side: (r.n_nan, r.n_inf) for r in non_finite_counts(ref, curr, ["v"]).collect()}
+    assert d["ref"][1] == 1 and d["curr"][1] == 1
 
 
 def test_missing_reference_column_in_current_raises(spark):

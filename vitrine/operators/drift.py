@@ -61,6 +61,24 @@ def paired_long(ref: DataFrame, curr: DataFrame, features: list[str]) -> DataFra
     return _long(ref, features, 1, 0).unionByName(_long(curr, features, 0, 1))
 
 
+def non_finite_counts(ref: DataFrame, curr: DataFrame, features: list[str]) -> DataFrame:
+    """(feature, side, n_nan, n_inf): values dropped before the statistics (NaN as
+    NULL does; ±Inf would break the pooled bin edges). One partial aggregation
+    per side, all features at once."""
+    spark = ref.sparkSession
+    out = None
+    for side, df in (("ref", ref), ("curr", curr)):
+        aggs = []
+        for i, f in enumerate(features):
+            v = F.col(f).cast("double")
+            aggs += [F.count_if(F.isnan(v)).alias(f"nan{i}"), F.count_if(F.abs(v) == F.lit(float("inf"))).alias(f"inf{i}")]
+        wide = df.agg(*aggs).select(F.inline(F.array(*[
+            F.struct(F.lit(i + 1).alias("fid"), F.lit(side).alias("side"), F.col(f"nan{i}").alias("n_nan"),
+                     F.col(f"inf{i}").alias("n_inf")) for i in range(len(features))])))
+        out = wide if out is None else out.unionByName(wide)
+    return out.join(feature_names(spark, features), "fid").select("feature", "side", "n_nan", "n_inf")
+
+
 def paired_counts(ref: DataFrame, curr: DataFrame, features: list[str]) -> DataFrame:
     """(fid, value, c_ref, c_curr), one row per distinct finite value."""
     return paired_long(ref, curr, features).groupBy("fid", "value").agg(

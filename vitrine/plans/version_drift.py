@@ -19,7 +19,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from vitrine.operators.drift import (drift_features, drift_histogram, drift_report, drift_result,
-                                     drift_result_json, drift_stats, paired_counts)
+                                     drift_result_json, drift_stats, non_finite_counts, paired_counts)
 from vitrine.operators.filters import segment_pair
 from vitrine.sources.listings import read_snapshot_pair
 
@@ -50,6 +50,10 @@ class DriftJob:
     def result(self) -> DataFrame:
         return drift_result(self.report(), self.histogram())
 
+    def dropped(self) -> DataFrame:
+        """Per feature and side, the NaN and ±Inf values left out."""
+        return non_finite_counts(self.ref, self.curr, self.features)
+
     def result_json(self) -> DataFrame:
         return drift_result_json(self.result())
 
