@@ -29,7 +29,7 @@ from vitrine.config import (DRIFT_CONSTANT_SENTINEL, DRIFT_EMD_THRESHOLD, DRIFT_
 from vitrine.functions.ks import ks_pvalue
 from vitrine.functions.scalars import equal_width_bin, linspace_edges, np_round, safe_ratio
 from vitrine.operators.filters import finite, numeric_features, segment_pair
-from vitrine.operators.prefix import running_totals, running_totals_simple
+from vitrine.operators.prefix import TARGET_ROWS_PER_BUCKET, running_totals, running_totals_simple
 from vitrine.session import ship_package
 
 
@@ -103,7 +103,7 @@ class DriftStats:
 
 def drift_stats(ref: DataFrame, curr: DataFrame, columns: list[str] | None = None,
                 method: str = "bucketed", buckets: int | None = None,
-                counts: DataFrame | None = None) -> DriftStats:
+                counts: DataFrame | None = None, target_rows: int = TARGET_ROWS_PER_BUCKET) -> DriftStats:
     """Per feature: n_ref, n_curr, ks, d_int (KS·n1·n2 when exact fits), emd, std_ref,
     pooled min/max. Features with an empty side are left out (A16)."""
     spark = ref.sparkSession
@@ -113,7 +113,7 @@ def drift_stats(ref: DataFrame, curr: DataFrame, columns: list[str] | None = Non
         rows, per_bucket = running_totals(
             counts, "fid", "value", ["c_ref", "c_curr"], buckets=buckets, freeze="collect",
             extra_bucket_aggs=[F.sum(F.col("c_ref") * F.col("value")).alias("sum_ref_v")],
-            split_source=paired_long(ref, curr, features))
+            split_source=paired_long(ref, curr, features), target_rows=target_rows)
         totals = per_bucket.groupBy("fid").agg(
             F.sum("tot_c_ref").alias("n_ref"), F.sum("tot_c_curr").alias("n_curr"),
             F.sum("sum_ref_v").alias("sum_ref_v"),
@@ -147,12 +147,12 @@ def drift_stats(ref: DataFrame, curr: DataFrame, columns: list[str] | None = Non
 
 def drift_report(ref: DataFrame, curr: DataFrame, columns: list[str] | None = None,
                  method: str = "bucketed", buckets: int | None = None,
-                 stats: DriftStats | None = None) -> DataFrame:
+                 stats: DriftStats | None = None, target_rows: int = TARGET_ROWS_PER_BUCKET) -> DataFrame:
     """(ordinal, feature, drift_detected, p_value, ks_statistic, emd_score,
     normalized_emd), rounded to 5/4/2/3 places the NumPy way; the flag uses
     unrounded values."""
     ship_package(ref.sparkSession)  # the exact p-value runs in a Pandas UDF
-    ds = stats or drift_stats(ref, curr, columns, method, buckets)
+    ds = stats or drift_stats(ref, curr, columns, method, buckets, target_rows=target_rows)
     s = ds.stats
     n1, n2 = F.col("n_ref"), F.col("n_curr")
     # exact branch works on the integer D·n1·n2 (fits a long there: n ≤ 10000)
