@@ -16,10 +16,14 @@ from pyspark.sql import functions as F
 
 def _root_uri(spark: SparkSession, root: str) -> str:
     """Qualified form of ``root`` as it appears in ``binaryFile`` paths."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(root)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.makeQualified(p).toString().rstrip("/")
+    try:
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(root)
+        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        return fs.makeQualified(p).toString().rstrip("/")
+    except Exception:  # no JVM gateway (e.g. Spark Connect): qualify local paths ourselves
+        import os
+        return root.rstrip("/") if "://" in root else "file:" + os.path.abspath(root).rstrip("/")
 
 
 def artifact_catalog(spark: SparkSession, root: str) -> DataFrame:
