@@ -186,3 +186,16 @@ def test_donut_sums_to_non_null_fuel_and_order_does_not_matter(spark):
     for x, y in zip(a, b):
         assert x[:4] == y[:4]
         assert (x.y is None and y.y is None) or x.y == pytest.approx(y.y, rel=1e-12)
+
+
+def test_small_filter_and_list_helpers(edge):
+    from vitrine.operators.filters import eq_bound, not_null, select_features
+    vals = A.distinct_values(edge, ["brand", "kb_fuel"]).collect()
+    assert [(r.field, r.value) for r in vals] == [("brand", "A"), ("brand", "B"), ("brand", "O'Neil"),
+                                                  ("kb_fuel", "Benzin"), ("kb_fuel", "Dizel")]
+    assert edge.where(eq_bound(brand="A", series="s1")).count() == 2
+    assert edge.where(eq_bound(brand="Tümü")).count() == 0  # no sentinel in bound equality
+    assert edge.where(not_null("price", "kb_mileage")).count() == 5
+    assert select_features(edge, ["price", "brand"]).columns == ["price", "brand"]
+    with pytest.raises(KeyError):
+        select_features(edge, ["price", "nope"])

@@ -47,12 +47,6 @@ DAMAGE_FIELDS = (
     ("fenders_local", "int", 0, (0, 4)),
 )
 
-DAMAGE_SCHEMA = T.StructType([
-    T.StructField(name, T.StringType() if typ == "string" else T.IntegerType(), True)
-    for name, typ, _, _ in DAMAGE_FIELDS
-])
-
-
 def _coerce(raw: Column, target: str, source_type: T.DataType | None) -> Column:
     if source_type is not None and source_type.simpleString() == target:
         return raw

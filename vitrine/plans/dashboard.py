@@ -32,10 +32,6 @@ from vitrine.config import RADAR_HEADROOM, ListingConfig
 from vitrine.operators import aggregates as A
 from vitrine.operators.filters import ListingFilters, listing_filter
 
-CHARTS = ("brands", "series_list", "kpi", "box", "scatter", "trend", "fuel", "damage",
-          "radar_indicators", "radar_series")
-
-
 def facet_lists(df: DataFrame, filters: ListingFilters, cfg: ListingConfig = ListingConfig()) -> DataFrame:
     """Distinct brands and series under every filter except series
     → (field, value) with field in {'brands', 'series_list'}."""
