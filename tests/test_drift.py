@@ -250,3 +250,10 @@ def test_bucketed_equals_one_window_on_real_tables(spark):
         assert a[f].ks == b[f].ks and (a[f].n_ref, a[f].n_curr) == (b[f].n_ref, b[f].n_curr)
         assert a[f].emd == pytest.approx(b[f].emd, rel=1e-9)
         assert a[f].std_ref == pytest.approx(b[f].std_ref, rel=1e-9)
+
+
+def test_feature_names_with_dots(spark):
+    ref = spark.createDataFrame([(1.0, 2.0), (2.0, 3.0), (3.0, 4.0)], "`a.b` double, price double")
+    curr = spark.createDataFrame([(1.5, 2.0), (2.5, 3.5)], "`a.b` double, price double")
+    rep = {r.feature: r for r in drift_report(ref, curr).collect()}
+    assert set(rep) == {"a.b", "price"}

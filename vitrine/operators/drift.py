@@ -28,7 +28,7 @@ from vitrine.config import (DRIFT_CONSTANT_SENTINEL, DRIFT_EMD_THRESHOLD, DRIFT_
                             HISTOGRAM_BINS)
 from vitrine.functions.ks import ks_pvalue
 from vitrine.functions.scalars import equal_width_bin, linspace_edges, np_round, safe_ratio
-from vitrine.operators.filters import finite, numeric_features, segment_pair
+from vitrine.operators.filters import finite, numeric_features, qcol, segment_pair
 from vitrine.operators.prefix import TARGET_ROWS_PER_BUCKET, running_totals, running_totals_simple
 from vitrine.session import ship_package
 
@@ -47,7 +47,7 @@ def drift_features(ref: DataFrame, curr: DataFrame, columns: list[str] | None =
 def _long(df: DataFrame, features: list[str], c_ref: int, c_curr: int) -> DataFrame:
     # features travel as their 1-based report position (an int), not their name:
     # the shuffles below carry every distinct value, so every byte per row counts
-    pairs = F.array(*[F.struct(F.lit(i + 1).alias("fid"), F.col(f).cast("double").alias("value"))
+    pairs = F.array(*[F.struct(F.lit(i + 1).alias("fid"), qcol(f).cast("double").alias("value"))
                       for i, f in enumerate(features)])
     return (df.select(F.inline(pairs))
             .where(finite(F.col("value")))
@@ -70,7 +70,7 @@ def non_finite_counts(ref: DataFrame, curr: DataFrame, features: list[str]) -> D
     for side, df in (("ref", ref), ("curr", curr)):
         aggs = []
         for i, f in enumerate(features):
-            v = F.col(f).cast("double")
+            v = qcol(f).cast("double")
             aggs += [F.count_if(F.isnan(v)).alias(f"nan{i}"), F.count_if(F.abs(v) == F.lit(float("inf"))).alias(f"inf{i}")]
         wide = df.agg(*aggs).select(F.inline(F.array(*[
             F.struct(F.lit(i + 1).alias("fid"), F.lit(side).alias("side"), F.col(f"nan{i}").alias("n_nan"),

@@ -80,6 +80,11 @@ def listing_filter(filters: ListingFilters, cfg: ListingConfig = ListingConfig()
     return conjunction(conds)
 
 
+def qcol(name: str) -> Column:
+    """A top-level column by its exact name (dots and backticks quoted)."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def not_null(*cols: str) -> Column:
     """every named column is non-NULL."""
     return conjunction([F.col(c).isNotNull() for c in cols])
