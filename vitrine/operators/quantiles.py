@@ -28,22 +28,24 @@ def group_quantiles(df: DataFrame, group: str, measure: str, probs=BOX_PROBS,
     rows, per_bucket = running_totals(counts, "group", "value", ["c"], buckets=buckets, freeze="checkpoint",
                                       split_source=raw, target_rows=target_rows)
     n = per_bucket.groupBy("group").agg(F.sum("tot_c").alias("n"))
-    targets = []
+    # per quantile k: interpolation position h_k and its two 0-based ranks
+    cols = [F.col("group").alias("_g"), "n"]
     for k, p in enumerate(probs):
         h = (F.col("n") - 1).cast("double") * F.lit(float(p))
-        targets.append(F.struct(F.lit(k).alias("k"), F.lit(0).alias("side"), F.floor(h).alias("r"), h.alias("h")))
-        targets.append(F.struct(F.lit(k).alias("k"), F.lit(1).alias("side"), F.ceil(h).alias("r"), h.alias("h")))
-    nt = n.select("group", "n", F.array(*targets).alias("targets"))
-    j = rows.join(nt, rows["group"].eqNullSafe(nt["group"])).drop(nt["group"])
-    lo_rank = F.col("cum_c") - F.col("c")
-    hits = j.select("group", "n", "value", F.explode(F.filter(
-        "targets", lambda t: (t["r"] >= lo_rank) & (t["r"] < F.col("cum_c")))).alias("t"))
+        cols += [h.alias(f"_h{k}"), F.floor(h).alias(f"_rlo{k}"), F.ceil(h).alias(f"_rhi{k}")]
+    nt = n.select(*cols)
+    j = rows.join(nt, rows["group"].eqNullSafe(nt["_g"]))
+    # a value covers 0-based ranks [cum_c − c, cum_c); plain comparisons and
+    # conditional maxima stay in generated code, and the partial aggregation
+    # leaves one row per group and task before the shuffle
+    lo_rank, hi_rank = F.col("cum_c") - F.col("c"), F.col("cum_c")
     aggs = [F.first("n").alias("n")]
     for k, _ in enumerate(probs):
-        aggs.append(F.max(F.when((F.col("t.k") == k) & (F.col("t.side") == 0), F.col("value"))).alias(f"_lo{k}"))
-        aggs.append(F.max(F.when((F.col("t.k") == k) & (F.col("t.side") == 1), F.col("value"))).alias(f"_hi{k}"))
-        aggs.append(F.max(F.when(F.col("t.k") == k, F.col("t.h"))).alias(f"_h{k}"))
-    g = hits.groupBy("group").agg(*aggs)
+        for side in ("lo", "hi"):
+            r = F.col(f"_r{side}{k}")
+            aggs.append(F.max(F.when((r >= lo_rank) & (r < hi_rank), F.col("value"))).alias(f"_{side}{k}"))
+        aggs.append(F.first(f"_h{k}").alias(f"_h{k}"))
+    g = j.groupBy("group").agg(*aggs)
     out = [F.col("group"), F.col("n")]
     for k, _ in enumerate(probs):
         lo, hi, h = F.col(f"_lo{k}"), F.col(f"_hi{k}"), F.col(f"_h{k}")
