@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.config import (DRIFT_CONSTANT_SENTINEL, DRIFT_EMD_THRESHOLD, DRIFT_P_THRESHOLD,
-                            HISTOGRAM_BINS)
+                            HISTOGRAM_BINS, KS_EXACT_MAX_N)
 from vitrine.functions.ks import ks_pvalue
 from vitrine.functions.scalars import equal_width_bin, linspace_edges, np_round, safe_ratio
 from vitrine.operators.filters import finite, numeric_features, qcol, segment_pair
@@ -104,8 +104,8 @@ class DriftStats:
 def drift_stats(ref: DataFrame, curr: DataFrame, columns: list[str] | None = None,
                 method: str = "bucketed", buckets: int | None = None,
                 counts: DataFrame | None = None, target_rows: int = TARGET_ROWS_PER_BUCKET) -> DriftStats:
-    """Per feature: n_ref, n_curr, ks, d_int (KS·n1·n2 when exact fits), emd, std_ref,
-    pooled min/max. Features with an empty side are left out (A16)."""
+    """Per feature: fid, feature, n_ref, n_curr, ks, emd, std_ref (population) and
+    the pooled min/max. Features with an empty side are left out (A16)."""
     spark = ref.sparkSession
     features = drift_features(ref, curr, columns)
     counts = counts if counts is not None else paired_counts(ref, curr, features)
@@ -156,7 +156,7 @@ def drift_report(ref: DataFrame, curr: DataFrame, columns: list[str] | None = No
     s = ds.stats
     n1, n2 = F.col("n_ref"), F.col("n_curr")
     # exact branch works on the integer D·n1·n2 (fits a long there: n ≤ 10000)
-    small = (n1 <= 10000) & (n2 <= 10000)
+    small = (n1 <= KS_EXACT_MAX_N) & (n2 <= KS_EXACT_MAX_N)
     d_int = F.when(small, F.rint(F.col("ks") * n1.cast("double") * n2.cast("double")).cast("long"))
     p = ks_pvalue(F.col("ks"), "n_ref", "n_curr")
     ks_exact = d_int.cast("double") / (n1.cast("double") * n2.cast("double"))
