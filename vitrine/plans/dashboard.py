@@ -190,7 +190,7 @@ def dashboard_table(df: DataFrame, filters: ListingFilters = ListingFilters(),
 
     # 2. grouped charts in one aggregation
     g = sel.groupingSets([[cfg.brand], [cfg.year], [cfg.fuel]], cfg.brand, cfg.year, cfg.fuel).agg(
-        F.count(F.lit(1)).alias("n"),
+        F.count(F.lit(1)).alias("n"), F.avg(cfg.price).alias("avg_price"),
         *[F.avg(c).alias(f"avg{i}") for i, (_, c) in enumerate(measures)],
         F.grouping_id().alias("gid"))
     gid = F.col("gid")
@@ -200,7 +200,7 @@ def dashboard_table(df: DataFrame, filters: ListingFilters = ListingFilters(),
                          F.coalesce(F.col(f"avg{i}"), F.lit(0.0)))
                     for i, (name, _) in enumerate(measures)]),
         _when_rows((gid == _G_YEAR) & F.col(cfg.year).isNotNull(),
-                   [_row("trend", F.col(cfg.year), none, F.col(cfg.year), F.col("avg0"))]),
+                   [_row("trend", F.col(cfg.year), none, F.col(cfg.year), F.col("avg_price"))]),
         _when_rows((gid == _G_FUEL) & F.col(cfg.fuel).isNotNull(),
                    [_row("fuel", F.col(cfg.fuel), none, none, F.col("n"))]))
     from_groups = g.select(F.inline(g_rows))
