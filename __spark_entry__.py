@@ -457,22 +457,48 @@ def _sel(f: ListingFilters) -> str:
     return _with_listings(f"sel AS (SELECT * FROM listings WHERE {filters_sql(f)})")
 
 
-def _drift_sql(ref: str, curr: str, features: list[str], with_p: bool = True) -> str:
-    """KS, EMD, normalised EMD and the asymptotic p-value with plain windows."""
+def _exact_p_ctes() -> str:
+    """Exact two-sample p-value (both samples ≤ 10 000) as a recursive CTE: one
+    row per feature and anti-diagonal, the band of path probabilities as a list
+    (the same lattice walk as the Pandas UDF, independently written in SQL)."""
+    return (
+        "prm AS (SELECT ordinal AS fid, CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, "
+        "CAST(round_even(ks * CAST(n1 AS DOUBLE) * CAST(n2 AS DOUBLE), 0) AS BIGINT) AS dint "
+        "FROM st JOIN ord ON st.feature = ord.feature WHERE n1 <= 10000 AND n2 <= 10000), "
+        "lat(fid, s, lo, a) AS (SELECT fid, CAST(0 AS BIGINT), CAST(0 AS BIGINT), [CAST(1.0 AS DOUBLE)] "
+        "FROM prm WHERE dint > 0 UNION ALL "
+        "SELECT fid, s1, nlo, list_transform(range(nlo, nhi + 1), lambda i: "
+        "CASE WHEN abs(i * n2 - (s1 - i) * n1) >= dint THEN CAST(0.0 AS DOUBLE) ELSE "
+        "(CASE WHEN i >= 1 AND i - 1 >= lo AND i - 1 < lo + len(a) THEN a[i - 1 - lo + 1] * i / s1 ELSE 0.0 END) "
+        "+ (CASE WHEN s1 - i >= 1 AND i >= lo AND i < lo + len(a) THEN a[i - lo + 1] * (s1 - i) / s1 ELSE 0.0 END) "
+        "END) FROM (SELECT lat.fid, s + 1 AS s1, lo, a, n1, n2, dint, "
+        "greatest(0, s + 1 - n2, CAST(floor(((s + 1) * n1 - dint) / (n1 + n2)) AS BIGINT) + 1) AS nlo, "
+        "least(n1, s + 1, CAST(floor(((s + 1) * n1 + dint - 1) / (n1 + n2)) AS BIGINT)) AS nhi "
+        "FROM lat JOIN prm ON lat.fid = prm.fid WHERE s < n1 + n2)), "
+        "ex AS (SELECT lat.fid, least(greatest(1 - (CASE WHEN n1 >= lo AND n1 < lo + len(a) "
+        "THEN a[n1 - lo + 1] ELSE 0 END), 0.0), 1.0) AS p_exact "
+        "FROM lat JOIN prm ON lat.fid = prm.fid WHERE s = n1 + n2), "
+    )
+
+
+def _drift_sql(ref: str, curr: str, features: list[str], pre: str = "") -> str:
+    """KS, EMD, normalised EMD with plain windows; p-value: exact lattice (recursive
+    CTE) when both samples ≤ 10 000, else the corrected asymptotic series."""
     longs = []
     for side, (cr, cc) in ((ref, (1, 0)), (curr, (0, 1))):
         for f in features:
             longs.append(f"SELECT {_q(f)} AS feature, CAST({f} AS DOUBLE) AS value, "
                          f"{cr} AS c_ref, {cc} AS c_curr FROM ({side})")
     order = ", ".join(f"({_q(f)}, {i})" for i, f in enumerate(features, start=1))
-    ks_small = ("CASE WHEN n1 <= 10000 AND n2 <= 10000 THEN "
+    small = "n1 <= 10000 AND n2 <= 10000"
+    ks_small = (f"CASE WHEN {small} THEN "
                 "CAST(round_even(ks * CAST(n1 AS DOUBLE) * CAST(n2 AS DOUBLE), 0) AS BIGINT) "
                 "/ (CAST(n1 AS DOUBLE) * CAST(n2 AS DOUBLE)) ELSE ks END")
     nemd = "(CASE WHEN sd > 0 THEN emd / sd WHEN emd > 0 THEN 999.0e0 ELSE 0.0e0 END)"
-    p = sql_asymptotic_pvalue("ks", "n1", "n2")
-    p = f"(CASE WHEN n1 <= 10000 AND n2 <= 10000 THEN NULL ELSE {p} END)"
+    p = (f"(CASE WHEN {small} THEN COALESCE(ex.p_exact, 1.0e0) "
+         f"ELSE {sql_asymptotic_pvalue('ks', 'n1', 'n2')} END)")
     return (
-        "WITH lng AS (" + " UNION ALL ".join(longs) + "), "
+        "WITH RECURSIVE " + pre + "lng AS (" + " UNION ALL ".join(longs) + "), "
         "fin AS (SELECT * FROM lng WHERE value IS NOT NULL AND NOT isnan(value) AND NOT isinf(value)), "
         "counts AS (SELECT feature, value, SUM(c_ref) AS c_ref, SUM(c_curr) AS c_curr FROM fin GROUP BY feature, value), "
         "tot AS (SELECT feature, SUM(c_ref) AS n1, SUM(c_curr) AS n2, "
@@ -489,8 +515,9 @@ def _drift_sql(ref: str, curr: str, features: list[str], with_p: bool = True) ->
         "sqrt(sum(c_ref * (value - mean_ref) * (value - mean_ref)) / n1) AS sd "
         "FROM cum GROUP BY feature, n1, n2), "
         f"ord AS (SELECT * FROM (VALUES {order}) o(feature, ordinal)), "
+        + _exact_p_ctes() +
         f"rep AS (SELECT o.ordinal, st.feature, {p} AS p, {ks_small} AS ks2, emd, {nemd} AS nemd "
-        "FROM st JOIN ord o ON st.feature = o.feature) "
+        "FROM st JOIN ord o ON st.feature = o.feature LEFT JOIN ex ON ex.fid = o.ordinal) "
         "SELECT CAST(ordinal AS INTEGER) AS ordinal, feature, (p < 0.05e0 AND nemd > 0.1e0) AS drift_detected, "
         f"{_r('p', 5)} AS p_value, {_r('ks2', 4)} AS ks_statistic, {_r('emd', 2)} AS emd_score, "
         f"{_r('nemd', 3)} AS normalized_emd FROM rep"
@@ -673,6 +700,11 @@ def _oracle() -> dict[str, str]:
         "drift_report_scaled": drift_li["scaled"],
         "drift_report_identical": drift_li["identical"],
         "drift_report_simple": drift_li["drifted"],
+        "drift_report_orders": _drift_sql(o_early, o_late, DRIFT_ORDERS),
+        "drift_segment": _drift_sql(
+            f"SELECT * FROM listings WHERE kb_year < 1998 AND {SEGMENT[0]} = {_q(SEGMENT[1])}",
+            f"SELECT * FROM listings WHERE kb_year >= 1998 AND {SEGMENT[0]} = {_q(SEGMENT[1])}",
+            DRIFT_LISTINGS, pre=f"listings AS ({adapters.listings_sql()}), "),
         "drift_stats_orders": _drift_stats_sql(o_early, o_late, DRIFT_ORDERS),
         "drift_histogram": _histogram_sql(*_li_pair_sql("drifted"), DRIFT_LI),
         "drift_segment_stats": f"WITH listings AS ({adapters.listings_sql()}), " + _drift_stats_sql(
