@@ -147,3 +147,15 @@ def test_service_jobs_over_a_storage_folder(spark, tmp_dir):
     assert {"kpi", "box", "brands"} <= charts
     opts = {(r.level, r.value) for r in service.get_dropdown_options(lst, "A").collect()}
     assert opts == {("brands", "A"), ("brands", "B"), ("series", "s1")}
+
+
+def test_registry_json_lines(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "registry.jsonl")
+    with open(path, "w") as fh:
+        for rec in ({"version_id": "v1", "date": "2024-01-01", "mae": 0.3}, {"version_id": "v2", "date": "2024-03-01"},
+                    {"version_id": "v3"}, {"version_id": "v4", "date": "2024-03-01"}):
+            fh.write(json.dumps(rec) + "\n")
+    reg = read_registry(spark, path, lines=True)
+    ranked = [r.version_id for r in registry_newest_first(reg).orderBy("rank").collect()]
+    assert ranked == ["v2", "v4", "v1", "v3"]
+    assert {r.version_id: r.extra for r in reg.collect()}["v1"] == {"mae": "0.3"}

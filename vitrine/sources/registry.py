@@ -15,8 +15,26 @@ from pyspark.sql import functions as F
 from vitrine.operators.ranking import global_rank
 
 
-def read_registry(spark: SparkSession, path: str) -> DataFrame:
-    """→ (pos, version_id, date, extra map<string,string>)."""
+def read_registry(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """→ (pos, version_id, date, extra map<string,string>).
+
+    A registry file is one JSON array, read as one document (one task; a model
+    registry is small). ``lines=True`` reads JSON Lines in parallel instead:
+    ``pos`` is then ``monotonically_increasing_id()``, increasing in file order.
+    """
+    if lines:
+        df = spark.read.option("primitivesAsString", "true").json(path)
+        rest = [c for c in df.columns if c not in ("version_id", "date")]
+        kv = []
+        for f in df.schema.fields:
+            if f.name in rest:
+                v = F.col(f"`{f.name}`")
+                kv += [F.lit(f.name), v if f.dataType.simpleString() == "string" else F.to_json(v)]
+        extra = F.map_filter(F.create_map(*kv), lambda _k, v: v.isNotNull()) if kv else \
+            F.create_map().cast("map<string,string>")
+        date = F.col("date") if "date" in df.columns else F.lit(None).cast("string")
+        return df.select(F.monotonically_increasing_id().alias("pos"), F.col("version_id"),
+                         date.alias("date"), extra.alias("extra"))
     doc = spark.read.text(path, wholetext=True)
     entries = doc.select(F.posexplode(F.from_json("value", "array<map<string,string>>")).alias("pos", "m"))
     return entries.select(
