@@ -107,14 +107,15 @@ def validate(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
         fields.append(v.alias(name))
     cols.append(F.struct(*fields).alias("damage_details"))
 
-    # ``valid`` is one codegen'd boolean; the ``errors`` array (a higher-order
-    # function, evaluated outside generated code) is only computed where a
-    # consumer selects it — after ``split_valid``, on rejected rows only.
+    # ``valid`` is one boolean; ``errors`` joins the labels of the broken rules
+    # (``concat_ws`` skips NULLs) and splits them again — labels never contain
+    # "|" — so both stay in generated code. After ``split_valid`` the list is
+    # only built for rejected rows.
     broken = F.lit(False)
     for _, cond in rules:
         broken = broken | F.coalesce(cond, F.lit(False))
-    errors = F.filter(F.array(*[F.when(cond, F.lit(label)) for label, cond in rules]),
-                      lambda e: e.isNotNull())
+    joined = F.concat_ws("|", *[F.when(cond, F.lit(label)) for label, cond in rules])
+    errors = F.when(broken, F.split(joined, r"\|")).otherwise(F.array().cast("array<string>"))
     return df.select(*keep, *cols, (~broken).alias("valid"), errors.alias("errors"))
 
 
