@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from vitrine.config import (DRIFT_CONSTANT_SENTINEL, DRIFT_EMD_THRESHOLD, DRIFT_P_THRESHOLD,
                             HISTOGRAM_BINS, KS_EXACT_MAX_N)
-from vitrine.functions.ks import ks_pvalue
+from vitrine.functions.ks import asymptotic_pvalue, ks_pvalue
 from vitrine.functions.scalars import equal_width_bin, linspace_edges, np_round, safe_ratio
 from vitrine.operators.filters import finite, numeric_features, qcol, segment_pair
 from vitrine.operators.prefix import TARGET_ROWS_PER_BUCKET, running_totals, running_totals_simple
@@ -151,19 +151,25 @@ def drift_report(ref: DataFrame, curr: DataFrame, columns: list[str] | None = No
     """(ordinal, feature, drift_detected, p_value, ks_statistic, emd_score,
     normalized_emd), rounded to 5/4/2/3 places the NumPy way; the flag uses
     unrounded values."""
-    ship_package(ref.sparkSession)  # the exact p-value runs in a Pandas UDF
+    spark = ref.sparkSession
     ds = stats or drift_stats(ref, curr, columns, method, buckets, target_rows=target_rows)
-    # one row per feature; with many features, spread them over tasks so exact
-    # p-values (up to ~1 s each) run in parallel, not one after another (for a
-    # few features the extra stage costs more than it saves)
-    s = ds.stats
-    if len(ds.features) > 4:
-        s = s.repartition(min(len(ds.features), ref.sparkSession.sparkContext.defaultParallelism), "fid")
+    # the statistics are one row per feature (bounded by the schema): compute them
+    # once, then finish the report on those rows; Python runs only for features
+    # on the exact branch, spread over tasks when there are many of them
+    rows = ds.stats.collect()
+    s = spark.createDataFrame(rows, ds.stats.schema)
     n1, n2 = F.col("n_ref"), F.col("n_curr")
-    # exact branch works on the integer D·n1·n2 (fits a long there: n ≤ 10000)
     small = (n1 <= KS_EXACT_MAX_N) & (n2 <= KS_EXACT_MAX_N)
+    n_small = sum(1 for r in rows if r.n_ref <= KS_EXACT_MAX_N and r.n_curr <= KS_EXACT_MAX_N)
+    if n_small:
+        ship_package(spark)  # the exact p-value runs in a Pandas UDF
+        if n_small > 4:
+            s = s.repartition(min(n_small, spark.sparkContext.defaultParallelism), "fid")
+        p = ks_pvalue(F.col("ks"), "n_ref", "n_curr")
+    else:
+        p = asymptotic_pvalue(F.col("ks"), n1, n2)
+    # exact branch works on the integer D·n1·n2 (fits a long there: n ≤ 10000)
     d_int = F.when(small, F.rint(F.col("ks") * n1.cast("double") * n2.cast("double")).cast("long"))
-    p = ks_pvalue(F.col("ks"), "n_ref", "n_curr")
     ks_exact = d_int.cast("double") / (n1.cast("double") * n2.cast("double"))
     ks = F.when(small, ks_exact).otherwise(F.col("ks"))
     nemd = safe_ratio(F.col("emd"), F.col("std_ref"), DRIFT_CONSTANT_SENTINEL)
