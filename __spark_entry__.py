@@ -42,6 +42,16 @@ from vitrine.sources.registry import latest_version, registry_newest_first
 CFG = ListingConfig()
 SMALL_SF = "/root/testdata/sf0.001"
 
+# Training-data operators: registered only where their subpackage is present.
+# A missing subpackage (or pipeline module) is the only import error tolerated.
+try:
+    import corpus_pipeline as _pipeline
+    from vitrine.llm import queries as _llm
+except ModuleNotFoundError as err:
+    if err.name not in ("corpus_pipeline", "vitrine.llm"):
+        raise
+    _llm = _pipeline = None
+
 # ---------------------------------------------------------------------------
 # Parameters of the registered queries
 # ---------------------------------------------------------------------------
@@ -750,8 +760,15 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    out = dict(QUERIES)
+    if _llm is not None:
+        out.update(_llm.QUERIES)
+        out["pipeline"] = _pipeline.run
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return _oracle()
+    out = _oracle()
+    if _llm is not None:
+        out.update(_llm.ORACLE_SQL)
+    return out
