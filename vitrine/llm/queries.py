@@ -6,9 +6,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import simhash
+from vitrine.llm import bpe, langid, secrets, simhash
 from vitrine.llm.common import table
 
+#: The languages that the corpus is made of; any other text is undetermined.
+LANGUAGES = ("en", "de", "fr", "es")
+
+
+def tokenizer() -> tuple[str, str]:
+    """Path of the rank file, and the pattern that splits text before it."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, pattern = tokenizer()
+    return bpe.digest(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, pattern), path))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = langid.identify(table(spark, sf_dir, "documents"), LANGUAGES, declared=F.col("lang"), host=F.col("source"))
+    return d.withColumnRenamed("id", "doc_id")
+
+
+def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same fusion where markup and addresses are at hand: raw pages."""
+    pages = table(spark, sf_dir, "pages").select(
+        "page_id", langid.host_of(F.col("url")).alias("host"), langid.declared_in_markup(F.col("html")).alias("declared"),
+        F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[a-z]+;", " ").alias("text"))
+    d = langid.identify(pages, LANGUAGES, declared=F.col("declared"), host=F.col("host"), id_col="page_id")
+    return d.withColumnRenamed("id", "page_id")
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.digest(secrets.scan(docs, secrets.fit(docs)))
+
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = simhash.simhash_classes(table(spark, sf_dir, "documents"))
@@ -17,6 +51,10 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_byte_bpe": op4_byte_bpe,
+    "op6_secret_scan": op6_secret_scan,
+    "op8_language_id": op8_language_id,
+    "language_id_pages": language_id_pages,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
 }
 
