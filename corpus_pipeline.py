@@ -2,7 +2,8 @@
 
 ``STAGES`` lists (name, function); every function takes ``(spark, docs, sf_dir)``
 and returns a DataFrame that is written as Parquet and read back as the ``docs``
-of the next stage. All but the last return the columns of ``documents``.
+of the next stage. All but the last return the columns of ``documents``; other
+columns of ``docs`` are dropped. Each stage works on all that the one before kept.
 """
 
 from __future__ import annotations
@@ -10,23 +11,61 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import simhash
+from vitrine.llm import bpe, langid, mixing, secrets, simhash
 from vitrine.llm.common import shared_dir, table
+from vitrine.llm.queries import LANGUAGES, MAX_REPETITION, tokenizer
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of no known language go: other scripts, and texts without letters.
+    Null, empty and letterless texts go too; a null id is judged by its own rows' class."""
+    docs = docs.select(*COLUMNS)
+    judged = langid.identify(docs, LANGUAGES, declared=F.col("lang"), host=F.col("source"))
+    gone = judged.where("NOT kept").select(F.col("id").alias("doc_id")).distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash class stays: the one with the smallest doc_id."""
-    gone = simhash.simhash_classes(docs).where("NOT kept").select(F.col("id").alias("doc_id"))
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    """One document of each SimHash class stays, the one with the smallest doc_id:
+    three-word shingles, at most three bits apart. Rows without an id go."""
+    docs = docs.select(*COLUMNS)
+    gone = simhash.simhash_classes(docs, shingle=3, max_bits=3).where("NOT kept").select(F.col("id").alias("doc_id")).distinct()
+    return docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; secrets in its text become ``[secret]``, ``n_chars`` follows."""
+    docs = docs.select(*COLUMNS)
+    clean = secrets.redact(docs, secrets.fit(docs))
+    return clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; those of small sources come again, as often as the mixture takes them."""
+    docs = docs.select(*COLUMNS)
+    return mixing.realise(docs, mixing.mix(docs, max_repetition=MAX_REPETITION)).select(*COLUMNS)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id, source, n_tokens, ids, decoded_ok``: one row per use of a document."""
+    path, pattern = tokenizer()
+    docs = docs.select(*COLUMNS)
+    enc = bpe.encode(docs, path, pattern, keep=("source",), check=True)
+    return enc.select(F.col("id").alias("doc_id"), "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded_ok")
 
 
 STAGES = [
+    ("language ID", language),
     ("simhash near-dedup", near_duplicates),
+    ("secret scan", secret_scan),
+    ("mixture", mixture),
+    ("byte-level BPE", token_ids),
 ]
 
-#: No stage sequence with fingerprints, automata and token ids can be written in SQL; tests compare brute force.
+#: Trigram models, fingerprints, inferred automata and token ids cannot be written in
+#: SQL; the stages are tested against brute-force versions.
 ORACLE_SQL = None
 
 

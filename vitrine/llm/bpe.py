@@ -190,12 +190,17 @@ def _shared(spark: SparkSession, path: str, pattern: str):
     return f"{digest}:{pattern}", spark.sparkContext.broadcast(ranks)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, ids array<int>)``, one row per row of ``docs`` in one narrow pass over
-    whole texts. A null or empty text gives an empty array; an empty table an
-    empty result; repeated ids and rows are kept; other columns are not read."""
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
+           keep: tuple[str, ...] = (), check: bool = False) -> DataFrame:
+    """``(id, *keep, ids array<int>)``, one row per row of ``docs`` in one narrow pass
+    over whole texts; with ``check`` also ``decoded_ok``: the ids decode to the text.
+    ``keep``: string columns that are handed through.
+
+    A null or empty text gives an empty array; an empty table an empty result;
+    repeated ids and rows are kept; other columns are not read."""
     ship(docs.sparkSession)
     vocab_key, vocab = _shared(docs.sparkSession, path, pattern)
+    more = [f"k{i}" for i in range(len(keep))]
 
     def run(batches):
         import numpy as np
@@ -203,26 +208,29 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
         enc = _encoder(vocab_key, vocab)
 
-        def flush(keys, parts):
+        def flush(rows, parts, fine):
             ends = np.cumsum([0] + [len(p) // 4 for p in parts], dtype=np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()),
                                              pa.array(np.frombuffer(b"".join(parts), "<i4"), pa.int32()))
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), lists], names=["id", "ids"])
+            return pa.RecordBatch.from_arrays([*rows.columns[:-1], lists, *([pa.array(fine, pa.bool_())] if check else [])],
+                                              names=["id", *more, "ids", *(["decoded_ok"] if check else [])])
 
         for b in batches:
-            keys, parts, size = [], [], 0
-            for key, text in zip(b.column(0).to_pylist(), b.column(1)):
-                keys.append(key)
-                parts.append(enc.encode(text.as_py() or ""))
+            start, parts, fine, size = 0, [], [], 0
+            for i, value in enumerate(b.column(b.num_columns - 1)):
+                text = value.as_py() or ""
+                parts.append(enc.encode(text))
+                if check:
+                    fine.append(b"".join(map(enc.vocab.tokens.__getitem__, memoryview(parts[-1]).cast("i"))) == text.encode())
                 size += len(parts[-1])
-                if size >= 4 * BATCH_TOKENS:
-                    yield flush(keys, parts)
-                    keys, parts, size = [], [], 0
-            if keys:
-                yield flush(keys, parts)
-
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")) \
-        .mapInArrow(run, "id long, ids array<int>")
+                if size >= 4 * BATCH_TOKENS or i == b.num_rows - 1:
+                    yield flush(b.slice(start, i + 1 - start), parts, fine)
+                    start, parts, fine, size = i + 1, [], [], 0
+
+    schema = ", ".join(["id long", *[f"{m} string" for m in more], "ids array<int>", *(["decoded_ok boolean"] if check else [])])
+    out = docs.select(F.col(id_col).cast("long").alias("id"), *[F.col(c).cast("string").alias(m) for c, m in zip(keep, more)],
+                      F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return out.withColumnsRenamed(dict(zip(more, keep)))
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:

@@ -3,11 +3,11 @@ operator to the whole table and derives the digest columns from its output."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vitrine.llm import bpe, langid, secrets, simhash
-from vitrine.llm.common import table
+from vitrine.llm import bpe, langid, lattice, licenses, mixing, quality, secrets, sharding, simhash, warc
+from vitrine.llm.common import shared_dir, table
 
 #: The languages that the corpus is made of; any other text is undetermined.
 LANGUAGES = ("en", "de", "fr", "es")
@@ -20,6 +20,20 @@ def tokenizer() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op1_lattice_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), LANGUAGES, F.col("lang"))
+    return d.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                    "base_failed", "kept", "stratum", "rejected_by")
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = tokenizer()
     return bpe.digest(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, pattern), path))
@@ -39,6 +53,22 @@ def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumnRenamed("id", "page_id")
 
 
+def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the pages as archives in the shared folder and reads them back: payloads
+    of responses are decoded and digested anew, revisits are read from headers alone."""
+    path = shared_dir(spark, "warc")
+    warc.write_warc(warc.page_records(table(spark, sf_dir, "pages")), path)
+    number = lambda c: F.regexp_extract(c, f"^<{warc.URN}(-?[0-9]+)>$", 1).try_cast("long")
+    responses = warc.read_warc(spark, path, ("record_id", "record_type", "payload")).where("record_type = 'response'").select(
+        number(F.col("record_id")).alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
+    heads = warc.read_warc(spark, path, ("record_id", "record_type", "payload_length", "payload_digest", "refers_to"))
+    revisits = heads.where("record_type = 'revisit'").select(
+        number(F.col("record_id")), "payload_length", F.regexp_replace("payload_digest", "^sha256:", ""), "record_type",
+        number(F.col("refers_to")))
+    return responses.unionAll(revisits)
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return secrets.digest(secrets.scan(docs, secrets.fit(docs)))
@@ -50,12 +80,46 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "component_id", "kept")
 
 
+#: No source is repeated more often than this in the mixture.
+MAX_REPETITION = 1.5
+
+
+def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per use of a document: its epoch, its block, the block's place in the
+    epoch's permutation and the document's slot in the block."""
+    docs = table(spark, sf_dir, "documents")
+    mixture = mixing.mix(docs, max_repetition=MAX_REPETITION)
+    rows = mixing.realise(docs.select("doc_id", "source", mixing.words(F.col("text")).alias("n_tokens")), mixture)
+    slot = Window.partitionBy("source", "mix_epoch", "mix_block").orderBy(F.xxhash64("doc_id", "mix_epoch"), "doc_id")
+    return rows.select("doc_id", "source", "n_tokens", "mix_epoch", "mix_block", "mix_turn",
+                       (F.row_number().over(slot) - 1).alias("mix_slot"))
+
+
+def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
+    "op1_lattice_near_dedup": op1_lattice_near_dedup,
+    "op2_quality_rules": op2_quality_rules,
+    "op3_license_scan": op3_license_scan,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_warc_round_trip": op5_warc_round_trip,
     "op6_secret_scan": op6_secret_scan,
     "op8_language_id": op8_language_id,
+    "op9_mixture": op9_mixture,
+    "op10_kd_shards": op10_kd_shards,
     "language_id_pages": language_id_pages,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_warc_round_trip": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+        d AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS n, sha256(h) AS s FROM p),
+        f AS (SELECT s, min(page_id) AS first FROM d WHERE n >= 100 GROUP BY s)
+        SELECT d.page_id, n AS payload_bytes, d.s AS payload_digest,
+            CASE WHEN first <> d.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN first <> d.page_id THEN first END AS refers_to
+        FROM d LEFT JOIN f ON d.s = f.s AND d.n >= 100""",
+}
