@@ -540,9 +540,10 @@ def _li_pair_sql(kind: str) -> tuple[str, str]:
     if kind == "identical":
         return "SELECT * FROM lineitem", "SELECT * FROM lineitem"
     if kind == "drifted":
-        return early, late + " AND l_discount < 0.08e0"
-    cols = ", ".join(c if c != "l_extendedprice" else "l_extendedprice * 1.03e0 AS l_extendedprice"
-                     for c in DRIFT_LI)
+        changed = {"l_discount": "l_discount * 0.8e0 AS l_discount"}
+    else:
+        changed = {"l_extendedprice": "l_extendedprice * 1.03e0 AS l_extendedprice"}
+    cols = ", ".join(changed.get(c, c) for c in DRIFT_LI)
     return early, f"SELECT {cols} FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01'"
 
 

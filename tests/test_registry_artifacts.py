@@ -159,3 +159,19 @@ def test_registry_json_lines(spark, tmp_dir):
     ranked = [r.version_id for r in registry_newest_first(reg).orderBy("rank").collect()]
     assert ranked == ["v2", "v4", "v1", "v3"]
     assert {r.version_id: r.extra for r in reg.collect()}["v1"] == {"mae": "0.3"}
+
+
+def test_registry_json_lines_in_file_order(spark, tmp_dir):
+    for name, n in (("a", 1), ("b", 50)):  # the larger file is packed first
+        with open(os.path.join(tmp_dir, f"{name}.json"), "w") as fh:
+            for k in range(n):
+                fh.write(json.dumps({"version_id": f"{name}{k}", "date": "2024-01-01"}) + "\n")
+    reg = read_registry(spark, tmp_dir, lines=True)
+    assert [r.version_id for r in reg.orderBy("pos").collect()] == ["a0", *[f"b{k}" for k in range(50)]]
+    assert latest_version(reg).first().version_id == "a0"
+
+
+def test_missing_registry_is_empty_for_the_service(spark, tmp_dir):
+    from vitrine.plans.service import get_versions
+
+    assert get_versions(spark, tmp_dir + "/none").collect() == []

@@ -88,8 +88,51 @@ def test_model_cache_loads_once():
     calls = []
     _MODEL_CACHE.clear()
     for _ in range(3):
-        cached_model("vx", lambda v: calls.append(v) or MODEL)
+        cached_model("vx", lambda v: calls.append(v) or MODEL, root="/models")
     assert calls == ["vx"]
+    cached_model("vx", lambda v: calls.append("other root") or MODEL, root="/other")
+    cached_model("vx", lambda v: calls.append("no root") or MODEL)
+    cached_model("vx", lambda v: calls.append("no root") or MODEL)
+    assert calls == ["vx", "other root", "no root", "no root"]
+
+
+class PandasModel:
+    """A model without Column expressions, as a loaded file would be."""
+
+    feature_names = ["power_hp_val"]
+
+    def __init__(self, price):
+        self.price = price
+
+    def predict(self, pdf):
+        return np.repeat(np.where(pdf["power_hp_val"] < 0, np.nan, self.price)[:, None], 3, axis=1)
+
+
+def test_two_models_under_one_version_do_not_mix(spark):
+    df = spark.createDataFrame([req(i) for i in range(20)], REQ)
+    for price in (100.0, 700.0):  # objects: never cached
+        got = score(df, PandasModel(price), "v", keep=["id"], method="arrow")[0]
+        assert {r.price for r in got.collect()} == {int(price)}
+    for root, price in (("/a", 100.0), ("/b", 700.0), ("/a", 100.0)):  # loaded by the workers
+        got = score(df, PandasModel(0.0), "v", keep=["id"], method="arrow", loader=lambda v, p=price: PandasModel(p), root=root)[0]
+        assert {r.price for r in got.collect()} == {int(price)}
+
+
+def test_unusable_prediction_gives_null_prices(spark):
+    df = spark.createDataFrame([req(1), req(2, power=-1.0)], REQ)
+    got = {r.id: r for r in score(df, PandasModel(100.0), "v", keep=["id"], method="arrow")[0].collect()}
+    assert got[1].price == 100 and (got[2].price, got[2].price_min, got[2].margin_percent) == (None, None, None)
+
+
+def test_types_are_rejected_not_cut(spark):
+    from vitrine.operators.validate import validate
+
+    base = spark.createDataFrame([req(1)], REQ)
+    for column, value, ok in (("year", F.lit(2020.7), False), ("year", F.lit(2020.0), True), ("year", F.lit("2020"), True),
+                              ("year", F.lit("2020.0"), False), ("cylinder_count", F.lit(3.9), False), ("brand", F.lit(12345), False),
+                              ("mileage", F.lit(float("nan")), False)):
+        errors = validate(base.withColumn(column, value), keep=["id"]).first()["errors"]
+        assert bool(errors) != ok, (column, errors)
 
 
 def test_np_round_is_half_even_on_the_scaled_double(spark):

@@ -40,11 +40,10 @@ def split_points(df: DataFrame, part: str, order: str, buckets: int | None = Non
     """(part, bounds array<double>) with increasing split points per part.
 
     ``buckets`` fixes the bucket count of every part (one sketch over all rows).
-    Otherwise a count per part decides ceil(count / target_rows) buckets (at
-    most ``grid``); parts that fit one bucket get no split points and no sketch;
+    Otherwise a count per part decides ceil(count / target_rows) buckets; parts that fit one bucket get no split points and no sketch;
     larger parts are sketched on a row sample of about ``SAMPLE_PER_BUCKET``
-    rows per bucket, and their split points taken from a ``grid``-point quantile
-    grid. A part holding a third of the data gets as many buckets as its size
+    rows per bucket, and their split points taken from a quantile grid of ``grid``
+    points or more (four per bucket of the largest part). A part holding a third of the data gets as many buckets as its size
     needs; the sketch reads a sample, not the part.
     """
     spark = df.sparkSession
@@ -60,11 +59,12 @@ def split_points(df: DataFrame, part: str, order: str, buckets: int | None = Non
                 F.array_distinct(F.percentile_approx(v, fractions, accuracy)).alias("bounds"))
         return _freeze(bounds, freeze)
 
-    nb = F.least(F.lit(grid), F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(float(target_rows))))).cast("int")
+    nb = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(float(target_rows)))).cast("int")
     sizes = _freeze(df.groupBy(part).agg(F.count(F.lit(1)).alias("_n")).withColumn("_b", nb), freeze)
     big = sizes.where(F.col("_b") > 1)
     if freeze == "collect" and big.isEmpty():
         return sizes.select(part, empty.alias("bounds"))
+    grid = max(grid, 4 * (big.agg(F.max("_b")).first()[0] or 1))  # fine enough for the largest part: no cap on its buckets
     frac = F.least(F.lit(1.0), F.col("_b") * F.lit(float(SAMPLE_PER_BUCKET)) / F.col("_n"))
     hint = F.broadcast if freeze == "collect" else (lambda x: x)
     sel = big.select(F.col(part).alias("_spart"), frac.alias("_f"), "_b")
@@ -120,7 +120,7 @@ def running_totals(df: DataFrame, part: str, order: str, weights: list[str],
         rows = running_totals_simple(df, part, order, weights)
         per_part = df.groupBy(part).agg(*aggs).withColumn("_bucket", F.lit(0))
         return rows, per_part
-    max_len = buckets or GRID
+    max_len = max(1, bounds.agg(F.max(F.size("bounds"))).first()[0] or 0)  # the bounds are frozen: one small job
     hint = F.broadcast if freeze == "collect" else (lambda x: x)
     v = F.col(order)
     b = bounds.withColumnRenamed(part, "_bpart")

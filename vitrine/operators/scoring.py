@@ -8,6 +8,7 @@ batches, the model loaded once per Python worker and version (P4).
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Callable
 
 import numpy as np
@@ -86,22 +87,27 @@ class LinearQuantileModel:
         return f"({q50} * {self.low!r})", q50, f"({q50} * {self.high!r})"
 
 
-# One model per (version) per Python worker process.
-_MODEL_CACHE: dict[str, object] = {}
+# One model per (storage root, version) per Python worker process.
+_MODEL_CACHE: dict[tuple[str, str], object] = {}
 
 
-def cached_model(version: str, loader: Callable[[str], object]):
-    model = _MODEL_CACHE.get(version)
-    if model is None:
-        model = loader(version)
-        _MODEL_CACHE[version] = model
-    return model
+def cached_model(version: str, loader: Callable[[str], object], root: str | None = None):
+    """The model of ``version`` under ``root``, loaded once per process. Without a
+    root nothing names the model beyond its version, so it is loaded anew."""
+    if root is None:
+        return loader(version)
+    key = (root, version)
+    if key not in _MODEL_CACHE:
+        _MODEL_CACHE[key] = loader(version)
+    return _MODEL_CACHE[key]
 
 
-def score_quantiles(df: DataFrame, model, version: str = "v", method: str = "auto",
-                    loader: Callable[[str], object] | None = None) -> DataFrame:
+def score_quantiles(df: DataFrame, model, version: str, method: str = "auto",
+                    loader: Callable[[str], object] | None = None, root: str | None = None) -> DataFrame:
     """Add q05, q50, q95 (double). ``method``: 'expr' (Columns), 'arrow'
-    (``mapInPandas``) or 'auto' (Columns when the model offers them)."""
+    (``mapInPandas``) or 'auto' (Columns when the model offers them). With ``loader``
+    and ``root`` the workers load the model themselves, once per (root, version);
+    a model passed as an object travels with the task and is never cached."""
     if method == "auto":
         method = "expr" if hasattr(model, "as_columns") else "arrow"
     if method == "expr":
@@ -112,9 +118,10 @@ def score_quantiles(df: DataFrame, model, version: str = "v", method: str = "aut
     out_schema = T.StructType(df.schema.fields + [T.StructField(q, T.DoubleType(), True)
                                                   for q in ("q05", "q50", "q95")])
     load = loader or (lambda _v, _m=model: _m)
+    where = root if loader is not None else None
 
     def predict_batches(batches):
-        m = cached_model(version, load)
+        m = cached_model(version, load, where)
         for pdf in batches:
             pred = np.asarray(m.predict(pdf[feature_names]), dtype="float64").reshape(len(pdf), 3)
             yield pdf.assign(q05=pred[:, 0], q50=pred[:, 1], q95=pred[:, 2])
@@ -126,9 +133,11 @@ def price_result(df: DataFrame, version: str, keep: list[str] | None = None,
                  nested: bool = False) -> DataFrame:
     """P5: the result record: price (trunc q50), band (trunc q05·0.98, q95·1.02),
     margin % (rounded to 1 place, NumPy rule; NULL when q50 = 0), version, score,
-    currency."""
-    lo, hi, margin = widen_band(F.col("q05"), F.col("q50"), F.col("q95"))
-    price = truncate_to_long(F.col("q50")).alias("price")
+    currency. A prediction that is NULL, NaN or too large for a price gives NULL
+    prices in its row instead of ending the job."""
+    usable = reduce(Column.__and__, [F.abs(F.col(q)) < F.lit(9e18) for q in ("q05", "q50", "q95")])  # false for NaN
+    lo, hi, margin = widen_band(*[F.when(usable, F.col(q)) for q in ("q05", "q50", "q95")])
+    price = truncate_to_long(F.when(usable, F.col("q50"))).alias("price")
     pmin, pmax = truncate_to_long(lo), truncate_to_long(hi)
     mp = np_round(margin, 1)
     common = [F.lit(version).alias("version"),
@@ -142,8 +151,8 @@ def price_result(df: DataFrame, version: str, keep: list[str] | None = None,
 
 
 def score(requests: DataFrame, model, version: str, keep: list[str] | None = None,
-          method: str = "auto", nested: bool = False, rules: DamageRules = DamageRules()
-          ) -> tuple[DataFrame, DataFrame]:
+          method: str = "auto", nested: bool = False, rules: DamageRules = DamageRules(),
+          loader: Callable[[str], object] | None = None, root: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Validate → split → assemble → conform → predict → result.
 
     Returns (results, rejected); rejected rows carry their ``errors``.
@@ -154,5 +163,5 @@ def score(requests: DataFrame, model, version: str, keep: list[str] | None = Non
     feats = assemble_features(ok, keep=keep, rules=rules)
     conformed = conform_to_model(feats, model.feature_names, keep=keep + ["expert_risk_score"]
                                  if "expert_risk_score" not in model.feature_names else keep)
-    scored = score_quantiles(conformed, model, version, method)
+    scored = score_quantiles(conformed, model, version, method, loader, root)
     return price_result(scored, version, keep=keep, nested=nested), rejected

@@ -48,8 +48,14 @@ DAMAGE_FIELDS = (
 )
 
 def _coerce(raw: Column, target: str, source_type: T.DataType | None) -> Column:
+    """NULL where ``raw`` is not of the target type: an integer field takes numbers
+    without a fraction and integer text (not '2020.0'), a string field takes only text."""
     if source_type is not None and source_type.simpleString() == target:
         return raw
+    if target == "string":
+        return F.lit(None).cast("string")
+    if target in ("int", "bigint") and isinstance(source_type, (T.DoubleType, T.FloatType, T.DecimalType)):
+        raw = F.when(raw == F.floor(raw), raw)
     return F.try_cast(raw, target) if hasattr(F, "try_cast") else raw.try_cast(target)
 
 
@@ -66,7 +72,8 @@ def _bound_checks(name: str, v: Column, lo, hi) -> list[tuple[str, Column]]:
     checks = []
     if lo is not None:
         bound, inclusive = lo
-        checks.append((f"range:{name}", v < F.lit(bound) if inclusive else v <= F.lit(bound)))
+        low = v < F.lit(bound) if inclusive else v <= F.lit(bound)
+        checks.append((f"range:{name}", low | F.isnan(v.cast("double"))))  # NaN is not above any bound
     if hi is not None:
         bound, inclusive = hi
         checks.append((f"range:{name}", v > F.lit(bound) if inclusive else v >= F.lit(bound)))

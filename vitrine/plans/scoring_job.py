@@ -30,8 +30,9 @@ def resolve_version(records: DataFrame, version: str | None = None) -> str:
 
 def score_version(requests: DataFrame, records: DataFrame, loader: Callable[[str], object],
                   version: str | None = None, keep: list[str] | None = None, method: str = "auto",
-                  nested: bool = True) -> tuple[DataFrame, DataFrame]:
-    """→ (results, rejected) scored with the chosen version's model."""
+                  nested: bool = True, root: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """→ (results, rejected) scored with the chosen version's model. ``root`` names the
+    storage that ``loader`` reads: versions of different roots are different models."""
     v = resolve_version(records, version)
-    model = cached_model(v, loader)
-    return score(requests, model, v, keep=keep, method=method, nested=nested)
+    model = cached_model(v, loader, root)
+    return score(requests, model, v, keep=keep, method=method, nested=nested, loader=loader, root=root)

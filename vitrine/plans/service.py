@@ -40,8 +40,8 @@ def listings(spark: SparkSession, root: str) -> DataFrame:
 
 
 def get_versions(spark: SparkSession, root: str) -> DataFrame:
-    """Registry entries with their newest-first ``rank``."""
-    return registry_newest_first(read_registry(spark, f"{root.rstrip('/')}/{REGISTRY_FILE}"))
+    """Registry entries with their newest-first ``rank``; none where there is no registry."""
+    return registry_newest_first(read_registry(spark, f"{root.rstrip('/')}/{REGISTRY_FILE}", on_missing="empty"))
 
 
 def get_shap_plot(spark: SparkSession, root: str, version_id: str) -> DataFrame:
@@ -53,7 +53,8 @@ def predict_price(spark: SparkSession, root: str, requests: DataFrame, loader: C
                   version_id: str | None = None, keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(results, rejected) for a table of requests; newest version when none is named."""
     records = read_registry(spark, f"{root.rstrip('/')}/{REGISTRY_FILE}")
-    return score_version(requests, records, loader, version=version_id, keep=keep, nested=True)
+    return score_version(requests, records, loader, version=version_id, keep=keep, nested=True,
+                         root=root.rstrip("/"))
 
 
 def get_drift_data(spark: SparkSession, root: str, ref_ver: str, curr_ver: str,

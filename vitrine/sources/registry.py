@@ -9,19 +9,35 @@ stable tie-breaking; keys other than ``version_id``/``date`` are kept in an
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.operators.ranking import global_rank
+from vitrine.sources.listings import _missing
 
 
-def read_registry(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+SCHEMA = "pos long, version_id string, date string, extra map<string,string>"
+
+
+def read_registry(spark: SparkSession, path: str, lines: bool = False, on_missing: str = "error") -> DataFrame:
     """→ (pos, version_id, date, extra map<string,string>).
 
     A registry file is one JSON array, read as one document (one task; a model
-    registry is small). ``lines=True`` reads JSON Lines in parallel instead:
-    ``pos`` is then ``monotonically_increasing_id()``, increasing in file order.
+    registry is small). ``lines=True`` reads JSON Lines in parallel instead: ``pos``
+    is then the rank in order of file path, offset in the file and line (Spark packs
+    large files first, so a row's id alone does not follow the files).
+    ``on_missing="empty"`` gives an empty registry where there is no file.
     """
+    try:
+        return _read_registry(spark, path, lines)
+    except AnalysisException as exc:
+        if on_missing == "empty" and _missing(exc):
+            return spark.createDataFrame([], SCHEMA)
+        raise
+
+
+def _read_registry(spark: SparkSession, path: str, lines: bool) -> DataFrame:
     if lines:
         df = spark.read.option("primitivesAsString", "true").json(path)
         rest = [c for c in df.columns if c not in ("version_id", "date")]
@@ -33,8 +49,12 @@ def read_registry(spark: SparkSession, path: str, lines: bool = False) -> DataFr
         extra = F.map_filter(F.create_map(*kv), lambda _k, v: v.isNotNull()) if kv else \
             F.create_map().cast("map<string,string>")
         date = F.col("date") if "date" in df.columns else F.lit(None).cast("string")
-        return df.select(F.monotonically_increasing_id().alias("pos"), F.col("version_id"),
-                         date.alias("date"), extra.alias("extra"))
+        place = ["_file", "_start", "_line"]
+        rows = df.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
+                         F.monotonically_increasing_id().alias("_line"), F.col("version_id"), date.alias("date"),
+                         extra.alias("extra"))
+        ranked = global_rank(rows, [F.col(c) for c in place], rank_col="pos")
+        return ranked.select((F.col("pos") - 1).alias("pos"), "version_id", "date", "extra")
     doc = spark.read.text(path, wholetext=True)
     entries = doc.select(F.posexplode(F.from_json("value", "array<map<string,string>>")).alias("pos", "m"))
     return entries.select(
