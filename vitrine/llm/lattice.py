@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.llm.common import broadcast_if_small, freeze, ship, with_group
@@ -251,15 +251,38 @@ def vector_links(points: DataFrame, threshold: float, lattice: Lattice = Lattice
     return rows.mapInArrow(join_cells, "rep long, n long, root long")
 
 
-def unit_vector(v: Column) -> Column:
-    """``v`` in double precision over its length; null where it has none: null, empty,
-    zero, or with a null, NaN or infinite component."""
-    d = v.cast("array<double>")
-    largest = F.array_max(F.transform(d, lambda x: F.abs(x)))  # scaled first, so that squares neither overflow nor vanish
-    fine = F.forall(d, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & (largest > 0)
-    scaled = F.when(fine, F.transform(d, lambda x: x / largest))
-    norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(fine, F.transform(scaled, lambda x: x / norm))
+def unit_vectors(vectors: DataFrame) -> DataFrame:
+    """``(id, label, unit, name)`` of ``(id, label, v array<double>)``: ``v`` in double
+    precision over its length, and a digest that equal vectors of a label share. Both
+    are null where the row links with nothing: no id or label, or a vector that is
+    null, empty, zero, or has a null, NaN or infinite component."""
+    ship(vectors.sparkSession)
+
+    def run(batches):
+        import hashlib
+
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            lists = b.column(2)
+            flat, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()  # null components are NaN
+            units, names = [], []
+            for k, (i, label) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+                v = flat[ends[k]:ends[k + 1]] if lists[k].is_valid else flat[:0]
+                top = np.abs(v).max(initial=0.0)
+                if i is None or label is None or not np.isfinite(v).all() or not top > 0:
+                    units.append(None)
+                    names.append(None)
+                    continue
+                v = v / top  # first, so that squares neither overflow nor vanish
+                v = v / np.sqrt(v @ v) + 0.0
+                units.append(v)
+                names.append(hashlib.sha256(b"%d:" % label + v.tobytes()).hexdigest())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(units, pa.list_(pa.float64())),
+                                              pa.array(names, pa.string())], names=["id", "label", "unit", "name"])
+
+    return vectors.mapInArrow(run, "id long, label int, unit array<double>, name string")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, lattice: Lattice = Lattice(), id_col: str = "vec_id",
@@ -272,13 +295,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, lattice: Lattic
     id share its links. An empty table gives an empty result; other columns are not
     read.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"),
-                          F.col(vector_col).alias("v"))
-    rows = rows.select("id", "label", unit_vector(F.col("v")).alias("unit"))
-    usable = F.col("label").isNotNull() & F.col("unit").isNotNull() & F.col("id").isNotNull()
-    # the bytes of a vector name it: equal vectors are one point
-    rows = freeze(rows.withColumn("name", F.when(usable, F.sha2(F.concat_ws(" ", F.col("label").cast("string"), F.array_join(
-        F.col("unit").cast("array<string>"), " ")), 256))))
+    rows = freeze(unit_vectors(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"),
+                                              F.col(vector_col).cast("array<double>").alias("v"))))
     points = rows.where("name IS NOT NULL").groupBy("name").agg(
         F.min("id").alias("rep"), F.min("label").alias("label"), F.count(F.lit(1)).alias("weight"), F.min("unit").alias("unit"))
     points = freeze(points)
