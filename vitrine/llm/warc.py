@@ -11,8 +11,9 @@ with ``.schema(...)``; filters are pushed down where
 name of its own. Only the driver's commit, which gets the names of the attempts that
 counted, writes the manifest that readers go by, so files of lost, repeated or
 speculative tasks are never read. The manifest also holds record offsets every
-``SPLIT_BYTES``, at which large archives are split; archives from elsewhere (no manifest) are read one
-per partition, ``.gz`` files member by member.
+``SPLIT_BYTES``, at which large archives are split. Records are gzip members that tell their own
+length, so a record is passed over without inflating it. Archives from elsewhere (no
+manifest) are read one per partition, plain or gzip.
 
 Folders are reached through pyarrow's file systems (local, hdfs, s3, gcs), since the
 readers and writers run as plain Python in tasks.
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -36,6 +38,9 @@ MANIFEST = "_manifest.json"
 SPLIT_BYTES = 32 << 20
 #: Records are handed to the archive in pieces of this size.
 CHUNK = 1 << 20
+#: Read of a gzip member before its header is parsed.
+HEAD_BYTES = 1 << 12
+GZIP_LEVEL = 4
 VERSION = b"WARC/1.0"
 
 #: Column and the header field that it comes from.
@@ -89,18 +94,19 @@ class Archive(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceWriter):
-    def __init__(self, path: str, overwrite: bool):
-        self.path, self.overwrite = path, overwrite
+    def __init__(self, path: str, overwrite: bool, gzip: bool):
+        self.path, self.overwrite, self.gzip = path, overwrite, gzip
 
     def write(self, rows) -> Archive:
         fs, folder = file_system(self.path)
         fs.create_dir(folder, recursive=True)
-        name, at, splits = f"part-{uuid.uuid4().hex}.warc", 0, [0]
-        with fs.open_output_stream(f"{folder}/{name}") as out:
+        name, at, splits = f"part-{uuid.uuid4().hex}.warc{'.gz' * self.gzip}", 0, [0]
+        with fs.open_output_stream(f"{folder}/{name}", compression=None) as out:
             for row in rows:
                 if at - splits[-1] >= SPLIT_BYTES:
                     splits.append(at)
-                for piece in record(row.asDict()):
+                pieces = record(row.asDict())
+                for piece in [member(pieces)] if self.gzip else pieces:
                     out.write(piece)
                     at += len(piece)
         return Archive(name, at, splits)
@@ -190,6 +196,71 @@ class _Plain:
             self.f.seek(self.at)
 
 
+def member(pieces: Iterator[bytes]) -> bytes:
+    """One gzip member whose extra field ``SL`` holds its own length, so that readers
+    can pass over a record without inflating it. Other gzip readers ignore the field."""
+    z, crc, size, body = zlib.compressobj(GZIP_LEVEL, zlib.DEFLATED, -15), 0, 0, []
+    for p in pieces:
+        crc, size = zlib.crc32(p, crc), size + len(p)
+        body.append(z.compress(p))
+    body.append(z.flush())
+    length = 10 + 2 + 12 + sum(map(len, body)) + 8
+    head = b"\x1f\x8b\x08\x04" + bytes(4) + b"\x00\xff" + struct.pack("<H2sHQ", 12, b"SL", 8, length)
+    return b"".join([head, *body, struct.pack("<II", crc, size & 0xFFFFFFFF)])
+
+
+def member_length(start: bytes) -> int | None:
+    """The length that a gzip member tells of itself, if it does."""
+    if len(start) < 24 or start[:3] != b"\x1f\x8b\x08" or not start[3] & 4:
+        return None
+    extra, name, size = struct.unpack_from("<H2sH", start, 10)
+    return struct.unpack_from("<Q", start, 16)[0] if extra >= 12 and name == b"SL" and size == 8 else None
+
+
+class _Members:
+    """Records that are members which tell their length: a header is inflated as far as
+    it goes, the rest of the record only if it is taken."""
+
+    def __init__(self, f, at: int):
+        self.f, self.at = f, at
+
+    def head(self) -> bytes | None:
+        self.f.seek(self.at)
+        raw = self.f.read(HEAD_BYTES)
+        if not raw:
+            return None
+        length = member_length(raw)
+        if length is None:
+            raise ValueError(f"no gzip member of known length at byte {self.at}")
+        self.left, self.end = length - len(raw[:length]), self.at + length
+        self.z = zlib.decompressobj(31)
+        self.buffer = self.z.decompress(raw[:length])
+        while b"\r\n\r\n" not in self.buffer and self._more():
+            pass
+        head, _, self.buffer = self.buffer.partition(b"\r\n\r\n")
+        return head
+
+    def _more(self) -> bool:
+        raw = self.f.read(min(self.left, CHUNK))
+        self.left -= len(raw)
+        self.buffer += self.z.decompress(raw)
+        return bool(raw)
+
+    def take(self, n: int) -> bytes:
+        parts, have = [self.buffer], len(self.buffer)
+        while have < n and self.left:
+            raw = self.f.read(min(self.left, CHUNK))
+            if not raw:
+                break
+            self.left -= len(raw)
+            parts.append(self.z.decompress(raw))
+            have += len(parts[-1])
+        return b"".join(parts)[:n]
+
+    def skip(self, n: int) -> None:
+        self.at = self.end  # whatever is left of the record
+
+
 class _Gzip(_Plain):
     """The same over gzip members; skipped blocks are inflated, in pieces, and dropped."""
 
@@ -269,11 +340,15 @@ class WarcReader(DataSourceReader):
         return True
 
     def read(self, partition: Range):
+        if partition is None:  # no archives
+            return
         fs, _ = file_system(self.path)
         with fs.open_input_file(partition.path) as f:
             packed = partition.path.endswith(".gz")
-            stream = _Gzip(f) if packed else _Plain(f, partition.start)
-            while packed or stream.at < partition.end:
+            known = packed and member_length(f.read(24)) is not None
+            f.seek(0)
+            stream = _Members(f, partition.start) if known else _Gzip(f) if packed else _Plain(f, partition.start)
+            while isinstance(stream, _Gzip) or stream.at < partition.end:
                 raw = stream.head()
                 if raw is None:
                     return
@@ -302,7 +377,8 @@ class WarcReader(DataSourceReader):
 
 
 class WarcDataSource(DataSource):
-    """Options: ``path``, and ``splitBytes`` for the least bytes of a partition of a split archive."""
+    """Options: ``path``; ``splitBytes``, the least bytes of a partition of a split
+    archive; ``compression``, ``gzip`` (a member per record) or ``none``."""
 
     @classmethod
     def name(cls) -> str:
@@ -315,7 +391,7 @@ class WarcDataSource(DataSource):
         return WarcReader(self.options["path"], schema.names, int(self.options.get("splitbytes", SPLIT_BYTES)))
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options["path"], overwrite)
+        return WarcWriter(self.options["path"], overwrite, self.options.get("compression", "gzip") == "gzip")
 
 
 def register(spark: SparkSession) -> None:
@@ -371,6 +447,6 @@ def page_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
         F.when(~again, F.col("payload")).alias("payload"))
 
 
-def write_warc(records: DataFrame, path: str) -> None:
+def write_warc(records: DataFrame, path: str, compression: str = "gzip") -> None:
     register(records.sparkSession)
-    records.write.format("warc").mode("append").save(path)
+    records.write.format("warc").option("compression", compression).mode("append").save(path)
