@@ -255,9 +255,14 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
             step = max(1, BATCH_TOKENS * b.num_rows // max(1, len(b.column(1).values)))
             for at in range(0, b.num_rows, step):
                 part = b.slice(at, step)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array([text(x.as_py()) for x in part.column(1)], pa.binary())],
-                    names=["id", "ids", "decoded"])
+                lists = part.column(1)
+                if lists.null_count or lists.values.null_count:
+                    rows = lists.to_pylist()
+                else:  # slices of the flat ids: far cheaper than a list scalar each
+                    flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+                    rows = (flat[i:j].tolist() for i, j in zip(ends, ends[1:]))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(map(text, rows), pa.binary())],
+                                                 names=["id", "ids", "decoded"])
 
     return encoded.select("id", F.col(ids_col).cast("array<int>").alias("ids")) \
         .mapInArrow(run, "id long, ids array<int>, decoded binary")
