@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from vitrine.llm.common import ship
 
-#: Encoded pieces that a worker remembers before it starts afresh; memory only, no effect on results.
+#: Encoded pieces in each of the two generations that a worker remembers; memory only, no effect on results.
 CACHE_PIECES = 1 << 18
 #: Tokens in one Arrow batch that a task hands back.
 BATCH_TOKENS = 1 << 21
@@ -38,32 +38,63 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Vocabulary:
-    """Tokens by rank, with the pair test of the prefix table."""
+    """Tokens by rank, an automaton that finds the tokens ending at each byte, and the pair test of the prefix table."""
 
     def __init__(self, ranks: dict[bytes, int]):
+        import ahocorasick
+
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
-        #: Every suffix of a token: its id where it is a token, else -1.
-        self.suffixes = {t[k:]: -1 for t in ranks for k in range(len(t))} | ranks
         self.longest = max(map(len, ranks))
+        self.ends = ahocorasick.Automaton()
+        for t, i in ranks.items():
+            self.ends.add_word(t.decode("latin-1"), (i, len(t)))
+        self.ends.make_automaton()
         self.pairs = _Pairs(self)
-        self._whole: dict[int, bool] = {}
+        self._halves: dict[int, tuple[int, int] | None] = {}
 
-    def merge(self, data: bytes) -> list[int]:
-        """Merging by lowest rank, leftmost first: the definition, for a token or two."""
+    def merge(self, data: bytes, until: int = 1) -> list[int]:
+        """Merging by lowest rank, leftmost first, until so many parts are left: the definition, for a token or two."""
         parts = [data[i:i + 1] for i in range(len(data))]
-        while len(parts) > 1:
+        while len(parts) > until:
             rank, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 62), i) for i in range(len(parts) - 1))
             if rank == 1 << 62:
                 break
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
+    def halves(self, t: int) -> tuple[int, int] | None:
+        """The two tokens whose merge makes ``t``; None for a byte and for a token that merging never makes."""
+        if t not in self._halves:
+            parts = self.merge(self.tokens[t], 2)
+            self._halves[t] = (parts[0], parts[1]) if len(parts) == 2 else None
+        return self._halves[t]
+
     def reachable(self, t: int) -> bool:
-        ok = self._whole.get(t)
-        if ok is None:
-            ok = self._whole[t] = self.merge(self.tokens[t]) == [t]
-        return ok
+        return len(self.tokens[t]) == 1 or self.halves(t) is not None
+
+    def stand(self, a: int, b: int) -> bool:
+        """Whether ``a b`` is the encoding of its own bytes.
+
+        The merges that make the two are undone from the last one back. While ``u``
+        ends the left and ``v`` begins the right, they must not merge before the one
+        of them that is used up first is (of equal ranks the left one goes first)."""
+        ranks, tokens, halves = self.ranks, self.tokens, self.halves
+        if not (self.reachable(a) and self.reachable(b)):
+            return False
+        u, v, before = a, b, 1 << 62
+        while True:
+            if ranks.get(tokens[u] + tokens[v], before) < before:
+                return False
+            hu, hv = halves(u), halves(v)
+            if hu is None and hv is None:
+                return True
+            if hu and hu[1] >= u or hv and hv[0] >= v:  # a part of higher rank than the whole: the order of merges is not that of ranks
+                return self.merge(tokens[a] + tokens[b]) == [a, b]
+            if hv is None or hu is not None and u > v:
+                before, u = u, hu[1]
+            else:
+                before, v = v + 1, hv[0]
 
 
 class _Pairs(dict):
@@ -74,30 +105,26 @@ class _Pairs(dict):
         self.vocab = vocab
 
     def __missing__(self, key: int) -> bool:
-        a, b = key >> 32, key & 0xFFFFFFFF
         if len(self) >= 4 * CACHE_PIECES:
             self.clear()
-        tokens = self.vocab.tokens
-        ok = self[key] = self.vocab.merge(tokens[a] + tokens[b]) == [a, b]
+        ok = self[key] = self.vocab.stand(key >> 32, key & 0xFFFFFFFF)
         return ok
 
 
 def fill(vocab: Vocabulary, data: bytes, last: list[int]) -> None:
     """Extend ``last`` (known for the first ``len(last) - 1`` bytes) to all of ``data``."""
-    get, pairs = vocab.suffixes.get, vocab.pairs
-    for i in range(len(last), len(data) + 1):
-        k, found = i - 1, -1
-        while k >= 0:
-            t = get(data[k:i])
-            if t is None:
-                break
-            if t >= 0 and (pairs[last[k] << 32 | t] if k else vocab.reachable(t)):
-                found = t
-                break
-            k -= 1
-        if found < 0:
-            raise ValueError(f"byte {data[i - 1]:#x} is not a token")
-        last.append(found)
+    pairs, known = vocab.pairs, len(last)
+    start = max(0, known - vocab.longest)  # no token that ends later begins before
+    last += [-1] * (len(data) + 1 - known)
+    for at, (t, size) in vocab.ends.iter(data[start:].decode("latin-1") if start else data.decode("latin-1")):
+        i = start + at + 1
+        if last[i] < 0 and i >= known:
+            k = i - size
+            if pairs[last[k] << 32 | t] if k else vocab.reachable(t):
+                last[i] = t
+    if min(last[known:], default=0) < 0:
+        bad = data[last.index(-1, known) - 1]
+        raise ValueError(f"byte {bad:#x} is not a token")
 
 
 def walk_back(vocab: Vocabulary, last: list[int]) -> list[int]:
@@ -149,27 +176,31 @@ class PieceEncoder(dict):
 
         super().__init__()
         self.vocab, self.pieces = vocab, regex.compile(pattern).findall
+        self.old: dict[str, bytes] = {}  # the generation before: what is used again comes back from it
 
     def __missing__(self, piece: str) -> bytes:
         import array
 
         if len(self) >= CACHE_PIECES:
+            self.old = dict(self)
             self.clear()
-        data = piece.encode("utf-8", "surrogatepass")
-        whole = self.vocab.ranks.get(data)
-        if whole is None:
-            last = [-1]
-            fill(self.vocab, data, last)
-            ids = walk_back(self.vocab, last)
-        else:
-            ids = [whole]
-        out = array.array("i", ids).tobytes()
+        out = self.old.get(piece)
+        if out is None:
+            data = piece.encode("utf-8", "surrogatepass")
+            whole = self.vocab.ranks.get(data)
+            if whole is None:
+                last = [-1]
+                fill(self.vocab, data, last)
+                ids = walk_back(self.vocab, last)
+            else:
+                ids = [whole]
+            out = array.array("i", ids).tobytes()
         if len(piece) <= 64:
             self[piece] = out
         return out
 
     def encode(self, text: str) -> bytes:
-        return b"".join([self[p] for p in self.pieces(text)])
+        return b"".join(map(self.__getitem__, self.pieces(text)))
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
