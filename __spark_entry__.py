@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 import sys
+import uuid
 from collections.abc import Callable
 
 _HERE = os.path.dirname(os.path.abspath(__file__))
@@ -32,12 +33,15 @@ from vitrine.operators.filters import ListingFilters, listing_filter
 from vitrine.operators.options import cascade_options, option_tree
 from vitrine.operators.quantiles import box_summary
 from vitrine.operators.scoring import LinearQuantileModel, score
-from vitrine.operators.validate import apply_defaults, validate
+from vitrine.operators.validate import apply_defaults, split_valid, validate
 from vitrine.plans.dashboard import dashboard_table, facet_lists
+from vitrine.plans import service
 from vitrine.plans.scoring_job import score_version
+from vitrine.session import ensure_checkpoint_dir
 from vitrine.sources import adapters
 from vitrine.sources.artifacts import artifact_catalog, missing_artifacts
-from vitrine.sources.registry import latest_version, registry_newest_first
+from vitrine.sources.listings import read_listings, snapshot_path
+from vitrine.sources.registry import latest_version, read_registry, registry_newest_first
 
 CFG = ListingConfig()
 SMALL_SF = "/root/testdata/sf0.001"
@@ -77,9 +81,12 @@ SEGMENT = ("brand", "Brand#22")
 MODEL = LinearQuantileModel({"power_hp_val": 310.0, "year": 2.5, "expert_risk_score": -40.0},
                             intercept=100.0, low=0.9, high=1.1)
 MODEL_VERSION = "v_linear"
+MODEL_B = LinearQuantileModel({"power_hp_val": 95.0, "year": 4.0}, intercept=-20.0, low=0.8, high=1.3)
 DRIFT_LI = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
             "l_extendedprice", "l_discount", "l_tax"]
 DRIFT_ORDERS = ["o_orderkey", "o_custkey", "o_totalprice"]
+#: Numeric columns as discovery orders them: price first, then schema order.
+DRIFT_DISCOVERED = ["price", "power_hp_val", "kb_year", "kb_mileage", "kb_fuel_cons_avg"]
 DRIFT_LISTINGS = ["price", "kb_year", "kb_mileage", "power_hp_val", "kb_fuel_cons_avg"]
 
 
@@ -307,6 +314,89 @@ def q_drift_segment_stats(spark, sf):
                     "vmin", "vmax")
 
 
+def _scratch(spark) -> str:
+    """A fresh folder under the checkpoint folder that all nodes share."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/queries-{uuid.uuid4().hex}"
+
+
+def q_listings_round_trip(spark, sf):
+    """The listings table written and read by the source, and the KPI of a table that is not there."""
+    root = _scratch(spark)
+    df = _listings(spark, sf).select("brand", "series", "model", "price")
+    df.write.parquet(f"{root}/{service.LISTINGS_FILE}")
+    there = service.listings(spark, root)
+    gone = read_listings(spark, f"{root}/none.parquet", on_missing="empty", schema=there.schema)
+    return A.kpi(there).select(F.lit("there").alias("source"), "total", np_round("avg_price", 4).alias("avg_price")).unionAll(
+        A.kpi(gone).select(F.lit("missing"), "total", np_round("avg_price", 4)))
+
+
+def _drift_snapshots(spark, sf) -> str:
+    """Two model versions' training snapshots: price not first, one feature with
+    NaN on both sides, one that the later version does not have a value of."""
+    root = _scratch(spark)
+    power = F.when(F.col("power_hp_val") % 10 == 3, F.lit(float("nan"))).when(
+        F.col("power_hp_val") % 10 == 4, F.lit(float("inf"))).otherwise(F.col("power_hp_val").cast("double"))
+    for version, df in zip(("v1", "v2"), adapters.listings_pair(spark, sf)):
+        km = F.col("kb_mileage") if version == "v1" else F.lit(None).cast("bigint")
+        df.select("brand", power.alias("power_hp_val"), "kb_year", km.alias("kb_mileage"), "price", "kb_fuel_cons_avg") \
+            .write.parquet(snapshot_path(root, version))
+    return root
+
+
+def q_version_drift(spark, sf):
+    """D9 with S2, F14 (no column list), F15 and A16 (a feature with an empty side is left out)."""
+    return service.get_drift_data(spark, _drift_snapshots(spark, sf), "v1", "v2").report()
+
+
+def q_registry_json_lines(spark, sf):
+    """S3, K1, V7: JSON Lines in several files, read back; positions follow files and lines."""
+    path = f"{_scratch(spark)}/registry"
+    adapters.registry_records(spark, sf).repartitionByRange(4, "pos").sortWithinPartitions("pos").drop("pos").write.json(path)
+    return _registry_rows(read_registry(spark, path, lines=True))
+
+
+def q_registry_json_array(spark, sf):
+    """The same records as one JSON array (one row per month: bounded)."""
+    path = f"{_scratch(spark)}/registry.json"
+    records = adapters.registry_records(spark, sf).agg(F.sort_array(F.collect_list(
+        F.struct("pos", "version_id", "date", "n_orders", "revenue"))).alias("a"))
+    entry = F.transform("a", lambda r: r.dropFields("pos"))
+    records.select(F.to_json(entry).alias("value")).write.text(path)
+    return _registry_rows(read_registry(spark, path))
+
+
+def _registry_rows(records: DataFrame) -> DataFrame:
+    return registry_newest_first(records).select(
+        "rank", "pos", "version_id", "date", F.col("extra")["n_orders"].cast("bigint").alias("n_orders"),
+        F.col("extra")["revenue"].cast("double").alias("revenue"))
+
+
+def q_rejected_requests(spark, sf):
+    """V4, V5: the rejected rows where fields have the wrong type: fractional years,
+    counts as text (some of it no integer), NaN mileages."""
+    ln = F.col("line")
+    raw = adapters.requests(spark, sf).withColumns({
+        "year": F.when(ln == 5, F.col("year") + 0.7).otherwise(F.col("year").cast("double")),
+        "cylinder_count": F.when(ln == 3, "six").when(ln == 4, "3.9").otherwise(F.col("cylinder_count").cast("string")),
+        "mileage": F.when(ln == 2, F.lit(float("nan"))).otherwise(F.col("mileage"))})
+    _, rejected = split_valid(validate(raw, keep=["request_id", "line"]))
+    return rejected.select("request_id", "line", F.concat_ws(",", "errors").alias("errors"))
+
+
+def q_score_two_models(spark, sf):
+    """Two models under one version name, each scored by its own values in one session."""
+    requests = adapters.requests(spark, sf)
+    out = [score(requests, m, MODEL_VERSION, keep=["request_id", "line"], method="arrow")[0].select(
+        F.lit(name).alias("model"), "request_id", "line", "price", "price_min", "price_max")
+        for name, m in (("a", MODEL), ("b", MODEL_B))]
+    return out[0].unionAll(out[1])
+
+
+def q_dashboard_empty(spark, sf):
+    """A3: the whole bundle over an empty selection."""
+    return _dashboard(spark, sf, EMPTY_FILTERS, fused=True)
+
+
 def q_artifact_catalog(spark, sf):
     return artifact_catalog(spark, sf).select("key", "version_id", "name", "kind", "length")
 
@@ -355,6 +445,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "drift_result_json": q_drift_result_json,
     "score_latest_version": q_score_latest_version,
     "drift_segment_stats": q_drift_segment_stats,
+    "listings_round_trip": q_listings_round_trip,
+    "version_drift": q_version_drift,
+    "registry_json_lines": q_registry_json_lines,
+    "registry_json_array": q_registry_json_array,
+    "rejected_requests": q_rejected_requests,
+    "score_two_models": q_score_two_models,
+    "dashboard_empty": q_dashboard_empty,
     "artifact_catalog": q_artifact_catalog,
     "missing_artifacts": q_missing_artifacts,
 }
@@ -611,8 +708,8 @@ def _errors_sql() -> list[tuple[str, str]]:
     return rules
 
 
-def _score_sql(version_sql: str | None = None) -> str:
-    q05, q50, q95 = MODEL.sql()
+def _score_sql(version_sql: str | None = None, model: LinearQuantileModel = MODEL) -> str:
+    q05, q50, q95 = model.sql()
     version = version_sql or f"'{MODEL_VERSION}'"
     reg = _registry_sql()[len("WITH "):].rstrip() + ", " if version_sql else ""
     feats = (f"SELECT request_id, line, power_hp_val, year, {_risk_sql()} AS expert_risk_score "
@@ -627,6 +724,32 @@ def _score_sql(version_sql: str | None = None) -> str:
             "expert_risk_score AS calculated_risk_score, 'TL' AS currency FROM pr")
 
 
+def _rejected_sql() -> str:
+    """The rules of ``_errors_sql`` with the type rules that the wrong fields of ``rejected_requests`` break."""
+    rules = []
+    for label, cond in _errors_sql():
+        if label == "missing:year":
+            label, cond = "type:year", "line = 5"
+        elif label == "missing:cylinder_count":
+            label, cond = "type:cylinder_count", "line IN (3, 4)"
+        elif label == "range:year":
+            cond = f"line <> 5 AND {cond}"
+        elif label == "range:mileage":
+            cond = f"line = 2 OR {cond}"  # NaN
+        rules.append(f"CASE WHEN {cond} THEN {_q(label)} END")
+    return (f"WITH {_requests_cte()}, dflt AS ({_defaults_sql()}), e AS (SELECT request_id, line, "
+            f"list_filter([{', '.join(rules)}], lambda x: x IS NOT NULL) AS errs FROM dflt) "
+            "SELECT request_id, line, array_to_string(errs, ',') AS errors FROM e WHERE len(errs) > 0")
+
+
+def _version_drift_sql() -> str:
+    power = ("CASE WHEN power_hp_val % 10 = 3 THEN 'nan'::DOUBLE WHEN power_hp_val % 10 = 4 THEN 'inf'::DOUBLE "
+             "ELSE CAST(power_hp_val AS DOUBLE) END AS power_hp_val")
+    return _drift_sql(f"SELECT * REPLACE ({power}) FROM listings WHERE kb_year < 1998",
+                      f"SELECT * REPLACE ({power}, CAST(NULL AS BIGINT) AS kb_mileage) FROM listings WHERE kb_year >= 1998",
+                      DRIFT_DISCOVERED, pre=f"listings AS ({adapters.listings_sql()}), ")
+
+
 def _registry_sql() -> str:
     return (
         "WITH g AS (SELECT date_trunc('month', o_orderdate) AS m, count(*) AS n_orders, "
@@ -658,6 +781,8 @@ def _oracle() -> dict[str, str]:
     err_list = ", ".join(f"CASE WHEN {c} THEN {_q(lbl)} END" for lbl, c in err_rules)
     reg = _registry_sql()
     order = "ORDER BY COALESCE(date, '') DESC, pos ASC"
+    json_rows = reg + (f", q AS (SELECT * REPLACE (row_number() OVER (ORDER BY pos) - 1 AS pos) FROM r) "
+                       f"SELECT row_number() OVER ({order}) AS rank, pos, version_id, date, n_orders, revenue FROM q")
     return {
         "price_trend_by_year": _with_listings() + (
             f"SELECT kb_year AS key, {_r('avg(price)')} AS avg_value FROM listings "
@@ -700,6 +825,17 @@ def _oracle() -> dict[str, str]:
         "registry_newest_first": reg + (
             f"SELECT row_number() OVER ({order}) AS rank, pos, version_id, date, n_orders, revenue FROM r"),
         "latest_version": reg + f"SELECT pos, version_id, date FROM r {order} LIMIT 1",
+        "listings_round_trip": _with_listings() + (
+            f"SELECT 'there' AS source, count(*) AS total, {_r('COALESCE(avg(price), 0.0e0)')} AS avg_price FROM listings "
+            "UNION ALL SELECT 'missing', 0, 0.0e0"),
+        "version_drift": _version_drift_sql(),
+        "registry_json_lines": json_rows,
+        "registry_json_array": json_rows,
+        "rejected_requests": _rejected_sql(),
+        "score_two_models": " UNION ALL ".join(
+            f"SELECT '{name}' AS model, request_id, line, price, price_min, price_max FROM ({_score_sql(model=m)})"
+            for name, m in (("a", MODEL), ("b", MODEL_B))),
+        "dashboard_empty": _dashboard_sql(EMPTY_FILTERS),
         "group_cardinality": _with_listings() + " UNION ALL ".join(
             f"SELECT {k} AS set_id, count(DISTINCT brand) AS n_groups FROM listings WHERE {filters_sql(f)}"
             for k, f in enumerate(FILTER_SETS, start=1)),
