@@ -39,7 +39,7 @@ from vitrine.plans import service
 from vitrine.plans.scoring_job import score_version
 from vitrine.session import ensure_checkpoint_dir
 from vitrine.sources import adapters
-from vitrine.sources.artifacts import artifact_catalog, missing_artifacts
+from vitrine.sources.artifacts import artifact_catalog, missing_artifacts, unlistable
 from vitrine.sources.listings import read_listings, snapshot_path
 from vitrine.sources.registry import latest_version, read_registry, registry_newest_first
 
@@ -397,6 +397,22 @@ def q_dashboard_empty(spark, sf):
     return _dashboard(spark, sf, EMPTY_FILTERS, fused=True)
 
 
+def q_version_artifacts(spark, sf):
+    """Of the versions, those of even months get artifact files; the catalog
+    tells the others (``missing``) and the names that no listing shows (``hidden``)."""
+    root = f"{_scratch(spark)}/artifacts"
+    versions = adapters.registry_records(spark, sf).select("pos", "version_id")
+    versions.where("pos % 2 = 0").select(F.col("pos").cast("string").alias("value"), "version_id") \
+        .write.partitionBy("version_id").text(root)
+    folder = F.concat(F.lit("version_id="), "version_id")
+    wanted = versions.select(folder.alias("key")).unionAll(
+        versions.where("pos % 3 = 0").select(F.concat(folder, F.lit("/_notes.json"))))
+    there = artifact_catalog(spark, root).select(F.col("version_id").alias("key")).distinct()
+    return there.select("key", F.lit("present").alias("state")).unionAll(
+        missing_artifacts(wanted, there).select("key", F.lit("missing"))).unionAll(
+        unlistable(wanted).select("key", F.lit("hidden")))
+
+
 def q_artifact_catalog(spark, sf):
     return artifact_catalog(spark, sf).select("key", "version_id", "name", "kind", "length")
 
@@ -452,6 +468,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rejected_requests": q_rejected_requests,
     "score_two_models": q_score_two_models,
     "dashboard_empty": q_dashboard_empty,
+    "version_artifacts": q_version_artifacts,
     "artifact_catalog": q_artifact_catalog,
     "missing_artifacts": q_missing_artifacts,
 }
@@ -832,6 +849,9 @@ def _oracle() -> dict[str, str]:
         "registry_json_lines": json_rows,
         "registry_json_array": json_rows,
         "rejected_requests": _rejected_sql(),
+        "version_artifacts": reg + (
+            "SELECT 'version_id=' || version_id AS key, CASE WHEN pos % 2 = 0 THEN 'present' ELSE 'missing' END AS state FROM r "
+            "UNION ALL SELECT 'version_id=' || version_id || '/_notes.json', 'hidden' FROM r WHERE pos % 3 = 0"),
         "score_two_models": " UNION ALL ".join(
             f"SELECT '{name}' AS model, request_id, line, price, price_min, price_max FROM ({_score_sql(model=m)})"
             for name, m in (("a", MODEL), ("b", MODEL_B))),

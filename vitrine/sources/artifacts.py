@@ -10,9 +10,12 @@ from __future__ import annotations
 
 import re
 
+from pyspark.errors import AnalysisException, PySparkAttributeError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vitrine.sources.listings import _missing
+
 
 def _root_uri(spark: SparkSession, root: str) -> str:
     """Qualified form of ``root`` as it appears in ``binaryFile`` paths."""
@@ -21,14 +24,15 @@ def _root_uri(spark: SparkSession, root: str) -> str:
         p = jvm.org.apache.hadoop.fs.Path(root)
         fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         return fs.makeQualified(p).toString().rstrip("/")
-    except Exception:  # no JVM gateway (e.g. Spark Connect): qualify local paths ourselves
+    except PySparkAttributeError:  # no JVM gateway (Spark Connect): qualify local paths ourselves
         import os
         return root.rstrip("/") if "://" in root else "file:" + os.path.abspath(root).rstrip("/")
 
 
 def artifact_catalog(spark: SparkSession, root: str) -> DataFrame:
     """(key, version_id, name, kind, length, modified) for every file
-    under ``root``; ``version_id`` is NULL for files directly in ``root``."""
+    under ``root``; ``version_id`` is NULL for files directly in ``root``. Names that
+    begin with ``_`` or ``.`` are hidden from Spark's file sources and not listed."""
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
              .select("path", "length", "modificationTime"))
     prefix = re.escape(_root_uri(spark, root) + "/")
@@ -44,16 +48,28 @@ def artifact_catalog(spark: SparkSession, root: str) -> DataFrame:
 
 
 def missing_artifacts(wanted: DataFrame, catalog: DataFrame, key: str = "key") -> DataFrame:
-    """Wanted keys that do not exist (left anti join on the key)."""
-    return wanted.join(catalog.select(F.col("key").alias(key)), key, "left_anti")
+    """Wanted keys that do not exist (left anti join on the key). Keys with a part
+    that begins with ``_`` or ``.`` cannot be listed, so none of them is called missing:
+    ``unlistable`` gives them."""
+    return wanted.where(~_hidden(key)).join(catalog.select(F.col("key").alias(key)), key, "left_anti")
+
+
+def unlistable(wanted: DataFrame, key: str = "key") -> DataFrame:
+    """Wanted keys of which a listing cannot tell whether they exist."""
+    return wanted.where(_hidden(key))
+
+
+def _hidden(key: str):
+    return F.coalesce(F.col(key).rlike(r"(^|/)[_.]"), F.lit(False))
 
 
 def read_artifact(spark: SparkSession, root: str, version_id: str, name: str) -> DataFrame:
     """(path, length, content) of one artifact; FileNotFoundError if absent."""
-    from pyspark.errors import AnalysisException
     try:
         return (spark.read.format("binaryFile")
                 .load(f"{root.rstrip('/')}/{version_id}/{name}")
                 .select("path", "length", "content"))
     except AnalysisException as exc:
-        raise FileNotFoundError(f"{version_id}/{name}") from exc
+        if _missing(exc):
+            raise FileNotFoundError(f"{version_id}/{name}") from exc
+        raise
