@@ -236,6 +236,35 @@ def test_equal_width_bin_equals_counting_edges(spark):
     assert list(counts) == list(want)
 
 
+def test_count_sorted_of_every_length(spark):
+    """Lengths on both sides of powers of two; a longer array is an error."""
+    from vitrine.functions.scalars import count_sorted
+    rows = [([float(i) for i in range(n)], 100.0) for n in range(10)]
+    df = spark.createDataFrame(rows, "a array<double>, v double")
+    for n in range(1, 10):
+        got = df.where(F.size("a") <= n).select(F.size("a").alias("n"), count_sorted("a", "v", max_len=n).alias("c"))
+        assert all(r.n == r.c for r in got.collect())
+    with pytest.raises(Exception, match="longer than max_len"):
+        df.select(count_sorted("a", "v", max_len=8)).collect()
+
+
+def test_histogram_of_a_narrow_feature(spark):
+    """Edges a few units in the last place apart coincide: values fall as NumPy has
+    them, bins of no width have no density, and the other feature keeps its bins."""
+    a = [1e16, 1e16 + 2, 1e16 + 4, 1e16 + 4]
+    ref = spark.createDataFrame([(v, float(i)) for i, v in enumerate(a)], "price double, x double")
+    curr = spark.createDataFrame([(v, float(i) + 0.5) for i, v in enumerate(a)], "price double, x double")
+    h = drift_histogram(ref, curr).orderBy("feature", "bin_index").toPandas()
+    edges = np.linspace(a[0], a[-1], 21)
+    k = np.histogram(a, bins=edges)[0]
+    want = [n / 4 / w if w else None for n, w in zip(k, np.diff(edges))]
+    got = h[h.feature == "price"]
+    assert len(got) == 20 and len(h) == 40
+    for g, w in zip(got.ref_density, want):
+        assert pd.isna(g) if w is None else g == pytest.approx(w)
+    assert h[h.feature == "x"].ref_density.notna().all()
+
+
 def test_bucketed_equals_one_window_on_real_tables(spark):
     """sf0.01 lineitem pair with a small target: every feature is split into many
     buckets (sample-sketched split points, offsets, edge next-values)."""

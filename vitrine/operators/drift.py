@@ -155,16 +155,14 @@ def drift_report(ref: DataFrame, curr: DataFrame, columns: list[str] | None = No
     ds = stats or drift_stats(ref, curr, columns, method, buckets, target_rows=target_rows)
     # the statistics are one row per feature (bounded by the schema): compute them
     # once, then finish the report on those rows; Python runs only for features
-    # on the exact branch, spread over tasks when there are many of them
+    # on the exact branch, spread over tasks by feature
     rows = ds.stats.collect()
     s = spark.createDataFrame(rows, ds.stats.schema)
     n1, n2 = F.col("n_ref"), F.col("n_curr")
     small = (n1 <= KS_EXACT_MAX_N) & (n2 <= KS_EXACT_MAX_N)
-    n_small = sum(1 for r in rows if r.n_ref <= KS_EXACT_MAX_N and r.n_curr <= KS_EXACT_MAX_N)
-    if n_small:
+    if any(r.n_ref <= KS_EXACT_MAX_N and r.n_curr <= KS_EXACT_MAX_N for r in rows):
         ship_package(spark)  # the exact p-value runs in a Pandas UDF
-        if n_small > 4:
-            s = s.repartition(min(n_small, spark.sparkContext.defaultParallelism), "fid")
+        s = s.repartition(min(len(rows), spark.sparkContext.defaultParallelism), "fid")
         p = ks_pvalue(F.col("ks"), "n_ref", "n_curr")
     else:
         p = asymptotic_pvalue(F.col("ks"), n1, n2)
@@ -187,7 +185,9 @@ def drift_histogram(ref: DataFrame, curr: DataFrame, columns: list[str] | None =
                     bins: int = HISTOGRAM_BINS, counts: DataFrame | None = None,
                     features: list[str] | None = None) -> DataFrame:
     """(feature, bin_index, bin, ref_density, curr_density); no rows for a
-    feature whose pooled min equals its max or that has an empty side."""
+    feature whose pooled min equals its max or that has an empty side. Where a
+    feature's range is so narrow that edges coincide, the densities of its bins
+    of no width are NULL; other bins and features are not affected."""
     features = features or drift_features(ref, curr, columns)
     # bins and extremes are partial aggregations: raw rows do (two tiny shuffles);
     # the tie-compressed counts (a shuffle of every distinct value) are only
@@ -216,8 +216,8 @@ def drift_histogram(ref: DataFrame, curr: DataFrame, columns: list[str] | None =
             .join(feature_names(ref.sparkSession, features), "fid")
             .select("feature", "bin_index",
                     np_round((lo + hi) / F.lit(2.0), 2).alias("bin"),
-                    (k_ref / width / F.col("n_ref")).alias("ref_density"),
-                    (k_curr / width / F.col("n_curr")).alias("curr_density")))
+                    (F.try_divide(k_ref, width) / F.col("n_ref")).alias("ref_density"),
+                    (F.try_divide(k_curr, width) / F.col("n_curr")).alias("curr_density")))
 
 
 def drift_result(report: DataFrame, histogram: DataFrame) -> DataFrame:
