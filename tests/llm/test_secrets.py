@@ -87,3 +87,19 @@ def test_edges(spark):
     assert secrets.redact_text("abcdef", [(0, 0, 3), (2, 1, 4)]) == "[secret]ef"
     plain = spark.createDataFrame([(1, "x" * 20 + "1")], "doc_id long, text string").withColumn("z", F.lit(1))
     assert secrets.digest(secrets.scan(plain, secrets.fit(plain))).first().spans == ""
+
+
+def test_planted_unlabelled_credentials_are_reported(spark):
+    """Few candidates, so that all of them are in the sample of other tokens."""
+    rng = random.Random(8)
+
+    def key():
+        return "sk_" + "".join(rng.choice(string.ascii_uppercase + string.digits) for _ in range(24))
+
+    planted, others = [key() for _ in range(6)], [word(rng) + "-draft" for _ in range(60)]
+    texts = [f"the api_key = {key()} is old" for _ in range(80)] + [f"see {k} here" for k in planted] + [f"as {w} has it" for w in others]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.id: [texts[r.id][a:b] for a, b, k in zip(r.starts, r.ends, r.kinds) if k == len(secrets.KINDS)]
+           for r in secrets.scan(df, secrets.fit(df)).collect()}
+    assert [got[80 + k] for k in range(6)] == [[p] for p in planted]
+    assert sum(map(len, got.values())) == 6

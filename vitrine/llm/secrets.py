@@ -6,8 +6,11 @@ character classes) whose statistically compatible states are merged (ALERGIA:
 two states are compatible if the frequencies of ending and of every next symbol,
 and recursively those of their successors, differ by less than a Hoeffding
 bound). A second automaton is inferred from other long tokens. Every candidate
-token of every text is scored by the log-likelihood ratio of the two formats per
-symbol, and reported where it passes a threshold set on the training samples.
+token of every text is scored by the log-likelihood ratio of the two formats, and
+reported where the ratio reaches the number n of different candidates in all
+texts, at least ``LEAST_RATIO``. A token of the second format reaches a ratio of n
+with a probability of at most 1/n, so about one of them is reported by chance; no
+token's own score moves the threshold.
 
 Texts are read twice: once for the credentials, once for the spans. Only the two
 samples (``SAMPLE`` strings each, at most ``LONGEST`` characters) reach the driver.
@@ -33,6 +36,11 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 
 #: Most credentials, and most other tokens, that the automata are inferred from.
 SAMPLE = 600
+#: Least likelihood ratio at which a token is reported, however few the candidates.
+LEAST_RATIO = 1000
+#: Times that the second automaton is inferred anew, without the strings of its sample
+#: that the credentials' format explains better: unlabelled credentials among them.
+REFITS = 2
 #: Longer strings are not used for training (they are still scored).
 LONGEST = 128
 #: Confidence parameter of the Hoeffding bound.
@@ -149,24 +157,27 @@ class Automaton:
 
 
 class SecretModel:
-    """Two automata and the threshold on the ratio of their likelihoods.
+    """Two automata and the threshold on the log of the ratio of their likelihoods.
 
-    The threshold is the larger of the 1 % quantile of the credentials' scores and
-    the 99.9 % quantile of the other tokens', and is positive; without credentials
-    nothing is reported, without other tokens their automaton is uniform.
+    ``n_candidates``: different candidates of the corpus, by default the number of
+    ``others``. Without credentials nothing is reported, without other tokens their
+    automaton is uniform.
     """
 
-    def __init__(self, credentials: list[str], others: list[str]):
+    def __init__(self, credentials: list[str], others: list[str], n_candidates: int | None = None):
         self.secret = Automaton([symbols(s) for s in credentials]) if credentials else None
         self.other = Automaton([symbols(s) for s in others])
-        low = sorted(map(self.score, credentials))
-        high = sorted(map(self.score, others)) if credentials else []
-        self.threshold = max(0.05, low[len(low) // 100] if low else math.inf,
-                             high[min(len(high) - 1, len(high) * 999 // 1000)] + 1e-9 if high else 0.0)
+        n = len(others) if n_candidates is None else n_candidates
+        for _ in range(REFITS if credentials else 0):
+            plain = [s for s in others if self.score(s) <= 0]
+            if len(plain) == len(others):
+                break
+            others, self.other = plain, Automaton([symbols(s) for s in plain])
+        self.threshold = math.log(max(LEAST_RATIO, n))
 
     def score(self, token: str) -> float:
         s = symbols(token)
-        return self.secret.likelihood(s) - self.other.likelihood(s) if self.secret else -math.inf
+        return (self.secret.likelihood(s) - self.other.likelihood(s)) * (len(s) + 1) if self.secret else -math.inf
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, int]]:
@@ -203,8 +214,9 @@ def find_spans(text: str, model: SecretModel) -> list[tuple[int, int, int]]:
 
 
 def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> SecretModel:
-    """Infer the automata from the corpus's credentials and its other long tokens:
-    of each, the ``sample`` different strings with the smallest hash."""
+    """Infer the automata from the corpus's credentials and its other long tokens: of
+    each, the ``sample`` different strings with the smallest hash. The threshold
+    follows the number of all different candidates."""
     ship(docs.sparkSession)
 
     def run(batches):
@@ -216,7 +228,7 @@ def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Secret
                 text = t.as_py() or ""
                 base = base_spans(text)
                 secret.update(text[v:e] for _, _, e, v in base if e - v <= LONGEST)
-                other.update(text[a:e] for a, e in candidates(text, base) if e - a <= LONGEST)
+                other.update(text[a:e] for a, e in candidates(text, base))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([True] * len(secret) + [False] * len(other)), pa.array([*secret, *other], pa.string())],
                 names=["secret", "token"])
@@ -225,10 +237,10 @@ def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Secret
                   .mapInArrow(run, "secret boolean, token string").distinct())
 
     def draw(which: bool) -> list[str]:
-        top = seen.where(F.col("secret") == which).orderBy(F.xxhash64("token"), "token").limit(sample)
+        top = seen.where((F.col("secret") == which) & (F.length("token") <= LONGEST)).orderBy(F.xxhash64("token"), "token").limit(sample)
         return sorted(r.token for r in top.collect())
 
-    return SecretModel(draw(True), draw(False))
+    return SecretModel(draw(True), draw(False), seen.where("NOT secret").count())
 
 
 def scan(docs: DataFrame, model: SecretModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
