@@ -103,3 +103,26 @@ def test_planted_unlabelled_credentials_are_reported(spark):
            for r in secrets.scan(df, secrets.fit(df)).collect()}
     assert [got[80 + k] for k in range(6)] == [[p] for p in planted]
     assert sum(map(len, got.values())) == 6
+
+
+def test_short_and_partly_covered_tokens_are_scored(spark):
+    rng = random.Random(9)
+
+    def draw(letters, n):
+        return "".join(rng.choice(letters) for _ in range(n))
+
+    def short():
+        return draw(string.ascii_uppercase, 12)
+
+    planted = [short() for _ in range(4)]  # no digit, under 16 characters
+    split = "xy" + draw("0123456789abcdef", 30) + "-"  # hex inside, head and tail outside
+    texts = [f"the token = {short()} and {draw('0123456789abcdef', 40)} go" for _ in range(60)]
+    texts += [" ".join(draw(string.ascii_lowercase, rng.randint(4, 9)) for _ in range(30)) for _ in range(20)]
+    texts += [f"see {k} here" for k in planted] + [f"or {split} there"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = secrets.fit(df)
+    got = {r.doc_id: r.text for r in secrets.redact(df, model).collect()}
+    assert [got[80 + k] for k in range(4)] == ["see [secret] here"] * 4
+    assert got[84] == "or [secret] there"
+    assert [got[k] for k in range(60, 80)] == texts[60:80]
+    assert [c[:2] for c in secrets.candidates("token=abcdef1 token=abcdef1/x", secrets.base_spans("token=abcdef1 token=abcdef1/x"))] == []

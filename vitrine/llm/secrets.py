@@ -5,14 +5,15 @@ probabilistic automaton is inferred: a prefix tree of the credentials (over
 character classes) whose statistically compatible states are merged (ALERGIA:
 two states are compatible if the frequencies of ending and of every next symbol,
 and recursively those of their successors, differ by less than a Hoeffding
-bound). A second automaton is inferred from other long tokens. Every candidate
-token of every text is scored by the log-likelihood ratio of the two formats, and
+bound). Two more automata are inferred from other tokens, those with and those
+without a digit, and weighted by their shares of all such tokens. Every token of
+``LEAST`` characters or more that does not lie inside a base span is scored by the log-likelihood ratio of the two formats, and
 reported where the ratio reaches the number n of different candidates in all
-texts, at least ``LEAST_RATIO``. A token of the second format reaches a ratio of n
+texts, at least ``LEAST_RATIO``. A token of the other formats reaches a ratio of n
 with a probability of at most 1/n, so about one of them is reported by chance; no
 token's own score moves the threshold.
 
-Texts are read twice: once for the credentials, once for the spans. Only the two
+Texts are read twice: once for the credentials, once for the spans. Only the three
 samples (``SAMPLE`` strings each, at most ``LONGEST`` characters) reach the driver.
 """
 
@@ -32,17 +33,22 @@ GRAMMAR = "grammar"
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # a run of 20 or more: shorter runs hold no longer match
 HEX = re.compile(r"[0-9a-f]{24,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+#: Least length of assigned credentials, and of the tokens that are scored.
+LEAST = 6
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % LEAST)
+DIGIT = re.compile(r"[0-9]")
 
-#: Most credentials, and most other tokens, that the automata are inferred from.
+#: Most credentials, and most other tokens with and without a digit, that the automata are inferred from.
 SAMPLE = 600
 #: Least likelihood ratio at which a token is reported, however few the candidates.
 LEAST_RATIO = 1000
-#: Times that the second automaton is inferred anew, without the strings of its sample
-#: that the credentials' format explains better: unlabelled credentials among them.
+#: Times that the automata of other tokens are inferred anew, without the strings of their
+#: samples that the credentials' format explains better: unlabelled credentials among them.
 REFITS = 2
 #: Longer strings are not used for training (they are still scored).
 LONGEST = 128
+#: Scores that a Python worker remembers.
+REMEMBERED = 1 << 18
 #: Confidence parameter of the Hoeffding bound.
 ALPHA = 0.05
 
@@ -157,39 +163,55 @@ class Automaton:
 
 
 class SecretModel:
-    """Two automata and the threshold on the log of the ratio of their likelihoods.
+    """The automata and the threshold on the log of the ratio of their likelihoods.
 
-    ``n_candidates``: different candidates of the corpus, by default the number of
-    ``others``. Without credentials nothing is reported, without other tokens their
-    automaton is uniform.
+    ``n_candidates``: different candidates of the corpus without and with a digit, by
+    default those of ``others``. Without credentials nothing is reported; an automaton
+    without tokens is uniform.
     """
 
-    def __init__(self, credentials: list[str], others: list[str], n_candidates: int | None = None):
+    def __init__(self, credentials: list[str], others: list[str], n_candidates: tuple[int, int] | None = None):
+        sorts = [[s for s in others if bool(DIGIT.search(s)) == digit] for digit in (False, True)]
+        counts = n_candidates or [len(x) for x in sorts]
         self.secret = Automaton([symbols(s) for s in credentials]) if credentials else None
-        self.other = Automaton([symbols(s) for s in others])
-        n = len(others) if n_candidates is None else n_candidates
+        self.share = [math.log((n + 1) / (sum(counts) + 2)) for n in counts]
+        self.other = [Automaton([symbols(s) for s in x]) for x in sorts]
+        self.known: dict[str, bool] = {}
         for _ in range(REFITS if credentials else 0):
-            plain = [s for s in others if self.score(s) <= 0]
-            if len(plain) == len(others):
+            plain = [[s for s in x if self.score(s) <= 0] for x in sorts]
+            if plain == sorts:
                 break
-            others, self.other = plain, Automaton([symbols(s) for s in plain])
-        self.threshold = math.log(max(LEAST_RATIO, n))
+            sorts, self.other = plain, [Automaton([symbols(s) for s in x]) for x in plain]
+        self.threshold = math.log(max(LEAST_RATIO, sum(counts)))
 
     def score(self, token: str) -> float:
-        s = symbols(token)
-        return (self.secret.likelihood(s) - self.other.likelihood(s)) * (len(s) + 1) if self.secret else -math.inf
+        if not self.secret:
+            return -math.inf
+        s, sort = symbols(token), 1 if DIGIT.search(token) else 0
+        return (self.secret.likelihood(s) - self.other[sort].likelihood(s)) * (len(s) + 1) - self.share[sort]
+
+    def reports(self, token: str) -> bool:
+        got = self.known.get(token)
+        if got is None:
+            got = self.score(token) >= self.threshold
+            if len(token) <= LONGEST:
+                if len(self.known) >= REMEMBERED:
+                    self.known.clear()
+                self.known[token] = got
+        return got
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, int]]:
     """``(start, kind, end, start of the credential)``, by start and kind."""
-    out = [(m.start(), 0, m.end(), m.start(2)) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
+    out = [(m.start(), 0, m.end(), m.start(2)) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= LEAST]
     out += [(m.start(), 1, m.end(), m.start()) for m in ACCESS.finditer(text)]
     out += [(m.start(), 2, m.end(), m.start()) for m in HEX.finditer(text)]
     return sorted(out)
 
 
-def candidates(text: str, base: list[tuple[int, int, int, int]]) -> list[tuple[int, int]]:
-    """Long tokens with a digit that overlap no base span."""
+def candidates(text: str, base: list[tuple[int, int, int, int]]) -> list[tuple[int, int, bool]]:
+    """``(start, end, touched)`` of the tokens that do not lie inside a base span (or a
+    run of overlapping ones); ``touched``: a base span covers a part."""
     merged: list[list[int]] = []
     for a, _, b, _ in base:
         if merged and a <= merged[-1][1]:
@@ -199,9 +221,11 @@ def candidates(text: str, base: list[tuple[int, int, int, int]]) -> list[tuple[i
     starts = [a for a, _ in merged]
     out = []
     for m in CANDIDATE.finditer(text):
-        k = bisect_right(starts, m.end() - 1) - 1
-        if (k < 0 or merged[k][1] <= m.start()) and any(c in "0123456789" for c in m[0]):
-            out.append(m.span())
+        a, b = m.span()
+        k = bisect_right(starts, b - 1) - 1
+        touched = k >= 0 and merged[k][1] > a
+        if not touched or a < merged[k][0] or merged[k][1] < b:
+            out.append((a, b, touched))
     return out
 
 
@@ -209,38 +233,46 @@ def find_spans(text: str, model: SecretModel) -> list[tuple[int, int, int]]:
     """``(start, kind, end)`` of base and inferred spans, by start and kind."""
     base = base_spans(text)
     out = [(a, k, b) for a, k, b, _ in base]
-    out += [(a, len(KINDS), b) for a, b in candidates(text, base) if model.score(text[a:b]) >= model.threshold]
+    if model.secret and any(model.reports(t) for t in set(CANDIDATE.findall(text))):
+        out += [(a, len(KINDS), b) for a, b, _ in candidates(text, base) if model.reports(text[a:b])]
     return sorted(out)
 
 
 def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> SecretModel:
-    """Infer the automata from the corpus's credentials and its other long tokens: of
-    each, the ``sample`` different strings with the smallest hash. The threshold
-    follows the number of all different candidates."""
+    """Infer the automata from the corpus's credentials and its other tokens, with and
+    without a digit, that no base span touches: of each, the ``sample`` different strings
+    with the smallest hash. The threshold follows the number of all different candidates."""
     ship(docs.sparkSession)
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            secret, other = set(), set()
+            kinds = [set(), set(), set()]  # other tokens without and with a digit, credentials
+            tokens = set()
             for t in b.column(0):
                 text = t.as_py() or ""
                 base = base_spans(text)
-                secret.update(text[v:e] for _, _, e, v in base if e - v <= LONGEST)
-                other.update(text[a:e] for a, e in candidates(text, base))
+                if base:
+                    kinds[2].update(text[v:e] for _, _, e, v in base if e - v <= LONGEST)
+                    tokens.update(text[a:e] for a, e, touched in candidates(text, base) if not touched)
+                else:
+                    tokens.update(CANDIDATE.findall(text))
+            for token in tokens:
+                kinds[1 if DIGIT.search(token) else 0].add(token)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([True] * len(secret) + [False] * len(other)), pa.array([*secret, *other], pa.string())],
-                names=["secret", "token"])
+                [pa.array([k for k, x in enumerate(kinds) for _ in x], pa.int32()),
+                 pa.array([s for x in kinds for s in x], pa.string())], names=["kind", "token"])
 
     seen = freeze(docs.select(F.col(text_col).cast("string").alias("text"))
-                  .mapInArrow(run, "secret boolean, token string").distinct())
+                  .mapInArrow(run, "kind int, token string").distinct())
 
-    def draw(which: bool) -> list[str]:
-        top = seen.where((F.col("secret") == which) & (F.length("token") <= LONGEST)).orderBy(F.xxhash64("token"), "token").limit(sample)
+    def draw(kind: int) -> list[str]:
+        top = seen.where((F.col("kind") == kind) & (F.length("token") <= LONGEST)).orderBy(F.xxhash64("token"), "token").limit(sample)
         return sorted(r.token for r in top.collect())
 
-    return SecretModel(draw(True), draw(False), seen.where("NOT secret").count())
+    count = {r.kind: r["count"] for r in seen.groupBy("kind").count().collect()}
+    return SecretModel(draw(2), draw(0) + draw(1), (count.get(0, 0), count.get(1, 0)))
 
 
 def scan(docs: DataFrame, model: SecretModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
