@@ -12,27 +12,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.llm import bpe, langid, mixing, secrets, simhash
-from vitrine.llm.common import shared_dir, table
+from vitrine.llm.common import freeze, shared_dir, table
 from vitrine.llm.queries import LANGUAGES, MAX_REPETITION, tokenizer
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a unique ``_row``, written out: ids may be null or repeated, row numbers may not change."""
+    return freeze(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of no known language go: other scripts, and texts without letters.
-    Null, empty and letterless texts go too; a null id is judged by its own rows' class."""
-    docs = docs.select(*COLUMNS)
-    judged = langid.identify(docs, LANGUAGES, declared=F.col("lang"), host=F.col("source"))
-    gone = judged.where("NOT kept").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    Null, empty and letterless texts go too; every row is judged by itself, whatever its id."""
+    rows = _numbered(docs)
+    model = langid.fit_text_model(rows, F.col("lang"), LANGUAGES)
+    judged = langid.identify(rows, LANGUAGES, declared=F.col("lang"), host=F.col("source"), model=model, id_col="_row")
+    gone = judged.where("NOT kept").select(F.col("id").alias("_row"))
+    return rows.join(gone, "_row", "left_anti").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash class stays, the one with the smallest doc_id:
-    three-word shingles, at most three bits apart. Rows without an id go."""
-    docs = docs.select(*COLUMNS)
-    gone = simhash.simhash_classes(docs, shingle=3, max_bits=3).where("NOT kept").select(F.col("id").alias("doc_id")).distinct()
-    return docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each SimHash class stays, the one with the smallest doc_id (nulls
+    last, then the first row): three-word shingles, at most three bits apart."""
+    rows = _numbered(docs)
+    classes = simhash.simhash_classes(rows, id_col="_row", shingle=3, max_bits=3).select(F.col("id").alias("_row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
+    first = rows.select("_row", "doc_id").join(classes, "_row").groupBy("component_id").agg(F.min_by("_row", order).alias("_row"))
+    return rows.join(first, "_row", "left_semi").select(*COLUMNS)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

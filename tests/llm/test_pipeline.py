@@ -63,3 +63,16 @@ def test_stages_on_edges(spark):
 def test_run(spark):
     out = C.run(spark, SF_SMALL)
     assert out.count() > 150 and out.where("NOT decoded_ok").count() == 0
+
+
+def test_filters_decide_by_row(spark):
+    """Null and repeated ids: neither do they save a rejected row nor drop a clean one."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    english, other = "the and of that with " * 30, "one two three four five six seven eight nine ten " * 20
+    df = spark.createDataFrame([(1, english, "en", "s", 0), (1, "", "en", "s", 0), (None, None, "en", "s", 0), (None, "12 34", "en", "s", 0)], schema)
+    assert [(r.doc_id, r.text) for r in C.language(spark, df, SF_SMALL).collect()] == [(1, english)]
+    df = spark.createDataFrame([(9, english, "en", "s", 0), (9, english, "en", "s", 0), (None, english, "en", "s", 0), (None, other, "en", "s", 0),
+                                (2, "la le les des un une " * 25, "fr", "s", 0), (9, "der die das und ist ein " * 25, "de", "s", 0),
+                                (3, "la le les des un une " * 25, "fr", "s", 0)], schema)
+    got = C.near_duplicates(spark, df, SF_SMALL).collect()
+    assert sorted((r.doc_id or 0, r.text[:3]) for r in got) == [(0, "one"), (2, "la "), (9, "der"), (9, "the")]
