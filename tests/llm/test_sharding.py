@@ -61,3 +61,15 @@ def test_slots_over_several_parts(spark, monkeypatch):
     monkeypatch.setattr(sharding, "SLOT_ROWS", 10)
     df = spark.range(500).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
     check(sharding.shard(df, 3).collect(), {i: [f"t{i}"] for i in range(500)}, 3, 40)
+
+
+def test_sources_with_a_common_prefix_are_split(spark, monkeypatch):
+    """Of several sources of one size, each lies in few shards, whatever their names begin with."""
+    rows = [(i * 7919 % 4000, f"text {i:06d}", f"https://host{i % 8}.example", "en") for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    source = {i: s for i, _, s, _ in rows}
+    for limit in (sharding.BROADCAST_VALUES, 3):  # broadcast, salted shuffle
+        monkeypatch.setattr(sharding, "BROADCAST_VALUES", limit)
+        got = sharding.shard(df, 8).collect()
+        by = check(got, {i: [t] for i, t, _, _ in rows}, 8, 40 * 27)
+        assert sum(len({source[r.id] for r in rs}) for rs in by.values()) <= 32  # 64 where the source counts for nothing

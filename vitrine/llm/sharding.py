@@ -22,7 +22,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import freeze, with_group
+from vitrine.llm.common import broadcast_if_small, freeze, with_group
+from vitrine.operators.ranking import global_rank
 
 COORD_BITS, TEXT_BITS, ID_BITS = 20, 21, 21
 TIE_BITS = TEXT_BITS + ID_BITS
@@ -33,12 +34,20 @@ GROUP_TOLERANCE = 0.05
 OVERHEAD = 16
 #: Rows that one task numbers.
 SLOT_ROWS = 1 << 20
+#: More distinct values of a source or language than this are joined by salted shuffle instead of broadcast.
+BROADCAST_VALUES = 20_000
 
 
-def _prefix(c: Column) -> Column:
-    """The first six bytes as a number, in the order of the strings; null: -1."""
-    hexed = F.rpad(F.substring(F.hex(F.encode(c.cast("string"), "UTF-8")), 1, 12), 12, "0")
-    return F.coalesce(F.conv(hexed, 16, 10).cast("double"), F.lit(-1.0))
+def _ranked(rows: DataFrame, column: str) -> DataFrame:
+    """``rows`` with the strings of ``column`` replaced by their rank among its different values; null: -1."""
+    values = rows.where(F.col(column).isNotNull()).select(column).distinct()
+    ranks = freeze(global_rank(values, [F.col(column)], "_rank"))
+    small = broadcast_if_small(ranks, BROADCAST_VALUES)
+    if small is not ranks:
+        out = rows.join(small, column, "left")
+    else:
+        out = with_group(rows, ranks, column, F.struct("id", "th"))
+    return out.withColumn(column, F.coalesce(F.col("_rank").cast("double"), F.lit(-1.0))).drop("_rank")
 
 
 @dataclass
@@ -127,19 +136,26 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
     """``(id, size, text_crc32, law, shard, slot, grown_shard)``, one row per row of ``docs``.
 
     ``dims``: numeric metadata columns; by default the logarithm of the size and,
-    as far as ``docs`` has them, source, language and id. Null metadata is the lowest
+    as far as ``docs`` has them, the ranks of source and language among their
+    different values, and the id. Null metadata is the lowest
     coordinate, a null text has no bytes and is not a copy of an empty one. Rows of
     one id and text are copies like any other; shards may be empty where documents are
     few; an empty table gives an empty result.
     """
     text = F.col(text_col).cast("string")
+    names = 0  # so many of the first dimensions are strings
     if dims is None:
-        dims = {c: _prefix(F.col(c)) for c in ("source", "lang") if c in docs.columns}
+        dims = {c: F.col(c).cast("string") for c in ("source", "lang") if c in docs.columns}
+        names = len(dims)
         dims |= {"id": F.coalesce(F.col(id_col).cast("double"), F.lit(-1.0))}
     size = (F.coalesce(F.octet_length(text), F.lit(0)) + OVERHEAD).cast("long")
     meta = freeze(docs.select(
         F.col(id_col).cast("long").alias("id"), size.alias("size"), F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"),
         F.xxhash64(text.isNull(), text).alias("th"), *[c.alias(f"m{k}") for k, c in enumerate(dims.values())]))
+    for k in range(names):
+        meta = _ranked(meta, f"m{k}")
+    if names:
+        meta = freeze(meta)
     n = len(dims)
     groups = meta.groupBy("th").agg(F.count(F.lit(1)).alias("copies"), *[F.min(f"m{k}").alias(f"g{k}") for k in range(n)])
     meta = with_group(meta, groups.where("copies > 1"), "th", F.col("id"))
