@@ -88,3 +88,15 @@ def test_large_tables_are_joined_by_shuffle(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BROADCAST_ROWS", 1)
     got = sorted(r.doc_id for r in mixing.realise(docs, mixing.mix(docs, max_repetition=2.0, block_tokens=300)).collect())
     assert got == want
+
+
+def test_blocks_follow_rows_too(spark):
+    """A source of empty and very short texts: no block holds all its rows."""
+    n = 3 * mixing.BLOCK_ROWS
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("empty").alias("source"), F.lit("").alias("text"))
+    docs = docs.unionAll(spark.range(n, n + 50).select("id", F.lit("big"), F.lit("a b c")))
+    m = mixing.mix(docs, max_repetition=2.0)
+    assert {r._key: r.n_blocks for r in m.sources.collect()} == {"=empty": 3, "=big": 1}
+    rows = mixing.realise(docs, m).where("source = 'empty' AND mix_epoch = 0")
+    sizes = [r["count"] for r in rows.groupBy("mix_block").count().collect()]
+    assert sum(sizes) == n and max(sizes) < 1.1 * mixing.BLOCK_ROWS

@@ -9,7 +9,7 @@
 3. The budget is a number of tokens, or by default the smallest at which every
    source is used whole at least once, so that no document is left out.
 4. A source's quota is realised as epochs. Its documents lie in blocks of about
-   ``block_tokens`` tokens (by a hash of the id); every epoch takes the blocks in
+   ``block_tokens`` tokens and at most about ``block_rows`` rows (by a hash of the id); every epoch takes the blocks in
    its own permutation, and the last epoch ends where the quota is used up: whole
    blocks, and of one more the documents with the smallest hashes that still fit.
 
@@ -29,6 +29,8 @@ from vitrine.llm.common import SALTS, broadcast_if_small, freeze
 POINTS = 33
 ROUNDS = 6
 BLOCK_TOKENS = 1 << 18
+#: Rows of a block, about: a source of many short or empty texts has more blocks than its tokens ask for.
+BLOCK_ROWS = 1 << 14
 #: Larger tables of sources or blocks are joined by shuffle instead of broadcast.
 BROADCAST_ROWS = 50_000
 WORD = r"[^\x20\x09-\x0D]+"
@@ -122,7 +124,7 @@ def _with_sources(rows: DataFrame, sources: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
         entropy: float | None = None, max_repetition: float | None = None, budget_tokens: int | None = None,
-        block_tokens: int = BLOCK_TOKENS, seed: int = 17) -> Mixture:
+        block_tokens: int = BLOCK_TOKENS, seed: int = 17, block_rows: int = BLOCK_ROWS) -> Mixture:
     """Solve the mixture of ``docs``.
 
     Tokens are words; null and empty texts have none. A null source is a source of
@@ -140,7 +142,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     reps = F.when(F.col("p") > 0, F.round(F.pow("p", F.lit(t - 1)) / z * ratio, 9)).otherwise(F.lit(1.0))
     sources = freeze(shares.select(
         "_key", "total", F.pow("p", F.lit(t)).alias("w"), reps.alias("repetitions"),
-        F.greatest(F.lit(1), F.ceil(F.col("total") / F.lit(float(block_tokens)))).cast("long").alias("n_blocks"))
+        F.greatest(F.lit(1), F.ceil(F.col("total") / F.lit(float(block_tokens))),
+                   F.ceil(F.col("n_docs") / F.lit(float(block_rows)))).cast("long").alias("n_blocks"))
         .withColumn("weight", F.when(F.col("total") > 0, F.col("w") / z).otherwise(0.0)).drop("w")
         .withColumn("full", F.floor("repetitions").cast("int"))
         .withColumn("rest", (F.col("repetitions") - F.floor("repetitions")) * F.col("total")))
