@@ -11,6 +11,7 @@ sides; sums of prices are compared in integer cents.
 
 from __future__ import annotations
 
+import json
 import os
 import sys
 import uuid
@@ -23,7 +24,7 @@ if _HERE not in sys.path:
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.config import DAMAGE_PARTS, RADAR_AXES, ListingConfig
+from vitrine.config import DAMAGE_PARTS, LISTINGS_FILE, RADAR_AXES, SHAP_FILE, ListingConfig
 from vitrine.functions.ks import sql_asymptotic_pvalue
 from vitrine.functions.scalars import np_round, risk_score, sql_np_round
 from vitrine.operators import aggregates as A
@@ -32,14 +33,14 @@ from vitrine.operators.drift import (drift_histogram, drift_report, drift_result
 from vitrine.operators.filters import ListingFilters, listing_filter
 from vitrine.operators.options import cascade_options, option_tree
 from vitrine.operators.quantiles import box_summary
-from vitrine.operators.scoring import LinearQuantileModel, score
+from vitrine.operators.scoring import LinearQuantileModel, score, score_tagged
 from vitrine.operators.validate import apply_defaults, split_valid, validate
-from vitrine.plans.dashboard import dashboard_table, facet_lists
+from vitrine.plans.dashboard import dashboard, dashboard_long, dashboard_table, facet_lists
 from vitrine.plans import service
 from vitrine.plans.scoring_job import score_version
 from vitrine.session import ensure_checkpoint_dir
 from vitrine.sources import adapters
-from vitrine.sources.artifacts import artifact_catalog, missing_artifacts, unlistable
+from vitrine.sources.artifacts import artifact_catalog, missing_artifacts, read_artifacts, read_object, write_artifacts
 from vitrine.sources.listings import read_listings, snapshot_path
 from vitrine.sources.registry import latest_version, read_registry, registry_newest_first
 
@@ -246,11 +247,6 @@ def q_drift_report_identical(spark, sf):
     return _drift(spark, sf, "identical")
 
 
-def q_drift_report_simple(spark, sf):
-    ref, curr = adapters.lineitem_pair(spark, sf, "drifted")
-    return drift_report(ref, curr, DRIFT_LI, method="simple")
-
-
 def q_drift_report_orders(spark, sf):
     ref, curr = adapters.orders_pair(spark, sf)
     return drift_report(ref, curr, DRIFT_ORDERS)
@@ -276,17 +272,8 @@ def q_drift_segment(spark, sf):
 
 
 def q_group_cardinality(spark, sf):
-    # A10 under every filter set in one pass: group by brand once, keep per
-    # brand whether any row passes each set, then count brands per set
-    df = _listings(spark, sf).where(F.col(CFG.brand).isNotNull())
-    per_brand = df.groupBy(CFG.brand).agg(*[
-        F.max(F.coalesce(listing_filter(f, CFG), F.lit(False)).cast("int")).alias(f"h{k}")
-        for k, f in enumerate(FILTER_SETS, start=1)])
-    wide = per_brand.agg(*[F.count_if(F.col(f"h{k}") == 1).alias(f"g{k}")
-                           for k in range(1, len(FILTER_SETS) + 1)])
-    return wide.select(F.inline(F.array(*[
-        F.struct(F.lit(k).alias("set_id"), F.col(f"g{k}").alias("n_groups"))
-        for k in range(1, len(FILTER_SETS) + 1)])))
+    """A10 under every filter set in one pass."""
+    return A.group_cardinality(_listings(spark, sf), CFG.brand, [listing_filter(f, CFG) for f in FILTER_SETS])
 
 
 def q_option_tree(spark, sf):
@@ -323,7 +310,7 @@ def q_listings_round_trip(spark, sf):
     """The listings table written and read by the source, and the KPI of a table that is not there."""
     root = _scratch(spark)
     df = _listings(spark, sf).select("brand", "series", "model", "price")
-    df.write.parquet(f"{root}/{service.LISTINGS_FILE}")
+    df.write.parquet(f"{root}/{LISTINGS_FILE}")
     there = service.listings(spark, root)
     gone = read_listings(spark, f"{root}/none.parquet", on_missing="empty", schema=there.schema)
     return A.kpi(there).select(F.lit("there").alias("source"), "total", np_round("avg_price", 4).alias("avg_price")).unionAll(
@@ -397,31 +384,109 @@ def q_dashboard_empty(spark, sf):
     return _dashboard(spark, sf, EMPTY_FILTERS, fused=True)
 
 
-def q_version_artifacts(spark, sf):
-    """Of the versions, those of even months get artifact files; the catalog
-    tells the others (``missing``) and the names that no listing shows (``hidden``)."""
-    root = f"{_scratch(spark)}/artifacts"
-    versions = adapters.registry_records(spark, sf).select("pos", "version_id")
-    versions.where("pos % 2 = 0").select(F.col("pos").cast("string").alias("value"), "version_id") \
-        .write.partitionBy("version_id").text(root)
-    folder = F.concat(F.lit("version_id="), "version_id")
-    wanted = versions.select(folder.alias("key")).unionAll(
-        versions.where("pos % 3 = 0").select(F.concat(folder, F.lit("/_notes.json"))))
-    there = artifact_catalog(spark, root).select(F.col("version_id").alias("key")).distinct()
-    return there.select("key", F.lit("present").alias("state")).unionAll(
-        missing_artifacts(wanted, there).select("key", F.lit("missing"))).unionAll(
-        unlistable(wanted).select("key", F.lit("hidden")))
+def q_dashboard_charts(spark, sf):
+    """A14, dict form: every chart reads one frozen grouping-sets result."""
+    long = dashboard_long(dashboard(_listings(spark, sf), DASH_FILTERS, CFG, fused=True))
+    return long.select("chart", "key", "label", "x", np_round("y", 4).alias("y"))
 
 
-def q_artifact_catalog(spark, sf):
-    return artifact_catalog(spark, sf).select("key", "version_id", "name", "kind", "length")
+def _artifacts(spark, sf) -> str:
+    """A storage folder: versions of even months have an image, those of every third
+    month notes under a hidden name."""
+    root = f"{_scratch(spark)}/artifacts"
+    v = adapters.registry_records(spark, sf)
+    image = F.concat(F.lit("image of "), "version_id", F.lit(" after "), F.col("n_orders").cast("string"), F.lit(" orders"))
+    write_artifacts(v.where("pos % 2 = 0").select(F.concat("version_id", F.lit(f"/{SHAP_FILE}")).alias("key"), image.alias("content"))
+                    .unionAll(v.where("pos % 3 = 0").select(F.concat("version_id", F.lit("/_notes.json")), F.lit("{}"))), root)
+    return root
 
 
-def q_missing_artifacts(spark, sf):
+def q_version_artifacts(spark, sf):
+    """What the catalog says of every version's image and notes; hidden names are listed."""
+    root = _artifacts(spark, sf)
     versions = adapters.registry_records(spark, sf).select("version_id")
-    wanted = versions.select(F.concat("version_id", F.lit("/model.cbm")).alias("key")).unionByName(
-        versions.select(F.concat("version_id", F.lit("/train_data.parquet")).alias("key")))
-    return missing_artifacts(wanted, artifact_catalog(spark, sf))
+    wanted = versions.select(F.concat("version_id", F.lit(f"/{SHAP_FILE}")).alias("key")).unionAll(
+        versions.select(F.concat("version_id", F.lit("/_notes.json"))))
+    catalog = artifact_catalog(spark, root)
+    return catalog.select("key", F.lit("present").alias("state"), "length").unionAll(
+        missing_artifacts(wanted, catalog).select("key", F.lit("missing"), F.lit(None).cast("long")))
+
+
+def q_artifact_bytes(spark, sf):
+    """The bytes of every version's image, read back."""
+    found = read_artifacts(spark, _artifacts(spark, sf), SHAP_FILE)
+    return found.select("version_id", "length", F.sha2("content", 256).alias("digest"))
+
+
+def q_missing_listings(spark, sf):
+    """A folder with listings beside one without: option lists, and the dashboard's
+    number of rows or its error."""
+    root = _scratch(spark)
+    _listings(spark, sf).write.parquet(f"{root}/{LISTINGS_FILE}")
+    out = None
+    for name, folder in (("there", root), ("missing", f"{root}/none")):
+        options = service.options_of_folder(spark, folder, *CASCADE).groupBy("level").agg(F.count(F.lit(1)).alias("n"))
+        board = service.dashboard_of_folder(spark, folder).groupBy("chart").agg(F.count(F.lit(1)).alias("n"))
+        rows = options.select(F.lit(name).alias("source"), F.concat(F.lit("options "), "level").alias("part"), "n").unionAll(
+            board.select(F.lit(name), F.concat(F.lit("dashboard "), "chart"), "n"))
+        out = rows if out is None else out.unionAll(rows)
+    return out
+
+
+def _load_linear(root: str):
+    """A loader of linear models that tasks run: it reads ``{root}/{version}/model.json``."""
+    def load(version: str):
+        return LinearQuantileModel(**json.loads(read_object(f"{root}/{version}/model.json")))
+    return load
+
+
+def q_score_stored_model(spark, sf):
+    """Workers load the model from storage; after its file is replaced under the same
+    version the new one is used."""
+    root = _scratch(spark)
+    requests, registry = adapters.requests(spark, sf), spark.createDataFrame([(0, MODEL_VERSION, "2024-01-01")], "pos long, version_id string, date string")
+    out = []
+    for name, m in (("first", MODEL), ("replaced", MODEL_B)):
+        content = json.dumps({"coefficients": m.coefficients, "intercept": m.intercept, "low": m.low, "high": m.high})
+        write_artifacts(spark.createDataFrame([(f"{MODEL_VERSION}/model.json", content)], "key string, content string"), root)
+        res, _ = score_version(requests, registry, _load_linear(root), keep=["request_id", "line"], method="arrow", nested=False, root=root)
+        res.select(F.lit(name).alias("model"), "request_id", "line", "price", "price_min", "price_max").write.parquet(f"{root}/scored_{name}")
+        out.append(spark.read.parquet(f"{root}/scored_{name}"))
+    return out[0].unionAll(out[1])
+
+
+def q_score_tagged(spark, sf):
+    """Results and rejected rows of one pass over the requests."""
+    tagged = score_tagged(adapters.requests(spark, sf), MODEL, MODEL_VERSION, keep=["request_id", "line"])
+    return tagged.select("request_id", "line", "outcome", "price", "price_min", "price_max", "margin_percent",
+                         F.concat_ws(",", "errors").alias("errors"))
+
+
+def q_registry_open_schema(spark, sf):
+    """V7: extra keys of every JSON type, nested ones too, through the registry file and back."""
+    path = f"{_scratch(spark)}/registry"
+    r = adapters.registry_records(spark, sf)
+    many = F.col("n_orders") > 300
+    r.repartitionByRange(4, "pos").sortWithinPartitions("pos").select(
+        "version_id", "date", F.struct(F.col("n_orders").alias("orders"), F.array(F.col("revenue"), F.lit(0.5)).alias("sums")).alias("nested"),
+        F.when(many, F.lit(True)).otherwise(F.lit(False)).alias("many"), F.when(many, F.col("n_orders")).alias("only_many")).write.json(path)
+    extra = F.col("extra")
+    got = read_registry(spark, path, lines=True)
+    return got.select("pos", "version_id", "date",
+                      F.variant_get(extra["nested"], "$.orders", "bigint").alias("n_orders"),
+                      F.variant_get(extra["nested"], "$.sums[0]", "double").alias("revenue"),
+                      F.variant_get(extra["many"], "$", "boolean").alias("many"), F.schema_of_variant(extra["many"]).alias("many_type"),
+                      F.variant_get(extra["only_many"], "$", "bigint").alias("only_many"))
+
+
+def q_drift_result_nested(spark, sf):
+    """The nested result of every feature, written as JSON, read back and laid out in rows."""
+    bins = "array<struct<bin:double,ref_density:double,curr_density:double>>"
+    doc = f"feature string, drift_detected boolean, p_value double, ks_statistic double, emd_score double, chart_data {bins}, normalized_emd double"
+    rows = q_drift_result_json(spark, sf).select("ordinal", F.from_json("json", doc).alias("d"))
+    return rows.select("ordinal", "d.feature", "d.drift_detected", "d.p_value", "d.ks_statistic", "d.emd_score", "d.normalized_emd",
+                       F.posexplode("d.chart_data").alias("k", "c")).select(
+        "ordinal", "feature", "drift_detected", "p_value", "ks_statistic", "emd_score", "normalized_emd", (F.col("k") + 1).alias("bin_index"), "c.*")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -451,7 +516,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "drift_report": q_drift_report,
     "drift_report_scaled": q_drift_report_scaled,
     "drift_report_identical": q_drift_report_identical,
-    "drift_report_simple": q_drift_report_simple,
     "drift_report_orders": q_drift_report_orders,
     "drift_stats_orders": q_drift_stats_orders,
     "drift_histogram": q_drift_histogram,
@@ -469,8 +533,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "score_two_models": q_score_two_models,
     "dashboard_empty": q_dashboard_empty,
     "version_artifacts": q_version_artifacts,
-    "artifact_catalog": q_artifact_catalog,
-    "missing_artifacts": q_missing_artifacts,
+    "dashboard_charts": q_dashboard_charts,
+    "artifact_bytes": q_artifact_bytes,
+    "missing_listings": q_missing_listings,
+    "score_stored_model": q_score_stored_model,
+    "score_tagged": q_score_tagged,
+    "registry_open_schema": q_registry_open_schema,
+    "drift_result_nested": q_drift_result_nested,
 }
 
 
@@ -784,6 +853,28 @@ def _box_summary_sql(f: ListingFilters) -> str:
                       "WHERE price IS NOT NULL GROUP BY brand")
 
 
+#: The content of a version's image in ``_artifacts``.
+_IMAGE = "('image of ' || version_id || ' after ' || CAST(n_orders AS VARCHAR) || ' orders')"
+
+
+def _tagged_sql() -> str:
+    """Every request once: the result's columns where no rule is broken, else the rules."""
+    errors = f"array_to_string(list_filter([{', '.join(f'CASE WHEN {c} THEN {_q(lbl)} END' for lbl, c in _errors_sql())}], lambda x: x IS NOT NULL), ',')"
+    return (f"SELECT e.request_id, e.line, CASE WHEN e.errors = '' THEN 'result' ELSE 'rejected' END AS outcome, "
+            f"s.price, s.price_min, s.price_max, s.margin_percent, e.errors FROM (WITH {_requests_cte()}, dflt AS ({_defaults_sql()}) "
+            f"SELECT request_id, line, {errors} AS errors FROM dflt) e LEFT JOIN ({_score_sql()}) s "
+            "ON e.request_id = s.request_id AND e.line = s.line")
+
+
+def _missing_listings_sql() -> str:
+    options = (f"SELECT DISTINCT 'brands' AS level, brand AS value FROM listings WHERE brand IS NOT NULL UNION ALL "
+               f"SELECT DISTINCT 'series', series FROM listings WHERE brand = {_q(CASCADE[0])} AND series IS NOT NULL UNION ALL "
+               f"SELECT DISTINCT 'models', model FROM listings WHERE brand = {_q(CASCADE[0])} AND series = {_q(CASCADE[1])} AND model IS NOT NULL")
+    return (f"SELECT 'there' AS source, 'dashboard ' || chart AS part, count(*) AS n FROM ({_dashboard_sql(ListingFilters())}) GROUP BY chart "
+            f"UNION ALL SELECT 'there', 'options ' || level, count(*) FROM ({_with_listings()} {options}) GROUP BY level "
+            "UNION ALL SELECT 'missing', 'dashboard error', 1")
+
+
 def _oracle() -> dict[str, str]:
     fs = []
     for k, f in enumerate(FILTER_SETS, start=1):
@@ -850,8 +941,24 @@ def _oracle() -> dict[str, str]:
         "registry_json_array": json_rows,
         "rejected_requests": _rejected_sql(),
         "version_artifacts": reg + (
-            "SELECT 'version_id=' || version_id AS key, CASE WHEN pos % 2 = 0 THEN 'present' ELSE 'missing' END AS state FROM r "
-            "UNION ALL SELECT 'version_id=' || version_id || '/_notes.json', 'hidden' FROM r WHERE pos % 3 = 0"),
+            f"SELECT version_id || '/{SHAP_FILE}' AS key, CASE WHEN pos % 2 = 0 THEN 'present' ELSE 'missing' END AS state, "
+            f"CASE WHEN pos % 2 = 0 THEN CAST(strlen({_IMAGE}) AS BIGINT) END AS length FROM r "
+            "UNION ALL SELECT version_id || '/_notes.json', CASE WHEN pos % 3 = 0 THEN 'present' ELSE 'missing' END, "
+            "CASE WHEN pos % 3 = 0 THEN 2 END FROM r"),
+        "artifact_bytes": reg + (
+            f"SELECT version_id, CAST(strlen({_IMAGE}) AS BIGINT) AS length, sha256({_IMAGE}) AS digest FROM r WHERE pos % 2 = 0"),
+        "missing_listings": _missing_listings_sql(),
+        "score_stored_model": " UNION ALL ".join(
+            f"SELECT '{name}' AS model, request_id, line, price, price_min, price_max FROM ({_score_sql(model=m)})"
+            for name, m in (("first", MODEL), ("replaced", MODEL_B))),
+        "score_tagged": _tagged_sql(),
+        "registry_open_schema": reg + (
+            "SELECT row_number() OVER (ORDER BY pos) - 1 AS pos, version_id, date, n_orders, revenue, n_orders > 300 AS many, "
+            "'BOOLEAN' AS many_type, CASE WHEN n_orders > 300 THEN n_orders END AS only_many FROM r"),
+        "drift_result_nested": (
+            f"SELECT r.*, h.bin_index, h.bin, h.ref_density, h.curr_density FROM ({_drift_sql(o_early, o_late, DRIFT_ORDERS)}) r "
+            f"JOIN ({_histogram_sql(o_early, o_late, DRIFT_ORDERS)}) h ON r.feature = h.feature"),
+        "dashboard_charts": _dashboard_sql(DASH_FILTERS),
         "score_two_models": " UNION ALL ".join(
             f"SELECT '{name}' AS model, request_id, line, price, price_min, price_max FROM ({_score_sql(model=m)})"
             for name, m in (("a", MODEL), ("b", MODEL_B))),
@@ -866,7 +973,6 @@ def _oracle() -> dict[str, str]:
         "drift_report": drift_li["drifted"],
         "drift_report_scaled": drift_li["scaled"],
         "drift_report_identical": drift_li["identical"],
-        "drift_report_simple": drift_li["drifted"],
         "drift_report_orders": _drift_sql(o_early, o_late, DRIFT_ORDERS),
         "drift_segment": _drift_sql(
             f"SELECT * FROM listings WHERE kb_year < 1998 AND {SEGMENT[0]} = {_q(SEGMENT[1])}",

@@ -88,7 +88,7 @@ def main() -> None:
         "dashboard_per_chart_jobs": dash_per_chart,
         "dashboard_unfused": dash(False),
         "dashboard_fused": dash(True),
-        "drift_two_pass": drift("bucketed"),
+        "drift_two_pass": drift("ranged"),
         "drift_simple_window": drift("simple"),
         "drift_histogram": hist,
         "score_expr": scoring("expr"),

@@ -54,11 +54,11 @@ def samples():
     return a, b, skew, skew2
 
 
-@pytest.mark.parametrize("method,buckets", [("bucketed", 1), ("bucketed", 3), ("bucketed", 37), ("simple", None)])
-def test_ks_emd_match_numpy(spark, samples, method, buckets):
+@pytest.mark.parametrize("method,partitions", [("ranged", 1), ("ranged", 3), ("ranged", 37), ("simple", None)])
+def test_ks_emd_match_numpy(spark, samples, method, partitions):
     a, b, s1, s2 = samples
     ref, curr = frames(spark, {"price": np.resize(a, 900), "x": s1}, {"price": np.resize(b, 700), "x": s2})
-    st = {r.feature: r for r in drift_stats(ref, curr, method=method, buckets=buckets).stats.collect()}
+    st = {r.feature: r for r in drift_stats(ref, curr, method=method, partitions=partitions).stats.collect()}
     for f, (u, v) in {"price": (np.resize(a, 900), np.resize(b, 700)), "x": (s1, s2)}.items():
         assert st[f].ks == pytest.approx(np_ks(u, v), abs=1e-15)
         assert st[f].emd == pytest.approx(np_emd(u, v), rel=1e-9, abs=1e-12)
@@ -160,12 +160,49 @@ def test_exact_pvalue_small_cases():
         assert exact_pvalue_np(d, n1, n2) == pytest.approx(brute(n1, n2, d), abs=1e-14)
 
 
-def test_asymptotic_pvalue_reference_points(spark):
-    from vitrine.functions.ks import asymptotic_pvalue
-    # z = 1 with a large n: the corrected series ~ the limiting law 0.26999967...
-    df = spark.createDataFrame([(1.0 / math.sqrt(1e8), 2 * 10 ** 8, 2 * 10 ** 8)], "d double, n1 long, n2 long")
-    p = df.select(asymptotic_pvalue(F.col("d"), F.col("n1"), F.col("n2")).alias("p")).first().p
-    assert p == pytest.approx(0.2699996716735, abs=1e-4)
+def one_sample_law(n, d):
+    """P(D_n >= d) in exact rationals: the band can be left only where k/n ± d crosses, so the
+    number of values below each crossing is followed from one to the next."""
+    from fractions import Fraction
+    d = Fraction(d)
+    points = sorted({Fraction(0), Fraction(1)} | {x for i in range(n + 1) for x in (Fraction(i, n) - d, Fraction(i, n) + d) if 0 < x < 1})
+    below = {0: Fraction(1)}
+    for u, v in zip(points, points[1:]):
+        after: dict = {}
+        for j, w in below.items():
+            for more in range(n - j + 1):
+                if abs(Fraction(j + more, n) - v) < d:
+                    after[j + more] = after.get(j + more, 0) + w * (v - u) ** more / math.factorial(more)
+        below = after
+    return float(1 - below.get(n, Fraction(0)) * math.factorial(n))
+
+
+def test_one_sample_law_of_small_n():
+    """The matrix against an independent recursion, and against the published value of its authors."""
+    from vitrine.functions.ks import matrix_pvalue_np
+    assert 1 - matrix_pvalue_np(0.274, 10) == pytest.approx(0.6284796154565, abs=1e-12)
+    for n in (1, 2, 3, 5, 8):
+        for d in ("0.1", "0.21", "0.37", "0.5", "0.73", "0.9"):
+            assert matrix_pvalue_np(float(d), n) == pytest.approx(one_sample_law(n, d), abs=1e-12), (n, d)
+    assert (matrix_pvalue_np(0.0, 9), matrix_pvalue_np(1.0, 9)) == (1.0, 0.0)
+
+
+def test_series_equals_the_exact_law_to_five_places(spark):
+    """On both sides of D·√n = 0.1 and over the whole range where the series is used."""
+    from vitrine.functions.ks import ks_pvalue, matrix_pvalue_np
+    rows = [(z / math.sqrt(n), 2 * n, 2 * n, n) for n in (5_100, 12_000, 40_000)
+            for z in (0.05, 0.09, 0.11, 0.2, 0.3, 0.42, 0.5, 0.61, 0.77, 0.9, 1.0, 1.2, 1.36, 1.6) if z * math.sqrt(n) < 200]
+    rows += [(d, 7, 2_000_000, 7) for d in (0.1, 0.3, 0.6)] + [(0.04, 900, 20_000, 861), (0.0, 20_000, 20_000, 10_000), (0.02, 10**8, 10**8, 0)]
+    df = spark.createDataFrame(rows, "d double, n1 long, n2 long, n long")
+    series = 0
+    for r in df.withColumn("p", ks_pvalue("d", "n1", "n2")).collect():
+        if not r.n:
+            assert r.p == 2 * math.exp(-2 * 5e7 * 0.02 ** 2)
+            continue
+        assert r.p == pytest.approx(matrix_pvalue_np(r.d, r.n), abs=2e-7), r
+        series += r.n > 100_000 or r.n * r.d ** 1.5 > 1.4
+    assert series > 15
+    assert df.where("n1 = 900").select(ks_pvalue("d", "n1", "n2", 30_000).alias("p")).first().p == exact_pvalue_np(720_000, 900, 20_000)
 
 
 def test_nested_result_and_version_drift(spark, tmp_dir, samples):
@@ -202,50 +239,85 @@ def test_drift_job_equals_functions(spark, samples):
         job.close()
 
 
-def test_sized_buckets_are_exact_and_follow_part_size(spark, samples):
-    from vitrine.operators.prefix import running_totals, split_points
-    a, b, s1, s2 = samples
-    ref, curr = frames(spark, {"price": np.resize(a, 900), "x": s1}, {"price": np.resize(b, 700), "x": s2})
-    from vitrine.operators.drift import paired_long
-    counts = paired_counts(ref, curr, ["price", "x"])
-    raw = paired_long(ref, ref, ["price", "x"]).where("c_ref = 1")
-    sp = {r.fid: r.bounds for r in split_points(raw, "fid", "value", None, target_rows=100).collect()}
-    assert 2 <= len(sp[1]) <= 8 and len(sp[2]) >= 1  # ~900 rows / 100 → ≤ 9 buckets
-    rows, _ = running_totals(counts, "fid", "value", ["c_ref", "c_curr"], target_rows=100)
-    got = rows.toPandas().sort_values(["fid", "value"])
-    for f, g in got.groupby("fid"):
-        assert list(g.cum_c_ref) == list(g.c_ref.cumsum())
-        assert list(g.cum_c_curr) == list(g.c_curr.cumsum())
-        assert list(g.next_value.iloc[:-1]) == list(g.value.iloc[1:]) and pd.isna(g.next_value.iloc[-1])
+def test_range_scan_is_exact_across_borders(spark):
+    """Totals, offsets and next values of parts that cross borders, of null parts too."""
+    from pyspark.sql import types as T
+    from vitrine.operators.prefix import range_scan
+    rng = np.random.default_rng(3)
+    data = pd.DataFrame([(p, v, int(rng.integers(1, 9))) for p, n in (("a", 700), ("b", 1), ("c", 40), (None, 300), ("d", 3))
+                         for v in sorted(set(np.round(rng.normal(0, 50, n), 2).tolist()))], columns=["part", "v", "w"])
+    df = spark.createDataFrame([tuple(r) for r in data.itertuples(index=False)], "part string, v double, w long")
+
+    def fold(s):
+        import pyarrow as pa
+        cum = np.concatenate([s.before["w"][k] + np.cumsum(s.weight["w"][a:b]) for k, (a, b) in enumerate(zip(s.start, s.stop))])
+        last = np.concatenate([np.append(np.full(b - a - 1, np.nan), s.next_value[k]) for k, (a, b) in enumerate(zip(s.start, s.stop))])
+        total = np.repeat(s.total["w"], s.stop - s.start)
+        return {"part": s.parts, "v": s.value, "cum": cum.astype(int), "total": total.astype(int), "next": pa.array(last, from_pandas=True)}
+
+    schema = T.StructType.fromDDL("part string, v double, cum long, total long, next double")
+    for n in (1, 2, 9, 60):
+        got = range_scan(df, "part", "v", ["w"], fold, schema, n).toPandas()
+        assert len(got) == len(data) and (n == 1 or got.next.notna().sum() >= n)
+        for part, want in data.groupby("part", dropna=False):
+            g = got[got.part.isna() if pd.isna(part) else got.part == part].sort_values("v")
+            assert list(g.cum) == list(want.w.cumsum()) and set(g.total) == {want.w.sum()}
+            known = g.next.notna()
+            assert list(g.next[known]) == list(g.v.shift(-1)[known]) and pd.isna(g.next.iloc[-1])
+    assert range_scan(df.limit(0), "part", "v", ["w"], fold, schema).collect() == []
+
+
+def test_a_feature_with_most_rows_is_spread(spark, monkeypatch):
+    """One feature holds nine tenths of all values: no partition holds more than a few times its share."""
+    from pyspark.sql import types as T
+    from vitrine.operators import drift, prefix
+    n = 20_000
+    ref = spark.range(n).select((F.col("id") * 1.5).alias("price"), F.when(F.col("id") < 200, F.col("id").cast("double")).alias("x"))
+    curr = spark.range(n).select((F.col("id") * 1.5 + 0.25).alias("price"), F.when(F.col("id") < 200, F.col("id") + 7.0).alias("x"))
+    seen = []
+    real = prefix.range_scan
+
+    def spy(df, part, order, weights, fold, schema, partitions, sample):
+        sizes = T.StructType.fromDDL("fid int, own long")
+        seen.append(real(df, part, order, weights, lambda s: {"fid": [0], "own": [int(s.stop[-1])]}, sizes, partitions, sample))
+        return real(df, part, order, weights, fold, schema, partitions, sample)
+
+    monkeypatch.setattr(drift, "range_scan", spy)
+    drift_stats(ref, curr, partitions=16)
+    sizes = [r.own for r in seen[0].collect()]
+    assert len(sizes) >= 14 and max(sizes) < 3 * sum(sizes) / 16
+    a = drift_stats(ref, curr, partitions=16).stats.collect()
+    b = drift_stats(ref, curr, method="simple").stats.collect()
+    for x, y in zip(sorted(a), sorted(b)):
+        assert x.ks == y.ks and x.emd == pytest.approx(y.emd, rel=1e-12)
+
+
+def test_building_a_report_runs_no_job(spark):
+    ref, curr = frames(spark, {"price": [1.0, 2.0, 5.0], "x": [1, 2, 3]}, {"price": [1.0, 3.0, 5.0], "x": [4, 2, 3]})
+    sc = spark.sparkContext
+    sc.setJobGroup("building", "building")
+    try:
+        rep = drift_report(ref, curr)
+        drift_report(ref, curr, method="simple")
+        job = DriftJob(ref, curr)
+        job.report()
+        assert len(sc.statusTracker().getJobIdsForGroup("building")) == 0
+        assert rep.count() == 2
+        assert len(sc.statusTracker().getJobIdsForGroup("building")) > 0
+        job.close()
+    finally:
+        sc.setJobGroup("", "")
 
 
 def test_equal_width_bin_equals_counting_edges(spark):
-    from vitrine.functions.scalars import count_sorted, equal_width_bin, linspace_edges
+    from vitrine.functions.scalars import equal_width_bin
     rng = np.random.default_rng(5)
-    lo, hi = 0.0, 0.1
-    vals = list(np.round(rng.uniform(lo, hi, 2000), 2)) + [lo, hi] + list(np.linspace(lo, hi, 21))
-    df = spark.createDataFrame([(float(v),) for v in vals], "v double").select(
-        "v", F.lit(lo).alias("lo"), F.lit(hi).alias("hi")).withColumn("edges", linspace_edges(F.col("lo"), F.col("hi"), 20))
-    got = df.select(equal_width_bin(F.col("v"), "edges", "lo", "hi", 20).alias("a"),
-                    F.least(F.lit(20), count_sorted(F.slice("edges", 1, 20), F.col("v"), strict=False,
-                                                     max_len=20)).alias("b")).collect()
-    assert all(r.a == r.b for r in got)
-    edges = np.linspace(lo, hi, 21)
-    want = np.histogram(vals, bins=edges)[0]
-    counts = np.bincount([r.a - 1 for r in got], minlength=20)
-    assert list(counts) == list(want)
-
-
-def test_count_sorted_of_every_length(spark):
-    """Lengths on both sides of powers of two; a longer array is an error."""
-    from vitrine.functions.scalars import count_sorted
-    rows = [([float(i) for i in range(n)], 100.0) for n in range(10)]
-    df = spark.createDataFrame(rows, "a array<double>, v double")
-    for n in range(1, 10):
-        got = df.where(F.size("a") <= n).select(F.size("a").alias("n"), count_sorted("a", "v", max_len=n).alias("c"))
-        assert all(r.n == r.c for r in got.collect())
-    with pytest.raises(Exception, match="longer than max_len"):
-        df.select(count_sorted("a", "v", max_len=8)).collect()
+    for lo, hi in ((0.0, 0.1), (-3.7, 1e6), (1e-9, 3e-9), (1e16, 1e16 + 8), (5.0, np.nextafter(5.0, 6))):
+        edges = np.linspace(lo, hi, 21)
+        vals = np.clip(np.concatenate([rng.uniform(lo, hi, 2000), np.round(rng.uniform(lo, hi, 500), 2), edges, np.nextafter(edges, -np.inf)]), lo, hi)
+        df = spark.createDataFrame([(float(v),) for v in vals], "v double")
+        got = [r.a for r in df.select(equal_width_bin("v", lo, hi, 20).alias("a")).collect()]
+        assert got == [min(19, int(np.sum(edges[1:20] <= v))) for v in vals]
 
 
 def test_histogram_of_a_narrow_feature(spark):
@@ -265,14 +337,13 @@ def test_histogram_of_a_narrow_feature(spark):
     assert h[h.feature == "x"].ref_density.notna().all()
 
 
-def test_bucketed_equals_one_window_on_real_tables(spark):
-    """sf0.01 lineitem pair with a small target: every feature is split into many
-    buckets (sample-sketched split points, offsets, edge next-values)."""
+def test_ranged_equals_one_window_on_real_tables(spark):
+    """sf0.01 lineitem pair in many partitions: large features cross many borders, small ones share a partition."""
     from tests.conftest import SF_MID
     from vitrine.sources import adapters
     ref, curr = adapters.lineitem_pair(spark, SF_MID, "drifted")
     feats = ["l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount"]
-    a = {r.feature: r for r in drift_stats(ref, curr, feats, target_rows=4000).stats.collect()}
+    a = {r.feature: r for r in drift_stats(ref, curr, feats, partitions=50).stats.collect()}
     b = {r.feature: r for r in drift_stats(ref, curr, feats, method="simple").stats.collect()}
     assert set(a) == set(b) == set(feats)
     for f in feats:

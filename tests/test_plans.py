@@ -34,15 +34,23 @@ def test_fused_dashboard_scans_less(spark):
     assert fused < unfused
 
 
-def test_two_pass_windows_partition_by_bucket(spark):
+def test_running_totals_are_dealt_by_range(spark):
     ref, curr = adapters.orders_pair(spark, SF_SMALL)
-    st = drift_stats(ref, curr, ["o_totalprice", "o_custkey"], buckets=4).stats
+    st = drift_stats(ref, curr, ["o_totalprice", "o_custkey"], partitions=4).stats
     p = plan_of(st)
-    # the window over the (large) counts runs per (feature, bucket); the one
-    # per feature only orders the small bucket table
-    big = [line for line in p.splitlines() if "Window [sum(c_ref" in line]
-    small = [line for line in p.splitlines() if "Window [sum(tot_c_ref" in line]
-    assert big and all("windowspecdefinition(fid" in line and "_bucket" in line for line in big)
-    assert small
-    # small per-feature tables are broadcast, the counts are not
-    assert "BroadcastExchange" in p
+    assert "hashpartitioning(_range" in p
+    # windows run over the small table of borders only; no row is joined or windowed by feature
+    assert all("own_" in line or "_first" in line for line in p.splitlines() if "Window [" in line)
+    assert "SortMergeJoin" not in p and "percentile" not in p
+
+
+def test_scoring_code_is_small_enough_to_be_compiled(spark, tmp_dir):
+    """The JVM interprets methods of more than 8000 bytes; the whole scoring stage must stay below."""
+    import re
+
+    adapters.requests(spark, SF_SMALL).write.parquet(f"{tmp_dir}/requests")
+    model = LinearQuantileModel({"power_hp_val": 310.0, "year": 2.5, "expert_risk_score": -40.0}, 100.0)
+    res, _ = score(spark.read.parquet(f"{tmp_dir}/requests"), model, "v", keep=["request_id", "line"], method="expr")
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", res._jdf.queryExecution().explainString(mode))]
+    assert sizes and max(sizes) < 7000

@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from vitrine.operators.ranking import global_rank
-from vitrine.sources.artifacts import artifact_catalog, missing_artifacts, read_artifact
-from vitrine.sources.listings import read_listings
+from vitrine.sources.artifacts import (artifact_catalog, missing_artifacts, read_artifact, read_artifacts, read_object,
+                                       version_fingerprint, write_artifacts)
+from vitrine.sources.listings import read_listings, read_parquet
 from vitrine.sources.registry import latest_version, read_registry, registry_newest_first
 
 
@@ -24,8 +25,8 @@ def test_registry_order_ties_missing_and_null_dates(spark, tmp_dir):
     ranked = [r.version_id for r in registry_newest_first(reg).orderBy("rank").collect()]
     assert ranked == ["v2", "v4", "v1", "v3", "v5"]
     assert latest_version(reg).first().version_id == "v2"
-    extra = {r.version_id: r.extra for r in reg.collect()}
-    assert extra["v1"] == {"mae": "0.3"} and json.loads(extra["v3"]["notes"]) == {"a": 1}
+    extra = {r.version_id: {k: v.toPython() for k, v in r.extra.items()} for r in reg.collect()}
+    assert float(extra["v1"]["mae"]) == 0.3 and extra["v3"]["notes"] == {"a": 1} and extra["v2"] == {}
 
 
 def test_global_rank_is_dense_and_ordered(spark):
@@ -51,6 +52,17 @@ def test_artifact_catalog_and_missing(spark, tmp_dir):
     assert set(cat) == {"v1/model.cbm", "v2/model.cbm", "v1/shap_summary.png", "registry.json"}
     assert cat["v1/shap_summary.png"].kind == "png" and cat["v1/shap_summary.png"].version_id == "v1"
     assert cat["registry.json"].version_id is None and cat["v2/model.cbm"].length == 8
+    mark = version_fingerprint(spark, tmp_dir, "v1")
+    assert version_fingerprint(spark, tmp_dir, "v1") == mark and version_fingerprint(spark, tmp_dir, "v9") is None
+    write_artifacts(spark.createDataFrame([("v1/_hidden", b"a"), ("v1/.dot", b"bc"), ("v1/deep/er/x.TXT", b""), ("v3/_only", b"z")], "key string, content binary"), tmp_dir)
+    more = {r.key: (r.version_id, r.name, r.kind, r.length) for r in artifact_catalog(spark, tmp_dir, 2).collect()}
+    assert set(more) - set(cat) == {"v1/_hidden", "v1/.dot", "v1/deep/er/x.TXT", "v3/_only"}
+    assert more["v1/deep/er/x.TXT"] == ("v1", "x.TXT", "txt", 0) and more["v3/_only"][3] == 1
+    assert version_fingerprint(spark, tmp_dir, "v1") != mark
+    assert artifact_catalog(spark, os.path.join(tmp_dir, "none")).count() == 0
+    assert [(r.version_id, r.content) for r in read_artifacts(spark, tmp_dir, "model.cbm").orderBy("version_id").collect()] == [
+        ("v1", b"model-v1"), ("v2", b"model-v2")]
+    assert read_object(os.path.join(tmp_dir, "v2", "model.cbm")) == b"model-v2"
     wanted = spark.createDataFrame([("v1/shap_summary.png",), ("v2/shap_summary.png",)], "key string")
     assert [r.key for r in missing_artifacts(wanted, artifact_catalog(spark, tmp_dir)).collect()] == [
         "v2/shap_summary.png"]
@@ -65,6 +77,14 @@ def test_missing_source_policy(spark, tmp_dir):
     empty = read_listings(spark, os.path.join(tmp_dir, "nope.parquet"), on_missing="empty",
                           schema=spark.range(0).schema)
     assert empty.count() == 0
+    with pytest.raises(ValueError):
+        read_parquet(spark, os.path.join(tmp_dir, "nope.parquet"), on_missing="empty")
+    bare = read_listings(spark, os.path.join(tmp_dir, "nope.parquet"), on_missing="empty")
+    from vitrine.plans import service
+    assert service.get_dropdown_options(bare, "A", "s").count() == 0
+    assert {r.chart: r.y for r in service.get_dashboard_data(bare).collect()} == {"kpi": 0.0}
+    assert [(r.chart, r.key) for r in service.dashboard_of_folder(spark, tmp_dir).collect()] == [("error", "not_found")]
+    assert service.options_of_folder(spark, tmp_dir, "A").collect() == []
 
 
 def test_streaming_scoring(spark, tmp_dir):
@@ -74,14 +94,13 @@ def test_streaming_scoring(spark, tmp_dir):
     src = os.path.join(tmp_dir, "in")
     spark.createDataFrame([req(i) for i in range(10)] + [req(50, year=1800)], REQ).write.parquet(src)
     stream = read_request_stream(spark, src, spark.read.parquet(src).schema)
-    q1, q2 = start_scoring(stream, MODEL, "v1", os.path.join(tmp_dir, "out"), os.path.join(tmp_dir, "rej"),
-                           os.path.join(tmp_dir, "ckpt"), keep=["id"], available_now=True)
-    for q in (q1, q2):
-        q.awaitTermination(120)
+    q = start_scoring(stream, MODEL, "v1", os.path.join(tmp_dir, "out"), os.path.join(tmp_dir, "ckpt"), keep=["id"], available_now=True)
+    q.awaitTermination(120)
+    counts = [p.observedMetrics["scoring"] for p in q.recentProgress if "scoring" in p.observedMetrics]
+    assert sum(c.n_result for c in counts) == 10 and sum(c.n_rejected for c in counts) == 1
     out = spark.read.parquet(os.path.join(tmp_dir, "out"))
-    rej = spark.read.parquet(os.path.join(tmp_dir, "rej"))
-    assert out.count() == 10 and rej.count() == 1
-    assert rej.first().errors == ["range:year"]
+    assert out.where("outcome = 'result'").count() == 10
+    assert [r.errors for r in out.where("outcome = 'rejected'").collect()] == [["range:year"]]
 
 
 def test_score_version_uses_newest_registry_entry(spark, tmp_dir):
@@ -158,7 +177,9 @@ def test_registry_json_lines(spark, tmp_dir):
     reg = read_registry(spark, path, lines=True)
     ranked = [r.version_id for r in registry_newest_first(reg).orderBy("rank").collect()]
     assert ranked == ["v2", "v4", "v1", "v3"]
-    assert {r.version_id: r.extra for r in reg.collect()}["v1"] == {"mae": "0.3"}
+    assert float({r.version_id: r.extra for r in reg.collect()}["v1"]["mae"].toPython()) == 0.3
+    empty = read_registry(spark, os.path.join(tmp_dir, "none"), on_missing="empty")
+    assert empty.count() == 0 and empty.dtypes == reg.dtypes
 
 
 def test_registry_json_lines_in_file_order(spark, tmp_dir):

@@ -84,16 +84,30 @@ def test_margin_is_null_when_median_is_zero(spark):
     assert r.price == 0 and r.margin_percent is None
 
 
-def test_model_cache_loads_once():
+def test_model_cache_knows_files(monkeypatch):
+    """One load per root, version and fingerprint; a replaced file drops the old model; the least recently used goes first."""
+    from vitrine.operators import scoring
     calls = []
     _MODEL_CACHE.clear()
-    for _ in range(3):
-        cached_model("vx", lambda v: calls.append(v) or MODEL, root="/models")
-    assert calls == ["vx"]
-    cached_model("vx", lambda v: calls.append("other root") or MODEL, root="/other")
-    cached_model("vx", lambda v: calls.append("no root") or MODEL)
-    cached_model("vx", lambda v: calls.append("no root") or MODEL)
-    assert calls == ["vx", "other root", "no root", "no root"]
+
+    def get(version, root, mark):
+        return cached_model(version, lambda v: calls.append((root, v, mark)) or object(), root, mark)
+
+    first = get("v1", "/a", "x")
+    assert get("v1", "/a", "x") is first and get("v1", "/b", "x") is not first and len(calls) == 2
+    new = get("v1", "/a", "y")
+    assert new is not first and get("v1", "/a", "y") is new and len(calls) == 3
+    assert get("v1", "/a", "x") is not first  # dropped with the replacement
+    assert [k for k in _MODEL_CACHE if k[0] == "/a"] == [("/a", "v1", "x")]
+    for mark in ("x", None):
+        cached_model("v1", lambda v: calls.append("none") or object(), None, mark)
+    cached_model("v1", lambda v: calls.append("none") or object(), "/a", None)
+    assert calls[-3:] == ["none"] * 3
+    monkeypatch.setattr(scoring, "MAX_MODELS", 2)
+    get("v8", "/a", "x"), get("v9", "/a", "x")
+    assert [k[1] for k in _MODEL_CACHE] == ["v8", "v9"]
+    get("v8", "/a", "x"), get("v10", "/a", "x")
+    assert [k[1] for k in _MODEL_CACHE] == ["v8", "v10"]
 
 
 class PandasModel:
@@ -114,7 +128,7 @@ def test_two_models_under_one_version_do_not_mix(spark):
         got = score(df, PandasModel(price), "v", keep=["id"], method="arrow")[0]
         assert {r.price for r in got.collect()} == {int(price)}
     for root, price in (("/a", 100.0), ("/b", 700.0), ("/a", 100.0)):  # loaded by the workers
-        got = score(df, PandasModel(0.0), "v", keep=["id"], method="arrow", loader=lambda v, p=price: PandasModel(p), root=root)[0]
+        got = score(df, PandasModel(0.0), "v", keep=["id"], method="arrow", loader=lambda v, p=price: PandasModel(p), root=root, fingerprint="f")[0]
         assert {r.price for r in got.collect()} == {int(price)}
 
 
@@ -141,14 +155,38 @@ def test_np_round_is_half_even_on_the_scaled_double(spark):
     assert got == [float(np.round(v, 2)) for v in (0.025, 2.5, -3.45, 1.005)]
 
 
-def test_count_sorted_binary_search(spark):
-    from vitrine.functions.scalars import count_sorted
-    rng = np.random.default_rng(1)
-    rows = []
-    for n in (0, 1, 2, 3, 7, 8, 9, 33):
-        arr = sorted(set(np.round(rng.normal(0, 1, n), 1).tolist()))
-        rows += [(arr, float(v)) for v in arr + [-5.0, 5.0, 0.05]]
-    df = spark.createDataFrame(rows, "a array<double>, v double")
-    for r in df.select("a", "v", count_sorted("a", "v", True, 64).alias("lt"),
-                       count_sorted("a", "v", False, 64).alias("le")).collect():
-        assert r.lt == sum(x < r.v for x in r.a) and r.le == sum(x <= r.v for x in r.a)
+def test_tagged_scoring_gives_both_outcomes_in_one_pass(spark, tmp_dir):
+    from pyspark.sql import Observation
+
+    from vitrine.operators.scoring import score_tagged
+
+    df = spark.createDataFrame([req(i, power=100.0 + i) for i in range(20)] + [req(90, year=1800), req(91, mileage=-1.0), req(92, power=-5.0)], REQ)
+    df.write.parquet(f"{tmp_dir}/requests")
+    df = spark.read.parquet(f"{tmp_dir}/requests")
+    for method, model in (("expr", MODEL), ("arrow", MODEL)):
+        want, rejected = score(df, model, "v1", keep=["id"], method=method)
+        seen = Observation()
+        tagged = score_tagged(df, model, "v1", keep=["id"], method=method, observation=seen)
+        plan = tagged._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 1
+        tagged.write.mode("overwrite").partitionBy("outcome").parquet(f"{tmp_dir}/{method}")
+        assert seen.get == {"n_result": 21, "n_rejected": 2}
+        back = spark.read.parquet(f"{tmp_dir}/{method}")
+        assert sorted(back.where("outcome = 'result'").select(*want.columns).collect()) == sorted(want.collect())
+        bad = {r.id: (r.errors, r.price, r.version) for r in back.where("outcome = 'rejected'").collect()}
+        assert bad == {r.id: (r.errors, None, None) for r in rejected.collect()} and set(bad) == {90, 91}
+
+
+def test_rejected_rows_are_not_shown_to_the_model(spark):
+    from vitrine.operators.scoring import score_tagged
+
+    class Strict:
+        feature_names = ["year"]
+
+        def predict(self, pdf):
+            assert (pdf["year"] > 1900).all()
+            return np.ones((len(pdf), 3))
+
+    df = spark.createDataFrame([req(1), req(2, year=1800)], REQ)
+    got = {r.id: r.price for r in score_tagged(df, Strict(), "v", keep=["id"], method="arrow").collect()}
+    assert got == {1: 1, 2: None}

@@ -1,11 +1,11 @@
-"""Largest task of the drift window stage: one window per feature vs bucketed.
+"""Largest task of the drift window stage: one window per feature vs one range exchange.
 
 Writes Spark's event log to a fresh scratch folder (AQE off, fixed shuffle
 partitions, so partition coalescing does not hide the distribution) and
 prints, per variant, the stage whose largest task read the most shuffle
 records.
 
-    python tools/task_balance.py [sf_dir] [target_rows]
+    python tools/task_balance.py [sf_dir] [partitions]
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ def read_events(run: str):
     return [json.loads(line) for line in raw.decode().splitlines()]
 
 
-def main(sf_dir: str = "/root/testdata/sf0.1", target_rows: int = 20000) -> None:
+def main(sf_dir: str = "/root/testdata/sf0.1", partitions: int = 64) -> None:
     from pyspark.sql import SparkSession
 
     run = tempfile.mkdtemp(prefix="run-")
@@ -44,7 +44,7 @@ def main(sf_dir: str = "/root/testdata/sf0.1", target_rows: int = 20000) -> None
 
     ref, curr = adapters.lineitem_pair(spark, sf_dir, "drifted")
     feats = ["l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-    variants = {"one_window": dict(method="simple"), f"bucketed_{target_rows}": dict(target_rows=target_rows)}
+    variants = {"one_window": dict(method="simple"), f"ranged_{partitions}": dict(partitions=partitions)}
     for label, kw in variants.items():
         spark.sparkContext.setJobGroup(label, label)
         drift_stats(ref, curr, feats, **kw).stats.write.format("noop").mode("overwrite").save()

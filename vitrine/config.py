@@ -87,6 +87,13 @@ class ListingConfig:
     all_token: str = ALL_TOKEN
     radar_max_groups: int = RADAR_MAX_GROUPS
 
+    def schema(self) -> str:
+        """The columns that charts and option lists read, as DDL: of a listings table that is not there."""
+        text, whole = (self.brand, self.series, self.model, self.fuel), (self.year, self.mileage, self.power)
+        cols = [f"`{c}` string" for c in text] + [f"`{c}` bigint" for c in whole]
+        cols += [f"`{c}` double" for c in (self.price, self.fuel_consumption)]
+        return ", ".join(cols + [f"`{c}` int" for _, group in self.damage_columns() for c in group])
+
     def radar_measures(self) -> list[tuple[str, str]]:
         """(indicator name, column) pairs of the radar chart."""
         return [(name, getattr(self, attr)) for name, attr in RADAR_AXES]
@@ -106,3 +113,10 @@ class DamageRules:
     doors: tuple = DOOR_WEIGHTS
     fenders: tuple = FENDER_WEIGHTS
     default_status: str = STATUS_ORIGINAL
+
+
+# Object names of a storage folder (per version, except the first two).
+LISTINGS_FILE = "car_listings.parquet"
+REGISTRY_FILE = "registry.json"
+SNAPSHOT_FILE = "train_data.parquet"
+SHAP_FILE = "shap_summary.png"

@@ -94,42 +94,21 @@ def linspace_edges(lo, hi, bins: int) -> Column:
     return F.concat(inner, F.array(_c(hi).cast("double")))
 
 
-def count_sorted(sorted_arr, value, strict: bool = True, max_len: int = 1 << 20) -> Column:
-    """Number of elements of an ascending array that are < ``value`` (``strict``)
-    or ≤ ``value``: a binary search by lifting, log₂(max_len) steps per row
-    instead of one comparison per element. An array longer than ``max_len`` is
-    an error, never an undercount."""
-    arr, v = _c(sorted_arr), _c(value)
-    steps = max(1, max_len.bit_length())  # the jumps add up to 2**steps - 1 >= max_len
-    n = F.size(arr)
-
-    def step(acc, jump):
-        nxt = acc + jump
-        probe = F.element_at(arr, F.least(nxt, F.greatest(n, F.lit(1))))
-        hit = (probe < v) if strict else (probe <= v)
-        return F.when((nxt <= n) & hit, nxt).otherwise(acc)
-
-    jumps = F.array(*[F.lit(1 << j) for j in reversed(range(steps))])
-    too_long = F.raise_error(F.lit(f"count_sorted: the array is longer than max_len = {max_len}"))
-    return F.when(n > F.lit(max_len), too_long).otherwise(F.aggregate(jumps, F.lit(0), step))
-
-
-def equal_width_bin(value, edges, lo, hi, bins: int) -> Column:
-    """1-based bin of ``value`` among equal-width ``edges`` (``linspace_edges``):
-    [e_i, e_{i+1}) and the last bin closed. The arithmetic guess
-    ⌊(v − lo)/step⌋ is at most one bin off near an edge; one comparison with
-    the actual edges corrects it, so the result equals counting edges ≤ v.
-    Where a bin is only a few units in the last place wide, rounded edges coincide
-    and the guess may be further off: there the edges are counted.
-    Plain arithmetic and ``element_at``: stays in generated code."""
-    v, e = _c(value), _c(edges)
-    step = (_c(hi) - _c(lo)) / F.lit(float(bins))
-    narrow = step <= F.greatest(F.abs(_c(lo)), F.abs(_c(hi))) * F.lit(2.0 ** -48)
-    counted = reduce(add, [(F.element_at(e, i + 1) <= v).cast("int") for i in range(bins)])
-    guess = F.least(F.greatest(F.floor(F.try_divide(v - _c(lo), step)).cast("int"), F.lit(0)), F.lit(bins - 1))
-    lower = F.element_at(e, guess + 1)
-    upper = F.element_at(e, F.least(guess + 2, F.lit(bins + 1)))
-    idx = (F.when(v < lower, guess - 1)
-           .when((guess < bins - 1) & (v >= upper), guess + 1)
-           .otherwise(guess))
-    return F.when(narrow, counted).otherwise(idx + 1)
+def equal_width_bin(value, lo: float, hi: float, bins: int) -> Column:
+    """0-based bin of ``value`` in [lo, hi] among the equal-width edges of
+    ``linspace_edges``: [e_i, e_{i+1}) and the last bin closed.
+
+    The arithmetic guess ⌊(v − lo)/step⌋ is at most one bin off near an edge; one
+    comparison with the edges on either side, computed as ``linspace`` does, corrects
+    it. Where a bin is only a few units in the last place wide, rounded edges coincide
+    and the guess may be further off: there (decided here, not per row) the edges ≤ v
+    are counted. Plain arithmetic on literals: stays in generated code."""
+    v, step = _c(value), (hi - lo) / float(bins)
+    if step <= max(abs(lo), abs(hi)) * 2.0 ** -48:
+        return reduce(add, [(F.lit(i * step + lo) <= v).cast("int") for i in range(1, bins)], F.lit(0))
+    guess = F.least(F.floor((v - F.lit(lo)) / F.lit(step)).cast("int"), F.lit(bins - 1))
+    lower = guess.cast("double") * F.lit(step) + F.lit(lo)
+    upper = (guess + 1).cast("double") * F.lit(step) + F.lit(lo)
+    return (F.when(v < lower, guess - 1)
+            .when((guess < bins - 1) & (v >= upper), guess + 1)
+            .otherwise(guess))

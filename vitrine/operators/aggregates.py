@@ -83,9 +83,17 @@ def damage_by_part(df: DataFrame, cfg: ListingConfig = ListingConfig()) -> DataF
     return wide.select(F.inline(entries))
 
 
-def group_cardinality(df: DataFrame, group: str) -> DataFrame:
-    """A10: number of distinct non-NULL groups."""
-    return df.agg(F.count_distinct(F.col(group)).alias("n_groups"))
+def group_cardinality(df: DataFrame, group: str, conditions: list[Column] | None = None) -> DataFrame:
+    """A10: the number of distinct non-NULL groups → (n_groups), or with ``conditions``
+    (set_id, n_groups), the number of groups that have a row under each of them: one
+    aggregate by group keeps per condition whether any row meets it, a second counts."""
+    if conditions is None:
+        return df.agg(F.count_distinct(F.col(group)).alias("n_groups"))
+    met = [F.max(F.coalesce(c, F.lit(False)).cast("int")).alias(f"_h{k}") for k, c in enumerate(conditions)]
+    wide = df.where(F.col(group).isNotNull()).groupBy(group).agg(*met).agg(
+        *[F.count_if(F.col(f"_h{k}") == 1).alias(f"_g{k}") for k in range(len(conditions))])
+    return wide.select(F.inline(F.array(*[F.struct(F.lit(k + 1).alias("set_id"), F.col(f"_g{k}").alias("n_groups"))
+                                          for k in range(len(conditions))])))
 
 
 def radar_indicators(df: DataFrame, cfg: ListingConfig = ListingConfig()) -> DataFrame:

@@ -6,30 +6,35 @@ Plan (all features at once, no per-feature job):
   values dropped, one aggregation to (feature, value, c_ref, c_curr). Map-side
   partial aggregation collapses repeated values before the shuffle, so a value
   holding a third of the rows costs one row per task.
-* D2/D4: exact running totals per feature (``prefix.running_totals``, bucketed
-  so no feature sits in one task). Per distinct value: F1 = cum_ref/n1,
-  F2 = cum_curr/n2; KS = max|F1−F2|; EMD = Σ |F1−F2|·(next value − value).
-* A17: population std of the reference from the same pass (Σ c·(v−mean)²,
-  mean from the small bucket table).
+* D2/D4/A17: the counts dealt into ranges of (feature, value) and read in order
+  (``prefix.range_scan``), so that no feature sits in one task. Per distinct value:
+  F1 = cum_ref/n1, F2 = cum_curr/n2; KS = max|F1−F2|; EMD = Σ |F1−F2|·(next value −
+  value); population std of the reference Σ c·(v−mean)². A partition hands on one
+  row per feature.
 * D3: p-value per feature (``functions.ks``), on a table of one row per feature.
-* D6: 20 equal-width bins on the pooled min/max; bin = number of the first
-  20 edges ≤ value (last bin closed), found arithmetically and corrected
-  against the edges; densities per bin and side.
+* D6: 20 equal-width bins on the pooled min/max: one wide aggregate per side finds
+  the extremes, a second pass the bin number of every column of a row.
+
+Reports are plans: building one runs no job. Only the histogram reads the extremes
+(one row per side) while it is built.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vitrine.config import (DRIFT_CONSTANT_SENTINEL, DRIFT_EMD_THRESHOLD, DRIFT_P_THRESHOLD,
                             HISTOGRAM_BINS, KS_EXACT_MAX_N)
-from vitrine.functions.ks import asymptotic_pvalue, ks_pvalue
+from vitrine.functions.ks import ks_pvalue
 from vitrine.functions.scalars import equal_width_bin, linspace_edges, np_round, safe_ratio
 from vitrine.operators.filters import finite, numeric_features, qcol, segment_pair
-from vitrine.operators.prefix import TARGET_ROWS_PER_BUCKET, running_totals, running_totals_simple
+from vitrine.operators.prefix import Segments, default_partitions, range_scan, running_totals_simple, sample_rate
 from vitrine.session import ship_package
 
 
@@ -101,77 +106,117 @@ class DriftStats:
     features: list[str]
 
 
-def drift_stats(ref: DataFrame, curr: DataFrame, columns: list[str] | None = None,
-                method: str = "bucketed", buckets: int | None = None,
-                counts: DataFrame | None = None, target_rows: int = TARGET_ROWS_PER_BUCKET) -> DriftStats:
-    """Per feature: fid, feature, n_ref, n_curr, ks, emd, std_ref (population) and
-    the pooled min/max. Features with an empty side are left out (A16)."""
-    spark = ref.sparkSession
-    features = drift_features(ref, curr, columns)
-    counts = counts if counts is not None else paired_counts(ref, curr, features)
-    if method == "bucketed":
-        rows, per_bucket = running_totals(
-            counts, "fid", "value", ["c_ref", "c_curr"], buckets=buckets, freeze="collect",
-            extra_bucket_aggs=[F.sum(F.col("c_ref") * F.col("value")).alias("sum_ref_v")],
-            split_source=paired_long(ref, curr, features), target_rows=target_rows)
-        totals = per_bucket.groupBy("fid").agg(
-            F.sum("tot_c_ref").alias("n_ref"), F.sum("tot_c_curr").alias("n_curr"),
-            F.sum("sum_ref_v").alias("sum_ref_v"),
-            F.min("bmin").alias("vmin"), F.max("bmax").alias("vmax"))
-    elif method == "simple":
-        rows = running_totals_simple(counts, "fid", "value", ["c_ref", "c_curr"])
-        totals = counts.groupBy("fid").agg(
-            F.sum("c_ref").alias("n_ref"), F.sum("c_curr").alias("n_curr"),
-            F.sum(F.col("c_ref") * F.col("value")).alias("sum_ref_v"),
-            F.min("value").alias("vmin"), F.max("value").alias("vmax"))
-    else:
-        raise ValueError(method)
-    totals = totals.where((F.col("n_ref") > 0) & (F.col("n_curr") > 0)).withColumn(
-        "mean_ref", F.col("sum_ref_v") / F.col("n_ref"))
+_STATS = ("fid int, ks double, emd double, ss_ref double, n_ref long, n_curr long, vmin double, vmax double, "
+          "own long")
+
+
+def _fold_stats(s: Segments) -> dict:
+    """Per segment of a partition: its largest gap, its share of the EMD and of the
+    reference's squared deviations."""
+    out: dict[str, list] = {name.split()[0]: [] for name in _STATS.split(", ")}
+    for k, (a, b) in enumerate(zip(s.start, s.stop)):
+        n_ref, n_curr = int(s.total["c_ref"][k]), int(s.total["c_curr"][k])
+        v, c_ref = s.value[a:b], s.weight["c_ref"][a:b]
+        out["fid"].append(s.parts[int(a)].as_py())
+        out["n_ref"].append(n_ref)
+        out["n_curr"].append(n_curr)
+        out["own"].append(int(s.own["c_ref"][k] + s.own["c_curr"][k]))
+        out["vmin"].append(v[0])
+        out["vmax"].append(v[-1])
+        if not n_ref or not n_curr:
+            for name in ("ks", "emd", "ss_ref"):
+                out[name].append(0.0)
+            continue
+        gap = np.abs((s.before["c_ref"][k] + np.cumsum(c_ref)) / n_ref
+                     - (s.before["c_curr"][k] + np.cumsum(s.weight["c_curr"][a:b])) / n_curr)
+        after = s.next_value[k]
+        step = np.diff(v, append=v[-1] if math.isnan(after) else after)
+        dev = v - s.total["s_ref"][k] / n_ref
+        out["ks"].append(gap.max())
+        out["emd"].append(float(np.sum(gap * step)))
+        out["ss_ref"].append(float(np.sum(c_ref * dev * dev)))
+    return out
+
+
+def _sampled_rows(ref: DataFrame, curr: DataFrame, features: list[str], partitions: int) -> DataFrame:
+    """(fid, value) of some rows, told by a hash of the whole row: only these are unpivoted."""
+    n = ref.select(F.count(F.lit(1))).scalar() + curr.select(F.count(F.lit(1))).scalar()
+    some = F.pmod(F.xxhash64(*[qcol(f) for f in features]), sample_rate(n, partitions)) == 0
+    return paired_long(ref.where(some), curr.where(some), features).select("fid", "value")
+
+
+def _ranged_stats(counts: DataFrame, partitions: int, sample: DataFrame) -> DataFrame:
+    weighted = counts.withColumn("s_ref", F.col("c_ref") * F.col("value"))
+    parts = range_scan(weighted, "fid", "value", ["c_ref", "c_curr", "s_ref"], _fold_stats,
+                       T.StructType.fromDDL(_STATS), partitions, sample)
+    g = parts.groupBy("fid").agg(
+        F.max("ks").alias("ks"), F.sum("emd").alias("emd"), F.sum("ss_ref").alias("ss_ref"), F.max("n_ref").alias("n_ref"),
+        F.max("n_curr").alias("n_curr"), F.min("vmin").alias("vmin"), F.max("vmax").alias("vmax"), F.sum("own").alias("own"))
+    torn = F.raise_error(F.lit("drift_stats: a feature's partitions do not add up"))
+    return (g.withColumn("n_ref", F.when(F.col("own") != F.col("n_ref") + F.col("n_curr"), torn).otherwise(F.col("n_ref")))
+            .where((F.col("n_ref") > 0) & (F.col("n_curr") > 0)))
+
+
+def _simple_stats(counts: DataFrame) -> DataFrame:
+    """One window per feature: the reference form."""
+    totals = counts.groupBy("fid").agg(
+        F.sum("c_ref").alias("n_ref"), F.sum("c_curr").alias("n_curr"),
+        F.sum(F.col("c_ref") * F.col("value")).alias("sum_ref_v"),
+        F.min("value").alias("vmin"), F.max("value").alias("vmax")) \
+        .where((F.col("n_ref") > 0) & (F.col("n_curr") > 0)).withColumn("mean_ref", F.col("sum_ref_v") / F.col("n_ref"))
+    rows = running_totals_simple(counts, "fid", "value", ["c_ref", "c_curr"])
     # one row per feature: bounded by the schema
-    t = F.broadcast(totals.select("fid", "n_ref", "n_curr", "mean_ref"))
-    j = rows.join(t, "fid")
+    j = rows.join(F.broadcast(totals.select("fid", "n_ref", "n_curr", "mean_ref")), "fid")
     gap = F.abs(F.col("cum_c_ref") / F.col("n_ref") - F.col("cum_c_curr") / F.col("n_curr"))
     step = F.coalesce(F.col("next_value") - F.col("value"), F.lit(0.0))
     dev = F.col("value") - F.col("mean_ref")
     per_feature = j.groupBy("fid").agg(
-        F.max(gap).alias("ks"),
-        F.sum(gap * step).alias("emd"),
-        F.sum(F.col("c_ref") * dev * dev).alias("ss_ref"))
-    stats = (totals.join(per_feature, "fid").join(feature_names(spark, features), "fid")
-             .select("fid", "feature", "n_ref", "n_curr", "ks", "emd",
-                     F.sqrt(F.col("ss_ref") / F.col("n_ref")).alias("std_ref"),
-                     "vmin", "vmax"))
+        F.max(gap).alias("ks"), F.sum(gap * step).alias("emd"), F.sum(F.col("c_ref") * dev * dev).alias("ss_ref"))
+    return totals.join(per_feature, "fid")
+
+
+def drift_stats(ref: DataFrame, curr: DataFrame, columns: list[str] | None = None,
+                method: str = "ranged", partitions: int | None = None,
+                counts: DataFrame | None = None) -> DriftStats:
+    """Per feature: fid, feature, n_ref, n_curr, ks, emd, std_ref (population) and
+    the pooled min/max. Features with an empty side are left out (A16).
+    ``method``: 'ranged' (an exchange of ``partitions`` partitions) or 'simple'
+    (one window per feature, the form that tests compare with)."""
+    features = drift_features(ref, curr, columns)
+    counts = counts if counts is not None else paired_counts(ref, curr, features)
+    if method not in ("ranged", "simple"):
+        raise ValueError(method)
+    if method == "ranged":
+        partitions = partitions or default_partitions(ref)
+        per = _ranged_stats(counts, partitions, _sampled_rows(ref, curr, features, partitions))
+    else:
+        per = _simple_stats(counts)
+    stats = per.join(feature_names(ref.sparkSession, features), "fid").select(
+        "fid", "feature", "n_ref", "n_curr", "ks", "emd", F.sqrt(F.col("ss_ref") / F.col("n_ref")).alias("std_ref"), "vmin", "vmax")
     return DriftStats(stats=stats, counts=counts, features=features)
 
 
 def drift_report(ref: DataFrame, curr: DataFrame, columns: list[str] | None = None,
-                 method: str = "bucketed", buckets: int | None = None,
-                 stats: DriftStats | None = None, target_rows: int = TARGET_ROWS_PER_BUCKET) -> DataFrame:
+                 method: str = "ranged", partitions: int | None = None,
+                 stats: DriftStats | None = None, exact_max_n: int = KS_EXACT_MAX_N) -> DataFrame:
     """(ordinal, feature, drift_detected, p_value, ks_statistic, emd_score,
     normalized_emd), rounded to 5/4/2/3 places the NumPy way; the flag uses
-    unrounded values."""
+    unrounded values. A plan: building it runs no job. ``exact_max_n``: largest
+    sample of the exact two-sample law."""
     spark = ref.sparkSession
-    ds = stats or drift_stats(ref, curr, columns, method, buckets, target_rows=target_rows)
-    # the statistics are one row per feature (bounded by the schema): compute them
-    # once, then finish the report on those rows; Python runs only for features
-    # on the exact branch, spread over tasks by feature
-    rows = ds.stats.collect()
-    s = spark.createDataFrame(rows, ds.stats.schema)
+    ds = stats or drift_stats(ref, curr, columns, method, partitions)
+    ship_package(spark)  # p-values of small samples run in a Pandas UDF
+    # one row per feature, spread so that each task has the p-value of one feature or two
+    s = ds.stats.repartition(max(1, min(len(ds.features), spark.sparkContext.defaultParallelism)), "fid")
     n1, n2 = F.col("n_ref"), F.col("n_curr")
-    small = (n1 <= KS_EXACT_MAX_N) & (n2 <= KS_EXACT_MAX_N)
-    if any(r.n_ref <= KS_EXACT_MAX_N and r.n_curr <= KS_EXACT_MAX_N for r in rows):
-        ship_package(spark)  # the exact p-value runs in a Pandas UDF
-        s = s.repartition(min(len(rows), spark.sparkContext.defaultParallelism), "fid")
-        p = ks_pvalue(F.col("ks"), "n_ref", "n_curr")
-    else:
-        p = asymptotic_pvalue(F.col("ks"), n1, n2)
-    # exact branch works on the integer D·n1·n2 (fits a long there: n ≤ 10000)
+    small = (n1 <= exact_max_n) & (n2 <= exact_max_n)
+    # exact branch works on the integer D·n1·n2 (fits a long there)
     d_int = F.when(small, F.rint(F.col("ks") * n1.cast("double") * n2.cast("double")).cast("long"))
     ks_exact = d_int.cast("double") / (n1.cast("double") * n2.cast("double"))
     ks = F.when(small, ks_exact).otherwise(F.col("ks"))
     nemd = safe_ratio(F.col("emd"), F.col("std_ref"), DRIFT_CONSTANT_SENTINEL)
-    rep = s.select("fid", "feature", p.alias("p"), ks.alias("ks"), F.col("emd"), nemd.alias("nemd"))
+    rep = s.select("fid", "feature", ks_pvalue(F.col("ks"), "n_ref", "n_curr", exact_max_n).alias("p"),
+                   ks.alias("ks"), F.col("emd"), nemd.alias("nemd"))
     return rep.select(
         F.col("fid").alias("ordinal"), "feature",
         ((F.col("p") < DRIFT_P_THRESHOLD) & (F.col("nemd") > DRIFT_EMD_THRESHOLD)).alias("drift_detected"),
@@ -181,39 +226,63 @@ def drift_report(ref: DataFrame, curr: DataFrame, columns: list[str] | None = No
         np_round("nemd", 3).alias("normalized_emd"))
 
 
+def _extremes(df: DataFrame, features: list[str]) -> DataFrame:
+    """One row: per feature the number of finite values and their extremes."""
+    aggs = []
+    for i, f in enumerate(features):
+        v = qcol(f).cast("double")
+        v = F.when(finite(v), v)
+        aggs += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
+    return df.agg(*aggs)
+
+
+def _bin_counts(df: DataFrame, ranges: dict[str, tuple[int, float, float]], bins: int) -> DataFrame:
+    """``(key, n)``; the key of a feature's bin is fid·bins + bin. Every row gives the
+    bin numbers of all its columns as one array of ints; nothing else is unpivoted."""
+    keys = []
+    for f, (fid, lo, hi) in ranges.items():
+        v = qcol(f).cast("double")
+        keys.append(F.when(finite(v), equal_width_bin(v, lo, hi, bins) + F.lit(fid * bins)))
+    return (df.select(F.explode(F.array(*keys)).alias("key")).where("key IS NOT NULL")
+            .groupBy("key").agg(F.count(F.lit(1)).alias("n")))
+
+
 def drift_histogram(ref: DataFrame, curr: DataFrame, columns: list[str] | None = None,
-                    bins: int = HISTOGRAM_BINS, counts: DataFrame | None = None,
-                    features: list[str] | None = None) -> DataFrame:
+                    bins: int = HISTOGRAM_BINS, features: list[str] | None = None) -> DataFrame:
     """(feature, bin_index, bin, ref_density, curr_density); no rows for a
     feature whose pooled min equals its max or that has an empty side. Where a
     feature's range is so narrow that edges coincide, the densities of its bins
-    of no width are NULL; other bins and features are not affected."""
+    of no width are NULL; other bins and features are not affected.
+
+    The extremes (one row per side) are read while the frame is built: they decide
+    per feature how bins are found, and are literals of the second pass."""
+    spark = ref.sparkSession
     features = features or drift_features(ref, curr, columns)
-    # bins and extremes are partial aggregations: raw rows do (two tiny shuffles);
-    # the tie-compressed counts (a shuffle of every distinct value) are only
-    # used when a caller already holds them
-    counts = counts if counts is not None else paired_long(ref, curr, features)
-    per_feature = (counts.groupBy("fid")
-                   .agg(F.min("value").alias("vmin"), F.max("value").alias("vmax"),
-                        F.sum("c_ref").alias("n_ref"), F.sum("c_curr").alias("n_curr"))
-                   .where((F.col("n_ref") > 0) & (F.col("n_curr") > 0) & (F.col("vmin") < F.col("vmax")))
-                   .withColumn("edges", linspace_edges(F.col("vmin"), F.col("vmax"), bins)))
-    # one row per feature (bounded by the schema): broadcast
-    edges = F.broadcast(per_feature.select("fid", "edges", "vmin", "vmax"))
-    v = F.col("value")
-    binned = (counts.join(edges, "fid")
-              .withColumn("bin_index", equal_width_bin(v, "edges", "vmin", "vmax", bins))
-              .groupBy("fid", "bin_index")
-              .agg(F.sum("c_ref").alias("k_ref"), F.sum("c_curr").alias("k_curr")))
-    spine = per_feature.select("fid", "edges", "n_ref", "n_curr",
-                               F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin_index"))
-    lo = F.element_at("edges", F.col("bin_index"))
-    hi = F.element_at("edges", F.col("bin_index") + 1)
+    a, b = _extremes(ref, features).withColumn("side", F.lit(0)).unionByName(
+        _extremes(curr, features).withColumn("side", F.lit(1))).orderBy("side").collect()
+    rows = []
+    for i, f in enumerate(features):
+        n_ref, n_curr = a[f"n{i}"], b[f"n{i}"]
+        if n_ref and n_curr:
+            lo, hi = min(a[f"lo{i}"], b[f"lo{i}"]), max(a[f"hi{i}"], b[f"hi{i}"])
+            if lo < hi:
+                rows.append((i + 1, f, n_ref, n_curr, lo, hi))
+    schema = "fid int, feature string, n_ref long, n_curr long, vmin double, vmax double"
+    # one row per feature and bin: bounded by the schema
+    spine = (spark.createDataFrame(rows, schema).withColumn("edges", linspace_edges(F.col("vmin"), F.col("vmax"), bins))
+             .withColumn("bin_index", F.explode(F.sequence(F.lit(1), F.lit(bins))))
+             .withColumn("key", F.col("fid") * bins + F.col("bin_index") - 1))
+    counts = spark.createDataFrame([], "key int, n_r long, n_c long")
+    if rows:
+        ranges = {f: (fid, lo, hi) for fid, f, _, _, lo, hi in rows}
+        zero = F.lit(0).cast("long")
+        counts = _bin_counts(ref, ranges, bins).select("key", F.col("n").alias("n_r"), zero.alias("n_c")).unionByName(
+            _bin_counts(curr, ranges, bins).select("key", zero.alias("n_r"), F.col("n").alias("n_c")))
+    counts = counts.groupBy("key").agg(F.sum("n_r").alias("k_ref"), F.sum("n_c").alias("k_curr"))
+    lo, hi = F.element_at("edges", F.col("bin_index")), F.element_at("edges", F.col("bin_index") + 1)
     width = hi - lo
-    k_ref = F.coalesce(F.col("k_ref"), F.lit(0)).cast("double")
-    k_curr = F.coalesce(F.col("k_curr"), F.lit(0)).cast("double")
-    return (spine.join(binned, ["fid", "bin_index"], "left")
-            .join(feature_names(ref.sparkSession, features), "fid")
+    k_ref, k_curr = [F.coalesce(F.col(k), F.lit(0)).cast("double") for k in ("k_ref", "k_curr")]
+    return (spine.join(F.broadcast(counts), "key", "left")
             .select("feature", "bin_index",
                     np_round((lo + hi) / F.lit(2.0), 2).alias("bin"),
                     (F.try_divide(k_ref, width) / F.col("n_ref")).alias("ref_density"),

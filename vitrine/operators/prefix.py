@@ -1,161 +1,147 @@
-"""Exact running totals per part, spread over many tasks (used by KS, EMD and
+"""Running totals in value order, spread over many tasks (used by KS, EMD and
 exact quantiles).
 
 A window ``partitionBy(part).orderBy(value)`` puts a whole part into one task;
 with one part holding a third of the data that task holds a third of the data.
-Instead (two passes):
-
-1. split points per part: ``percentile_approx`` quantiles (B per part, sized
-   from the part's row count), frozen
-   (collected when the part set is bounded, else written with ``checkpoint()``)
-   so that a retried task assigns the same buckets;
-2. bucket = number of split points below the value (binary search);
-3. per (part, bucket): totals, min and max (a table of ≤ parts × B rows);
-   exclusive prefix offsets and the next bucket's min by a window over that
-   small table;
-4. a window inside (part, bucket) adds the offsets: exact inclusive totals and
-   the next value in order (across bucket edges via the next bucket's min).
+Here the rows are dealt into **ranges of (part, value)**, so that a large part
+spreads over as many ranges as its size asks for and small parts share one:
+
+1. borders: a sample of the rows, told by a hash of their values, is sorted and every
+   so many-th is a border. The sample is a function of the rows alone, so are the
+   borders: a retried task, or a plan that evaluates them twice, deals every row
+   to the same range. They balance the work; totals are exact whatever they are;
+2. one exchange by range (a row's range by binary search among the borders);
+3. per range and part its own totals and smallest value: one row for every part,
+   and one more for every border inside a part;
+4. parts that cross a border carry: offsets (totals of the ranges before), whole
+   totals and the next range's first value. A range has at most two such parts, so
+   this table has at most two rows per range and is broadcast; every other part is
+   complete where it lies;
+5. each partition is sorted and read once, in Arrow columns, by a function that
+   gets the carried numbers beside its rows.
+
+The plan is the same at every size and building it runs no job.
 
 Values must be unique per part (aggregate first, e.g. counts per distinct value).
-The split points only balance the work; the totals are exact whatever they are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
-
-from vitrine.functions.scalars import count_sorted
-from vitrine.session import ensure_checkpoint_dir
-
-
-TARGET_ROWS_PER_BUCKET = 2_000_000
-GRID = 1024
-SAMPLE_PER_BUCKET = 1000
+from collections.abc import Callable
 
-
-def split_points(df: DataFrame, part: str, order: str, buckets: int | None = None,
-                 freeze: str = "collect", target_rows: int = TARGET_ROWS_PER_BUCKET,
-                 grid: int = GRID) -> DataFrame:
-    """(part, bounds array<double>) with increasing split points per part.
-
-    ``buckets`` fixes the bucket count of every part (one sketch over all rows).
-    Otherwise a count per part decides ceil(count / target_rows) buckets; parts that fit one bucket get no split points and no sketch;
-    larger parts are sketched on a row sample of about ``SAMPLE_PER_BUCKET``
-    rows per bucket, and their split points taken from a quantile grid of ``grid``
-    points or more (four per bucket of the largest part). A part holding a third of the data gets as many buckets as its size
-    needs; the sketch reads a sample, not the part.
-    """
-    spark = df.sparkSession
-    v = F.col(order).cast("double")
-    empty = F.array().cast("array<double>")
-    if buckets is not None:
-        if buckets <= 1:
-            bounds = df.select(part).distinct().withColumn("bounds", empty)
-        else:
-            fractions = [k / buckets for k in range(1, buckets)]
-            accuracy = min(200_000, max(10_000, 20 * buckets))
-            bounds = df.groupBy(part).agg(
-                F.array_distinct(F.percentile_approx(v, fractions, accuracy)).alias("bounds"))
-        return _freeze(bounds, freeze)
-
-    nb = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(float(target_rows)))).cast("int")
-    sizes = _freeze(df.groupBy(part).agg(F.count(F.lit(1)).alias("_n")).withColumn("_b", nb), freeze)
-    big = sizes.where(F.col("_b") > 1)
-    if freeze == "collect" and big.isEmpty():
-        return sizes.select(part, empty.alias("bounds"))
-    grid = max(grid, 4 * (big.agg(F.max("_b")).first()[0] or 1))  # fine enough for the largest part: no cap on its buckets
-    frac = F.least(F.lit(1.0), F.col("_b") * F.lit(float(SAMPLE_PER_BUCKET)) / F.col("_n"))
-    hint = F.broadcast if freeze == "collect" else (lambda x: x)
-    sel = big.select(F.col(part).alias("_spart"), frac.alias("_f"), "_b")
-    sample = (df.join(hint(sel), df[part].eqNullSafe(sel["_spart"]))
-              .where(F.rand(seed=17) < F.col("_f")).drop("_spart"))
-    fractions = [k / grid for k in range(1, grid)]
-    sketch = sample.groupBy(part, "_b").agg(F.percentile_approx(v, fractions, 20 * grid).alias("_grid"))
-    b = F.col("_b")
-    picks = F.transform(F.sequence(F.lit(1), b - 1),
-                        lambda i: F.element_at("_grid", (i * F.lit(grid) / b).cast("int")))
-    split = sketch.select(part, F.array_distinct(picks).alias("bounds"))
-    small = sizes.where(F.col("_b") <= 1).select(part, empty.alias("bounds"))
-    return _freeze(split, freeze).unionByName(small)
-
-
-def _freeze(bounds: DataFrame, freeze: str) -> DataFrame:
-    spark = bounds.sparkSession
-    if freeze == "collect":
-        rows = bounds.collect()  # one row per part: the part set is bounded (e.g. schema columns)
-        return spark.createDataFrame(rows, bounds.schema)
-    if freeze == "checkpoint":
-        ensure_checkpoint_dir(spark)
-        return bounds.checkpoint(eager=True)
-    raise ValueError(freeze)
-
-
-def running_totals(df: DataFrame, part: str, order: str, weights: list[str],
-                   buckets: int | None = None, freeze: str = "collect",
-                   extra_bucket_aggs: list | None = None,
-                   split_source: DataFrame | None = None,
-                   target_rows: int = TARGET_ROWS_PER_BUCKET) -> tuple[DataFrame, DataFrame]:
-    """Inclusive running sums of ``weights`` per ``part`` in ``order``.
-
-    ``split_source`` (same ``part``/``order`` columns) is where split points are
-    sketched; pass the raw rows ``df`` was aggregated from, so the sketch is one
-    scan with map-side partial sketches instead of a second evaluation of the
-    aggregation. Raw-row quantiles bound every bucket to about N/B raw rows,
-    hence at most N/B distinct values.
-
-    Returns ``(rows, buckets_table)``: rows carry ``cum_<w>`` (inclusive) and
-    ``next_value`` (the next larger value of the part, NULL for the last);
-    the bucket table has per (part, bucket) totals ``tot_<w>``, ``bmin``,
-    ``bmax`` and any ``extra_bucket_aggs``.
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from vitrine.session import ship_package
+
+
+#: Ranges per partition of the exchange, so that partitions even out.
+RANGES = 3
+#: Rows of the sample per range.
+SAMPLE = 16
+
+
+class Segments:
+    """The rows of one partition in (range, part, value) order, as NumPy columns, cut into
+    segments where the range or the part changes: rows ``start`` to ``stop``."""
+
+    def __init__(self, table, part: str, order: str, weights: list[str]):
+        self.parts = table.column(part).combine_chunks()
+        codes = self.parts.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        ranges = self._column(table, "_range")
+        self.start = np.concatenate([[0], np.flatnonzero((codes[1:] != codes[:-1]) | (ranges[1:] != ranges[:-1])) + 1])
+        self.stop = np.append(self.start[1:], len(codes))
+        self.value = self._column(table, order)
+        self.weight = {w: self._column(table, w) for w in weights}
+        crosses = table.column("own_n").combine_chunks().is_valid().to_numpy(zero_copy_only=False)[self.start]
+        carried = {c: self._column(table, c)[self.start] for c in table.column_names if c.startswith(("off_", "tot_"))}
+        #: per segment: sums of the rows here, of the whole part, and of its rows in earlier partitions
+        self.own = {w: np.add.reduceat(x, self.start) for w, x in self.weight.items()}
+        self.total = {w: np.where(crosses, carried[f"tot_{w}"], self.own[w]) for w in weights}
+        self.before = {w: np.where(crosses, carried[f"off_{w}"], 0) for w in weights}
+        self.next_value = self._column(table, "next_value")[self.start]  # NaN: none
+        rows = self.stop - self.start
+        if not np.array_equal(self._column(table, "own_n")[self.start][crosses], rows[crosses]):
+            raise RuntimeError("range_scan: the carried totals belong to other borders")
+
+    @staticmethod
+    def _column(table, name: str) -> np.ndarray:
+        return table.column(name).combine_chunks().to_numpy(zero_copy_only=False)
+
+
+def default_partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def sample_rate(n: Column, partitions: int) -> Column:
+    """One row in so many, for a sample of about ``SAMPLE`` rows per range out of ``n``."""
+    return F.greatest(F.lit(1), F.floor(n / F.lit(float(SAMPLE * RANGES * partitions)))).cast("long")
+
+
+def _with_range(df: DataFrame, key: Column, borders: Column, ranges: int) -> DataFrame:
+    """``df`` with ``_range``, how many of the sorted borders are at most ``key``: binary
+    search by lifting, a projection per step (each names the step before several times,
+    so they stay apart, in generated code)."""
+    df, at = df.withColumn("_range", F.lit(0)), F.col("_range")
+    for j in reversed(range(ranges.bit_length())):
+        further = at + F.lit(1 << j)
+        df = df.withColumn("_range", F.when(F.try_element_at(borders, further) <= key, further).otherwise(at))
+    return df
+
+
+def range_scan(df: DataFrame, part: str, order: str, weights: list[str], fold: Callable[[Segments], dict],
+               schema: T.StructType, partitions: int | None = None, sample: DataFrame | None = None) -> DataFrame:
+    """Apply ``fold`` to every partition of ``df`` in (range, ``part``, ``order``) order.
+
+    ``df`` has the columns ``part``, ``order`` (double, not null) and ``weights`` (not
+    null); ``fold`` returns the columns of ``schema`` as arrays, by default one row
+    per segment, so a part that crosses borders has a row for each range that the
+    caller adds up. A partition's rows are held in memory once, as Arrow columns:
+    ``partitions`` (default: ``spark.sql.shuffle.partitions``) sets their size.
+    ``sample``: (part, order) rows to draw the borders from, a function of the data
+    (``sample_rate``); by default a share of ``df`` by a hash of both columns.
     """
-    source = split_source if split_source is not None else df
-    bounds = split_points(source, part, order, buckets, freeze, target_rows=target_rows)
-    aggs = [F.sum(w).alias(f"tot_{w}") for w in weights]
-    aggs += [F.min(order).alias("bmin"), F.max(order).alias("bmax")]
-    aggs += list(extra_bucket_aggs or [])
-    if freeze == "collect" and all(len(r.bounds) == 0 for r in bounds.collect()):
-        # every part fits one bucket (≤ target_rows rows): one window per part
-        # is already bounded, skip the offsets join (bounds is a local relation)
-        rows = running_totals_simple(df, part, order, weights)
-        per_part = df.groupBy(part).agg(*aggs).withColumn("_bucket", F.lit(0))
-        return rows, per_part
-    max_len = max(1, bounds.agg(F.max(F.size("bounds"))).first()[0] or 0)  # the bounds are frozen: one small job
-    hint = F.broadcast if freeze == "collect" else (lambda x: x)
-    v = F.col(order)
-    b = bounds.withColumnRenamed(part, "_bpart")
-    # left join: a part without split points is one bucket, never dropped
-    bucketed = (df.join(hint(b), df[part].eqNullSafe(b["_bpart"]), "left")
-                .withColumn("_bucket", F.coalesce(count_sorted("bounds", v.cast("double"), max_len=max_len),
-                                                  F.lit(0)))
-                .drop("bounds", "_bpart"))
-
-    per_bucket = bucketed.groupBy(part, "_bucket").agg(*aggs)
-    wb = Window.partitionBy(part).orderBy("_bucket")
-    before = wb.rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.select(
-        "*",
-        *[F.coalesce(F.sum(f"tot_{w}").over(before), F.lit(0)).alias(f"off_{w}") for w in weights],
-        F.lead("bmin").over(wb).alias("next_bmin"),
-    )
-
-    wr = Window.partitionBy(part, "_bucket").orderBy(order)
-    upto = wr.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    o = offsets.select(F.col(part).alias("_opart"), F.col("_bucket").alias("_obucket"), "next_bmin",
-                       *[f"off_{w}" for w in weights])
-    joined = bucketed.join(hint(o), bucketed[part].eqNullSafe(o["_opart"])
-                           & (bucketed["_bucket"] == o["_obucket"]))
-    rows = joined.select(
-        *[c for c in df.columns],
-        *[(F.col(f"off_{w}") + F.sum(w).over(upto)).alias(f"cum_{w}") for w in weights],
-        F.coalesce(F.lead(order).over(wr), F.col("next_bmin")).alias("next_value"),
-    )
-    return rows, offsets
+    ship_package(df.sparkSession)
+    n = partitions or default_partitions(df)
+    if sample is None:
+        total = df.select(F.count(F.lit(1))).scalar()
+        sample = df.where(F.pmod(F.xxhash64(part, order), sample_rate(total, n)) == 0)
+    every = F.greatest(F.lit(1), F.ceil(F.size("s") / F.lit(float(RANGES * n))).cast("int"))
+    keys = F.sort_array(F.collect_list(F.struct(F.col(part), F.col(order))))
+    # some rows per range in one array: bounded by the number of partitions
+    borders = sample.agg(keys.alias("s")).select(F.filter("s", lambda _, i: (i > 0) & (i % every == 0))).scalar()
+    dealt = _with_range(df.select(part, order, *weights), F.struct(F.col(part), F.col(order)), borders, RANGES * n).repartition(n, "_range")
+    own = dealt.groupBy("_range", part).agg(*[F.sum(w).alias(f"own_{w}") for w in weights],
+                                            F.count(F.lit(1)).alias("own_n"), F.min(order).alias("_first"))
+    # at most one row per part and one per border: by ranges, it gives what is carried
+    by = Window.partitionBy(part).orderBy("_range")
+    before, whole = by.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(part)
+    crossing = own.select(
+        F.col(part).alias("_cpart"), F.col("_range").alias("_crange"), "own_n", F.lead("_first").over(by).alias("next_value"),
+        *[F.coalesce(F.sum(f"own_{w}").over(before), F.lit(0)).alias(f"off_{w}") for w in weights],
+        *[F.sum(f"own_{w}").over(whole).alias(f"tot_{w}") for w in weights],
+        F.count(F.lit(1)).over(whole).alias("_n")).where("_n > 1").drop("_n")
+    joined = dealt.join(F.broadcast(crossing), dealt[part].eqNullSafe(F.col("_cpart")) & (F.col("_range") == F.col("_crange")), "left")
+    arrow = to_arrow_schema(schema)
+
+    def scan(batches):
+        import pyarrow as pa
+
+        kept = [b for b in batches if b.num_rows]
+        if kept:
+            out = fold(Segments(pa.Table.from_batches(kept), part, order, weights))
+            columns = [out[f.name] if isinstance(out[f.name], pa.Array) else pa.array(out[f.name]) for f in arrow]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    return (joined.drop("_cpart", "_crange")
+            .sortWithinPartitions("_range", part, order).mapInArrow(scan, schema))
 
 
 def running_totals_simple(df: DataFrame, part: str, order: str, weights: list[str]) -> DataFrame:
-    """One window per part (one task per part): for parts known to fit a task,
-    and as the reference form in tests."""
+    """One window per part (one task per part): the reference form of tests and the bench."""
     w = Window.partitionBy(part).orderBy(order)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return df.select("*", *[F.sum(c).over(upto).alias(f"cum_{c}") for c in weights],

@@ -2,57 +2,61 @@
 
 ``percentile`` buffers every value of a group in one aggregation buffer, so a
 group with a third of the rows lands in one task. Here values are first
-collapsed to (group, value, count), ranked with the bucketed running totals of
-``prefix.running_totals``, and each quantile picks the rows whose rank range
-holds its two interpolation ranks: with n values, p gives h = (n−1)·p and
-q = v[⌊h⌋] + (h − ⌊h⌋)·(v[⌈h⌉] − v[⌊h⌋]) (linear interpolation, 0-based ranks).
+collapsed to (group, value, count) and dealt into ranges of (group, value)
+(``prefix.range_scan``): a large group spreads over many ranges, each of which
+knows how many values come before its own. With n values, p gives h = (n−1)·p and
+q = v[⌊h⌋] + (h − ⌊h⌋)·(v[⌈h⌉] − v[⌊h⌋]) (linear interpolation, 0-based ranks);
+the range that holds a rank hands on its value. Nothing is joined on the group.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from vitrine.operators.prefix import TARGET_ROWS_PER_BUCKET, running_totals
+from vitrine.operators.prefix import Segments, range_scan
 
 BOX_PROBS = (0.0, 0.25, 0.5, 0.75, 1.0)
 
 
-def group_quantiles(df: DataFrame, group: str, measure: str, probs=BOX_PROBS,
-                    buckets: int | None = None, target_rows: int = TARGET_ROWS_PER_BUCKET) -> DataFrame:
+def group_quantiles(df: DataFrame, group: str, measure: str, probs=BOX_PROBS, partitions: int | None = None) -> DataFrame:
     """(group, n, q0 … q{k-1}) for the non-NULL values of ``measure``; NULL group kept."""
-    raw = (df.where(F.col(measure).isNotNull())
-           .select(F.col(group).alias("group"), F.col(measure).cast("double").alias("value")))
-    counts = raw.groupBy("group", "value").agg(F.count(F.lit(1)).alias("c"))
-    # the group set is not bounded: split points are checkpointed, not collected
-    rows, per_bucket = running_totals(counts, "group", "value", ["c"], buckets=buckets, freeze="checkpoint",
-                                      split_source=raw, target_rows=target_rows)
-    n = per_bucket.groupBy("group").agg(F.sum("tot_c").alias("n"))
-    # per quantile k: interpolation position h_k and its two 0-based ranks
-    cols = [F.col("group").alias("_g"), "n"]
+    probs = [float(p) for p in probs]
+    counts = (df.where(F.col(measure).isNotNull())
+              .groupBy(F.col(group).alias("group"), F.col(measure).cast("double").alias("value"))
+              .agg(F.count(F.lit(1)).alias("c")))
+    ranks = [f"{side}{k}" for k in range(len(probs)) for side in ("lo", "hi")]
+    schema = T.StructType([counts.schema["group"], T.StructField("n", T.LongType()), T.StructField("own", T.LongType()),
+                           *[T.StructField(r, T.DoubleType()) for r in ranks]])
+
+    def pick(s: Segments) -> dict:
+        import pyarrow as pa
+
+        n, own, before = s.total["c"].astype(np.int64), s.own["c"], s.before["c"].astype(np.int64)
+        upto = np.cumsum(s.weight["c"])
+        base = upto[s.stop - 1] - own  # of the partition, before the segment
+        out = {"group": s.parts.take(pa.array(s.start)), "n": n, "own": own}
+        for k, p in enumerate(probs):
+            h = (n - 1) * p
+            for side, rank in (("lo", np.floor(h)), ("hi", np.ceil(h))):
+                local = rank.astype(np.int64) - before
+                here = (local >= 0) & (local < own)
+                at = np.searchsorted(upto, np.where(here, local, 0) + base, side="right")
+                out[f"{side}{k}"] = pa.array(s.value[at], pa.float64(), mask=~here)
+        return out
+
+    rows = range_scan(counts, "group", "value", ["c"], pick, schema, partitions)
+    g = rows.groupBy("group").agg(F.max("n").alias("n"), F.sum("own").alias("own"), *[F.max(r).alias(r) for r in ranks])
+    torn = F.raise_error(F.lit("group_quantiles: a group's partitions do not add up"))
+    out = [F.col("group"), F.when(F.col("own") != F.col("n"), torn).otherwise(F.col("n")).alias("n")]
     for k, p in enumerate(probs):
-        h = (F.col("n") - 1).cast("double") * F.lit(float(p))
-        cols += [h.alias(f"_h{k}"), F.floor(h).alias(f"_rlo{k}"), F.ceil(h).alias(f"_rhi{k}")]
-    nt = n.select(*cols)
-    j = rows.join(nt, rows["group"].eqNullSafe(nt["_g"]))
-    # a value covers 0-based ranks [cum_c − c, cum_c); plain comparisons and
-    # conditional maxima stay in generated code, and the partial aggregation
-    # leaves one row per group and task before the shuffle
-    lo_rank, hi_rank = F.col("cum_c") - F.col("c"), F.col("cum_c")
-    aggs = [F.first("n").alias("n")]
-    for k, _ in enumerate(probs):
-        for side in ("lo", "hi"):
-            r = F.col(f"_r{side}{k}")
-            aggs.append(F.max(F.when((r >= lo_rank) & (r < hi_rank), F.col("value"))).alias(f"_{side}{k}"))
-        aggs.append(F.first(f"_h{k}").alias(f"_h{k}"))
-    g = j.groupBy("group").agg(*aggs)
-    out = [F.col("group"), F.col("n")]
-    for k, _ in enumerate(probs):
-        lo, hi, h = F.col(f"_lo{k}"), F.col(f"_hi{k}"), F.col(f"_h{k}")
+        lo, hi, h = F.col(f"lo{k}"), F.col(f"hi{k}"), (F.col("n") - 1).cast("double") * F.lit(p)
         out.append(F.when(hi == lo, lo).otherwise(lo + (h - F.floor(h)) * (hi - lo)).alias(f"q{k}"))
     return g.select(*out)
 
 
-def box_summary(df: DataFrame, group: str, measure: str, buckets: int | None = None) -> DataFrame:
+def box_summary(df: DataFrame, group: str, measure: str, partitions: int | None = None) -> DataFrame:
     """Box-plot summary per group: (group, n, q0=min, q1, q2=median, q3, q4=max)."""
-    return group_quantiles(df, group, measure, BOX_PROBS, buckets)
+    return group_quantiles(df, group, measure, BOX_PROBS, partitions)

@@ -8,6 +8,7 @@ batches, the model loaded once per Python worker and version (P4).
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from functools import reduce
 from typing import Callable
 
@@ -22,7 +23,7 @@ from vitrine.functions.scalars import np_round, risk_score, truncate_to_long, wi
 from vitrine.operators.validate import split_valid, validate
 from vitrine.session import ship_package
 
-# Features in the order the scoring record lists them.
+# The features in the order the scoring record lists them.
 FEATURES = (
     ("brand", "string"), ("series", "string"), ("model", "string"),
     ("engine_cc_val", "double"), ("power_hp_val", "double"),
@@ -31,8 +32,7 @@ FEATURES = (
     ("year", "int"), ("mileage", "double"), ("transmission", "string"), ("fuel", "string"),
     ("body_type", "string"), ("segment_clean", "string"), ("expert_risk_score", "double"),
 )
-CATEGORICAL = ("brand", "series", "model", "transmission", "fuel", "body_type",
-               "kb_drivetrain", "gb_warranty_status", "segment_clean")
+CATEGORICAL = tuple(name for name, typ in FEATURES if typ == "string")
 
 
 def assemble_features(df: DataFrame, keep: list[str] | None = None,
@@ -87,32 +87,45 @@ class LinearQuantileModel:
         return f"({q50} * {self.low!r})", q50, f"({q50} * {self.high!r})"
 
 
-# One model per (storage root, version) per Python worker process.
-_MODEL_CACHE: dict[tuple[str, str], object] = {}
+# Models per Python process, the most recently used last.
+_MODEL_CACHE: OrderedDict[tuple[str, str, str], object] = OrderedDict()
+#: Models that a process keeps.
+MAX_MODELS = 8
 
 
-def cached_model(version: str, loader: Callable[[str], object], root: str | None = None):
-    """The model of ``version`` under ``root``, loaded once per process. Without a
-    root nothing names the model beyond its version, so it is loaded anew."""
-    if root is None:
+def cached_model(version: str, loader: Callable[[str], object], root: str | None = None, fingerprint: str | None = None):
+    """The model of ``version`` under ``root`` whose files have this ``fingerprint``
+    (``sources.artifacts.version_fingerprint``), loaded once per process. A replaced file
+    has another fingerprint: the model is loaded anew and the old one dropped. Beyond
+    ``MAX_MODELS`` the least recently used goes. Without a root or a fingerprint nothing
+    tells a replaced model from the old one, so it is loaded each time."""
+    if root is None or fingerprint is None:
         return loader(version)
-    key = (root, version)
+    key = (root, version, fingerprint)
     if key not in _MODEL_CACHE:
-        _MODEL_CACHE[key] = loader(version)
+        model = loader(version)
+        for old in [k for k in _MODEL_CACHE if k[:2] == key[:2]]:
+            del _MODEL_CACHE[old]
+        _MODEL_CACHE[key] = model
+        while len(_MODEL_CACHE) > MAX_MODELS:
+            _MODEL_CACHE.popitem(last=False)
+    _MODEL_CACHE.move_to_end(key)
     return _MODEL_CACHE[key]
 
 
 def score_quantiles(df: DataFrame, model, version: str, method: str = "auto",
-                    loader: Callable[[str], object] | None = None, root: str | None = None) -> DataFrame:
+                    loader: Callable[[str], object] | None = None, root: str | None = None,
+                    fingerprint: str | None = None, only: str | None = None) -> DataFrame:
     """Add q05, q50, q95 (double). ``method``: 'expr' (Columns), 'arrow'
-    (``mapInPandas``) or 'auto' (Columns when the model offers them). With ``loader``
-    and ``root`` the workers load the model themselves, once per (root, version);
-    a model passed as an object travels with the task and is never cached."""
+    (``mapInPandas``) or 'auto' (Columns when the model offers them). With ``loader``,
+    ``root`` and ``fingerprint`` the workers load the model themselves, once each;
+    a model passed as an object travels with the task and is never cached. ``only``
+    names a boolean column: other rows get NULLs and are not shown to the model."""
     if method == "auto":
         method = "expr" if hasattr(model, "as_columns") else "arrow"
     if method == "expr":
-        q05, q50, q95 = model.as_columns()
-        return df.select("*", q05.alias("q05"), q50.alias("q50"), q95.alias("q95"))
+        q = [c if only is None else F.when(F.col(only), c) for c in model.as_columns()]
+        return df.select("*", *[c.alias(name) for c, name in zip(q, ("q05", "q50", "q95"))])
     ship_package(df.sparkSession)
     feature_names = list(model.feature_names)
     out_schema = T.StructType(df.schema.fields + [T.StructField(q, T.DoubleType(), True)
@@ -121,9 +134,13 @@ def score_quantiles(df: DataFrame, model, version: str, method: str = "auto",
     where = root if loader is not None else None
 
     def predict_batches(batches):
-        m = cached_model(version, load, where)
+        m = cached_model(version, load, where, fingerprint)
         for pdf in batches:
-            pred = np.asarray(m.predict(pdf[feature_names]), dtype="float64").reshape(len(pdf), 3)
+            shown = pdf if only is None else pdf[pdf[only].to_numpy(dtype=bool)]
+            pred = np.full((len(pdf), 3), np.nan)
+            if len(shown):
+                rows = slice(None) if only is None else pdf[only].to_numpy(dtype=bool)
+                pred[rows] = np.asarray(m.predict(shown[feature_names]), dtype="float64").reshape(len(shown), 3)
             yield pdf.assign(q05=pred[:, 0], q50=pred[:, 1], q95=pred[:, 2])
 
     return df.mapInPandas(predict_batches, out_schema)
@@ -135,9 +152,13 @@ def price_result(df: DataFrame, version: str, keep: list[str] | None = None,
     margin % (rounded to 1 place, NumPy rule; NULL when q50 = 0), version, score,
     currency. A prediction that is NULL, NaN or too large for a price gives NULL
     prices in its row instead of ending the job."""
-    usable = reduce(Column.__and__, [F.abs(F.col(q)) < F.lit(9e18) for q in ("q05", "q50", "q95")])  # false for NaN
-    lo, hi, margin = widen_band(*[F.when(usable, F.col(q)) for q in ("q05", "q50", "q95")])
-    price = truncate_to_long(F.when(usable, F.col("q50"))).alias("price")
+    # one guard for all outputs: the three predictions in a struct that is NULL where one is
+    # unusable (NaN fails the comparison); it is used more than once, so it stays a projection of its own
+    usable = reduce(Column.__and__, [F.abs(F.col(q)) < F.lit(9e18) for q in ("q05", "q50", "q95")])
+    guarded = F.when(usable, F.struct("q05", "q50", "q95")).alias("_q")
+    df = df.select(*(keep or []), "expert_risk_score", guarded)
+    lo, hi, margin = widen_band(F.col("_q.q05"), F.col("_q.q50"), F.col("_q.q95"))
+    price = truncate_to_long(F.col("_q.q50")).alias("price")
     pmin, pmax = truncate_to_long(lo), truncate_to_long(hi)
     mp = np_round(margin, 1)
     common = [F.lit(version).alias("version"),
@@ -150,18 +171,51 @@ def price_result(df: DataFrame, version: str, keep: list[str] | None = None,
                      mp.alias("margin_percent"), *common)
 
 
+def _conformed(checked: DataFrame, model, keep: list[str], rules: DamageRules) -> DataFrame:
+    """P1 → P2 of validated rows; the risk score is kept beside the model's features."""
+    more = [] if "expert_risk_score" in model.feature_names else ["expert_risk_score"]
+    return conform_to_model(assemble_features(checked, keep=keep, rules=rules), model.feature_names, keep=[*keep, *more])
+
+
 def score(requests: DataFrame, model, version: str, keep: list[str] | None = None,
           method: str = "auto", nested: bool = False, rules: DamageRules = DamageRules(),
-          loader: Callable[[str], object] | None = None, root: str | None = None) -> tuple[DataFrame, DataFrame]:
+          loader: Callable[[str], object] | None = None, root: str | None = None,
+          fingerprint: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Validate → split → assemble → conform → predict → result.
 
-    Returns (results, rejected); rejected rows carry their ``errors``.
+    Returns (results, rejected); rejected rows carry their ``errors``. Each of the two
+    reads the requests; ``score_tagged`` gives both from one pass.
     """
     keep = keep or []
-    checked = validate(requests, keep=keep)
-    ok, rejected = split_valid(checked)
-    feats = assemble_features(ok, keep=keep, rules=rules)
-    conformed = conform_to_model(feats, model.feature_names, keep=keep + ["expert_risk_score"]
-                                 if "expert_risk_score" not in model.feature_names else keep)
-    scored = score_quantiles(conformed, model, version, method, loader, root)
+    ok, rejected = split_valid(validate(requests, keep=keep))
+    scored = score_quantiles(_conformed(ok, model, keep, rules), model, version, method, loader, root, fingerprint)
     return price_result(scored, version, keep=keep, nested=nested), rejected
+
+
+#: Values of ``outcome``: a priced request, a rejected one.
+RESULT, REJECTED = "result", "rejected"
+
+
+def score_tagged(requests: DataFrame, model, version: str, keep: list[str] | None = None,
+                 method: str = "auto", nested: bool = False, rules: DamageRules = DamageRules(),
+                 loader: Callable[[str], object] | None = None, root: str | None = None,
+                 fingerprint: str | None = None, observation=None) -> DataFrame:
+    """P6 in one pass over the requests, also of a stream: every row of ``requests`` once,
+    with its ``outcome`` ('result' or 'rejected'), the result's columns (NULL for rejected
+    rows, which the model does not see) and ``errors`` (empty for results). Written with
+    ``partitionBy("outcome")`` it is split at write time.
+
+    ``observation`` (an ``Observation``, or a name for a stream's progress) counts
+    ``n_result`` and ``n_rejected`` while the rows pass by."""
+    keep = keep or []
+    checked = validate(requests, keep=keep)
+    scored = score_quantiles(_conformed(checked, model, [*keep, "valid", "errors"], rules), model, version, method,
+                             loader, root, fingerprint, only="valid")
+    rows = price_result(scored, version, keep=[*keep, "valid", "errors"], nested=nested)
+    outcome = F.when(F.col("valid"), F.lit(RESULT)).otherwise(F.lit(REJECTED))
+    shown = [c for c in rows.columns if c not in (*keep, "valid", "errors")]
+    tagged = rows.select(*keep, outcome.alias("outcome"), *[F.when(F.col("valid"), F.col(c)).alias(c) for c in shown], "errors")
+    if observation is None:
+        return tagged
+    n = F.count_if(F.col("outcome") == RESULT).alias("n_result"), F.count_if(F.col("outcome") == REJECTED).alias("n_rejected")
+    return tagged.observe(observation, *n)

@@ -68,12 +68,12 @@ def _field_type(df: DataFrame, path: list[str]) -> T.DataType | None:
     return dt
 
 
-def _bound_checks(name: str, v: Column, lo, hi) -> list[tuple[str, Column]]:
+def _bound_checks(name: str, typ: str, v: Column, lo, hi) -> list[tuple[str, Column]]:
     checks = []
     if lo is not None:
         bound, inclusive = lo
         low = v < F.lit(bound) if inclusive else v <= F.lit(bound)
-        checks.append((f"range:{name}", low | F.isnan(v.cast("double"))))  # NaN is not above any bound
+        checks.append((f"range:{name}", low | F.isnan(v) if typ == "double" else low))  # NaN is not above any bound
     if hi is not None:
         bound, inclusive = hi
         checks.append((f"range:{name}", v > F.lit(bound) if inclusive else v >= F.lit(bound)))
@@ -93,12 +93,13 @@ def validate(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
     for name, typ, required, default, lo, hi in REQUEST_FIELDS:
         raw = F.col(name) if name in df.columns else F.lit(None)
         v = _coerce(raw, typ, _field_type(df, [name]))
-        rules.append((f"type:{name}", raw.isNotNull() & v.isNull()))
+        if v is not raw:  # a field of the right type cannot break the rule
+            rules.append((f"type:{name}", raw.isNotNull() & v.isNull()))
         if required:
             rules.append((f"missing:{name}", raw.isNull()))
         else:
             v = F.coalesce(v, F.lit(default).cast(typ))
-        rules += _bound_checks(name, v, lo, hi)
+        rules += _bound_checks(name, typ, v, lo, hi)
         cols.append(v.alias(name))
 
     has_damage = "damage_details" in df.columns
@@ -107,23 +108,26 @@ def validate(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
     for name, typ, default, bounds in DAMAGE_FIELDS:
         raw = F.col("damage_details")[name] if has_damage and _field_type(df, ["damage_details", name]) else F.lit(None)
         v = _coerce(raw, typ, _field_type(df, ["damage_details", name]))
-        rules.append((f"type:damage_details.{name}", raw.isNotNull() & v.isNull()))
+        if v is not raw:
+            rules.append((f"type:damage_details.{name}", raw.isNotNull() & v.isNull()))
         v = F.coalesce(v, F.lit(default).cast(typ))
         if bounds is not None:
-            rules += _bound_checks(f"damage_details.{name}", v, (bounds[0], True), (bounds[1], True))
+            rules += _bound_checks(f"damage_details.{name}", typ, v, (bounds[0], True), (bounds[1], True))
         fields.append(v.alias(name))
     cols.append(F.struct(*fields).alias("damage_details"))
 
-    # ``valid`` is one boolean; ``errors`` joins the labels of the broken rules
-    # (``concat_ws`` skips NULLs) and splits them again — labels never contain
-    # "|" — so both stay in generated code. After ``split_valid`` the list is
-    # only built for rejected rows.
+    # ``valid`` is one boolean in generated code. The list of broken rules is long code that
+    # few rows need: inside a lambda it is evaluated without being compiled into the scan's
+    # loop, and only for rows that broke a rule.
     broken = F.lit(False)
     for _, cond in rules:
         broken = broken | F.coalesce(cond, F.lit(False))
-    joined = F.concat_ws("|", *[F.when(cond, F.lit(label)) for label, cond in rules])
-    errors = F.when(broken, F.split(joined, r"\|")).otherwise(F.array().cast("array<string>"))
-    return df.select(*keep, *cols, (~broken).alias("valid"), errors.alias("errors"))
+    labels = F.flatten(F.transform(F.array(F.lit(0)), lambda _: F.array_compact(F.array(
+        *[F.when(cond, F.lit(label)) for label, cond in rules]))))
+    errors = F.when(broken, labels).otherwise(F.array().cast("array<string>"))
+    # judged before the typed columns take the raw ones' names: a name in a lambda could mean either
+    judged = df.withColumns({"_broken": broken, "_errors": errors})
+    return judged.select(*keep, *cols, (~F.col("_broken")).alias("valid"), F.col("_errors").alias("errors"))
 
 
 def split_valid(validated: DataFrame) -> tuple[DataFrame, DataFrame]:

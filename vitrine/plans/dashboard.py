@@ -6,9 +6,10 @@ same rows:
 * ``fused=False``: one aggregation per chart over the filtered frame (each chart
   its own scan, with filters and columns pushed into parquet);
 * ``fused=True``: KPI, maxima, damage sums, radar means, trend and fuel counts
-  come from **one** ``GROUPING SETS ((), (brand), (year), (fuel))`` aggregation;
-  raw-value charts (box, scatter) are a second scan and the option lists (which
-  ignore the series filter) a third.
+  read **one** ``GROUPING SETS ((brand), (year), (fuel))`` result that is written to
+  the checkpoint folder first (a row per brand, year and fuel), so that no chart
+  aggregates the listings again; raw-value charts (box, scatter) are a second scan
+  and the option lists (which ignore the series filter) a third.
 
 ``dashboard_long`` unions a bundle into long rows (chart, key, label, x, y) for a
 single output table; ``dashboard_table(fused=True)`` builds that table in four
@@ -31,6 +32,8 @@ from pyspark.sql import functions as F
 from vitrine.config import RADAR_HEADROOM, ListingConfig
 from vitrine.operators import aggregates as A
 from vitrine.operators.filters import ListingFilters, listing_filter
+from vitrine.session import ensure_checkpoint_dir
+
 
 def facet_lists(df: DataFrame, filters: ListingFilters, cfg: ListingConfig = ListingConfig()) -> DataFrame:
     """Distinct brands and series under every filter except series
@@ -68,30 +71,29 @@ def dashboard(df: DataFrame, filters: ListingFilters = ListingFilters(),
 
 
 # grouping_id bits: brand is the most significant of (brand, year, fuel)
-_G_ALL, _G_BRAND, _G_YEAR, _G_FUEL = 0b111, 0b011, 0b101, 0b110
+_G_BRAND, _G_YEAR, _G_FUEL = 0b011, 0b101, 0b110
 
 
 def _fused_charts(sel: DataFrame, cfg: ListingConfig) -> dict[str, DataFrame]:
     parts = cfg.damage_columns()
     measures = cfg.radar_measures()
-    aggs = [F.count(F.lit(1)).alias("n"), F.avg(cfg.price).alias("avg_price")]
+    aggs = [F.count(F.lit(1)).alias("n"), F.count(cfg.price).alias("n_price"), F.sum(F.col(cfg.price).cast("double")).alias("sum_price")]
     aggs += [F.avg(c).alias(f"avg{i}") for i, (_, c) in enumerate(measures)]
     aggs += [F.max(c).cast("double").alias(f"max{i}") for i, (_, c) in enumerate(measures)]
     aggs += [A.paired_sum(cols).cast("bigint").alias(f"dmg{i}") for i, (_, cols) in enumerate(parts)]
     aggs.append(F.grouping_id().alias("gid"))
-    g = sel.groupingSets([[], [cfg.brand], [cfg.year], [cfg.fuel]],
-                         cfg.brand, cfg.year, cfg.fuel).agg(*aggs)
+    ensure_checkpoint_dir(sel.sparkSession)
+    g = sel.groupingSets([[cfg.brand], [cfg.year], [cfg.fuel]], cfg.brand, cfg.year, cfg.fuel).agg(*aggs).checkpoint(eager=True)
 
-    total = g.where(F.col("gid") == _G_ALL)
     by_brand = g.where(F.col("gid") == _G_BRAND)
-    # empty input → GROUPING SETS yields no () row; fall back to a (0, 0.0) row
-    default = sel.sparkSession.range(1).select(F.lit(0).cast("long").alias("n"),
-                                               F.lit(None).cast("double").alias("avg_price"))
-    kpi = (total.select("n", "avg_price").unionByName(default)
-           .agg(F.max("n").alias("total"),
-                F.coalesce(F.max_by("avg_price", "n"), F.lit(0.0)).alias("avg_price")))
+    # always one row, also for an empty selection
+    whole = by_brand.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.try_divide(F.sum("sum_price"), F.sum("n_price")).alias("avg_price"),
+        *[F.max(f"max{i}").alias(f"max{i}") for i in range(len(measures))], *[F.sum(f"dmg{i}").alias(f"dmg{i}") for i in range(len(parts))])
+    kpi = whole.select(F.col("n").alias("total"), F.coalesce("avg_price", F.lit(0.0)).alias("avg_price"))
+    total = whole.where(F.col("n") > 0)
     trend = (g.where((F.col("gid") == _G_YEAR) & F.col(cfg.year).isNotNull())
-             .select(F.col(cfg.year).alias("key"), F.col("avg_price").alias("avg_value"))
+             .select(F.col(cfg.year).alias("key"), F.try_divide("sum_price", "n_price").alias("avg_value"))
              .orderBy("key"))
     fuel = (g.where((F.col("gid") == _G_FUEL) & F.col(cfg.fuel).isNotNull())
             .select(F.col(cfg.fuel).alias("name"), F.col("n").alias("value")))

@@ -13,6 +13,7 @@ from typing import Callable
 from pyspark.sql import DataFrame
 
 from vitrine.operators.scoring import cached_model, score
+from vitrine.sources.artifacts import version_fingerprint
 from vitrine.sources.registry import latest_version
 
 
@@ -32,7 +33,9 @@ def score_version(requests: DataFrame, records: DataFrame, loader: Callable[[str
                   version: str | None = None, keep: list[str] | None = None, method: str = "auto",
                   nested: bool = True, root: str | None = None) -> tuple[DataFrame, DataFrame]:
     """→ (results, rejected) scored with the chosen version's model. ``root`` names the
-    storage that ``loader`` reads: versions of different roots are different models."""
+    storage that ``loader`` reads: versions of different roots are different models, and
+    a version whose files were replaced is loaded anew (its fingerprint is taken here)."""
     v = resolve_version(records, version)
-    model = cached_model(v, loader, root)
-    return score(requests, model, v, keep=keep, method=method, nested=nested, loader=loader, root=root)
+    mark = version_fingerprint(requests.sparkSession, root, v) if root is not None else None
+    model = cached_model(v, loader, root, mark)
+    return score(requests, model, v, keep=keep, method=method, nested=nested, loader=loader, root=root, fingerprint=mark)

@@ -19,8 +19,9 @@ from __future__ import annotations
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vitrine.config import ListingConfig
+from vitrine.config import LISTINGS_FILE, REGISTRY_FILE, SHAP_FILE, ListingConfig
 from vitrine.operators.filters import ListingFilters
 from vitrine.operators.options import cascade_options
 from vitrine.plans.dashboard import dashboard, dashboard_table
@@ -30,13 +31,11 @@ from vitrine.sources.artifacts import read_artifact
 from vitrine.sources.listings import read_listings
 from vitrine.sources.registry import read_registry, registry_newest_first
 
-LISTINGS_FILE = "car_listings.parquet"
-REGISTRY_FILE = "registry.json"
-SHAP_FILE = "shap_summary.png"
 
-
-def listings(spark: SparkSession, root: str) -> DataFrame:
-    return read_listings(spark, f"{root.rstrip('/')}/{LISTINGS_FILE}")
+def listings(spark: SparkSession, root: str, on_missing: str = "error", cfg: ListingConfig = ListingConfig()) -> DataFrame:
+    """The listings of a storage folder; where there are none an error, or with
+    ``on_missing='empty'`` a table without rows."""
+    return read_listings(spark, f"{root.rstrip('/')}/{LISTINGS_FILE}", on_missing=on_missing, cfg=cfg)
 
 
 def get_versions(spark: SparkSession, root: str) -> DataFrame:
@@ -78,3 +77,21 @@ def get_dropdown_options(df: DataFrame, brand: str | None = None, series: str |
                          cfg: ListingConfig = ListingConfig()) -> DataFrame:
     """(level, value) rows: all brands; series of ``brand``; models of both."""
     return cascade_options(df, brand, series, cfg)
+
+
+def dashboard_of_folder(spark: SparkSession, root: str, cfg: ListingConfig = ListingConfig(), **filters) -> DataFrame:
+    """The long dashboard table of a storage folder; where it has no listings, one
+    ``error`` row that names what is missing (S7). ``filters`` as for ``get_dashboard_data``."""
+    try:
+        return get_dashboard_data(listings(spark, root, cfg=cfg), cfg=cfg, **filters)
+    except FileNotFoundError:
+        none = F.lit(None)
+        return spark.range(1).select(
+            F.lit("error").alias("chart"), F.lit("not_found").alias("key"), F.lit(LISTINGS_FILE).alias("label"),
+            none.cast("double").alias("x"), none.cast("double").alias("y"))
+
+
+def options_of_folder(spark: SparkSession, root: str, brand: str | None = None, series: str | None = None,
+                      cfg: ListingConfig = ListingConfig()) -> DataFrame:
+    """The option lists of a storage folder; none where it has no listings."""
+    return get_dropdown_options(listings(spark, root, on_missing="empty", cfg=cfg), brand, series, cfg)

@@ -5,9 +5,8 @@
 column are scanned), applies the optional segment filter, and returns the
 report, the histogram and the nested per-feature result.
 
-The paired counts (D1) feed three consumers (split points, running totals,
-histogram); ``DriftJob`` persists them once so the snapshots are scanned and
-shuffled once. Persisted blocks lost with an executor are rebuilt from
+The paired counts (D1) are read twice (borders of the range exchange, running
+totals); ``DriftJob`` persists them once so the snapshots are shuffled once. Persisted blocks lost with an executor are rebuilt from
 lineage: the counts are sums of integers, so a rebuild gives the same rows.
 """
 
@@ -29,8 +28,8 @@ class DriftJob:
     ref: DataFrame
     curr: DataFrame
     columns: list[str] | None = None
-    method: str = "bucketed"
-    buckets: int | None = None
+    method: str = "ranged"
+    partitions: int | None = None
     persist: bool = True
     _counts: DataFrame | None = field(default=None, init=False)
 
@@ -38,14 +37,14 @@ class DriftJob:
         self.features = drift_features(self.ref, self.curr, self.columns)
         counts = paired_counts(self.ref, self.curr, self.features)
         self._counts = counts.persist(StorageLevel.MEMORY_AND_DISK) if self.persist else counts
-        self._stats = drift_stats(self.ref, self.curr, self.features, self.method, self.buckets,
+        self._stats = drift_stats(self.ref, self.curr, self.features, self.method, self.partitions,
                                   counts=self._counts)
 
     def report(self) -> DataFrame:
         return drift_report(self.ref, self.curr, self.features, stats=self._stats)
 
     def histogram(self) -> DataFrame:
-        return drift_histogram(self.ref, self.curr, counts=self._counts, features=self.features)
+        return drift_histogram(self.ref, self.curr, features=self.features)
 
     def result(self) -> DataFrame:
         return drift_result(self.report(), self.histogram())

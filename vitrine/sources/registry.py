@@ -3,8 +3,8 @@
 The registry is a JSON array of objects with a required ``version_id``, an
 optional ISO ``date`` and any other keys. It is read as one document
 (``wholetext``) and exploded with its position, so source order survives for
-stable tie-breaking; keys other than ``version_id``/``date`` are kept in an
-``extra`` map (values as JSON text).
+stable tie-breaking; keys other than ``version_id``/``date`` are kept in ``extra``, a
+map of VARIANT values: numbers, booleans, lists and nested objects keep their types.
 """
 
 from __future__ import annotations
@@ -17,11 +17,12 @@ from vitrine.operators.ranking import global_rank
 from vitrine.sources.listings import _missing
 
 
-SCHEMA = "pos long, version_id string, date string, extra map<string,string>"
+ENTRY = "map<string,variant>"
+SCHEMA = f"pos long, version_id string, date string, extra {ENTRY}"
 
 
 def read_registry(spark: SparkSession, path: str, lines: bool = False, on_missing: str = "error") -> DataFrame:
-    """→ (pos, version_id, date, extra map<string,string>).
+    """→ (pos, version_id, date, extra map<string,variant>).
 
     A registry file is one JSON array, read as one document (one task; a model
     registry is small). ``lines=True`` reads JSON Lines in parallel instead: ``pos``
@@ -37,32 +38,25 @@ def read_registry(spark: SparkSession, path: str, lines: bool = False, on_missin
         raise
 
 
+def _fields(entry: str) -> list[Column]:
+    """version_id, date and the other keys of an entry."""
+    e = F.col(entry)
+    return [F.variant_get(e["version_id"], "$", "string").alias("version_id"), F.variant_get(e["date"], "$", "string").alias("date"),
+            F.map_filter(e, lambda k, _v: ~k.isin("version_id", "date")).alias("extra")]
+
+
 def _read_registry(spark: SparkSession, path: str, lines: bool) -> DataFrame:
     if lines:
-        df = spark.read.option("primitivesAsString", "true").json(path)
-        rest = [c for c in df.columns if c not in ("version_id", "date")]
-        kv = []
-        for f in df.schema.fields:
-            if f.name in rest:
-                v = F.col(f"`{f.name}`")
-                kv += [F.lit(f.name), v if f.dataType.simpleString() == "string" else F.to_json(v)]
-        extra = F.map_filter(F.create_map(*kv), lambda _k, v: v.isNotNull()) if kv else \
-            F.create_map().cast("map<string,string>")
-        date = F.col("date") if "date" in df.columns else F.lit(None).cast("string")
-        place = ["_file", "_start", "_line"]
-        rows = df.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
-                         F.monotonically_increasing_id().alias("_line"), F.col("version_id"), date.alias("date"),
-                         extra.alias("extra"))
-        ranked = global_rank(rows, [F.col(c) for c in place], rank_col="pos")
+        # lines are parsed one by one: no pass over the file to find a schema
+        rows = spark.read.text(path).where(F.trim("value") != "").select(
+            F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
+            F.monotonically_increasing_id().alias("_line"), F.from_json("value", ENTRY).alias("m"))
+        ranked = global_rank(rows.select("_file", "_start", "_line", *_fields("m")), [F.col(c) for c in ("_file", "_start", "_line")],
+                             rank_col="pos")
         return ranked.select((F.col("pos") - 1).alias("pos"), "version_id", "date", "extra")
     doc = spark.read.text(path, wholetext=True)
-    entries = doc.select(F.posexplode(F.from_json("value", "array<map<string,string>>")).alias("pos", "m"))
-    return entries.select(
-        F.col("pos").cast("bigint").alias("pos"),
-        F.col("m")["version_id"].alias("version_id"),
-        F.col("m")["date"].alias("date"),
-        F.map_filter("m", lambda k, _v: ~k.isin("version_id", "date")).alias("extra"),
-    )
+    entries = doc.select(F.posexplode(F.from_json("value", f"array<{ENTRY}>")).alias("pos", "m"))
+    return entries.select(F.col("pos").cast("bigint").alias("pos"), *_fields("m"))
 
 
 def newest_first_order() -> list[Column]:

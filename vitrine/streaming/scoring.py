@@ -1,11 +1,12 @@
 """Scoring requests as they arrive (Structured Streaming).
 
 Validation, risk score, feature assembly and expression models are stateless
-projections, and ``mapInPandas`` models are per-batch, so ``operators.scoring.score``
-applies unchanged to a streaming DataFrame. This module wires a file source to
-two file sinks (accepted results, rejected rows), each with its own checkpoint,
-which gives exactly-once output per sink and recovery after a lost executor or
-driver restart.
+projections, and ``mapInPandas`` models are per-batch, so
+``operators.scoring.score_tagged`` applies unchanged to a streaming DataFrame. One
+query reads the requests once and writes one file sink that is split by
+``outcome``; its checkpoint gives exactly-once output of both parts and recovery
+after a lost executor or driver restart. The counts of results and rejected rows are
+in the query's progress (``observedMetrics["scoring"]``).
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from vitrine.operators.scoring import score
+from vitrine.operators.scoring import score_tagged
 
 
 def read_request_stream(spark: SparkSession, path: str, schema: T.StructType,
@@ -25,17 +26,10 @@ def read_request_stream(spark: SparkSession, path: str, schema: T.StructType,
     return reader.parquet(path)
 
 
-def start_scoring(requests: DataFrame, model, version: str, results_path: str, rejected_path: str,
-                  checkpoint_root: str, keep: list[str] | None = None,
-                  available_now: bool = False, method: str = "auto") -> tuple[StreamingQuery, StreamingQuery]:
-    """Start two append-mode streams: scored results and rejected requests."""
-    results, rejected = score(requests, model, version, keep=keep, method=method)
-
-    def sink(df: DataFrame, path: str, name: str) -> StreamingQuery:
-        w = (df.writeStream.format("parquet").outputMode("append")
-             .option("path", path)
-             .option("checkpointLocation", f"{checkpoint_root.rstrip('/')}/{name}"))
-        w = w.trigger(availableNow=True) if available_now else w
-        return w.start()
-
-    return sink(results, results_path, "results"), sink(rejected, rejected_path, "rejected")
+def start_scoring(requests: DataFrame, model, version: str, path: str, checkpoint: str,
+                  keep: list[str] | None = None, available_now: bool = False, method: str = "auto") -> StreamingQuery:
+    """Start one append-mode stream into ``{path}/outcome=result`` and ``{path}/outcome=rejected``."""
+    tagged = score_tagged(requests, model, version, keep=keep, method=method, observation="scoring")
+    w = (tagged.writeStream.format("parquet").outputMode("append").partitionBy("outcome")
+         .option("path", path).option("checkpointLocation", checkpoint))
+    return (w.trigger(availableNow=True) if available_now else w).start()
