@@ -3,15 +3,18 @@ rounds (Kiveris et al., "Connected Components in MapReduce and Beyond", 2014).
 
 Every round is two aggregations and two joins on the edge table, written to the
 checkpoint folder; links and labels never reach the driver. A round keeps at
-most one edge per (node, minimum), so hubs end as stars instead of cliques.
+most one edge per (node, minimum), so hubs end as stars instead of cliques. The joins
+are salted by the neighbour: a node's minimum is handed out once for every salt that
+its edges use, so a hub's edges are spread over ``SALTS`` tasks and other nodes'
+rows stay as they are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import freeze
+from vitrine.llm.common import SALTS, freeze
 
 
 def _checksum(edges: DataFrame) -> tuple:
@@ -20,6 +23,18 @@ def _checksum(edges: DataFrame) -> tuple:
     return r["n"], r["h"]
 
 
+def _salt(v: str) -> Column:
+    return F.pmod(F.xxhash64(v), F.lit(SALTS)).cast("int")
+
+
+def _with_low(edges: DataFrame, low: Column) -> DataFrame:
+    """``edges`` with ``m``, the value of the aggregate ``low`` over the edges of ``u``."""
+    used = F.bit_or(F.call_function("shiftleft", F.lit(1), _salt("v"))).alias("used")
+    per = edges.groupBy("u").agg(low.alias("m"), used)
+    per = per.select("u", "m", F.explode(F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda k: F.getbit("used", k) == 1)).alias("salt"))
+    return edges.withColumn("salt", _salt("v")).join(per, ["u", "salt"]).select("u", "v", "m")
+
+
 def connected_components(links: DataFrame, u: str, v: str) -> DataFrame:
     """``(node, component)`` for every node that has a link; ``component`` is the
     smallest node reachable. Nulls and self-links are ignored; an empty table
@@ -30,13 +45,11 @@ def connected_components(links: DataFrame, u: str, v: str) -> DataFrame:
     while seen[0]:
         # large star: every larger neighbour moves to the smallest of the neighbourhood
         both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = (both.join(low, "u").where("v > u")
+        large = (_with_low(both, F.least(F.min("v"), F.first("u"))).where("v > u")
                  .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct())
         # small star: every smaller neighbour, and the node, move to the smallest
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .unionAll(low.select("u", F.col("m").alias("v"))))
+        small = _with_low(large, F.min("v")).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")) \
+            .unionAll(large.groupBy("u").agg(F.min("v").alias("v")))
         e = freeze(small.distinct())
         now = _checksum(e)
         if now == seen:

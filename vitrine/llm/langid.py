@@ -9,7 +9,8 @@
 * ``P(declared | l)``: how often texts of language l declare each language in
   their markup (or metadata), from a grouped aggregation of the text posteriors.
 * ``P(l | host)``: hierarchically smoothed: host counts are smoothed towards the
-  domain's, those towards the address suffix's, and those towards the corpus.
+  domain's, those towards the address suffix's, and those towards the corpus. A
+  document's own posterior is taken out of all four counts before.
 
 An extra class ``und`` has the same likelihood for every trigram; a text that it
 explains better than any language, or with no letters and no other evidence
@@ -33,6 +34,8 @@ UND_PRIOR = 1e-3
 SMOOTHING = 5.0
 #: Added to each cell of the table of declared languages.
 DECLARED_SMOOTHING = 1.0
+#: Second-level labels under which names are registered in two-letter suffixes, as in co.uk.
+REGISTRIES = ("ac", "co", "com", "edu", "go", "gob", "gouv", "gov", "ne", "net", "or", "org")
 #: More distinct hosts than this are joined by salted shuffle instead of broadcast.
 BROADCAST_HOSTS = 20_000
 
@@ -155,32 +158,64 @@ def _normal(weights: list[Column]) -> list[Column]:
     return [w / total for w in weights]
 
 
-def _host_priors(rows: DataFrame, n: int) -> DataFrame:
-    """``(host, prior array<double>)`` for the ``n`` classes."""
-    sums = [F.sum(f"p{k}").alias(f"n{k}") for k in range(n)]
-    hosts = freeze(rows.where("host IS NOT NULL").groupBy("host").agg(*sums)
-                   .withColumn("suffix", F.substring_index("host", ".", -1))
-                   .withColumn("domain", F.substring_index("host", ".", -2)))
-    add = [F.sum(f"n{k}").alias(f"n{k}") for k in range(n)]
+def _suffix(host: Column) -> Column:
+    """The part of a host that names are registered under: its last label, or its last
+    two where a registry's label stands before a two-letter one."""
+    pattern = rf"(?:^|\.)((?:(?:{'|'.join(REGISTRIES)})\.)?[a-z]{{2}}|[^.]*)$"
+    return F.regexp_extract(F.lower(host), pattern, 1)
 
-    def level(child: DataFrame, key: str, keep: list[str]) -> DataFrame:
-        return child.groupBy(*keep, key).agg(*add)
 
-    domains = level(hosts, "domain", ["suffix"])
-    suffixes = level(domains, "suffix", [])
-    root = suffixes.agg(*[F.sum(f"n{k}").alias(f"r{k}") for k in range(n)])
-    one = [F.col(f"r{k}") + SMOOTHING * (UND_PRIOR if k == n - 1 else (1 - UND_PRIOR) / max(1, n - 1)) for k in range(n)]
-    root = root.select(*[p.alias(f"q{k}") for k, p in enumerate(_normal(one))])
+def _domain(host: Column) -> Column:
+    """The suffix and the label before it; the host itself where there is none."""
+    labels = F.size(F.split(_suffix(host), r"\.")) + 1
+    parts = F.split(F.lower(host), r"\.")
+    return F.array_join(F.slice(parts, F.greatest(F.lit(1), F.size(parts) - labels + 1), labels), ".")
 
-    def smooth(child: DataFrame, parent: DataFrame, key: str | None, keep: list[str]) -> DataFrame:
-        joined = child.join(parent, key) if key else child.crossJoin(F.broadcast(parent))  # one row
-        return joined.select(*keep, *[p.alias(f"q{k}") for k, p in enumerate(
-            _normal([F.col(f"n{k}") + SMOOTHING * F.col(f"q{k}") for k in range(n)]))])
 
-    s = smooth(suffixes, root, None, ["suffix"])
-    d = smooth(domains, s, "suffix", ["domain"])
-    h = smooth(hosts, d, "domain", ["host"])
-    return h.select("host", F.array(*[f"q{k}" for k in range(n)]).alias("prior"))
+def _host_counts(rows: DataFrame, n: int) -> DataFrame:
+    """``(host, nh, nd, ns)``: the counts of the ``n`` classes of every host, of its
+    domain and of its suffix. A parent's row is handed out once for every salt that its
+    children use, so the hosts of one suffix are spread over tasks."""
+    def salt(c: str) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int")
+
+    def total(k: int, of: str) -> Column:
+        return F.sum(F.col(of)[k]) if of != "p" else F.sum(f"p{k}")
+
+    def up(child: DataFrame, counts: str, key: str, name: str, keep: list[str]) -> DataFrame:
+        used = F.bit_or(F.call_function("shiftleft", F.lit(1), salt(child.columns[0]))).alias("used")
+        per = child.groupBy(key, *keep).agg(F.array(*[total(k, counts) for k in range(n)]).alias(name), used)
+        return per.select(key, *keep, name, F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda k: F.getbit("used", k) == 1).alias("salts"))
+
+    def down(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
+        handed = parent.select(key, *[c for c in parent.columns if c not in (key, "salts", "suffix")], F.explode("salts").alias("salt"))
+        return child.withColumn("salt", salt(child.columns[0])).join(handed, [key, "salt"]).drop("salt")
+
+    hosts = rows.where("host IS NOT NULL").groupBy("host").agg(F.array(*[total(k, "p") for k in range(n)]).alias("nh"))
+    hosts = freeze(hosts.withColumn("domain", _domain(F.col("host"))).withColumn("suffix", _suffix(F.col("host"))))
+    domains = freeze(up(hosts, "nh", "domain", "nd", ["suffix"]))
+    suffixes = up(domains.select("domain", "suffix", "nd"), "nd", "suffix", "ns", [])
+    known = down(domains.select("domain", "suffix", "nd", "salts"), suffixes, "suffix")
+    return down(hosts.drop("suffix"), known.select("domain", "nd", "ns", "salts"), "domain").select("host", "nh", "nd", "ns")
+
+
+def _normal_array(weights: Column) -> Column:
+    """``weights`` over their sum; the array is bound, so that it is computed once."""
+    def shares(w: Column) -> Column:
+        return F.transform(w, lambda x: x / F.aggregate(w, F.lit(0.0), lambda a, b: a + b))
+    return F.transform(F.array(weights), shares)[0]
+
+
+def _prior(n: int, root: list[float]) -> Column:
+    """The classes' prior of a row from its host's counts without its own posterior
+    ``own``, null where there is no host. Each level takes ``SMOOTHING`` pseudo-counts
+    from the one above."""
+    base = F.array(*[F.lit(UND_PRIOR if k == n - 1 else (1 - UND_PRIOR) / max(1, n - 1)) for k in range(n)])
+    prior = base
+    for counts in (F.array(*[F.lit(x) for x in root]), F.col("ns"), F.col("nd"), F.col("nh")):
+        others = F.zip_with(counts, F.col("own"), lambda c, o: F.greatest(c - o, F.lit(0.0)))
+        prior = _normal_array(F.zip_with(others, prior, lambda c, q: c + F.lit(SMOOTHING) * q))
+    return F.when(F.col("nh").isNotNull(), prior)
 
 
 def identify(docs: DataFrame, languages: tuple[str, ...], declared: Column, host: Column, model=None,
@@ -217,17 +252,22 @@ def identify(docs: DataFrame, languages: tuple[str, ...], declared: Column, host
     lik = F.create_map(*[x for v in values for x in (
         F.lit(v), F.array(*[F.lit(cells[v][k] / column[k]) for k in range(n)]))])
 
-    priors = _host_priors(rows.where("letters > 0"), n)
+    counted = (F.col("letters") > 0) & F.col("host").isNotNull()
+    sums = rows.where(counted).agg(*[F.sum(f"p{k}").alias(f"r{k}") for k in range(n)]).first()
+    root = [float(sums[f"r{k}"] or 0.0) for k in range(n)]
+    counts = freeze(_host_counts(rows.where(counted), n))
     total = [sum(cells[v][k] for v in values) for k in range(n)]
     corpus = F.array(*[F.lit(x / sum(total)) for x in total])
-    small = broadcast_if_small(priors, BROADCAST_HOSTS)
-    if small is not priors:
+    small = broadcast_if_small(counts, BROADCAST_HOSTS)
+    if small is not counts:
         joined = rows.join(small, "host", "left")
     else:
-        salted = priors.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = counts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = rows.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")) \
             .join(salted, ["host", "_salt"], "left")
-    prior, d = F.coalesce("prior", corpus), F.element_at(lik, F.col("declared"))
+    own = F.array(*[F.when(counted, F.col(f"p{k}")).otherwise(0.0) for k in range(n)])
+    joined = joined.withColumn("own", own)
+    prior, d = F.coalesce(_prior(n, root), corpus), F.element_at(lik, F.col("declared"))
     post = joined.select("id", "declared", "host", "letters", "ll", prior.alias("prior"), d.alias("d"),
                          F.array(*[f"p{k}" for k in range(n)]).alias("p"))
     w = _normal([F.exp(F.col("ll")[k]) * F.col("prior")[k] * F.col("d")[k] for k in range(n)])

@@ -11,10 +11,13 @@ keywords that every match contains. Detection runs in three steps:
 3. Resolution: matches are intervals of words. One that lies inside a match of an
    equal or stronger priority is suppressed (of equal intervals with equal priority
    the earlier rule stays), by running maxima of the ends over the text's matches in
-   order of their starts: no pairs of matches are formed.
+   order of their starts: no pairs of matches are formed. Then a match of a family's
+   general label (gpl) is suppressed where it meets one of the family's versions
+   (gpl-3.0), by running extremes of the versions' ends and starts.
 
-The rules are written by hand as one line per license and expanded by templates
-(tag, notice, address, name, short name), plus sentences of license texts.
+The rules are written by hand: sentences of license texts and notices, names of single
+licenses, and one line per common license that templates expand (tag, notice, address,
+name, short name).
 """
 
 from __future__ import annotations
@@ -45,40 +48,48 @@ class Rule:
 
 #: Label; keyword; words of the tag; of the name; of the version if any; of the address if any; short name if any.
 LICENSES = (
-    ("mit", "mit", "mit", r"(?:the )?mit(?: expat)?", "", "opensource org licenses mit(?: license)?", ""),
+    ("mit", "mit", "mit", r"mit(?: expat)?", "", "opensource org licenses mit(?: license)?", ""),
     ("mit-0", "mit", "mit 0", "mit no attribution", "", "opensource org licenses mit 0", ""),
-    ("x11", "x11", "x11", r"(?:the )?(?:mit )?x11", "", "", ""),
-    ("isc", "isc", "isc", r"(?:the )?isc", "", "opensource org licenses isc(?: license)?", ""),
+    ("x11", "x11", "x11", "(?:mit )?x11", "", "", ""),
+    ("isc", "isc", "isc", r"isc", "", "opensource org licenses isc(?: license)?", ""),
     ("0bsd", "bsd", "0bsd", "(?:zero clause|0 clause) bsd", "", "opensource org licenses 0bsd", "0bsd"),
     ("bsd-2-clause", "bsd", "bsd 2 clause(?: simplified)?", "(?:simplified|freebsd|2 clause|two clause) bsd", "", "opensource org licenses bsd 2 clause", "bsd 2 clause"),
     ("bsd-3-clause", "bsd", "bsd 3 clause(?: new)?", "(?:new|modified|revised|3 clause|three clause) bsd", "", "opensource org licenses bsd 3 clause", "bsd 3 clause"),
     ("bsd-4-clause", "bsd", "bsd 4 clause", "(?:original|old|4 clause|four clause) bsd", "", "", "bsd 4 clause"),
-    ("bsd", "bsd", "bsd", r"(?:the )?bsd(?: style)?", "", "opensource org licenses bsd license php", ""),
+    ("bsd", "bsd", "bsd", r"bsd(?: style)?", "", "opensource org licenses bsd license php", ""),
     ("apache-1.1", "apache", "apache 1 1", "apache software", "1 1", "apache org licenses license 1 1", "apache 1 1"),
-    ("apache-2.0", "apache", "apache 2 0", r"(?:the )?apache(?: software)?", "2(?: 0)?", "apache org licenses license 2 0", "apache 2(?: 0)?"),
-    ("gpl-1.0", "gnu", "gpl 1 0(?: only| or later)?", "gnu general public", "1(?: 0)?", "", "gnu gplv1"),
-    ("gpl-2.0", "gnu", "gpl 2 0(?: only| or later)?", "gnu general public", "2(?: 0)?", "gnu org licenses (?:old licenses )?gpl 2 0", "gnu gplv2"),
-    ("gpl-3.0", "gnu", "gpl 3 0(?: only| or later)?", "gnu general public", "3(?: 0)?", "gnu org licenses gpl 3 0", "gnu gplv3"),
-    ("gpl", "gnu", "gpl", r"(?:the )?gnu (?:general public|gpl)", "", "gnu org licenses gpl", "gnu gpl"),
-    ("lgpl-2.0", "gnu", "lgpl 2 0(?: only| or later)?", "gnu (?:library|lesser) general public", "2(?: 0)?", "gnu org licenses (?:old licenses )?lgpl 2 0", "gnu lgplv2"),
-    ("lgpl-2.1", "gnu", "lgpl 2 1(?: only| or later)?", "gnu lesser general public", "2 1", "gnu org licenses (?:old licenses )?lgpl 2 1", "gnu lgplv2 1"),
-    ("lgpl-3.0", "gnu", "lgpl 3 0(?: only| or later)?", "gnu lesser general public", "3(?: 0)?", "gnu org licenses lgpl 3 0", "gnu lgplv3"),
-    ("agpl-3.0", "gnu", "agpl 3 0(?: only| or later)?", "gnu affero general public", "3(?: 0)?", "gnu org licenses agpl 3 0", "gnu agplv3"),
-    ("gfdl-1.3", "gnu", "gfdl 1 3(?: only| or later)?", "gnu free documentation", "1 3", "gnu org licenses fdl 1 3", "gnu fdl"),
+    ("apache-2.0", "apache", "apache 2 0", r"apache(?: software)?", "2(?: 0)?", "apache org licenses license 2 0", "apache 2(?: 0)?"),
+    ("apache", "apache", "apache", "apache(?: software)?", "", "apache org licenses", ""),
+    ("gpl-1.0", "gnu", "gpl 1 0(?: only| or later)?", "gnu general public", "1(?: 0)?", "", "gnu gpl(?:v1| (?:version |v ?)?1(?: 0)?)"),
+    ("gpl-2.0", "gnu", "gpl 2 0(?: only| or later)?", "gnu general public", "2(?: 0)?", "gnu org licenses (?:old licenses )?gpl 2 0", "gnu gpl(?:v2| (?:version |v ?)?2(?: 0)?)"),
+    ("gpl-3.0", "gnu", "gpl 3 0(?: only| or later)?", "gnu general public", "3(?: 0)?", "gnu org licenses gpl 3 0", "gnu gpl(?:v3| (?:version |v ?)?3(?: 0)?)"),
+    ("gpl", "gnu", "gpl", r"gnu (?:general public|gpl)", "", "gnu org licenses gpl", "gnu gpl"),
+    ("lgpl-2.0", "gnu", "lgpl 2 0(?: only| or later)?", "gnu (?:library|lesser) general public", "2(?: 0)?", "gnu org licenses (?:old licenses )?lgpl 2 0", "gnu lgpl(?:v2| (?:version |v ?)?2(?: 0)?)"),
+    ("lgpl-2.1", "gnu", "lgpl 2 1(?: only| or later)?", "gnu lesser general public", "2 1", "gnu org licenses (?:old licenses )?lgpl 2 1", "gnu lgpl(?:v2| (?:version |v ?)?2) 1"),
+    ("lgpl-3.0", "gnu", "lgpl 3 0(?: only| or later)?", "gnu lesser general public", "3(?: 0)?", "gnu org licenses lgpl 3 0", "gnu lgpl(?:v3| (?:version |v ?)?3(?: 0)?)"),
+    ("agpl-3.0", "gnu", "agpl 3 0(?: only| or later)?", "gnu affero general public", "3(?: 0)?", "gnu org licenses agpl 3 0", "gnu agpl(?:v3| (?:version |v ?)?3(?: 0)?)"),
+    ("gfdl-1.3", "gnu", "gfdl 1 3(?: only| or later)?", "gnu free documentation", "1 3", "gnu org licenses fdl 1 3", "gnu fdl 1 3"),
+    ("lgpl", "gnu", "lgpl", "gnu (?:library|lesser)(?: general)? public", "", "gnu org licenses lgpl", "gnu lgpl"),
+    ("agpl", "gnu", "agpl", "gnu affero general public", "", "gnu org licenses agpl", "gnu agpl"),
+    ("gfdl", "gnu", "gfdl", "gnu free documentation", "", "gnu org licenses fdl", ""),
     ("mpl-1.1", "mozilla", "mpl 1 1", "mozilla public", "1 1", "mozilla org mpl 1 1", "mozilla mpl 1 1"),
     ("mpl-2.0", "mozilla", "mpl 2 0", "mozilla public", "2(?: 0)?", "mozilla org mpl 2 0", "mozilla mpl 2 0"),
     ("epl-1.0", "eclipse", "epl 1 0", "eclipse public", "1(?: 0)?", "eclipse org legal epl v10", "eclipse epl 1 0"),
     ("epl-2.0", "eclipse", "epl 2 0", "eclipse public", "2(?: 0)?", "eclipse org legal epl 2 0", "eclipse epl 2 0"),
+    ("mpl", "mozilla", "mpl", "mozilla public", "", "mozilla org mpl", "mozilla mpl"),
+    ("epl", "eclipse", "epl", "eclipse public", "", "", "eclipse epl"),
     ("edl-1.0", "eclipse", "edl 1 0", "eclipse distribution", "1(?: 0)?", "eclipse org org documents edl v10", ""),
     ("cddl-1.0", "development", "cddl 1 0", "common development and distribution", "1(?: 0)?", "opensource org licenses cddl1", ""),
     ("cddl-1.1", "development", "cddl 1 1", "common development and distribution", "1 1", "", ""),
+    ("cddl", "development", "cddl", "common development and distribution", "", "", ""),
     ("cpl-1.0", "common", "cpl 1 0", "common public", "1(?: 0)?", "opensource org licenses cpl1 0", ""),
-    ("artistic-1.0", "artistic", "artistic 1 0", r"(?:the )?artistic", "1(?: 0)?", "opensource org licenses artistic license 1 0", ""),
-    ("artistic-2.0", "artistic", "artistic 2 0", r"(?:the )?artistic", "2(?: 0)?", "opensource org licenses artistic license 2 0", ""),
+    ("artistic-1.0", "artistic", "artistic 1 0", r"artistic", "1(?: 0)?", "opensource org licenses artistic license 1 0", ""),
+    ("artistic-2.0", "artistic", "artistic 2 0", r"artistic", "2(?: 0)?", "opensource org licenses artistic license 2 0", ""),
+    ("artistic", "artistic", "artistic", "artistic", "", "opensource org licenses artistic license", ""),
     ("bsl-1.0", "boost", "bsl 1 0", "boost software", "1(?: 0)?", "boost org license 1 0 txt", "boost 1 0"),
-    ("zlib", "zlib", "zlib", r"(?:the )?zlib(?: libpng)?", "", "opensource org licenses zlib(?: license)?", ""),
-    ("unlicense", "unlicense", "unlicense", "(?:the )?unlicense", "", "unlicense org", ""),
-    ("wtfpl", "wtfpl", "wtfpl", "(?:the )?wtfpl", "2?", "wtfpl net", ""),
+    ("zlib", "zlib", "zlib", r"zlib(?: libpng)?", "", "opensource org licenses zlib(?: license)?", ""),
+    ("unlicense", "unlicense", "unlicense", "unlicense", "", "unlicense org", ""),
+    ("wtfpl", "wtfpl", "wtfpl", "wtfpl", "2?", "wtfpl net", ""),
     ("cc0-1.0", "cc0", "cc0 1 0", "(?:creative commons )?cc0", "1(?: 0)?", "", "cc0"),
     ("cc-by-3.0", "creative", "cc by 3 0", "creative commons attribution", "3 0(?: unported)?", "creativecommons org licenses by 3 0", "cc by 3 0"),
     ("cc-by-4.0", "creative", "cc by 4 0", "creative commons attribution", "4 0(?: international)?", "creativecommons org licenses by 4 0", "cc by 4 0"),
@@ -93,7 +104,7 @@ LICENSES = (
     ("pddl-1.0", "domain", "pddl 1 0", "(?:open data commons )?public domain dedication", "1(?: 0)?", "opendatacommons org licenses pddl", ""),
     ("ofl-1.1", "font", "ofl 1 1", "sil open font", "1 1", "scripts sil org ofl", "sil ofl"),
     ("psf-2.0", "python", "psf 2 0", "python software foundation", "2?", "python org psf license", ""),
-    ("postgresql", "postgresql", "postgresql", r"(?:the )?postgresql", "", "opensource org licenses postgresql", ""),
+    ("postgresql", "postgresql", "postgresql", r"postgresql", "", "opensource org licenses postgresql", ""),
     ("upl-1.0", "universal", "upl 1 0", "universal permissive", "1(?: 0)?", "", ""),
     ("eupl-1.2", "european", "eupl 1 2", "european union public", "1 2", "", ""),
     ("ms-pl", "microsoft", "ms pl", "microsoft public", "", "opensource org licenses ms pl", ""),
@@ -127,6 +138,93 @@ SENTENCES = (
     ("confidential (?:and proprietary|information)", "proprietary", ("confidential", "")),
 )
 
+#: More sentences, of texts and of notices.
+NOTICES = (
+    ("the above copyright notice and this permission notice shall be included in all copies", "mit", ("permission", "copies")),
+    ("use of this source code is governed by an mit style license", "mit", ("governed", "license")),
+    ("this source code is licensed under the mit license found in the license file", "mit", ("mit", "found")),
+    ("use of this source code is governed by a bsd style license", "bsd", ("governed", "license")),
+    ("this software may be modified and distributed under the terms of the bsd license", "bsd", ("bsd", "modified")),
+    ("as long as you retain this notice you can do whatever you want .{0,200}? beer ?ware license", "beerware", ("retain", "license")),
+    ("(?:the )?beer ?ware license", "beerware", ("beer", "license")),
+    ("you may not use this file except in compliance with the license", "apache-2.0", ("compliance", "license")),
+    ("you may obtain a copy of the license at", "apache-2.0", ("obtain", "license")),
+    ("see the license for the specific language governing permissions and limitations under the license", "apache-2.0", ("governing", "limitations")),
+    ("licensed to the apache software foundation(?: asf)? under one or more contributor license agreements", "apache-2.0", ("apache", "contributor")),
+    ("this product includes software developed by the apache software foundation", "apache-1.1", ("apache", "developed")),
+    ("distributed in the hope that it will be useful but without any warranty", "gpl", ("hope", "warranty")),
+    ("without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license", "gpl", ("merchantability", "gnu")),
+    ("you should have received a copy of the gnu general public license", "gpl", ("received", "gnu")),
+    ("everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed", "gpl", ("verbatim", "license")),
+    ("linking this library statically or dynamically with other modules is making a combined work .{0,120}? gnu general public license", "gpl", ("linking", "gnu")),
+    ("you should have received a copy of the gnu (?:library|lesser) general public license", "lgpl", ("received", "gnu")),
+    ("you should have received a copy of the gnu affero general public license", "agpl", ("received", "affero")),
+    ("permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license", "gfdl", ("granted", "gnu")),
+    ("the contents of this file are subject to the mozilla public license", "mpl", ("contents", "mozilla")),
+    ("mozilla public license v 2 0 if a copy of the mpl was not distributed with this file", "mpl-2.0", ("mozilla", "distributed")),
+    ("the accompanying materials are made available under the terms of the eclipse public license v(?:ersion )? ?1 0", "epl-1.0", ("accompanying", "eclipse")),
+    ("the accompanying materials are made available under the terms of the eclipse public license 2 0", "epl-2.0", ("accompanying", "eclipse")),
+    ("the contents of this file are subject to the terms of the common development and distribution license", "cddl", ("contents", "license")),
+    ("permission is hereby granted free of charge to any person or organization obtaining a copy of the software", "bsl-1.0", ("hereby", "organization")),
+    ("distributed under the boost software license version 1 0 see accompanying file", "bsl-1.0", ("accompanying", "boost")),
+    ("permission is granted to anyone to use this software for any purpose including commercial applications", "zlib", ("granted", "commercial")),
+    ("everyone is permitted to copy and distribute verbatim or modified copies of this license document", "wtfpl", ("verbatim", "license")),
+    ("permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement", "postgresql", ("permission", "agreement")),
+    ("permission to use copy modify distribute and sell this software and its documentation for any purpose is hereby granted", "hpnd", ("hereby", "sell")),
+    ("making python available to licensee on an as is basis", "psf-2.0", ("python", "licensee")),
+    ("this font software is licensed under the sil open font license", "ofl-1.1", ("font", "license")),
+    ("to the extent possible under law .{1,120}? has waived all copyright and related or neighboring rights to .{1,120}? creative commons", "cc0-1.0", ("waived", "creative")),
+    ("this work is licensed under a creative commons attribution 4 0 international license", "cc-by-4.0", ("work", "creative")),
+    ("this work is licensed under a creative commons attribution share ?alike 4 0 international license", "cc-by-sa-4.0", ("work", "creative")),
+    ("this work is licensed under a creative commons attribution non ?commercial 4 0 international license", "cc-by-nc-4.0", ("work", "creative")),
+    ("this work is licensed under a creative commons attribution no ?deriv(?:ative)?s 4 0 international license", "cc-by-nd-4.0", ("work", "creative")),
+    ("this work is licensed under a creative commons attribution non ?commercial share ?alike 4 0 international license", "cc-by-nc-sa-4.0", ("work", "creative")),
+    ("text is available under the creative commons attribution share ?alike license", "cc-by-sa", ("text", "creative")),
+    ("made available under the open database license", "odbl-1.0", ("available", "license")),
+    ("individual contents of the database are licensed under the database contents license", "dbcl-1.0", ("contents", "license")),
+    ("you may not move change disable or circumvent the license key functionality", "elastic-2.0", ("circumvent", "license")),
+    ("the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use", "bsl-1.1", ("licensor", "production")),
+    ("if you use the software you accept this license if you do not accept the license do not use the software", "ms-pl", ("accept", "license")),
+    ("you can redistribute it and or modify it under the same terms as perl itself", "perl", ("redistribute", "perl")),
+    ("you can redistribute it and or modify it under either the terms of the 2 clause bsdl", "ruby", ("redistribute", "bsdl")),
+    ("no part of this .{1,40}? may be reproduced .{1,200}? without the prior written permission", "proprietary", ("reproduced", "permission")),
+    ("may not be used .{0,80}? without (?:the )?(?:express|prior) written permission of the copyright (?:holder|owner)", "proprietary", ("written", "permission")),
+    ("this license does not grant you the right to use any trademark", "proprietary", ("license", "trademark")),
+    ("for non ?commercial use only .{0,60}? commercial licen[cs]e", "non-commercial", ("commercial", "licen")),
+    ("free for personal use .{0,60}? commercial licen[cs]e", "non-commercial", ("personal", "licen")),
+)
+
+#: Names of licenses that are not in the table above: pattern and label; each holds the word license.
+NAMES = (
+    ("academy of motion picture arts and sciences bsd license", "ampas"), ("adaptive public license", "apl-1.0"),
+    ("aladdin free public license", "aladdin"), ("apple public source license", "apsl"), ("attribution assurance license", "aal"),
+    ("blue oak model license(?: 1 0 0)?", "blueoak-1.0.0"), ("cecill(?: free software)? licen[cs]e", "cecill"),
+    ("commons clause license condition", "commons-clause"), ("community data license agreement permissive", "cdla-permissive"),
+    ("community data license agreement sharing", "cdla-sharing"), ("computer associates trusted open source license", "catosl-1.1"),
+    ("creativeml open ?rail m license", "openrail-m"), ("cryptix general license", "cryptix"), ("cua office public license", "cua-opl-1.0"),
+    ("curl license", "curl"), ("design science license", "dsl"), ("eiffel forum license", "efl"), ("entessa public license", "entessa"),
+    ("eu datagrid software license", "eudatagrid"), ("fair license", "fair"), ("frameworx open license", "frameworx-1.0"),
+    ("free art license", "free-art"), ("freetype(?: project)? license", "ftl"), ("hippocratic license", "hippocratic"),
+    ("ibm public license", "ipl-1.0"), ("imagemagick license", "imagemagick"), ("independent jpeg group license", "ijg"),
+    ("info zip license", "info-zip"), ("intel open source license", "intel"), ("jabber open source license", "josl"),
+    ("latex project public license", "lppl"), ("libpng license", "libpng"), ("llama 2 community license", "llama2"),
+    ("llama 3 community license", "llama3"), ("lucent public license", "lpl-1.02"), ("miros licen[cs]e", "miros"),
+    ("motosoto license", "motosoto"), ("mulan permissive software license", "mulan-psl"), ("mulan public license", "mulan-publ"),
+    ("naumen public license", "naumen"), ("net ?snmp license", "net-snmp"), ("netscape public license", "npl"),
+    ("nokia open source license", "nokia"), ("non profit open software license", "nposl-3.0"), ("nethack general public license", "ngpl"),
+    ("oclc research public license", "oclc-2.0"), ("open ?ldap public license", "openldap"), ("openssl license", "openssl"),
+    ("open government licen[cs]e", "ogl"), ("open publication license", "opl"), ("parity public license", "parity"),
+    ("peer production license", "ppl"), ("php license", "php"), ("polyform noncommercial license", "polyform-noncommercial"),
+    ("polyform small business license", "polyform-small-business"), ("prosperity public license", "prosperity"),
+    ("q public license", "qpl"), ("reciprocal public license", "rpl"), ("ricoh source code public license", "rscpl"),
+    ("ruby license", "ruby"), ("sax public domain license", "sax"), ("simple public license", "simpl"), ("sleepycat license", "sleepycat"),
+    ("solderpad hardware license", "shl"), ("cern open hardware licen[cs]e", "cern-ohl"), ("sugarcrm public license", "sugarcrm"),
+    ("sun industry standards source license", "sissl"), ("sun public license", "spl"), ("sybase open watcom public license", "watcom"),
+    ("tcl license", "tcl"), ("unicode license", "unicode"), ("vim license", "vim"), ("vovida software license", "vsl"),
+    ("w3c software (?:notice and )?license", "w3c"), ("wx ?windows library licen[cs]e", "wxwindows"), ("xerox license", "xerox"),
+    ("xfree86 license", "xfree86"), ("yahoo public license", "ypl"), ("zope public license", "zpl"), ("zend license", "zend"),
+)
+
 NOTICE = "(?:licen[sc]ed|released|distributed|provided|published|available|redistribute it|use is granted) under(?: the)?(?: terms of)?(?: the)? "
 
 
@@ -152,10 +250,19 @@ def rules() -> list[Rule]:
             out.append(Rule(f"{name}{number} licen[cs]e", label, 3, 0.8, (kw, "licen")))
         if short:
             out.append(Rule(f"{short}(?: licen[cs]e)?", label, 4, 0.5, (short.split()[0], "")))
-    out += [Rule(p, label, 2, 0.9, kws) for p, label, kws in SENTENCES]
+    out += [Rule(p, label, 2, 0.9, kws) for p, label, kws in (*SENTENCES, *NOTICES)]
+    out += [Rule(p, label, 3, 0.8, (p.split("(")[0].split()[0], "licen")) for p, label in NAMES]
     return out
 
 
+def families(all_rules: list[Rule]) -> dict[str, str]:
+    """Label -> the general label of its family: gpl for gpl and every gpl-..., by the rules' labels."""
+    labels = {r.label for r in all_rules if not r.base}
+    general = {g for g in labels if any(x.startswith(f"{g}-") for x in labels)}
+    return {x: max((g for g in general if x == g or x.startswith(f"{g}-")), key=len) for x in labels
+            if any(x == g or x.startswith(f"{g}-") for g in general)}
+
+
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Every match of a rule contains one of these in the raw text; a test generates matches of all rules against it.
 PREFILTER = (r"(?i)licen[cs]|spdx|apache|creative|opensource|opendatacommons|gnu|mozilla|eclipse|boost|wtfpl|cc0|hereby|redistribut|"
@@ -203,14 +310,25 @@ def _matches(texts: DataFrame, all_rules: list[Rule]) -> DataFrame:
 
 def _resolve(matches: DataFrame, priorities: int = 4) -> DataFrame:
     """Matches not contained in one of equal or stronger priority that comes before in
-    (start, longest, priority, rule) order; base matches stay and suppress nothing."""
+    (start, longest, priority, rule) order, and of a family's general label only those
+    that meet no version; base matches stay and suppress nothing."""
     order = Window.partitionBy("uid").orderBy("first", F.col("last").desc(), "priority", "rule") \
         .rowsBetween(Window.unboundedPreceding, -1)
     inside = F.lit(False)
     for p in range(1, priorities + 1):
         reach = F.max(F.when(F.col("priority") == p, F.col("last"))).over(order)
         inside = inside | ((F.col("priority") >= p) & F.coalesce(reach >= F.col("last"), F.lit(False)))
-    return matches.withColumn("inside", inside).where("priority = 0 OR NOT inside").drop("inside")
+    whole = matches.withColumn("inside", inside).where("priority = 0 OR NOT inside").drop("inside")
+
+    family = F.create_map(*[F.lit(x) for pair in families(rules()).items() for x in pair])
+    version = (F.col("priority") > 0) & (F.col("label") != F.col("family"))
+    # versions that begin at or before a match and reach it; versions that begin after it, inside it
+    upward = Window.partitionBy("uid", "family").orderBy("first", F.col("version").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    downward = Window.partitionBy("uid", "family").orderBy(F.col("first").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    meets = (F.coalesce(F.max(F.when(F.col("version"), F.col("last"))).over(upward) >= F.col("first"), F.lit(False))
+             | F.coalesce(F.min(F.when(F.col("version"), F.col("first"))).over(downward) <= F.col("last"), F.lit(False)))
+    known = whole.withColumn("family", F.coalesce(F.try_element_at(family, "label"), F.col("label"))).withColumn("version", version)
+    return known.withColumn("meets", meets).where("priority = 0 OR version OR NOT meets").drop("family", "version", "meets")
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -31,6 +31,8 @@ ROUNDS = 6
 BLOCK_TOKENS = 1 << 18
 #: Rows of a block, about: a source of many short or empty texts has more blocks than its tokens ask for.
 BLOCK_ROWS = 1 << 14
+#: The blocks of a source are summed up in two to this power stretches.
+STRETCH_BITS = 10
 #: Larger tables of sources or blocks are joined by shuffle instead of broadcast.
 BROADCAST_ROWS = 50_000
 WORD = r"[^\x20\x09-\x0D]+"
@@ -151,9 +153,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     placed = _with_sources(rows, sources).withColumn("block", _block(seed))
     sizes = placed.groupBy("_key", "block").agg(F.sum("tokens").alias("tokens"), F.max("rest").alias("rest"),
                                                 F.max("full").alias("full"))
-    turn = Window.partitionBy("_key").orderBy(F.xxhash64("block", "full", F.lit(seed)), "block")
+    # the blocks of a source in the order of their turns, in stretches by the turn's leading bits: a source
+    # of very many blocks is summed up stretch by stretch, and no task holds all its blocks
+    sizes = freeze(sizes.withColumn("turn", F.xxhash64("block", "full", F.lit(seed))).withColumn("stretch", F.shiftright("turn", 64 - STRETCH_BITS)))
+    earlier = Window.partitionBy("_key").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    stretches = sizes.groupBy("_key", "stretch").agg(F.sum("tokens").alias("whole")) \
+        .select("_key", "stretch", F.coalesce(F.sum("whole").over(earlier), F.lit(0)).alias("before"))
+    turn = Window.partitionBy("_key", "stretch").orderBy("turn", "block")
     cum = F.sum("tokens").over(turn.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    sizes = freeze(sizes.withColumn("cum", cum))
+    sizes = freeze(sizes.withColumn("cum", cum).join(stretches, ["_key", "stretch"]).withColumn("cum", F.col("cum") + F.col("before"))
+                   .drop("turn", "stretch", "before"))
     # left: tokens of the last epoch's quota when its turn comes
     sizes = sizes.withColumn("left", F.col("rest") - (F.col("cum") - F.col("tokens")))
     border = sizes.where("left > 0 AND tokens > left").select("_key", "block", "left")

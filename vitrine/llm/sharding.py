@@ -93,10 +93,19 @@ def _find_cuts(at: DataFrame, level: list[Node], dims: int, leaf_bytes: float) -
         bucket = F.call_function("div", offset, width)
         sums = rows.select("node", bucket.alias("bucket"), "size").groupBy("node", "bucket").agg(
             F.sum("size").alias("w"), F.count(F.lit(1)).alias("n"))
-        up = Window.partitionBy("node").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         want = per_node(lambda k: float(ranges[k][3] - ranges[k][2]), 0.0)
-        # the first bucket that reaches the wanted bytes; at most 2**BUCKETS_LOG2 buckets per node in the window
-        found = (sums.withColumn("cum", F.sum("w").over(up)).where(F.col("cum") >= want)
+        # the first bucket that reaches the wanted bytes, by a histogram of two levels: sums of runs of buckets first,
+        # so that a window has 2 ** (BUCKETS_LOG2 / 2) rows of a node
+        run = F.shiftright("bucket", BUCKETS_LOG2 // 2)
+        sums = freeze(sums.withColumn("run", run))
+        to_run = Window.partitionBy("node").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+        runs = sums.groupBy("node", "run").agg(F.sum("w").alias("whole")).select(
+            "node", "run", "whole", F.coalesce(F.sum("whole").over(to_run), F.lit(0)).alias("before"))
+        first = runs.where(F.col("before") + F.col("whole") >= want).groupBy("node").agg(
+            F.min("run").alias("run"), F.min_by("before", "run").alias("before"))
+        up = Window.partitionBy("node", "run").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        found = (sums.join(F.broadcast(first), ["node", "run"])  # a row per node, of which there are fewer than shards
+                 .withColumn("cum", F.col("before") + F.sum("w").over(up)).where(F.col("cum") >= want)
                  .groupBy("node").agg(F.min_by(F.struct("bucket", "w", "n", "cum"), "bucket").alias("b")).collect())
         for r in found:
             k, b = r["node"], r["b"]

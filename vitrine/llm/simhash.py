@@ -13,9 +13,12 @@ distance of at most ``max_bits`` leaves at least three groups untouched, so the
 two vectors share a cell of one of the grids spanned by three groups: 20 grids
 for 3 bits. That is exact, with no probing of neighbouring cells.
 
-Cells that hold more than ``hot_cell`` different fingerprints are refined: their
+Cells that may hold more than ``hot_cell`` different fingerprints are told beforehand,
+from one fingerprint in some (a wrong guess costs time only), and refined: their
 members are dealt again into the cells of finer grids (segments of one bit, four
-of seven groups), which is exact by the same argument.
+of seven groups), which is exact by the same argument. A finer cell that is still hot
+is cut into parts by a hash, and every pair of parts is joined by itself, so that no
+task holds a hot cell.
 """
 
 from __future__ import annotations
@@ -25,10 +28,12 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import freeze, ship, with_group
+from vitrine.llm.common import broadcast_if_small, freeze, ship, with_group
 from vitrine.llm.components import connected_components
 
 HOT_CELL = 2000
+#: More hot cells than this are joined by shuffle instead of broadcast.
+BROADCAST_CELLS = 100_000
 
 
 def fingerprint_bytes(text: bytes | None, shingle: int = 3) -> int:
@@ -101,9 +106,10 @@ def _cells(fps: DataFrame, point: str, masks: list[int], extra: list[str]) -> Da
     return fps.select(*extra, "fp", "rep", cell.alias("c")).select(*extra, "fp", "rep", "c.grid", "c.cell")
 
 
-def _range_join(cells: DataFrame, keys: list[str], max_bits: int) -> DataFrame:
+def _range_join(cells: DataFrame, keys: list[str], max_bits: int, parts: bool = False) -> DataFrame:
     """Pairs that share a cell, lie within ``max_bits`` in Manhattan distance and
-    differ in at most ``max_bits`` bits (both checks run inside the join)."""
+    differ in at most ``max_bits`` bits (both checks run inside the join). ``parts``: rows
+    of two parts meet, and rows of one part where it is paired with itself."""
     a, b = cells.alias("a"), cells.alias("b")
     pa, pb = segment_popcounts(F.col("a.fp")), segment_popcounts(F.col("b.fp"))
     on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
@@ -112,25 +118,49 @@ def _range_join(cells: DataFrame, keys: list[str], max_bits: int) -> DataFrame:
               F.bit_count(pa.bitwiseXOR(pb)) <= max_bits,
               F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= max_bits]:
         cond &= c
+    if parts:
+        cond &= (F.col("a.part") != F.col("b.part")) | (F.col("a.lo") == F.col("a.hi"))
     return a.join(b, cond).select(F.col("a.rep").alias("u"), F.col("b.rep").alias("v"))
 
 
+def _hot_cells(cells: DataFrame, keys: list[str], hot_cell: int) -> DataFrame:
+    """``(keys, parts)`` of the cells that may have more than ``hot_cell`` rows, judged
+    from the fingerprints whose hash is 0 modulo a rate: about 16 of them are expected in
+    half a hot cell. Written out, since the rows are dealt by it."""
+    rate = max(1, hot_cell // 32)
+    seen = cells.where(F.pmod(F.xxhash64("fp"), F.lit(rate)) == 0).groupBy(*keys).agg((F.count(F.lit(1)) * rate).alias("n"))
+    return freeze(seen.where(F.col("n") > (hot_cell if rate == 1 else hot_cell // 2))
+                  .select(*keys, F.ceil(2 * F.col("n") / F.lit(float(hot_cell))).cast("int").alias("parts")))
+
+
+def _in_parts(cells: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
+    """``cells`` with ``part``, ``lo`` and ``hi``: a row of part p of a hot cell once for
+    every pair of parts that p belongs to, other rows once."""
+    dealt = cells.join(broadcast_if_small(hot, BROADCAST_CELLS), keys, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("parts")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    return dealt.withColumn("q", other).withColumns({"lo": F.least("q", "part"), "hi": F.greatest("q", "part")}).drop("q", "parts")
+
+
 def simhash_links(fps: DataFrame, max_bits: int = 3, hot_cell: int = HOT_CELL) -> DataFrame:
     """Links ``(u, v)`` between the representatives of different fingerprints at
     most ``max_bits`` apart. ``fps``: ``(fp, rep)``, one row per fingerprint."""
     points = fps.withColumn("p", segment_popcounts(F.col("fp")))
     cells = _cells(points, "p", _grid_masks(2, max_bits + 3, 3), [])
+    hot = _hot_cells(cells, ["grid", "cell"], hot_cell)
+    any_hot = not hot.isEmpty()
+    few = broadcast_if_small(hot, BROADCAST_CELLS)
+    plain = cells.join(few, ["grid", "cell"], "left_anti") if any_hot else cells
     n = F.count(F.lit(1)).over(Window.partitionBy("grid", "cell"))
-    shared = freeze(cells.withColumn("n", n).where("n > 1"))
-    links = _range_join(shared.where(F.col("n") <= hot_cell), ["grid", "cell"], max_bits)
-    hot = shared.where(F.col("n") > hot_cell)
-    if not hot.isEmpty():
+    shared = freeze(plain.withColumn("n", n).where("n > 1"))
+    links = _range_join(shared, ["grid", "cell"], max_bits)
+    if any_hot:
         # finer grids inside each hot cell: segments of one bit, 4 of max_bits + 4 groups
-        fine = _cells(hot.select(F.col("grid").alias("g0"), F.col("cell").alias("c0"), "fp", "rep"), "fp",
-                      _grid_masks(1, max_bits + 4, 4), ["g0", "c0"])
-        m = F.count(F.lit(1)).over(Window.partitionBy("g0", "c0", "grid", "cell"))
-        fine = fine.withColumn("n", m).where("n > 1")
-        links = links.unionAll(_range_join(fine, ["g0", "c0", "grid", "cell"], max_bits))
+        inside = cells.join(few, ["grid", "cell"], "left_semi").select(F.col("grid").alias("g0"), F.col("cell").alias("c0"), "fp", "rep")
+        fine = _cells(inside, "fp", _grid_masks(1, max_bits + 4, 4), ["g0", "c0"])
+        keys = ["g0", "c0", "grid", "cell"]
+        parted = _in_parts(fine, _hot_cells(fine, keys, hot_cell), keys)
+        links = links.unionAll(_range_join(parted, [*keys, "lo", "hi"], max_bits, parts=True))
     return links.distinct()
 
 
