@@ -309,15 +309,16 @@ def test_building_a_report_runs_no_job(spark):
         sc.setJobGroup("", "")
 
 
-def test_equal_width_bin_equals_counting_edges(spark):
-    from vitrine.functions.scalars import equal_width_bin
+def test_bins_equal_counting_edges(spark):
+    from vitrine.operators.drift import _bin_counts
     rng = np.random.default_rng(5)
     for lo, hi in ((0.0, 0.1), (-3.7, 1e6), (1e-9, 3e-9), (1e16, 1e16 + 8), (5.0, np.nextafter(5.0, 6))):
         edges = np.linspace(lo, hi, 21)
         vals = np.clip(np.concatenate([rng.uniform(lo, hi, 2000), np.round(rng.uniform(lo, hi, 500), 2), edges, np.nextafter(edges, -np.inf)]), lo, hi)
-        df = spark.createDataFrame([(float(v),) for v in vals], "v double")
-        got = [r.a for r in df.select(equal_width_bin("v", lo, hi, 20).alias("a")).collect()]
-        assert got == [min(19, int(np.sum(edges[1:20] <= v))) for v in vals]
+        df = spark.createDataFrame([(float(v),) for v in vals] + [(None,), (float("nan"),), (float("inf"),)], "v double")
+        got = {r.key: r.n for r in _bin_counts(df, {"v": (2, lo, hi)}, 20).collect()}
+        want = np.bincount([min(19, int(np.sum(edges[1:20] <= v))) for v in vals], minlength=20)
+        assert got == {40 + k: n for k, n in enumerate(want) if n}
 
 
 def test_histogram_of_a_narrow_feature(spark):

@@ -10,7 +10,7 @@ from tests.oracle_harness import compare, duck
 ORACLES = E.oracle_sql()
 # Lineitem pairs take the exact p-value branch at sf0.001 and the asymptotic one
 # (above 10 000 rows per side) at sf0.01: compare them at both.
-NEEDS_MID = {"drift_report", "drift_report_scaled", "drift_report_identical", "drift_report_simple"}
+NEEDS_MID = {"drift_report", "drift_report_scaled", "drift_report_identical"}
 
 
 @pytest.fixture(scope="module")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -92,23 +89,3 @@ def linspace_edges(lo, hi, bins: int) -> Column:
     inner = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)),
                         lambda i: i.cast("double") * step + _c(lo))
     return F.concat(inner, F.array(_c(hi).cast("double")))
-
-
-def equal_width_bin(value, lo: float, hi: float, bins: int) -> Column:
-    """0-based bin of ``value`` in [lo, hi] among the equal-width edges of
-    ``linspace_edges``: [e_i, e_{i+1}) and the last bin closed.
-
-    The arithmetic guess ⌊(v − lo)/step⌋ is at most one bin off near an edge; one
-    comparison with the edges on either side, computed as ``linspace`` does, corrects
-    it. Where a bin is only a few units in the last place wide, rounded edges coincide
-    and the guess may be further off: there (decided here, not per row) the edges ≤ v
-    are counted. Plain arithmetic on literals: stays in generated code."""
-    v, step = _c(value), (hi - lo) / float(bins)
-    if step <= max(abs(lo), abs(hi)) * 2.0 ** -48:
-        return reduce(add, [(F.lit(i * step + lo) <= v).cast("int") for i in range(1, bins)], F.lit(0))
-    guess = F.least(F.floor((v - F.lit(lo)) / F.lit(step)).cast("int"), F.lit(bins - 1))
-    lower = guess.cast("double") * F.lit(step) + F.lit(lo)
-    upper = (guess + 1).cast("double") * F.lit(step) + F.lit(lo)
-    return (F.when(v < lower, guess - 1)
-            .when((guess < bins - 1) & (v >= upper), guess + 1)
-            .otherwise(guess))

@@ -12,11 +12,12 @@ Plan (all features at once, no per-feature job):
   value); population std of the reference Σ c·(v−mean)². A partition hands on one
   row per feature.
 * D3: p-value per feature (``functions.ks``), on a table of one row per feature.
-* D6: 20 equal-width bins on the pooled min/max: one wide aggregate per side finds
-  the extremes, a second pass the bin number of every column of a row.
+* D6: 20 equal-width bins on the pooled min/max. Both passes read the columns side by
+  side, in Arrow batches, and hand on one row per feature, or feature and bin, of a
+  task; nothing is unpivoted.
 
 Reports are plans: building one runs no job. Only the histogram reads the extremes
-(one row per side) while it is built.
+(a row per feature and side) while it is built.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import types as T
 from vitrine.config import (DRIFT_CONSTANT_SENTINEL, DRIFT_EMD_THRESHOLD, DRIFT_P_THRESHOLD,
                             HISTOGRAM_BINS, KS_EXACT_MAX_N)
 from vitrine.functions.ks import ks_pvalue
-from vitrine.functions.scalars import equal_width_bin, linspace_edges, np_round, safe_ratio
+from vitrine.functions.scalars import linspace_edges, np_round, safe_ratio
 from vitrine.operators.filters import finite, numeric_features, qcol, segment_pair
 from vitrine.operators.prefix import Segments, default_partitions, range_scan, running_totals_simple, sample_rate
 from vitrine.session import ship_package
@@ -52,9 +53,11 @@ def drift_features(ref: DataFrame, curr: DataFrame, columns: list[str] | None =
 def _long(df: DataFrame, features: list[str], c_ref: int, c_curr: int) -> DataFrame:
     # features travel as their 1-based report position (an int), not their name:
     # the shuffles below carry every distinct value, so every byte per row counts
-    pairs = F.array(*[F.struct(F.lit(i + 1).alias("fid"), qcol(f).cast("double").alias("value"))
-                      for i, f in enumerate(features)])
-    return (df.select(F.inline(pairs))
+    def quoted(name: str) -> str:
+        return "`" + name.replace("`", "``") + "`"
+
+    pairs = ", ".join(f"named_struct('fid', {i + 1}, 'value', cast({quoted(f)} as double))" for i, f in enumerate(features))
+    return (df.select(F.expr(f"inline(array({pairs}))"))
             .where(finite(F.col("value")))
             .select("fid", "value", F.lit(c_ref).cast("long").alias("c_ref"),
                     F.lit(c_curr).cast("long").alias("c_curr")))
@@ -226,25 +229,55 @@ def drift_report(ref: DataFrame, curr: DataFrame, columns: list[str] | None = No
         np_round("nemd", 3).alias("normalized_emd"))
 
 
+def _wide(df: DataFrame, features: list[str]) -> DataFrame:
+    return df.select(*[qcol(f).cast("double").alias(f"v{i}") for i, f in enumerate(features)])
+
+
+def _finite_columns(batch):
+    for column in batch.columns:
+        v = column.to_numpy(zero_copy_only=False)  # NULL is NaN
+        yield v[np.isfinite(v)]
+
+
 def _extremes(df: DataFrame, features: list[str]) -> DataFrame:
-    """One row: per feature the number of finite values and their extremes."""
-    aggs = []
-    for i, f in enumerate(features):
-        v = qcol(f).cast("double")
-        v = F.when(finite(v), v)
-        aggs += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
-    return df.agg(*aggs)
+    """(i, n, lo, hi): per feature the number of finite values and their extremes; features
+    without one have no row."""
+    ship_package(df.sparkSession)
+
+    def run(batches):
+        import pyarrow as pa
+
+        n, lo, hi = np.zeros(len(features), np.int64), np.full(len(features), np.inf), np.full(len(features), -np.inf)
+        for b in batches:
+            for i, v in enumerate(_finite_columns(b)):
+                if len(v):
+                    n[i], lo[i], hi[i] = n[i] + len(v), min(lo[i], v.min()), max(hi[i], v.max())
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(features), dtype=np.int32)), pa.array(n), pa.array(lo), pa.array(hi)],
+                                         names=["i", "n", "lo", "hi"])
+
+    per = _wide(df, features).mapInArrow(run, "i int, n long, lo double, hi double").where("n > 0")
+    return per.groupBy("i").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
 def _bin_counts(df: DataFrame, ranges: dict[str, tuple[int, float, float]], bins: int) -> DataFrame:
-    """``(key, n)``; the key of a feature's bin is fid·bins + bin. Every row gives the
-    bin numbers of all its columns as one array of ints; nothing else is unpivoted."""
-    keys = []
-    for f, (fid, lo, hi) in ranges.items():
-        v = qcol(f).cast("double")
-        keys.append(F.when(finite(v), equal_width_bin(v, lo, hi, bins) + F.lit(fid * bins)))
-    return (df.select(F.explode(F.array(*keys)).alias("key")).where("key IS NOT NULL")
-            .groupBy("key").agg(F.count(F.lit(1)).alias("n")))
+    """``(key, n)``; the key of a feature's bin is fid·bins + bin, bins from 0. A value's bin
+    is the number of inner edges (those of ``linspace_edges``) that are at most the value,
+    so edges that rounding makes coincide are told apart as NumPy does."""
+    ship_package(df.sparkSession)
+    inner = [np.array([i * ((hi - lo) / float(bins)) + lo for i in range(1, bins)]) for _, lo, hi in ranges.values()]
+    first = [fid * bins for fid, _, _ in ranges.values()]
+
+    def run(batches):
+        import pyarrow as pa
+
+        counts = np.zeros((len(inner), bins), np.int64)
+        for b in batches:
+            for i, v in enumerate(_finite_columns(b)):
+                counts[i] += np.bincount(np.searchsorted(inner[i], v, side="right"), minlength=bins)
+        keys = (np.array(first)[:, None] + np.arange(bins)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(counts.ravel())], names=["key", "n"])
+
+    return _wide(df, list(ranges)).mapInArrow(run, "key int, n long").where("n > 0").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def drift_histogram(ref: DataFrame, curr: DataFrame, columns: list[str] | None = None,
@@ -254,19 +287,17 @@ def drift_histogram(ref: DataFrame, curr: DataFrame, columns: list[str] | None =
     feature's range is so narrow that edges coincide, the densities of its bins
     of no width are NULL; other bins and features are not affected.
 
-    The extremes (one row per side) are read while the frame is built: they decide
-    per feature how bins are found, and are literals of the second pass."""
+    The extremes (a row per feature and side) are read while the frame is built: the second
+    pass gets the edges with its code."""
     spark = ref.sparkSession
     features = features or drift_features(ref, curr, columns)
-    a, b = _extremes(ref, features).withColumn("side", F.lit(0)).unionByName(
-        _extremes(curr, features).withColumn("side", F.lit(1))).orderBy("side").collect()
+    both = _extremes(ref, features).withColumn("side", F.lit(0)).unionByName(_extremes(curr, features).withColumn("side", F.lit(1)))
+    found = {(r.side, r.i): r for r in both.collect()}
     rows = []
     for i, f in enumerate(features):
-        n_ref, n_curr = a[f"n{i}"], b[f"n{i}"]
-        if n_ref and n_curr:
-            lo, hi = min(a[f"lo{i}"], b[f"lo{i}"]), max(a[f"hi{i}"], b[f"hi{i}"])
-            if lo < hi:
-                rows.append((i + 1, f, n_ref, n_curr, lo, hi))
+        a, b = found.get((0, i)), found.get((1, i))
+        if a and b and min(a.lo, b.lo) < max(a.hi, b.hi):
+            rows.append((i + 1, f, a.n, b.n, min(a.lo, b.lo), max(a.hi, b.hi)))
     schema = "fid int, feature string, n_ref long, n_curr long, vmin double, vmax double"
     # one row per feature and bin: bounded by the schema
     spine = (spark.createDataFrame(rows, schema).withColumn("edges", linspace_edges(F.col("vmin"), F.col("vmax"), bins))

@@ -81,15 +81,15 @@ def sample_rate(n: Column, partitions: int) -> Column:
     return F.greatest(F.lit(1), F.floor(n / F.lit(float(SAMPLE * RANGES * partitions)))).cast("long")
 
 
-def _with_range(df: DataFrame, key: Column, borders: Column, ranges: int) -> DataFrame:
-    """``df`` with ``_range``, how many of the sorted borders are at most ``key``: binary
+def _with_range(df: DataFrame, key: Column, ranges: int) -> DataFrame:
+    """``df`` with ``_range``, how many of the sorted ``_borders`` are at most ``key``: binary
     search by lifting, a projection per step (each names the step before several times,
-    so they stay apart, in generated code)."""
+    so they stay apart, in one loop of generated code that passes the borders by reference)."""
     df, at = df.withColumn("_range", F.lit(0)), F.col("_range")
     for j in reversed(range(ranges.bit_length())):
         further = at + F.lit(1 << j)
-        df = df.withColumn("_range", F.when(F.try_element_at(borders, further) <= key, further).otherwise(at))
-    return df
+        df = df.withColumn("_range", F.when(F.try_element_at("_borders", further) <= key, further).otherwise(at))
+    return df.drop("_borders")
 
 
 def range_scan(df: DataFrame, part: str, order: str, weights: list[str], fold: Callable[[Segments], dict],
@@ -112,8 +112,9 @@ def range_scan(df: DataFrame, part: str, order: str, weights: list[str], fold: C
     every = F.greatest(F.lit(1), F.ceil(F.size("s") / F.lit(float(RANGES * n))).cast("int"))
     keys = F.sort_array(F.collect_list(F.struct(F.col(part), F.col(order))))
     # some rows per range in one array: bounded by the number of partitions
-    borders = sample.agg(keys.alias("s")).select(F.filter("s", lambda _, i: (i > 0) & (i % every == 0))).scalar()
-    dealt = _with_range(df.select(part, order, *weights), F.struct(F.col(part), F.col(order)), borders, RANGES * n).repartition(n, "_range")
+    borders = sample.agg(keys.alias("s")).select(F.filter("s", lambda _, i: (i > 0) & (i % every == 0)).alias("_borders"))
+    keyed = df.select(part, order, *weights).crossJoin(F.broadcast(borders))  # one row
+    dealt = _with_range(keyed, F.struct(F.col(part), F.col(order)), RANGES * n).repartition(n, "_range")
     own = dealt.groupBy("_range", part).agg(*[F.sum(w).alias(f"own_{w}") for w in weights],
                                             F.count(F.lit(1)).alias("own_n"), F.min(order).alias("_first"))
     # at most one row per part and one per border: by ranges, it gives what is carried
