@@ -14,3 +14,18 @@ def test_chains_stars_and_random_graphs(spark):
     want = brute.components({x for e in real for x in e}, real)
     assert got == want
     assert connected_components(spark.createDataFrame([], "a long, b long"), "a", "b").collect() == []
+
+
+def test_a_hub_is_spread(spark):
+    """A hub's edges are joined under as many keys as there are salts."""
+    from pyspark.sql import functions as F
+
+    from vitrine.llm import components
+
+    edges = spark.range(1, 4001).select(F.lit(0).cast("long").alias("u"), F.col("id").alias("v"))
+    got = components._with_low(edges, F.min("v"))
+    assert got.count() == 4000 and got.select("m").distinct().collect() == [(1,)]
+    salts = edges.groupBy(components._salt("v").alias("s")).count().collect()
+    assert len(salts) == 16 and max(r["count"] for r in salts) < 400
+    comp = connected_components(edges.unionAll(spark.createDataFrame([(5000, 4000)], "u long, v long")), "u", "v")
+    assert comp.select("component").distinct().collect() == [(0,)] and comp.count() == 4002

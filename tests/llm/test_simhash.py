@@ -67,3 +67,26 @@ def test_popcount_embedding_is_a_lower_bound(spark):
     for r in df.collect():
         counts = [[((x >> k) & 3).bit_count() for k in range(0, 64, 2)] for x in (r.a, r.b)]
         assert r.l1 == sum(abs(p - q) for p, q in zip(*counts)) <= (r.a ^ r.b).bit_count()
+
+
+def test_a_hot_cell_is_cut_into_parts(spark):
+    """Fingerprints of one cell, and of one finer cell, beyond the limit: links are exact, and no cell keeps more rows than its parts."""
+    rng = random.Random(9)
+    base = rng.getrandbits(64)
+    fps = {base}
+    while len(fps) < 400:  # all differ in the low 24 bits only, so they share cells of both grids
+        x = base
+        for b in rng.sample(range(24), rng.randint(1, 6)):
+            x ^= 1 << b
+        fps.add(x)
+    fps = {i: f for i, f in enumerate(sorted(fps))}
+    df = spark.createDataFrame([(f - 2**64 if f >> 63 else f, i) for i, f in fps.items()], "fp long, rep long")
+    for hot_cell in (20, 100):
+        got = {(min(r.u, r.v), max(r.u, r.v)) for r in simhash.simhash_links(df, hot_cell=hot_cell).collect()}
+        assert got == set(brute.hamming_links(fps))
+    cells = simhash._cells(df, "fp", simhash._grid_masks(1, 7, 4), [])
+    keys = ["grid", "cell"]
+    hot = simhash._hot_cells(cells, keys, 20)
+    parted = simhash._in_parts(cells, hot, keys)
+    largest = parted.groupBy(*keys, "lo", "hi").count().agg(F.max("count")).first()[0]
+    assert cells.groupBy(*keys).count().agg(F.max("count")).first()[0] == 400 and largest <= 60

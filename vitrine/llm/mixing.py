@@ -31,7 +31,7 @@ ROUNDS = 6
 BLOCK_TOKENS = 1 << 18
 #: Rows of a block, about: a source of many short or empty texts has more blocks than its tokens ask for.
 BLOCK_ROWS = 1 << 14
-#: The blocks of a source are summed up in two to this power stretches.
+#: The blocks of a source are summed up in two to this power stretches, for either sign of the hash.
 STRETCH_BITS = 10
 #: Larger tables of sources or blocks are joined by shuffle instead of broadcast.
 BROADCAST_ROWS = 50_000
@@ -155,7 +155,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
                                                 F.max("full").alias("full"))
     # the blocks of a source in the order of their turns, in stretches by the turn's leading bits: a source
     # of very many blocks is summed up stretch by stretch, and no task holds all its blocks
-    sizes = freeze(sizes.withColumn("turn", F.xxhash64("block", "full", F.lit(seed))).withColumn("stretch", F.shiftright("turn", 64 - STRETCH_BITS)))
+    sizes = freeze(sizes.withColumn("turn", F.xxhash64("block", "full", F.lit(seed))).withColumn("stretch", F.shiftright("turn", 63 - STRETCH_BITS)))
     earlier = Window.partitionBy("_key").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     stretches = sizes.groupBy("_key", "stretch").agg(F.sum("tokens").alias("whole")) \
         .select("_key", "stretch", F.coalesce(F.sum("whole").over(earlier), F.lit(0)).alias("before"))
