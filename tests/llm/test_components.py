@@ -22,10 +22,11 @@ def test_a_hub_is_spread(spark):
 
     from vitrine.llm import components
 
-    edges = spark.range(1, 4001).select(F.lit(0).cast("long").alias("u"), F.col("id").alias("v"))
+    rows = [(0, k) for k in range(1, 4001)]
+    edges = spark.createDataFrame(rows, "u long, v long")
     got = components._with_low(edges, F.min("v"))
     assert got.count() == 4000 and got.select("m").distinct().collect() == [(1,)]
     salts = edges.groupBy(components._salt("v").alias("s")).count().collect()
     assert len(salts) == 16 and max(r["count"] for r in salts) < 400
-    comp = connected_components(edges.unionAll(spark.createDataFrame([(5000, 4000)], "u long, v long")), "u", "v")
+    comp = connected_components(spark.createDataFrame([*rows, (5000, 4000)], "u long, v long"), "u", "v")
     assert comp.select("component").distinct().collect() == [(0,)] and comp.count() == 4002

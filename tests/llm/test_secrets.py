@@ -131,16 +131,16 @@ def test_short_and_partly_covered_tokens_are_scored(spark):
 def test_held_out_credentials_on_the_table(spark):
     """Half of the table's labelled credentials lose their keyword and their base pattern's length: the automata
     inferred from the other half must find them, and report next to nothing else."""
-    from tests.conftest import SF_MID
-
-    texts = [r.text for r in spark.read.parquet(f"{SF_MID}/documents.parquet").collect()]
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").collect()]
     labelled = sorted({t[v:e] for t in texts if t for _, _, e, v in secrets.base_spans(t)})
     others = sorted({m for t in texts if t for m in secrets.CANDIDATE.findall(t) if not secrets.base_spans(m)} - set(labelled))
     rng = random.Random(2)
     rng.shuffle(labelled)
     train, held = labelled[::2], labelled[1::2]
-    model = secrets.SecretModel(train, rng.sample(others, min(600, len(others))), (len(others), 1))
+    sorts = [[s for s in others if bool(secrets.DIGIT.search(s)) == digit] for digit in (False, True)]
+    sample = [s for x in sorts for s in rng.sample(x, min(secrets.SAMPLE, len(x)))]
+    model = secrets.SecretModel(train, sample, (len(sorts[0]), len(sorts[1])))
     found = sum(model.reports(s) for s in held)
     false = sum(model.reports(s) for s in others)
-    assert len(held) >= 10 and found >= 0.9 * len(held), (found, len(held))
+    assert len(held) >= 50 and found >= 0.9 * len(held), (found, len(held))
     assert false <= 0.001 * len(others), (false, len(others))
