@@ -1,5 +1,8 @@
 """Physical-plan properties the scale design relies on."""
 
+import pytest
+
+import __spark_entry__ as E
 from vitrine.operators.drift import drift_stats
 from vitrine.operators.filters import ListingFilters
 from vitrine.operators.scoring import LinearQuantileModel, score
@@ -34,6 +37,29 @@ def test_fused_dashboard_scans_less(spark):
     assert fused < unfused
 
 
+@pytest.mark.parametrize("name", ["dashboard_empty", "dashboard", "dashboard_charts"])
+def test_dashboard_joins_the_listings_once(spark, name):
+    """The join ran once per chart or pass; now the charts scan its frozen rows."""
+    p = plan_of(E.queries()[name](spark, SF_SMALL))
+    assert "lineitem" not in p and "SortMergeJoin" not in p and "BroadcastHashJoin" not in p
+
+
+@pytest.mark.parametrize("filters", [ListingFilters(), ListingFilters(series="STANDARD", min_year=1996), ListingFilters(brand="nobody")])
+def test_frozen_listings_change_no_row(spark, filters):
+    cols = ("brand string, series string, price double, kb_year int, kb_mileage bigint, kb_fuel string, power_hp_val int, "
+            "kb_fuel_cons_avg double, " + ", ".join(f"{c} int" for _, group in E.CFG.damage_columns() for c in group))
+    flags = [1, None] * 11
+    twice = ("A", "STANDARD", 100.0, 1996, 1000, "x", 90, 5.0, *flags)
+    df = spark.createDataFrame([twice, twice, ("A", "LARGE", None, 1997, None, None, None, None, *flags),
+                                (None, "STANDARD", 7.5, None, 3, "y", 1, 0.5, *flags[::-1]), ("B", None, -1.0, 1998, 0, "x", 2, None, *flags)], cols)
+
+    def sorted_rows(fused, freeze):
+        return sorted(map(repr, dashboard_table(df, filters, E.CFG, fused=fused, freeze=freeze).collect()))
+
+    assert sorted_rows(True, True) == sorted_rows(True, False)
+    assert sorted_rows(False, True) == sorted_rows(False, False)
+
+
 def test_running_totals_are_dealt_by_range(spark):
     ref, curr = adapters.orders_pair(spark, SF_SMALL)
     st = drift_stats(ref, curr, ["o_totalprice", "o_custkey"], partitions=4).stats

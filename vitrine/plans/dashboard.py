@@ -22,10 +22,17 @@ passes over the data, each emitting the rows of several charts with
 4. the option lists under the base filter;
 
 plus one scalar subquery (distinct brands) for the radar gate.
+
+Every chart or pass reads the listings for itself. That is cheap over a file, but a
+frame that is computed (a join) would be computed as often, with all its shuffles:
+``freeze=True`` computes it once, writes the rows and columns the charts read as
+parquet to the checkpoint folder, and all charts scan that.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,8 +52,21 @@ def facet_lists(df: DataFrame, filters: ListingFilters, cfg: ListingConfig = Lis
             .orderBy("field", "value"))  # K3: binary (UTF-8) order
 
 
-def dashboard(df: DataFrame, filters: ListingFilters = ListingFilters(),
-              cfg: ListingConfig = ListingConfig(), fused: bool = False) -> dict[str, DataFrame]:
+def frozen_listings(df: DataFrame, filters: ListingFilters, cfg: ListingConfig = ListingConfig()) -> DataFrame:
+    """The rows under every filter except series (the option lists ignore it) with the
+    columns that charts and option lists read, computed once and read back as parquet."""
+    cols = [cfg.brand, cfg.series, cfg.price, cfg.year, cfg.mileage, cfg.fuel, *(c for _, c in cfg.radar_measures()),
+            *(c for _, group in cfg.damage_columns() for c in group)]
+    base = df.where(listing_filter(filters, cfg, exclude={"series"})).select(*dict.fromkeys(cols))
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/dashboard-{uuid.uuid4().hex}"
+    base.write.parquet(path)
+    return df.sparkSession.read.schema(base.schema).parquet(path)
+
+
+def dashboard(df: DataFrame, filters: ListingFilters = ListingFilters(), cfg: ListingConfig = ListingConfig(),
+              fused: bool = False, freeze: bool = False) -> dict[str, DataFrame]:
+    if freeze:
+        df = frozen_listings(df, filters, cfg)
     lists = facet_lists(df, filters, cfg)
     sel = df.where(listing_filter(filters, cfg))
     out = {
@@ -164,8 +184,10 @@ def _when_rows(cond, rows):
 
 
 def dashboard_table(df: DataFrame, filters: ListingFilters = ListingFilters(),
-                    cfg: ListingConfig = ListingConfig(), fused: bool = True) -> DataFrame:
+                    cfg: ListingConfig = ListingConfig(), fused: bool = True, freeze: bool = False) -> DataFrame:
     """The whole bundle as one long table (chart, key, label, x, y)."""
+    if freeze:
+        df = frozen_listings(df, filters, cfg)
     if not fused:
         return dashboard_long(dashboard(df, filters, cfg, fused=False))
     none = F.lit(None)
