@@ -37,7 +37,7 @@ def test_fused_dashboard_scans_less(spark):
     assert fused < unfused
 
 
-@pytest.mark.parametrize("name", ["dashboard_empty", "dashboard", "dashboard_charts", "dashboard_unfused"])
+@pytest.mark.parametrize("name", ["dashboard_empty", "dashboard", "dashboard_charts", "dashboard_unfused", "dashboard_one_brand"])
 def test_dashboard_joins_the_listings_once(spark, name):
     """The join ran once per chart or pass; now the charts scan its frozen rows."""
     p = plan_of(E.queries()[name](spark, SF_SMALL))
