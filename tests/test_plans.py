@@ -1,6 +1,7 @@
 """Physical-plan properties the scale design relies on."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from vitrine.operators.drift import drift_stats
@@ -60,6 +61,46 @@ def test_frozen_listings_change_no_row(spark, filters):
     assert sorted_rows(False, True) == sorted_rows(False, False)
 
 
+@pytest.mark.parametrize("name", ["kpi_empty", "radar_series", "drift_segment_stats"])
+def test_selection_by_brand_meets_part_before_orders(spark, name, monkeypatch):
+    """Orders met every line, and the lines were shuffled a second time to meet part."""
+    seen, listings = [], adapters.listings
+    monkeypatch.setattr(adapters, "listings", lambda *a, **k: seen.append(listings(*a, **k)) or seen[-1])
+    E.queries()[name](spark, SF_SMALL)
+    assert seen and all(depths(df)["part"] > depths(df)["orders"] for df in seen)
+
+
+@pytest.mark.parametrize("name", ["dashboard_one_brand", "dashboard_empty", "dashboard"])
+def test_dashboard_of_one_brand_meets_part_before_orders(spark, name, monkeypatch):
+    seen, listings = [], adapters.listings
+    monkeypatch.setattr(adapters, "listings", lambda *a, **k: seen.append(listings(*a, **k)) or seen[-1])
+    E.queries()[name](spark, SF_SMALL)
+    assert len(seen) == 1 and (depths(seen[0])["part"] > depths(seen[0])["orders"]) == (name != "dashboard")
+
+
+def depths(df) -> dict[str, int]:
+    """How deep in the plan each table lies: the deeper one is joined first."""
+    lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    return {t: next(len(line) - len(line.lstrip(" :+-")) for line in lines if f"Relation [{key}" in line)
+            for t, key in (("part", "p_partkey"), ("orders", "o_orderkey"))}
+
+
+def test_order_of_the_joins_changes_no_row(spark, tmp_dir):
+    """Keys that repeat, are NULL or have no partner, on every side."""
+    li = [(k, p, 1, n, 2.0, 10.0 * n, 0.01, "R", "1996-03-01") for k in (1, 1, 2, None, 9) for p in (5, 6, None, 8) for n in (1, 7)]
+    spark.createDataFrame(li, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+                              "l_tax double, l_returnflag string, l_shipdate string") \
+        .withColumn("l_shipdate", F.col("l_shipdate").cast("timestamp_ntz")).write.parquet(f"{tmp_dir}/lineitem.parquet")
+    spark.createDataFrame([(1, "1-URGENT"), (1, "2-HIGH"), (2, None), (None, "x")], "o_orderkey long, o_orderpriority string") \
+        .write.parquet(f"{tmp_dir}/orders.parquet")
+    spark.createDataFrame([(5, "a", "Brand#22", "T", 1), (5, "b", "Brand#13", None, 2), (6, "c", None, "T", None), (None, "d", "Brand#22", "T", 3)],
+                          "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_dir}/part.parquet")
+    one, two = (adapters.listings(spark, tmp_dir, part_first=first) for first in (False, True))
+    assert one.schema == two.schema
+    assert sorted(map(repr, one.collect())) == sorted(map(repr, two.collect()))
+    assert one.count() == 2 * 5 * 3  # line numbers; orders of keys 1, 1, 2; parts of keys 5, 6
+
+
 def test_running_totals_are_dealt_by_range(spark):
     ref, curr = adapters.orders_pair(spark, SF_SMALL)
     st = drift_stats(ref, curr, ["o_totalprice", "o_custkey"], partitions=4).stats
