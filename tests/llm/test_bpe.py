@@ -66,3 +66,28 @@ def test_an_edit_fills_only_its_neighbourhood():
     filled = t.edit(5000, 3, b"xyz")
     assert filled < 200
     assert t.last == bpe.PrefixTable(VOCAB, t.data).last
+
+
+def test_pieces_met_once_are_not_remembered():
+    rng = random.Random(7)
+    enc, pieces = bpe.PieceEncoder(VOCAB, P.PATTERN), ["".join(rng.choices("abcdefghij", k=12)) for _ in range(50_000)]
+    for p in pieces:
+        enc[p]
+    assert len(enc) + len(enc.old) < 2_000
+    for _ in range(2):
+        assert [enc[p] for p in pieces[:1000]] == [enc.encode(p) for p in pieces[:1000]]
+    assert all(p in enc for p in pieces[:1000])
+    assert list(memoryview(enc[pieces[0]]).cast("i")) == TIK.encode_ordinary(pieces[0])
+
+
+def test_batches_of_long_texts_are_small(spark):
+    def size(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "size"])
+
+    df = spark.range(0, 64, 1, 1).selectExpr("id AS doc_id", "repeat('some words ', 50000) AS text")
+    assert bpe.encode(df, PATH, P.PATTERN).selectExpr("size(ids) AS n").distinct().count() == 1
+    got = df.mapInArrow(size, "n long, size long").collect()
+    assert sum(r.n for r in got) == 64 and max(r.size for r in got) < 8 << 20

@@ -24,10 +24,14 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import ship
+from vitrine.llm.common import ship_texts
 
 #: Encoded pieces in each of the two generations that a worker remembers; memory only, no effect on results.
-CACHE_PIECES = 1 << 18
+CACHE_PIECES = 1 << 17
+#: Marks of pieces met once, one bit each: what never comes again is not remembered.
+SEEN_BITS = 1 << 22
+#: Tested pairs of tokens that a worker remembers.
+CACHED_PAIRS = 1 << 18
 #: Tokens in one Arrow batch that a task hands back.
 BATCH_TOKENS = 1 << 21
 
@@ -105,7 +109,7 @@ class _Pairs(dict):
         self.vocab = vocab
 
     def __missing__(self, key: int) -> bool:
-        if len(self) >= 4 * CACHE_PIECES:
+        if len(self) >= CACHED_PAIRS:
             self.clear()
         ok = self[key] = self.vocab.stand(key >> 32, key & 0xFFFFFFFF)
         return ok
@@ -177,15 +181,16 @@ class PieceEncoder(dict):
         super().__init__()
         self.vocab, self.pieces = vocab, regex.compile(pattern).findall
         self.old: dict[str, bytes] = {}  # the generation before: what is used again comes back from it
+        self.seen = bytearray(SEEN_BITS // 8)  # by hash, emptied with every generation
 
     def __missing__(self, piece: str) -> bytes:
         import array
 
-        if len(self) >= CACHE_PIECES:
-            self.old = dict(self)
-            self.clear()
-        out = self.old.get(piece)
+        out, again = self.old.get(piece), True
         if out is None:
+            at = hash(piece) % SEEN_BITS
+            again = self.seen[at >> 3] >> (at & 7) & 1
+            self.seen[at >> 3] |= 1 << (at & 7)
             data = piece.encode("utf-8", "surrogatepass")
             whole = self.vocab.ranks.get(data)
             if whole is None:
@@ -195,7 +200,11 @@ class PieceEncoder(dict):
             else:
                 ids = [whole]
             out = array.array("i", ids).tobytes()
-        if len(piece) <= 64:
+        if again and len(piece) <= 64:
+            if len(self) >= CACHE_PIECES:
+                self.old = dict(self)
+                self.clear()
+                self.seen = bytearray(SEEN_BITS // 8)
             self[piece] = out
         return out
 
@@ -229,7 +238,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     A null or empty text gives an empty array; an empty table an empty result;
     repeated ids and rows are kept; other columns are not read."""
-    ship(docs.sparkSession)
+    ship_texts(docs.sparkSession)
     vocab_key, vocab = _shared(docs.sparkSession, path, pattern)
     more = [f"k{i}" for i in range(len(keep))]
 
@@ -267,7 +276,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     """The rows of ``encoded`` as ``(id, ids, decoded binary)``. Null ids decode to
     null, as do rows that hold an id outside the vocabulary."""
-    ship(encoded.sparkSession)
+    ship_texts(encoded.sparkSession)
     _, vocab = _shared(encoded.sparkSession, path, "")
 
     def run(batches):

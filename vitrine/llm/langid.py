@@ -25,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import SALTS, broadcast_if_small, freeze, ship
+from vitrine.llm.common import SALTS, broadcast_if_small, freeze, ship_texts
 
 BUCKETS = 1 << 16
 #: Prior of the class that stands for no known language.
@@ -85,7 +85,7 @@ def fit_text_model(docs: DataFrame, label: Column, languages: tuple[str, ...], p
     of their id). Languages without a labelled text are left out."""
     import numpy as np
 
-    ship(docs.sparkSession)
+    ship_texts(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), label.alias("label"))
     picks = [rows.where(F.col("label") == lang).orderBy(F.xxhash64("id"), "id").limit(per_language)
              for lang in languages]
@@ -124,7 +124,7 @@ def text_evidence(docs: DataFrame, model, columns: dict[str, Column], id_col: st
     last, of ``und``, each less the largest; ``letters`` trigrams were read."""
     import numpy as np
 
-    ship(docs.sparkSession)
+    ship_texts(docs.sparkSession)
     found, logp = model
     shared = docs.sparkSession.sparkContext.broadcast(np.vstack([logp, np.full(BUCKETS, -np.log(BUCKETS))])
                                                       .astype(np.float32))

@@ -26,7 +26,7 @@ from bisect import bisect_right
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import freeze, ship
+from vitrine.llm.common import freeze, ship_texts
 
 KINDS = ("assign", "access", "hex")
 GRAMMAR = "grammar"
@@ -49,6 +49,8 @@ REFITS = 2
 LONGEST = 128
 #: Scores that a Python worker remembers.
 REMEMBERED = 1 << 18
+#: Different tokens of a task that go on to Spark together.
+TOKENS_AT_ONCE = 1 << 17
 #: Confidence parameter of the Hoeffding bound.
 ALPHA = 0.05
 
@@ -242,13 +244,22 @@ def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Secret
     """Infer the automata from the corpus's credentials and its other tokens, with and
     without a digit, that no base span touches: of each, the ``sample`` different strings
     with the smallest hash. The threshold follows the number of all different candidates."""
-    ship(docs.sparkSession)
+    ship_texts(docs.sparkSession)
 
     def run(batches):
         import pyarrow as pa
 
+        kinds = [set(), set(), set()]  # other tokens without and with a digit, credentials
+
+        def flush():
+            out = pa.RecordBatch.from_arrays(
+                [pa.array([k for k, x in enumerate(kinds) for _ in x], pa.int32()),
+                 pa.array([s for x in kinds for s in x], pa.string())], names=["kind", "token"])
+            for x in kinds:
+                x.clear()
+            return out
+
         for b in batches:
-            kinds = [set(), set(), set()]  # other tokens without and with a digit, credentials
             tokens = set()
             for t in b.column(0):
                 text = t.as_py() or ""
@@ -260,9 +271,9 @@ def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Secret
                     tokens.update(CANDIDATE.findall(text))
             for token in tokens:
                 kinds[1 if DIGIT.search(token) else 0].add(token)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k for k, x in enumerate(kinds) for _ in x], pa.int32()),
-                 pa.array([s for x in kinds for s in x], pa.string())], names=["kind", "token"])
+            if sum(map(len, kinds)) >= TOKENS_AT_ONCE:
+                yield flush()
+        yield flush()
 
     seen = freeze(docs.select(F.col(text_col).cast("string").alias("text"))
                   .mapInArrow(run, "kind int, token string").distinct())
@@ -283,7 +294,7 @@ def scan(docs: DataFrame, model: SecretModel, id_col: str = "doc_id", text_col:
     and rows are kept; an empty table gives an empty result; other columns are not
     read.
     """
-    ship(docs.sparkSession)
+    ship_texts(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -313,7 +324,7 @@ def redact_text(text: str, spans: list[tuple[int, int, int]]) -> str:
 def redact(docs: DataFrame, model: SecretModel, text_col: str = "text") -> DataFrame:
     """``docs`` with the secrets of its texts replaced; rows, their number and every
     other column stay, null texts stay null."""
-    ship(docs.sparkSession)
+    ship_texts(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 

@@ -28,7 +28,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import broadcast_if_small, freeze, ship, with_group
+from vitrine.llm.common import broadcast_if_small, freeze, ship_texts, with_group
 from vitrine.llm.components import connected_components
 
 HOT_CELL = 2000
@@ -65,7 +65,7 @@ def fingerprint_bytes(text: bytes | None, shingle: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """``(id, fp)`` for every row; one narrow pass over whole texts."""
-    ship(docs.sparkSession)
+    ship_texts(docs.sparkSession)
 
     def run(batches):
         import pyarrow as pa
