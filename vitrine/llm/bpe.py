@@ -27,11 +27,11 @@ from pyspark.sql import functions as F
 from vitrine.llm.common import ship_texts
 
 #: Encoded pieces in each of the two generations that a worker remembers; memory only, no effect on results.
-CACHE_PIECES = 1 << 17
+CACHE_PIECES = 1 << 18
 #: Marks of pieces met once, one bit each: what never comes again is not remembered.
 SEEN_BITS = 1 << 22
 #: Tested pairs of tokens that a worker remembers.
-CACHED_PAIRS = 1 << 18
+CACHED_PAIRS = 1 << 19
 #: Tokens in one Arrow batch that a task hands back.
 BATCH_TOKENS = 1 << 21
 
